@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, simhash
 from .common import table
 
 
@@ -21,5 +21,10 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(normal) AS text_sha256 FROM g
 """
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), width=4, radius=4)
+
+
+QUERIES = {"op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup}
 SQL = {"op10_exact_dedup": OP10_SQL}
