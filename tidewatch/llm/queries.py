@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import byte_bpe, exact_dedup, simhash
 from .common import table
 
 
+#: The public vocabulary that the queries encode with.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.read_back(coded, RANKS, public_tokenizers.PATTERN)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -26,5 +36,5 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
-QUERIES = {"op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup}
 SQL = {"op10_exact_dedup": OP10_SQL}
