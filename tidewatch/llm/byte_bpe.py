@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, whole
+from .common import settle, slices, whole
 
 #: Code points of a chunk without its overlap, and of the overlap with the next.
 CHUNK, OVERLAP = 32_768, 512
@@ -68,7 +68,7 @@ def stitches(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = vocabulary(path, pattern).piece
-        for b in batches:
+        for b in slices(batches):
             heads, tails = [], []
             for k, part in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
                 at = breaks(piece, part)
@@ -90,7 +90,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             last = b.num_columns - 1
             ids = [v.encode(t).tobytes() for t in b.column(last).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(ids, pa.binary())], [*b.schema.names[:last], "ids"])
@@ -112,7 +112,7 @@ def read_back(coded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             n, ids_sha, text_sha, size = [], [], [], []
             for parts in b.column(1).to_pylist():
                 of_ids, of_text, tokens, count = hashlib.sha256(), hashlib.sha256(), 0, 0

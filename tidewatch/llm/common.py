@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,10 @@ def whole(text: str | Column) -> Column:
 def words(text: str) -> list[bytes]:
     r"""Words [^\x20\x09-\x0D]+ with A-Z lower-cased, in UTF-8: bytes.lower and bytes.split touch ASCII alone."""
     return text.encode().lower().split()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a worker holds few texts as Python objects at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, whole
+from .common import settle, slices, whole
 
 WORD_BUCKETS = 10_000
 SHAPES = 64
@@ -82,7 +82,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = WordFeatures(), np.zeros((2, BUCKETS), dtype=np.int64)
-        for b in batches:
+        for b in slices(batches):
             for good, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if words := text.as_py().encode().split():
                     own = np.bincount(ngrams(words, known), minlength=BUCKETS)
@@ -118,7 +118,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ratio = WordFeatures(), shared.value
-        for b in batches:
+        for b in slices(batches):
             n, total = [], []
             for text in b.column(at):
                 words = (text.as_py() or "").encode().split()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, exact_dedup, lm_score, quality, secrets, simhash
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, lm_score, quality, secrets, simhash
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(more), RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,5 +59,5 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_lm_score": op4_lm_score, "op5_chat_format": op5_chat_format, "op7_quality_classifier": op7_quality_classifier, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_lm_score": op4_lm_score, "op5_chat_format": op5_chat_format, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup}
 SQL = {"op10_exact_dedup": OP10_SQL}

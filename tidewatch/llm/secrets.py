@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, whole
+from .common import settle, slices, whole
 
 #: How far apart, in code points, two parts of one credential may lie.
 REACH = 400
@@ -65,7 +65,7 @@ def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in slices(batches):
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in candidates(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["doc_id", "found"])
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bktree
-from .common import settle, whole, words
+from .common import settle, slices, whole, words
 
 SEED = 42
 #: Fingerprints that one shard, or one part of a split shard, may hold.
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     """doc_id and code, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             codes = np.array([simhash(shingle_hashes(words(t), width)) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes.view(np.int64))], ["doc_id", "code"])
 
