@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, lm_score, quality, secrets, simhash
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, line_dedup, lm_score, pseudonyms, quality, secrets, simhash
 from .common import table
 
 
@@ -18,6 +19,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.read_back(coded, RANKS, public_tokenizers.PATTERN)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = line_dedup.dedup(docs.select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines")))
+    return done.select("doc_id", "n_lines", "n_deleted", F.coalesce(F.length("text"), F.lit(0)).alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -55,9 +62,17 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(normal) AS
 """
 
 
+#: Of the query only: a deployment passes its own key.
+PSEUDONYM_KEY = "documents-v1"
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.counted(pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_lm_score": op4_lm_score, "op5_chat_format": op5_chat_format, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_secret_scan": op2_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_lm_score": op4_lm_score, "op5_chat_format": op5_chat_format, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_pseudonyms": op8_pseudonyms, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup}
 SQL = {"op10_exact_dedup": OP10_SQL}
