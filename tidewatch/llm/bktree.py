@@ -59,24 +59,47 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(filled == 0, 1.0, same / np.maximum(filled, 1))
 
 
-def linked(group: np.ndarray, code: np.ndarray, radius: int, sketch: np.ndarray | None = None, least_alike: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+def linked(group: np.ndarray, code: np.ndarray, radius: int, sketch: np.ndarray | None = None, least_alike: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """For every row that has a link in its group to an earlier row of its linked part: the row, and the part's first row."""
     n = len(code)
     tree = build(group, code)
     label = np.arange(n)
-    size = max(1, min(n, 1 << 14))
-    for k in range(0, n, size):
-        q, node = near(code, tree, np.arange(k, min(n, k + size)), radius)
+    _, of, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    pairs = np.cumsum(sizes[of])  # that the rows up to here can have at most
+    cuts = np.unique(np.append(np.searchsorted(pairs, np.arange(0, pairs[-1], 2 * FRONTIER)), n)) if n else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True) if n else ():
+        q, node = near(code, tree, np.arange(a, b), radius)
         pick = node < q
         q, node = q[pick], node[pick]
-        if sketch is not None and len(q):
-            ok = np.concatenate([alike(sketch[q[i : i + 100_000]], sketch[node[i : i + 100_000]]) >= least_alike for i in range(0, len(q), 100_000)])
-            q, node = q[ok], node[ok]
-        join(label, q, node)
+        if sketch is None:
+            join(label, q, node)
+        else:
+            join_alike(label, q, node, sketch, least_alike)
     rows = np.flatnonzero(label != np.arange(n))
     return rows, label[rows]
 
 
+def join_alike(label: np.ndarray, q: np.ndarray, node: np.ndarray, sketch: np.ndarray, least: float) -> None:
+    """Join the pairs whose sketches are alike. Each row's pairs are tried one, two, four ... at a time, and those that have met by then are passed over, so a dense group costs few comparisons."""
+    order = np.lexsort((node, q))
+    q, node = q[order], node[order]
+    most = 1
+    while len(q):
+        apart = label[q] != label[node]
+        q, node = q[apart], node[apart]
+        if not len(q):
+            return
+        first = np.concatenate(([True], q[1:] != q[:-1]))
+        rank = np.arange(len(q)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        now = np.flatnonzero(rank < most)
+        for k in range(0, len(now), 50_000):
+            part = now[k : k + 50_000]
+            ok = part[alike(sketch[q[part]], sketch[node[part]]) >= least]
+            join(label, q[ok], node[ok])
+        q, node = q[rank >= most], node[rank >= most]
+        most *= 2
+
+
 def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Merge the linked rows' labels in place; a label is the smallest row of its part."""
     while len(a):

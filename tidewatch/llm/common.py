@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: The six ASCII white-space characters of [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Up to so many ids (8 bytes each) are broadcast to filter rows by; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
 _own_folders: dict[str, str] = {}
 
 

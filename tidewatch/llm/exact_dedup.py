@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, checked_broadcast, settle, whole
+from .common import BROADCAST_IDS, SPACES, checked_broadcast, settle, whole
 
 #: Rows of one group that a task compares at a time.
 ROWS_PER_SALT = 512
@@ -63,3 +63,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = out.join(best_b, ["h", "other"], "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_groups() keeps. Rows without an id stay."""
+    gone = settle(exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(checked_broadcast(gone, BROADCAST_IDS), id_col, "left_anti").select(*docs.columns)

@@ -19,9 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bktree
-from .common import settle, slices, whole, words
+from .common import BROADCAST_IDS, checked_broadcast, settle, slices, whole, words
 
 SEED = 42
+#: Of near_copies(): words of a shingle, the least Jaccard similarity and what its estimate may fall short by, and the radius that fingerprints of such texts lie within.
+WIDTH, LEAST_ALIKE, MARGIN, RADIUS = 5, 0.8, 0.02, 18
+#: Bands of two least shingle hashes, one of which texts that alike share but for one pair in 450, and bytes of a sketch.
+BANDS, SKETCH = 6, 256
 #: Fingerprints that one shard, or one part of a split shard, may hold.
 SHARD_ROWS = 4096
 
@@ -107,7 +111,7 @@ def linked_edges(shards: DataFrame, radius: int, least_alike: float | None = Non
         for b in whole_groups(batches):
             group, node, code = (b.column(k).to_numpy() for k in range(3))
             sketch = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(len(node), -1) if extra else None
-            a, to = bktree.linked(group, code.view(np.uint64), radius, sketch, least_alike)
+            a, to = bktree.linked(group, code.view(np.uint64), radius, sketch, least_alike or 0.0)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[to])], ["a", "b"])
 
@@ -168,3 +172,40 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_code = settle(named.join(least, "root").select("code", "component_id"))
     return prints.join(by_code, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, least_alike: float = LEAST_ALIKE - MARGIN) -> DataFrame:
+    """doc_id and root, the smallest id of its component, of every text with near copies of a Jaccard similarity of its shingles of about least_alike or more.
+
+    Fingerprints of such texts differ in up to 18 bits, too many for blocks of bits to shard by. Here a text's shards are bands of its least shingle hashes; the BK-trees in the shards find the fingerprints within the radius, and a sketch of the least hash in each of SKETCH ranges verifies a link. Texts without words have no shards, and rows without an id are not looked at.
+    """
+    odd = np.random.default_rng(SEED).integers(0, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            ids, codes, bands, sketches = [], [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = shingle_hashes(words(text), width)
+                if not len(h):
+                    continue
+                ids.append(doc)
+                codes.append(simhash(h))
+                h = np.unique(h)
+                least = [int((h * k).min()) for k in odd]
+                bands.append([xxhash.xxh64_intdigest(f"{k} {least[2 * k]} {least[2 * k + 1]}") - (1 << 63) for k in range(BANDS)])
+                place, at = np.unique((h >> np.uint64(56)).astype(np.int64), return_index=True)
+                sketch = np.zeros(SKETCH, dtype=np.uint8)
+                sketch[place] = h[at] % np.uint64(255) + np.uint64(1)
+                sketches.append(sketch.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(codes, dtype=np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "code", "bands", "sketch"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("t"))
+    prints = settle(rows.mapInArrow(run, "node long, code long, bands array<long>, sketch binary"))
+    edges = linked_edges(prints.select(F.explode("bands").alias("shard"), "node", "code", "sketch"), radius, least_alike)
+    return components(edges).select(F.col("node").alias("doc_id"), "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without those that near_copies() links to a smaller id."""
+    gone = settle(near_copies(docs, id_col, text_col).select(F.col("doc_id").alias(id_col)))
+    return docs.join(checked_broadcast(gone, BROADCAST_IDS), id_col, "left_anti").select(*docs.columns)
