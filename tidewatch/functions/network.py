@@ -9,8 +9,9 @@ from operator import or_
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..config import RESERVED_V4, AddressPlan
+from ..config import GLOBAL_V4, RESERVED_V4, AddressPlan
 
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -26,7 +27,7 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(is_ipv4(ip), F.aggregate(F.split(ip, "[.]"), F.expr("0L"), lambda s, o: s * 256 + o.cast("long")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ipv6_hex(ip: pd.Series) -> pd.Series:
     """32 hex digits of an IPv6 address: its texts have too many forms for an expression."""
 
@@ -88,7 +89,7 @@ def is_external(ip: Column, plan: AddressPlan) -> Column:
 def is_bogon(ip: Column, plan: AddressPlan) -> Column:
     """Reserved source space, unless the plan declares it."""
     n = ipv4_number(ip)
-    reserved = reduce(or_, [n.between(*span(f"{a}/{k}")[1:]) for a, k in RESERVED_V4])
+    reserved = reduce(or_, [n.between(*span(f"{a}/{k}")[1:]) for a, k in RESERVED_V4]) & ~ip.isin(*GLOBAL_V4)
     if plan.exclude_declared_lab or plan.external_only:
         reserved = reserved & is_external(ip, plan)
     return F.coalesce(reserved, F.lit(False))

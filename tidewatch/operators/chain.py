@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import scalars
 
@@ -17,7 +18,7 @@ GENESIS = "0" * 64
 CHAIN_FIELDS = {"seq", "prev_hash", "payload_hash", "entry_hash"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def payload_hash(payload: pd.Series) -> pd.Series:
     """SHA-256 of the payload's canonical JSON, keys sorted at all levels, without the chain's own fields. Expressions can't sort the keys of open structures."""
 

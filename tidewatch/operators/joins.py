@@ -47,7 +47,7 @@ def latest_template(data: DataFrame, templates: DataFrame, idle_s: float = 1800.
     key = ["exporter", "domain", "template_id"]
     t = templates.select(*key, "t_us", "event_seq", F.struct("version", C("t_us").alias("at")).alias("_t"))
     both = data.withColumn("_t", F.lit(None).cast(t.schema["_t"].dataType)).unionByName(t, allowMissingColumns=True)
-    last = F.last("_t", ignorenulls=True).over(Window.partitionBy(*key).orderBy("t_us", C("_t").isNull(), "event_seq").rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last("_t", ignorenulls=True).over(Window.partitionBy(*key).orderBy("t_us", "event_seq").rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("_l", last).where(C("_t").isNull())
     fresh = C("t_us") - C("_l.at") <= int(idle_s * 1_000_000)
     return found.withColumn("version", F.when(fresh, C("_l.version"))).select(*data.columns, "version")
