@@ -40,7 +40,7 @@ def test_weights_against_plain_counting(spark):
     counts = [dict.fromkeys(range(q.BUCKETS), 0) for _ in range(2)]
     for k, t, _ in data:
         if t:
-            for n in q.ngrams(t.encode().split(), known):
+            for n in q.ngrams([t.encode().split()], known)[0]:
                 counts[0][n] += 1
                 counts[1][n] += bool(label.get(k))
     ratio = {}
@@ -48,7 +48,7 @@ def test_weights_against_plain_counting(spark):
         used = [n for n in range(a, b) if counts[0][n]]
         totals = [sum(c[n] + 1 for n in used) for c in counts]
         ratio |= {n: math.log((counts[1][n] + 1) / totals[1]) - math.log((counts[0][n] + 1) / totals[0]) for n in used}
-    want = sorted((str(k), round(sum(ratio[n] for n in q.ngrams(t.encode().split(), known)), 6) if t else 0.0) for k, t, _ in data)
+    want = sorted((str(k), round(sum(ratio[n] for n in q.ngrams([t.encode().split()], known)[0]), 6) if t else 0.0) for k, t, _ in data)
     assert sorted((str(r.doc_id), round(r.log_weight, 6)) for r in got) == want
 
 

@@ -11,7 +11,9 @@ Defined results: a null or empty text has no n-grams and score 0. A null id has
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ class WordFeatures(dict):
 
     def __init__(self):
         super().__init__()
-        self.hash, self.shape = [], []
+        self.hash, self.shape = array("Q"), array("q")
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -52,22 +54,23 @@ class WordFeatures(dict):
         return n
 
 
-def ngrams(words: list[bytes], known: WordFeatures) -> np.ndarray:
-    """The buckets of a text's n-grams, repeats included."""
+def ngrams(texts: list[list[bytes]], known: WordFeatures) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the texts' n-grams, repeats included, and the place of each one's text."""
     if len(known) > 500_000:
         known.clear()
-        known.hash.clear()
-        known.shape.clear()
-    number = np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))
-    distinct, at = np.unique(number, return_inverse=True)
-    h = np.array([known.hash[k] for k in distinct], dtype=np.uint64)[at]
-    s = np.array([known.shape[k] for k in distinct], dtype=np.int64)[at]
-    again = np.zeros(len(words), dtype=np.int64)
-    again[2:][number[2:] == number[:-2]] = 1
-    again[1:][number[1:] == number[:-1]] = 2
-    pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) % np.uint64(WORD_BUCKETS)
-    shapes = WORD_BUCKETS + SHAPES + (again[1:] * SHAPES + s[:-1]) * SHAPES + s[1:]
-    return np.concatenate(((h % np.uint64(WORD_BUCKETS)).astype(np.int64), pair.astype(np.int64), WORD_BUCKETS + s, shapes))
+        known.hash, known.shape = array("Q"), array("q")
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    number = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(sizes.sum()))
+    text = np.repeat(np.arange(len(texts)), sizes)
+    h, s = np.frombuffer(known.hash, dtype=np.uint64)[number] if len(number) else np.empty(0, np.uint64), np.frombuffer(known.shape, dtype=np.int64)[number] if len(number) else np.empty(0, np.int64)
+    again = np.zeros(len(number), dtype=np.int64)
+    again[2:][(number[2:] == number[:-2]) & (text[2:] == text[:-2])] = 1
+    inner = text[1:] == text[:-1]
+    again[1:][(number[1:] == number[:-1]) & inner] = 2
+    pair = ((h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) % np.uint64(WORD_BUCKETS))[inner]
+    shapes = (WORD_BUCKETS + SHAPES + (again[1:] * SHAPES + s[:-1]) * SHAPES + s[1:])[inner]
+    second = text[1:][inner]
+    return np.concatenate(((h % np.uint64(WORD_BUCKETS)).astype(np.int64), pair.astype(np.int64), WORD_BUCKETS + s, shapes)), np.concatenate((text, second, text, second))
 
 
 def labelled(labels: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -83,12 +86,10 @@ def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = WordFeatures(), np.zeros((2, BUCKETS), dtype=np.int64)
         for b in slices(batches):
-            for good, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if words := text.as_py().encode().split():
-                    own = np.bincount(ngrams(words, known), minlength=BUCKETS)
-                    counts[0] += own
-                    if good:
-                        counts[1] += own
+            good = np.array(b.column(0).to_pylist(), dtype=bool)
+            own, text = ngrams([t.encode().split() for t in b.column(1).to_pylist()], known)
+            counts[0] += np.bincount(own, minlength=BUCKETS)
+            counts[1] += np.bincount(own[good[text]], minlength=BUCKETS)
         some = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[0, some]), pa.array(counts[1, some])], ["bucket", "raw", "target"])
 
@@ -119,12 +120,8 @@ def weighed(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ratio = WordFeatures(), shared.value
         for b in slices(batches):
-            n, total = [], []
-            for text in b.column(at):
-                words = (text.as_py() or "").encode().split()
-                own = ngrams(words, known) if words else []
-                n.append(len(own))
-                total.append(float(ratio[own].sum()) if words else 0.0)
+            own, text = ngrams([(t or "").encode().split() for t in b.column(at).to_pylist()], known)
+            n, total = np.bincount(text, minlength=b.num_rows), np.bincount(text, weights=ratio[own], minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(total, pa.float64())], [f"c{k}" for k in range(b.num_columns + 2)])
 
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
