@@ -35,8 +35,8 @@ def sliding(events: DataFrame, width_s: int = 5, step_s: int = 1, cfg: WindowCon
 
 
 def session_summaries(events: DataFrame, keys: list[str], gap_s: float, cfg: WindowConfig = WindowConfig()) -> DataFrame:
-    """keys, start_us, last_us, n, bytes of gap sessions; an event exactly the gap later still joins, so Spark's gap is a microsecond longer."""
-    s = F.session_window("ts", f"{int(gap_s * 1_000_000) + 1} microseconds").alias("s")
+    """keys, start_us, last_us, n, bytes of gap sessions; an event exactly the gap later still joins."""
+    s = F.session_window("ts", f"{int(gap_s * 1_000_000)} microseconds").alias("s")
     g = timed(events, cfg).groupBy(s, *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(C("bytes"), F.lit(0))).alias("bytes"), F.max("t_us").alias("last_us"))
     return g.select(*keys, F.unix_micros("s.start").alias("start_us"), "last_us", "n", "bytes")
 
