@@ -184,24 +184,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: in
     return ratios, divide([r.score for r in scored if r.good], [r.score for r in scored if not r.good])
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> tuple[DataFrame, float]:
-    """weighed()'s frame, and the least key that is selected."""
+def scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> tuple[DataFrame, np.ndarray, float]:
+    """doc_id, n_ngrams, log_weight, score and key of all rows, written once; the log ratios; and the least key that is selected."""
     ratios, threshold = fit(docs, labels, id_col, text_col, most)
-    all_of = weighed(docs, ratios, id_col, text_col)
+    all_of = settle(weighed(docs.select(id_col, text_col), ratios, id_col, text_col).select(F.col("c0").alias("doc_id"), F.col("c2").alias("n_ngrams"), F.col("c3").alias("log_weight"), "score", "key"))
     if threshold == float("-inf"):
-        return all_of, threshold
-    narrow = settle(weighed(docs.select(id_col, text_col), ratios, id_col, text_col).select("score", "key"))
-    k = narrow.where(F.col("score") >= threshold).count()
-    return all_of, kth_largest(narrow.select("key"), k)
+        return all_of, ratios, threshold
+    k = all_of.where(F.col("score") >= threshold).count()
+    return all_of, ratios, kth_largest(all_of.select("key"), k)
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> DataFrame:
     """doc_id, n_ngrams, log_weight, score, key, selected."""
-    all_of, least = resample(docs.select(id_col, text_col), labels, id_col, text_col, most)
-    return all_of.select(F.col("c0").alias("doc_id"), F.col("c2").alias("n_ngrams"), F.col("c3").alias("log_weight"), "score", "key", (F.col("key") >= least).alias("selected"))
+    all_of, _, least = scored(docs, labels, id_col, text_col, most)
+    return all_of.withColumn("selected", F.col("key") >= least)
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> DataFrame:
-    """The rows of docs that are selected, with their columns."""
-    all_of, least = resample(docs, labels, id_col, text_col, most)
-    return all_of.where(F.col("key") >= least).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    """The rows of docs that are selected, with their columns. Their keys are worked out again where the rows are, which spares a join of all texts."""
+    _, ratios, least = scored(docs, labels, id_col, text_col, most)
+    return weighed(docs, ratios, id_col, text_col).where(F.col("key") >= least).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
