@@ -40,6 +40,19 @@ def test_wand_finds_what_scoring_all_items_finds():
             assert score.max(initial=0) < d.THRESHOLD
 
 
+def share(side, part):
+    width = 5 if len(side) >= 10 else max(1, len(side) // 2)
+    runs = {" ".join(side[k : k + width]) for k in range(len(side) - width + 1)}
+    text = " " + " ".join(part) + " "
+    return sum(f" {r} " in text for r in runs) / len(runs)
+
+
+def test_short_answers_are_verified():
+    text = "one two three four five six seven eight nine ten eleven. the answer is this"
+    (hit,) = d.Index([(1, text), (2, "quite another text with nothing in common here at all.")]).hits("before " + text + " after")
+    assert hit[0] == 1 and hit[3:] == (1.0, 1.0)
+
+
 def brute(items, docs):
     index, out = d.Index(items), set()
     for k, text in docs:
@@ -48,8 +61,7 @@ def brute(items, docs):
             part = w[start : start + 2 * index.longest]
             for n, i in enumerate(index.item):
                 score = sum(float(x) for t in set(part) if t in index.term for m, x in zip(index.docs[index.term[t]], index.impacts[index.term[t]], strict=True) if m == n)
-                held = d.shingles(part)
-                if score >= d.THRESHOLD - 1e-9 and all(len(s & held) / len(s) >= d.OVERLAP for s in index.sides[n]):
+                if score >= d.THRESHOLD - 1e-9 and all(share(s, part) >= d.OVERLAP for s in index.sides[n]):
                     out.add((k, i))
     return out
 

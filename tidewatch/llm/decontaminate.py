@@ -1,6 +1,6 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, searched by every passage of every document with block-max WAND.
 
-Items are indexed by their words (A-Z lower-cased). A posting's impact is its BM25 weight divided by the item's score for its own text, so a passage's score is the share of the item that it matches, and one threshold serves all items. Every document is cut into passages that overlap by the longest item, so an item that stands in a text stands whole in a passage. All items at or above THRESHOLD are retrieved, and a hit is verified by the five-word shingles of the item's question and of its answer that the passage holds: both overlaps must reach OVERLAP. The answer is the item's last sentence if that has three words and at most half of the item, else its last third.
+Items are indexed by their words (lower-cased). A posting's impact is its BM25 weight divided by the item's score for its own text, so a passage's score is the share of the item that it matches, and one threshold serves all items. Every document is cut into passages that overlap by the longest item, so an item that stands in a text stands whole in a passage. All items at or above THRESHOLD are retrieved, and a hit is verified by the shingles of the item's question and of its answer that the passage holds (five words, fewer for a short side): both overlaps must reach OVERLAP. The answer is the item's last sentence if that has three words and at most half of the item, else its last third.
 
 Before a passage is searched, a bound is tried: terms that together can't bring any item to half the threshold are set apart, and the rest of the score must come from the other, rare terms. A passage whose rare terms can't do so for any item is passed over; none that could reach the threshold is lost.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole, words
+from .common import slices, whole
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.5
@@ -31,18 +31,34 @@ POSTINGS, ITEMS = 16, 50_000
 _END = 1 << 60
 
 
-def shingles(w: list[bytes]) -> set[tuple[bytes, ...]]:
-    return {tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))} if w else set()
+def words(text: str) -> list[str]:
+    """Words in lower case, accented letters too."""
+    return text.lower().split()
 
 
-def parted(text: str) -> tuple[list[bytes], list[bytes]]:
+def shingles(w: list[str], width: int) -> set[tuple[str, ...]]:
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+
+
+def width_for(w: list[str]) -> int:
+    """Five words, or half of a side that has fewer than ten, so that one changed word doesn't break all its shingles."""
+    return min(SHINGLE, max(1, len(w) // 2))
+
+
+def overlap(side: list[str], passage: list[str]) -> float:
+    """The share of the side's shingles that the passage holds; 1 for an empty side."""
+    own = shingles(side, width_for(side))
+    return len(own & shingles(passage, width_for(side))) / len(own) if own else 1.0
+
+
+def parted(text: str) -> tuple[list[str], list[str]]:
     """Words of the question and of the answer."""
     w = words(text)
     ends, n = [], 0
     for line in text.split("\n"):
         for word in words(line):
             n += 1
-            if word[-1:] in b".?!":
+            if word[-1] in ".?!":
                 ends.append(n)
         ends.append(n)
     start = max((e for e in ends if e < len(w)), default=0)
@@ -57,7 +73,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         kept = [(i, w, text) for i, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])) if len(w := words(text)) >= LEAST_WORDS]
         self.item = [i for i, _, _ in kept]
-        self.sides = [tuple(map(shingles, parted(text))) for _, _, text in kept]
+        self.sides = [parted(text) for _, _, text in kept]
         self.longest = max((len(w) for _, w, _ in kept), default=0)
         df = Counter(t for _, w, _ in kept for t in set(w))
         self.term = {t: k for k, t in enumerate(sorted(df))}
@@ -152,10 +168,8 @@ class Index:
             if a == b or not self.may_reach(np.unique(term[rare[a:b]])):
                 continue
             own = np.unique(term[start : start + size])
-            held = None
             for n, score in self.search([int(t) for t in own if t != none]):
-                held = held if held is not None else shingles(w[start : start + size])
-                question, answer = (len(side & held) / max(1, len(side)) if side else 1.0 for side in self.sides[n])
+                question, answer = (overlap(side, w[start : start + size]) for side in self.sides[n])
                 if question >= OVERLAP and answer >= OVERLAP and score > best.get(n, (0.0,))[0] + 1e-12:
                     best[n] = (score, start, question, answer)
         return [(self.item[n], *best[n]) for n in sorted(best)]
