@@ -88,8 +88,7 @@ def is_external(ip: Column, plan: AddressPlan) -> Column:
 
 def is_bogon(ip: Column, plan: AddressPlan) -> Column:
     """Reserved source space, unless the plan declares it."""
-    n = ipv4_number(ip)
-    reserved = reduce(or_, [n.between(*span(f"{a}/{k}")[1:]) for a, k in RESERVED_V4]) & ~ip.isin(*GLOBAL_V4)
+    reserved = is_ipv4(ip) & inside_v4(ip, [f"{a}/{k}" for a, k in RESERVED_V4]) & ~ip.isin(*GLOBAL_V4)
     if plan.exclude_declared_lab or plan.external_only:
         reserved = reserved & is_external(ip, plan)
     return F.coalesce(reserved, F.lit(False))
