@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..config import ALLOWLIST, COMMON_BIGRAMS, COMMON_TLDS, NOT_OBSERVABLE
 from .features import entropy_of, ngrams_of
-from .scalars import any_of
 
 
 def cleaned(qname: Column) -> Column:
@@ -51,20 +50,21 @@ def is_allowlisted(qname: Column) -> Column:
 def ngram_anomaly(label: Column) -> Column:
     """Share of letter pairs that aren't common; 0 for fewer than two letters."""
     pairs = ngrams_of(F.regexp_replace(F.lower(label), "[^a-z]", ""), 2)
-    odd = F.size(F.filter(pairs, lambda p: ~F.array_contains(any_of(COMMON_BIGRAMS), p)))
+    odd = F.size(F.filter(pairs, lambda p: ~p.isin(*COMMON_BIGRAMS)))
     return F.when(F.size(pairs) == 0, 0.0).otherwise(odd / F.size(pairs))
 
 
-def lexical_features(qname: Column) -> dict[str, Column]:
-    core = core_label(qname)
+def lexical_features(qname: Column, core: Column | None = None) -> dict[str, Column]:
+    core = core_label(qname) if core is None else core
     n = F.length(core)
     share = lambda pattern: F.when(n > 0, F.length(F.regexp_replace(core, f"[^{pattern}]", "")) / n).otherwise(0.0)
     return {"length": n.cast("double"), "entropy": entropy_of(core), "digit_ratio": share("0-9"), "vowel_ratio": share("aeiou"), "label_count": label_count(qname).cast("double")}
 
 
-def rule_score(qname: Column) -> Column:
-    """0 to 1: entropy, odd letter pairs, vowels, length and digits of the core label; 0 for allowlisted names and cores under four characters. Parts are rounded to four digits before they are weighed."""
-    core, f = core_label(qname), lexical_features(qname)
+def rule_score(qname: Column, core: Column | None = None) -> Column:
+    """0 to 1: entropy, odd letter pairs, vowels, length and digits of the core label; 0 for allowlisted names and cores under four characters. Parts are rounded to four digits before they are weighed. A column that holds core_label() already spares its work in each part."""
+    core = core_label(qname) if core is None else core
+    f = lexical_features(qname, core)
     four = lambda c: F.round(c, 4)
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     vowels = four(f["vowel_ratio"])

@@ -81,7 +81,8 @@ def c2(events: DataFrame, cfg: C2Config = C2Config()) -> DataFrame:
 
 def dga(dns: DataFrame, cfg: DgaConfig = DgaConfig(), model: DataFrame | None = None, mode: str = "off", threshold: float = 0.5) -> DataFrame:
     """Sources whose first 100 queries score high, or rather high with many failures; once for each source. The failure count goes on past the hundred, so the rate can pass 1. With mode `on`, a model's mean probability (qname, p) decides; with `shadow` it is reported."""
-    s = filters.dns_input(dns).withColumns({"session": F.lit(0), "score1": domains.rule_score(C("qname"))})
+    s = filters.dns_input(dns).withColumn("_core", domains.core_label(C("qname")))
+    s = s.withColumns({"session": F.lit(0), "score1": domains.rule_score(C("qname"), C("_core"))}).drop("_core")
     if model is not None and mode != "off":
         s = s.join(model.select("qname", "p"), "qname", "left").withColumn("p", F.when(domains.is_allowlisted(C("qname")), 0.0).otherwise(C("p")))
     else:
