@@ -61,7 +61,8 @@ def json_text(c: Column) -> Column:
 
 def canonical(strings_and_numbers: list[tuple[Column, bool]]) -> Column:
     """A JSON list without spaces, of (column, is it a number) parts; a missing part is the quoted sentinel."""
-    parts = [F.when(part(c) == NOT_OBSERVABLE, json_text(F.lit(NOT_OBSERVABLE))).otherwise(part(c) if number else json_text(part(c))) for c, number in strings_and_numbers]
+    missing = F.lit(f'"{NOT_OBSERVABLE}"')
+    parts = [F.coalesce(F.nullif(c.cast("string"), F.lit("")), missing) if number else json_text(part(c)) for c, number in strings_and_numbers]
     return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
 
 

@@ -103,7 +103,8 @@ def replay_alerts(spark, d):
 @query("replay_incidents")
 def replay_incidents(spark, d):
     """The incidents that these alerts end in, with their chained updates."""
-    return lifecycle.incidents(replay.signed(_replay(spark, d), SETTINGS)).select("incident_id", "detector", "status", "severity", "score", "event_count", "last_observed", "seq", "entry_hash")
+    found = _replay(spark, d).persist()  # sealed and joined back: read twice
+    return lifecycle.incidents(replay.signed(found, SETTINGS)).select("incident_id", "detector", "status", "severity", "score", "event_count", "last_observed", "seq", "entry_hash")
 
 
 @query("threshold_sweep")
