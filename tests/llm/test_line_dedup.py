@@ -83,3 +83,24 @@ def test_repeated_ids(spark):
     texts = [(5, "a b c " * 20), (5, "a b c " * 20), (None, "a b c " * 20), (3, "a b c " * 20)]
     got = {(r.row, r.pos) for r in ld.runs(frame(spark, texts)).collect()}
     assert got == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_passages_inside_lines_and_wrapped_anew(spark):
+    rng = random.Random(5)
+    some = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    p, q, long = some(60), some(120), some(49)
+    wrapped = "\n".join(" ".join(q[k : k + 7]) for k in range(0, 120, 7))
+    texts = [
+        (0, " ".join(some(20) + p + some(20)) + "\n" + " ".join(q)),
+        (1, "head  of it " + " ".join(p) + " tail\tof it\nlast\n"),  # inside a line
+        (2, "before\n" + wrapped + "\n\nafter"),  # the line breaks are elsewhere
+        (3, "one " + " ".join(p[:30]) + "\n" + " ".join(p[30:]) + " two"),  # from inside a line into another
+        (4, " ".join(long + ["a"] + long) + "\nend"),  # twice in one line
+        (5, "other " + " ".join(p[:20]) + " words"),  # too short
+        (6, None),
+    ]
+    got = {r.doc_id: (r.text, r.n_deleted) for r in ld.dedup(frame(spark, texts)).collect()}
+    assert got == {
+        0: (texts[0][1], 0), 1: ("head  of it tail\tof it\nlast\n", 0), 2: ("before\n\nafter", 18), 3: ("one \ntwo", 0),
+        4: (" ".join(long + ["a"]) + " \nend", 0), 5: (texts[5][1], 0), 6: (None, 0),
+    }

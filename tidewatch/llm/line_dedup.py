@@ -1,4 +1,4 @@
-r"""Line dedup by winnowing over line hashes. DataFrame functions only.
+r"""Line dedup by winnowing over line hashes, then over words. DataFrame functions only.
 
 Lines (split at \n; those of white space only are passed over) are numbered within their document and placed by the words before them.
 
@@ -6,20 +6,24 @@ Lines (split at \n; those of white space only are passed over) are numbered with
 2. Every fingerprint is joined to its first position in the corpus, in the order of document id, then row, then line.
 3. A match lies on a diagonal (later document, earlier document, shift). The lines on it are compared, and the match is extended both ways to the whole run of equal lines.
 4. Runs of GRAM words or more are deleted in the later document. The first copy of a line is never deleted, as each deleted line has an equal line before it.
+5. The same is done over words (split at white space), for passages that begin or end inside a line or are wrapped at other places: of WINDOW words that GRAM words begin at, the one with the least hash (the last of equal ones) is selected, and the hash of the GRAM words from there on is the fingerprint. Two copies of GRAM + WINDOW - 1 words select a common one. The texts of a match are compared word by word on its diagonal, and the words of every run of GRAM or more are deleted. A line that is left without words goes as a whole; other lines keep their other words and their line break.
+6. Where a stretch repeats itself within GRAM words (one word over and over), only its first fingerprint counts: it isn't a copy of itself, and copies of it are aligned by it, to within WINDOW words.
 
-Defined results: a null or empty text has no lines to delete. Within a document later copies of a run go too. Rows that share an id are put in the order of the input's partitions. Rows without an id come last. An empty table gives an empty result. Other columns are not looked at by runs() and kept by dedup(). The input must give the same rows in the same order when it is read again, as a stored table does.
+Defined results: a null or empty text has no lines to delete. Within a document later copies of a run go too. n_deleted counts the lines that go as a whole. Rows that share an id are put in the order of the input's partitions. Rows without an id come last. An empty table gives an empty result. Other columns are not looked at by runs() and kept by dedup(). The input must give the same rows in the same order when it is read again, as a stored table does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, whole
+from .common import BROADCAST_IDS, checked_broadcast, settle, whole
 
 GRAM, WINDOW = 25, 25
 LAST = (1 << 63) - 1
-#: Up to so many deleted lines are broadcast as lists by document; more are joined by shuffle.
+#: Words of a text that a fingerprint's place can tell apart.
+PLACES = (1 << 31) - 1
+#: Up to so many deleted lines and runs of words are broadcast as lists by document; more are joined by shuffle.
 BROADCAST_LINES = 2_000_000
 
 
@@ -46,8 +50,8 @@ def fingerprints(lines: DataFrame, gram: int, window: int) -> DataFrame:
     return grams.select("id", "row", least.alias("s")).select("id", "row", (-F.col("s.minus")).alias("idx"), F.col("s.gram").alias("gram")).distinct()
 
 
-def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """row and pos of every line that is deleted."""
+def line_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """row and pos of every line in a repeated run of whole lines."""
     lines = settle(lines_of(docs, id_col, text_col))
     prints = settle(fingerprints(lines, gram, window))
     first = prints.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "idx")).alias("f")).where("n > 1")
@@ -63,14 +67,85 @@ def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram:
     return long.select("row", "pos").distinct()
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """The columns of docs, the text without the deleted lines, and n_deleted put last."""
-    gone = settle(runs(docs, id_col, text_col, gram, window).groupBy("row").agg(F.collect_set("pos").alias("gone")))
-    if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES:
-        gone = F.broadcast(gone)
+def word_prints(docs: DataFrame, id_col: str, text_col: str, gram: int, window: int) -> DataFrame:
+    """id, row, idx (of the word that it begins at) and gram of the selected grams of words."""
+    d = numbered(docs, id_col, text_col).select("id", "row", words_of("t").alias("words")).where(F.size("words") >= gram)
+    # The word's hash above, its place counted backwards below: the least is the last of equal words.
+    low = F.lit(PLACES).cast("long")
+    m = F.transform("words", lambda x, k: F.shiftleft(F.xxhash64(x).bitwiseAND(low), 31).bitwiseOR(low - k))
+    d = d.select("id", "row", "words", F.slice(m, F.lit(1), F.size("words") - gram + 1).alias("m"))
+    wide = 1
+    while wide < window:
+        step = min(wide, window - wide)
+        d = d.select("id", "row", "words", F.zip_with("m", F.slice("m", F.lit(step + 1), F.size("m")), lambda x, y: F.least(x, y)).alias("m"))
+        wide += step
+    d = d.select("id", "row", "words", F.array_distinct("m").alias("m"))
+    d = d.select("id", "row", "words", F.transform("m", lambda v: (low - v.bitwiseAND(low)).cast("int")).alias("m"))
+    d = d.select("id", "row", F.transform("m", lambda k: F.struct(k.alias("idx"), F.xxhash64(F.slice("words", k + 1, F.lit(gram))).alias("gram"))).alias("p"))
+    # As many selected places as GRAM words can have are looked back at.
+    again = lambda x, k: F.exists(F.slice("p", F.greatest(k - gram + 2, F.lit(1)), F.least(k, F.lit(gram - 1))), lambda y: (y["gram"] == x["gram"]) & (y["idx"] > x["idx"] - gram))
+    return d.select("id", "row", F.explode(F.filter("p", lambda x, k: ~again(x, k))).alias("p")).select("id", "row", "p.idx", "p.gram")
+
+
+def words_of(text: str) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+
+
+def word_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """row and spans (from, to: words, to not included) of the repeated runs of words; the spans are in order and apart."""
+    prints = settle(word_prints(docs, id_col, text_col, gram, window))
+    first = prints.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "idx")).alias("f")).where("n > 1")
+    first = settle(first.select("gram", F.col("f.row").alias("row1"), F.col("f.idx").alias("idx1")))
+    met = prints.join(first, "gram").where("row <> row1 or idx <> idx1")
+    pairs = settle(met.groupBy("row", "row1").agg(F.collect_set(F.col("idx1") - F.col("idx")).alias("shifts")))
+    needed = settle(pairs.select("row").union(pairs.select("row1")).distinct())
+    texts = numbered(docs, id_col, text_col).select("row", "t").join(checked_broadcast(needed, BROADCAST_IDS), "row", "left_semi")
+    both = pairs.join(texts, "row").join(texts.select(F.col("row").alias("row1"), F.col("t").alias("t1")), "row1")
+    both = both.select("row", "shifts", words_of("t").alias("a"), words_of("t1").alias("b"))
+    both = both.select("row", "a", "b", F.explode("shifts").alias("s"))
+    both = both.select("row", "a", "b", "s", F.greatest(F.lit(0), -F.col("s")).alias("lo"), F.least(F.size("a"), F.size("b") - F.col("s")).alias("hi"))
+    differ = F.filter(F.sequence("lo", F.col("hi") - 1), lambda i: F.get("a", i) != F.get("b", i + F.col("s")))
+    both = both.select("row", F.concat(F.array(F.col("lo") - 1), differ, F.array("hi")).alias("cut"))
+    spans = both.select("row", F.explode(F.zip_with(F.slice("cut", F.lit(1), F.size("cut") - 1), F.slice("cut", F.lit(2), F.size("cut")), lambda x, y: F.struct((x + 1).alias("from"), y.alias("to")))).alias("s"))
+    spans = spans.where(F.col("s.to") - F.col("s.from") >= gram).groupBy("row").agg(F.sort_array(F.collect_set("s")).alias("s"))
+    none = F.expr("cast(array() as array<struct<from: int, to: int>>)")
+    last = lambda acc: F.element_at(acc, -1)
+    apart = lambda acc, s: F.when((F.size(acc) == 0) | (F.get(acc, F.size(acc) - 1)["to"] < s["from"]), F.concat(acc, F.array(s))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["from"].alias("from"), F.greatest(last(acc)["to"], s["to"]).alias("to")))))
+    return spans.select("row", F.aggregate("s", none, apart).alias("spans"))
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, gram: int, window: int) -> DataFrame:
+    """docs with its columns named c0, c1 ..., row, and lines: (line without its deleted words, gone) of the texts with something to delete, null for others."""
+    gone = settle(line_runs(docs, id_col, text_col, gram, window).groupBy("row").agg(F.collect_set("pos").alias("gone")))
+    spans = settle(word_runs(docs, id_col, text_col, gram, window))
+    cuts = settle(gone.join(spans, "row", "full"))
+    if (cuts.agg(F.sum(F.greatest(F.size("gone"), F.lit(0)) + F.greatest(F.size("spans"), F.lit(0)))).first()[0] or 0) <= BROADCAST_LINES:
+        cuts = F.broadcast(cuts)
     own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     text = f"c{docs.columns.index(text_col)}"
-    rows = own.withColumn("row", F.monotonically_increasing_id()).join(gone, "row", "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda line, k: ~F.array_contains("gone", k)), "\n")
-    shown = [F.when(F.col("gone").isNull(), F.col(c)).otherwise(left).alias(n) if c == text else F.col(c).alias(n) for c, n in zip(own.columns, docs.columns, strict=True)]
-    return rows.select(*shown, F.coalesce(F.size("gone"), F.lit(0)).alias("n_deleted"))
+    rows = own.withColumn("row", F.monotonically_increasing_id()).join(cuts, "row", "left")
+    # A text does not hold a mark of its own hash.
+    rows = rows.withColumn("mark", F.concat(F.lit("\0"), F.hex(F.xxhash64(text))))
+    word = lambda x, k: F.when(F.exists("spans", lambda s: (s["from"] <= k) & (k < s["to"])), F.concat("mark", F.regexp_replace(x, r"^\S+[ \t\r\x0B\f]*", ""))).otherwise(x)
+    cut = F.concat(F.regexp_extract(text, r"^\s*", 0), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\S+\s*"), F.lit(0)), word), ""))
+    rows = rows.withColumn("cut", F.when(F.col("spans").isNotNull(), cut).when(F.col("gone").isNotNull(), F.col(text)))
+    left = lambda line: F.replace(line, F.col("mark"), F.lit(""))
+    empty = lambda line: F.contains(line, F.col("mark")) & (F.trim(F.translate(left(line), "\t\r\x0b\x0c", "    ")) == "")
+    listed = lambda k: F.coalesce(F.array_contains("gone", k), F.lit(False))
+    rows = rows.withColumn("lines", F.transform(F.split("cut", "\n"), lambda line, k: F.struct(left(line).alias("line"), (listed(k) | empty(line)).alias("gone"))))
+    return rows.select(*own.columns, "row", "lines")
+
+
+def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """row and pos of every line that is deleted as a whole."""
+    lines = marked(docs, id_col, text_col, gram, window).select("row", F.posexplode("lines").alias("pos", "x"))
+    return lines.where("x.gone").select("row", "pos")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """The columns of docs, the text without the deleted lines and words, and n_deleted put last."""
+    rows = marked(docs, id_col, text_col, gram, window)
+    kept = F.filter("lines", lambda x: ~x["gone"])
+    left = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
+    shown = [F.when(F.col("lines").isNull(), F.col(f"c{k}")).otherwise(left).alias(n) if n == text_col else F.col(f"c{k}").alias(n) for k, n in enumerate(docs.columns)]
+    return rows.select(*shown, F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines") - F.size(kept)).alias("n_deleted"))
