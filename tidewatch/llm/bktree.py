@@ -6,6 +6,8 @@ import numpy as np
 
 #: (query, node) pairs that a search step holds at most, about.
 FRONTIER = 2_000_000
+#: What a sketch's estimate has to fall short by to rule a pair out: six standard errors.
+MARGIN = 0.15
 
 
 def build(group: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,8 +61,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(filled == 0, 1.0, same / np.maximum(filled, 1))
 
 
-def linked(group: np.ndarray, code: np.ndarray, radius: int, sketch: np.ndarray | None = None, least_alike: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """For every row that has a link in its group to an earlier row of its linked part: the row, and the part's first row."""
+def linked(group: np.ndarray, code: np.ndarray, radius: int, sketch: np.ndarray | None = None, sets: list[bytes] | None = None, least_alike: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """For every row that has a link in its group to an earlier row of its linked part: the row, and the part's first row. With sketches, a link needs sets (sorted distinct 64-bit hashes) of a Jaccard similarity of least_alike."""
     n = len(code)
     tree = build(group, code)
     label = np.arange(n)
@@ -74,13 +76,19 @@ def linked(group: np.ndarray, code: np.ndarray, radius: int, sketch: np.ndarray
         if sketch is None:
             join(label, q, node)
         else:
-            join_alike(label, q, node, sketch, least_alike)
+            join_alike(label, q, node, sketch, sets, least_alike)
     rows = np.flatnonzero(label != np.arange(n))
     return rows, label[rows]
 
 
-def join_alike(label: np.ndarray, q: np.ndarray, node: np.ndarray, sketch: np.ndarray, least: float) -> None:
-    """Join the pairs whose sketches are alike. Each row's pairs are tried one, two, four ... at a time, and those that have met by then are passed over, so a dense group costs few comparisons."""
+def jaccard(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
+
+
+def join_alike(label: np.ndarray, q: np.ndarray, node: np.ndarray, sketch: np.ndarray, sets: list[bytes], least: float) -> None:
+    """Join the pairs whose sets are alike; sketches that are far apart rule a pair out before. Each row's pairs are tried one, two, four ... at a time, and those that have met by then are passed over, so a dense group costs few comparisons."""
     order = np.lexsort((node, q))
     q, node = q[order], node[order]
     most = 1
@@ -94,7 +102,8 @@ def join_alike(label: np.ndarray, q: np.ndarray, node: np.ndarray, sketch: np.nd
         now = np.flatnonzero(rank < most)
         for k in range(0, len(now), 50_000):
             part = now[k : k + 50_000]
-            ok = part[alike(sketch[q[part]], sketch[node[part]]) >= least]
+            ok = part[alike(sketch[q[part]], sketch[node[part]]) >= least - MARGIN]
+            ok = np.array([k for k in ok if jaccard(sets[q[k]], sets[node[k]]) >= least], dtype=np.int64)
             join(label, q[ok], node[ok])
         q, node = q[rank >= most], node[rank >= most]
         most *= 2

@@ -22,8 +22,8 @@ from . import bktree
 from .common import BROADCAST_IDS, checked_broadcast, settle, slices, whole, words
 
 SEED = 42
-#: Of near_copies(): words of a shingle, the least Jaccard similarity and what its estimate may fall short by, and the radius that fingerprints of such texts lie within.
-WIDTH, LEAST_ALIKE, MARGIN, RADIUS = 5, 0.8, 0.02, 18
+#: Of near_copies(): words of a shingle, the least Jaccard similarity, and the radius that fingerprints of such texts lie within.
+WIDTH, LEAST_ALIKE, RADIUS = 5, 0.8, 18
 #: Bands of two least shingle hashes, one of which texts that alike share but for one pair in 450, and bytes of a sketch.
 BANDS, SKETCH = 6, 256
 #: Fingerprints that one shard, or one part of a split shard, may hold.
@@ -95,8 +95,8 @@ def pigeonhole_shards(codes: DataFrame, radius: int) -> DataFrame:
 
 
 def linked_edges(shards: DataFrame, radius: int, least_alike: float | None = None) -> DataFrame:
-    """Edges (a, b) of nodes from rows (shard, node, code) or, with least_alike, (shard, node, code, sketch): for every node with a link inside a shard one edge to the first node of its linked part. Links need a distance of at most `radius` and, if asked for, an estimated Jaccard similarity of the sketches."""
-    extra = ["sketch"] if least_alike is not None else []
+    """Edges (a, b) of nodes from rows (shard, node, code) or, with least_alike, (shard, node, code, sketch, hashes): for every node with a link inside a shard one edge to the first node of its linked part. Links need a distance of at most `radius` and, if asked for, that Jaccard similarity of the hashes."""
+    extra = ["sketch", "hashes"] if least_alike is not None else []
     shards = shards.select("shard", "node", "code", *extra)
     large = settle(shards.groupBy("shard").count().where(F.col("count") > SHARD_ROWS).select("shard", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("parts")))
     rows = shards.join(large, "shard", "left")
@@ -108,10 +108,11 @@ def linked_edges(shards: DataFrame, radius: int, least_alike: float | None = Non
     keyed = keyed.repartition("shard").sortWithinPartitions("shard", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in whole_groups(batches):
+        for b in whole_groups(batches, 8192 if extra else 65_536):  # hashes are long
             group, node, code = (b.column(k).to_numpy() for k in range(3))
             sketch = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(len(node), -1) if extra else None
-            a, to = bktree.linked(group, code.view(np.uint64), radius, sketch, least_alike or 0.0)
+            sets = b.column(4).to_pylist() if extra else None
+            a, to = bktree.linked(group, code.view(np.uint64), radius, sketch, sets, least_alike or 0.0)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[to])], ["a", "b"])
 
@@ -174,34 +175,46 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(by_code, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, least_alike: float = LEAST_ALIKE - MARGIN) -> DataFrame:
-    """doc_id and root, the smallest id of its component, of every text with near copies of a Jaccard similarity of its shingles of about least_alike or more.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, least_alike: float = LEAST_ALIKE) -> DataFrame:
+    """doc_id and root, the smallest id of its component, of every text with near copies of a Jaccard similarity of its shingles of least_alike or more.
 
-    Fingerprints of such texts differ in up to 18 bits, too many for blocks of bits to shard by. Here a text's shards are bands of its least shingle hashes; the BK-trees in the shards find the fingerprints within the radius, and a sketch of the least hash in each of SKETCH ranges verifies a link. Texts without words have no shards, and rows without an id are not looked at.
+    Fingerprints of such texts differ in up to 18 bits, too many for blocks of bits to shard by. Here a text's shards are bands of its least shingle hashes; the BK-trees in the shards find the fingerprints within the radius, a sketch of the least hash in each of SKETCH ranges rules out clear misses, and the distinct shingle hashes of both texts decide. Only texts that share a band with another are sent, with these bands. Texts without words have no shards, and rows without an id are not looked at.
     """
     odd = np.random.default_rng(SEED).integers(0, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ids, codes, bands, sketches = [], [], [], []
+            ids, bands = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = shingle_hashes(words(text), width)
+                h = np.unique(shingle_hashes(words(text), width))
                 if not len(h):
                     continue
                 ids.append(doc)
-                codes.append(simhash(h))
-                h = np.unique(h)
                 least = [int((h * k).min()) for k in odd]
                 bands.append([xxhash.xxh64_intdigest(f"{k} {least[2 * k]} {least[2 * k + 1]}") - (1 << 63) for k in range(BANDS)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["node", "bands"])
+
+    def detailed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            codes, sketches, sets = [], [], []
+            for text in b.column(1).to_pylist():
+                h = shingle_hashes(words(text), width)
+                codes.append(simhash(h))
+                h = np.unique(h)
                 place, at = np.unique((h >> np.uint64(56)).astype(np.int64), return_index=True)
                 sketch = np.zeros(SKETCH, dtype=np.uint8)
                 sketch[place] = h[at] % np.uint64(255) + np.uint64(1)
                 sketches.append(sketch.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(codes, dtype=np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "code", "bands", "sketch"])
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("t"))
-    prints = settle(rows.mapInArrow(run, "node long, code long, bands array<long>, sketch binary"))
-    edges = linked_edges(prints.select(F.explode("bands").alias("shard"), "node", "code", "sketch"), radius, least_alike)
+                sets.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(codes, dtype=np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], ["node", "bands", "code", "sketch", "hashes"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), whole(text_col).alias("t"))
+    places = settle(rows.mapInArrow(banded, "node long, bands array<long>").select("node", F.explode("bands").alias("shard")))
+    met = places.groupBy("shard").count().where("count > 1").select("shard")
+    shared = settle(places.join(met, "shard", "left_semi").groupBy("node").agg(F.collect_set("shard").alias("bands")))
+    found = rows.where(F.length("t") > 0).join(checked_broadcast(shared, BROADCAST_IDS // 8), "node").select("node", "t", "bands")
+    prints = settle(found.mapInArrow(detailed, "node long, bands array<long>, code long, sketch binary, hashes binary"))
+    edges = linked_edges(prints.select(F.explode("bands").alias("shard"), "node", "code", "sketch", "hashes"), radius, least_alike)
     return components(edges).select(F.col("node").alias("doc_id"), "root")
 
 
