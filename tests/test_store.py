@@ -107,3 +107,10 @@ def test_model_of_generated_names(spark, tmp_path):
     cal = spark.createDataFrame([("scan", k / 20, int(k > 9)) for k in range(20)] + [("c2", 0.5, 1)] * 3, "detector string, x double, truth int")
     fit = ml.calibrate_detectors(cal)
     assert set(fit) == {"scan"} and fit["scan"][0] > 0
+
+
+def test_every_row_has_its_place(spark):
+    rows = [(k, k * 7919 % 1000 // 3) for k in range(1000)]
+    got = {r.event_seq: r.place for r in store.placed(spark.createDataFrame(rows, "event_seq long, t_us long").repartition(5), "t_us", "event_seq").collect()}
+    assert got == {k: n for n, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1)}
+    assert store.placed(spark.createDataFrame([], "event_seq long, t_us long"), "t_us").count() == 0

@@ -85,3 +85,15 @@ def severity_counts(snap: DataFrame) -> DataFrame:
 
 def class_breakdown(snap: DataFrame) -> DataFrame:
     return snap.groupBy("ps_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+def placed(df: DataFrame, *by: str) -> DataFrame:
+    """Every row of df with its place (from 1) in the order of `by`, which has to be total: sorted by ranges, with the counts of the ranges before as offsets."""
+    ranged = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).persist()  # counted and numbered: the same ranges for both
+    before, starts = 0, []
+    for r in ranged.groupBy("_part").count().orderBy("_part").collect():
+        starts.append((r[0], before))
+        before += r[1]
+    offsets = df.sparkSession.createDataFrame(starts, "_part int, _before long")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    return ranged.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
