@@ -114,3 +114,12 @@ def test_every_row_has_its_place(spark):
     got = {r.event_seq: r.place for r in store.placed(spark.createDataFrame(rows, "event_seq long, t_us long").repartition(5), "t_us", "event_seq").collect()}
     assert got == {k: n for n, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1)}
     assert store.placed(spark.createDataFrame([], "event_seq long, t_us long"), "t_us").count() == 0
+
+
+def test_dga_model_query_fits_the_default_number_of_trees():
+    import inspect
+
+    from tidewatch.plans import source_queries
+
+    assert "trees=" not in inspect.getsource(source_queries.dga_model)
+    assert inspect.signature(ml.DgaModel.fit).parameters["trees"].default == 120
