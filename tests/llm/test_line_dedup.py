@@ -53,20 +53,83 @@ def frame(spark, texts):
     return spark.createDataFrame([(k, t, 1, "y") for k, t in texts], "doc_id long, text string, row int, gone string").coalesce(1)
 
 
-def test_against_all_pairs_of_positions(spark):
+NO_WORDS = 10**6
+
+
+@pytest.mark.parametrize("least", [1, ld.LEAST, 25])
+def test_lines_against_all_pairs_of_positions(spark, least):
     texts = corpus()
-    docs = frame(spark, texts)
-    got = {(texts[r.row][0], r.pos) for r in ld.runs(docs).collect()}
-    want = brute(texts, ld.GRAM)
-    assert got <= want
-    # Every copy of a run of GRAM + WINDOW words is found.
-    assert brute(texts, ld.GRAM + ld.WINDOW) <= got
-    assert (103, 0) not in got and {(103, 1), (103, 2), (103, 3), (105, 0)} <= got
+    got = {(texts[r.row][0], r.pos) for r in ld.runs(frame(spark, texts), gram=NO_WORDS, least=least).collect()}
+    assert {(k, p) for k, p in got if dict(texts)[k].split("\n")[p].strip()} == brute(texts, least)
+
+
+def word_brute(texts, gram, least):
+    """Numbers of the words that lie in `least` words which also stand in an earlier text, or `gram` words earlier in the same one."""
+    seen, gone = {}, set()
+    for k, t in texts:
+        w = (t or "").split()
+        for i in range(len(w) - least + 1):
+            g = tuple(w[i : i + least])
+            first = seen.setdefault(g, (k, i))
+            if first[0] != k or i - first[1] >= gram:
+                gone |= {(k, i + j) for j in range(least)}
+    return gone
+
+
+@pytest.mark.parametrize("share", [2, ld.SHARE, 10**6])
+def test_words_against_all_positions(spark, share):
+    rng = random.Random(3)
+    some = lambda n: [f"u{rng.randrange(10**5)}" for _ in range(n)]
+    passages = [some(rng.randrange(20, 120)) for _ in range(10)]
+    texts = []
+    for k in range(50):
+        body = []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p))
+            body += some(rng.randrange(1, 30)) + (p if rng.random() < 0.6 else p[a : a + rng.randrange(60)])
+        # Every text is one line of its own, with a first word that no other has.
+        texts.append((k, f"first{k} " + " ".join(body)))
+    done = ld.dedup(frame(spark, texts), share=share).collect()
+    left = {r.doc_id: r.text.split() for r in done}
+    own = dict(texts)
+    must, may = word_brute(texts, ld.GRAM, ld.GRAM + ld.WINDOW - 1), word_brute(texts, ld.GRAM, ld.GRAM)
+    for k, w in left.items():
+        every = own[k].split()
+        at, gone = 0, set()  # words are all but unique, so what is left is found again from the front
+        for p, x in enumerate(every):
+            if at < len(w) and w[at] == x:
+                at += 1
+            else:
+                gone.add((k, p))
+        assert at == len(w)
+        assert {x for x in must if x[0] == k} <= gone <= {x for x in may if x[0] == k}
+
+
+def test_a_run_whose_parts_were_met_apart(spark):
+    rng = random.Random(8)
+    some = lambda n: " ".join(f"z{rng.randrange(10**6)}" for _ in range(n))
+    x, y = some(30), some(24)
+    for sep in ("\n", " "):
+        texts = [(1, f"{some(30)}{sep}{x}{sep}{some(30)}"), (2, f"{some(30)}{sep}{x}{sep}{y}"), (3, f"{some(30)}{sep}{x}{sep}{y}")]
+        got = {r.doc_id: r.text for r in ld.dedup(frame(spark, texts)).collect()}
+        assert got[1] == texts[0][1]
+        if sep == "\n":  # a run of 30 words within lines is under the length that is sure to be found
+            assert got[2].split() == texts[1][1].split()[:30] + y.split()
+        assert got[3].split() == texts[2][1].split()[:30]
+
+
+def test_clashing_columns_and_text_ids(spark):
+    line = "a line that stands in both texts"
+    docs = spark.createDataFrame([("b", f"{line}\none", 5, "g"), ("a", f"{line}\ntwo", 6, "h")], "doc_id string, text string, n_deleted int, gram string").coalesce(1)
+    done = ld.dedup(docs)
+    assert done.columns == ["doc_id", "text", "gram", "n_deleted"]
+    assert sorted(r.n_deleted for r in done.collect()) == [0, 1]
 
 
-@pytest.mark.parametrize("most", [ld.BROADCAST_LINES, 0])
+@pytest.mark.parametrize("most", [ld.BROADCAST_FIRST, 0])
 def test_texts_without_later_runs(spark, monkeypatch, most):
-    monkeypatch.setattr(ld, "BROADCAST_LINES", most)
+    monkeypatch.setattr(ld, "BROADCAST_FIRST", most)
     texts = corpus()
     docs = frame(spark, texts)
     gone = {(texts[r.row][0], r.pos) for r in ld.runs(docs).collect()}

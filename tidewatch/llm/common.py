@@ -58,6 +58,11 @@ def checked_broadcast(settled: DataFrame, most: int) -> DataFrame:
     return F.broadcast(settled) if settled.count() <= most else settled
 
 
+def order_key(id_col: Column) -> Column:
+    """A long to order rows by: the id if it is a whole number, else its hash; the largest long for a null id."""
+    return F.coalesce(id_col.cast("string").try_cast("long"), F.when(id_col.isNotNull(), F.xxhash64(id_col.cast("string"))), F.lit((1 << 63) - 1))
+
+
 def whole(text: str | Column) -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

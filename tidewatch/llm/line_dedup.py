@@ -1,15 +1,23 @@
 r"""Line dedup by winnowing over line hashes, then over words. DataFrame functions only.
 
-Lines (split at \n; those of white space only are passed over) are numbered within their document and placed by the words before them.
+The rows are numbered and written once, so that every step sees the same numbers. Positions are ordered by document id, then row, then place.
 
-1. The gram at a line is the hash of the fewest lines from there on that hold GRAM words. Of the grams that begin within WINDOW words, the least hash (the last of equal ones) is selected. A run of whole lines with GRAM + WINDOW words or more has a whole window of grams, so any two copies of it select a common fingerprint.
-2. Every fingerprint is joined to its first position in the corpus, in the order of document id, then row, then line.
-3. A match lies on a diagonal (later document, earlier document, shift). The lines on it are compared, and the match is extended both ways to the whole run of equal lines.
-4. Runs of GRAM words or more are deleted in the later document. The first copy of a line is never deleted, as each deleted line has an equal line before it.
-5. The same is done over words (split at white space), for passages that begin or end inside a line or are wrapped at other places: of WINDOW words that GRAM words begin at, the one with the least hash (the last of equal ones) is selected, and the hash of the GRAM words from there on is the fingerprint. Two copies of GRAM + WINDOW - 1 words select a common one. The texts of a match are compared word by word on its diagonal, and the words of every run of GRAM or more are deleted. A line that is left without words goes as a whole; other lines keep their other words and their line break.
-6. Where a stretch repeats itself within GRAM words (one word over and over), only its first fingerprint counts: it isn't a copy of itself, and copies of it are aligned by it, to within WINDOW words.
+Lines (split at \n, trimmed; those of white space only are passed over):
 
-Defined results: a null or empty text has no lines to delete. Within a document later copies of a run go too. n_deleted counts the lines that go as a whole. Rows that share an id are put in the order of the input's partitions. Rows without an id come last. An empty table gives an empty result. Other columns are not looked at by runs() and kept by dedup(). The input must give the same rows in the same order when it is read again, as a stored table does.
+1. Windows: from every line the fewest lines that hold LEAST words. The line with the least hash in a window (the last of equal ones) is selected as a fingerprint. Every run of whole lines that holds LEAST words has such a window, so its copies select a common line.
+2. The positions of equal fingerprints are joined by a count of each; texts that hold a fingerprint which stands elsewhere too go on.
+3. Matches are extended both ways: in those texts the window that begins at a line and the one that ends at it are joined to their first position in the corpus, and the lines of every later position go. A run of equal lines that holds LEAST words is covered by such windows, whichever copy of it is the first, so no part of it has to share its first copy with another part.
+
+Words (split at white space), for passages that begin or end inside a line or are wrapped at other places, in the texts that have a line left:
+
+4. Of any WINDOW places in a row that GRAM words begin at, one at least is selected by these words alone: all words with a hash in the least 1/SHARE, and in windows without one the least hash (the last of equal ones). The fingerprint is the hash of the GRAM words from there on. Copies of GRAM + WINDOW - 1 words select a common one.
+5. The words of a fingerprint's later positions go. As selected places are no more than WINDOW apart, these stretches meet within a copied passage; it can reach past the first and the last one by fewer than GRAM words.
+6. So matches are extended both ways there: around all positions of a fingerprint at such an end every GRAM words are looked up in the same way, and the words of later positions go.
+7. Within one text, a stretch is no copy of itself: a later position counts only GRAM words or more after the first one and after the one before.
+
+The first position of a line or of GRAM words never goes, so what is deleted has an equal before it that stays. Hashes of positions that are compared have 128 bits. A line that is left without words goes as a whole; other lines keep their other words and their line break.
+
+Defined results: a null or empty text has no lines to delete. Within a document later copies of a run go too. n_deleted counts the lines that go as a whole. Rows that share an id are put in the order of the input's partitions, rows without an id last. An id that is no whole number is ordered by its hash. An empty table gives an empty result. Other columns are not looked at by runs() and kept by dedup(), where one named n_deleted is replaced.
 """
 
 from __future__ import annotations
@@ -17,135 +25,167 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, checked_broadcast, settle, whole
+from .common import BROADCAST_IDS, checked_broadcast, order_key, settle, whole
 
+#: Words that a repeated run of whole lines has at least.
+LEAST = 2
 GRAM, WINDOW = 25, 25
-LAST = (1 << 63) - 1
-#: Words of a text that a fingerprint's place can tell apart.
+#: One word in so many is a fingerprint's place by its hash alone.
+SHARE = 8
+#: Words of a text that a place can tell apart.
 PLACES = (1 << 31) - 1
-#: Up to so many deleted lines and runs of words are broadcast as lists by document; more are joined by shuffle.
-BROADCAST_LINES = 2_000_000
+#: Up to so many first positions, or texts with something to delete, are broadcast; more are joined by shuffle.
+BROADCAST_FIRST = 200_000
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.monotonically_increasing_id().alias("row"), whole(text_col).alias("t"))
-
-
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, row, pos (of the line in the text), idx (among lines with words), h, w (words), before (words before the line), total."""
-    lines = numbered(docs, id_col, text_col).select("id", "row", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    line = F.trim(F.translate("line", "\t\r\x0b\x0c", "    "))
-    lines = lines.select("id", "row", "pos", line.alias("line")).where("line <> ''")
-    lines = lines.select("id", "row", "pos", F.xxhash64("line").alias("h"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("w"))
-    by_row = Window.partitionBy("row").orderBy("pos")
-    so_far = F.sum("w").over(by_row)
-    return lines.select("id", "row", "pos", F.row_number().over(by_row).alias("idx"), "h", "w", (so_far - F.col("w")).alias("before"), F.sum("w").over(Window.partitionBy("row")).alias("total"))
-
-
-def fingerprints(lines: DataFrame, gram: int, window: int) -> DataFrame:
-    """id, row, idx and gram of the selected lines."""
-    ahead = Window.partitionBy("row").orderBy("before")
-    grams = lines.select("id", "row", "idx", "before", F.when(F.col("before") + gram <= F.col("total"), F.xxhash64(F.collect_list("h").over(ahead.rangeBetween(0, gram - 1)))).alias("gram")).where("gram is not null")
-    least = F.min(F.struct("gram", (-F.col("idx")).alias("minus"))).over(ahead.rangeBetween(0, window - 1))
-    return grams.select("id", "row", least.alias("s")).select("id", "row", (-F.col("s.minus")).alias("idx"), F.col("s.gram").alias("gram")).distinct()
-
-
-def line_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """row and pos of every line in a repeated run of whole lines."""
-    lines = settle(lines_of(docs, id_col, text_col))
-    prints = settle(fingerprints(lines, gram, window))
-    first = prints.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "idx")).alias("f")).where("n > 1")
-    first = settle(first.select("gram", F.col("f.row").alias("row1"), F.col("f.idx").alias("idx1")))
-    met = prints.join(first, "gram").where("row <> row1 or idx <> idx1")
-    diagonals = settle(met.select("row", "row1", (F.col("idx1") - F.col("idx")).alias("shift")).distinct())
-    later = lines.select("row", "pos", "idx", "h", "w").join(diagonals, "row").withColumn("idx1", F.col("idx") + F.col("shift")).where("idx1 > 0")
-    earlier = lines.select(F.col("row").alias("row1"), F.col("idx").alias("idx1"), F.col("h").alias("h1"))
-    equal = later.join(earlier, ["row1", "idx1"]).where("h = h1")
-    diagonal = ["row", "row1", "shift"]
-    island = equal.select(*diagonal, "pos", "w", (F.col("idx") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("idx"))).alias("island"))
-    long = island.withColumn("words", F.sum("w").over(Window.partitionBy(*diagonal, "island"))).where(F.col("words") >= gram)
-    return long.select("row", "pos").distinct()
-
-
-def word_prints(docs: DataFrame, id_col: str, text_col: str, gram: int, window: int) -> DataFrame:
-    """id, row, idx (of the word that it begins at) and gram of the selected grams of words."""
-    d = numbered(docs, id_col, text_col).select("id", "row", words_of("t").alias("words")).where(F.size("words") >= gram)
-    # The word's hash above, its place counted backwards below: the least is the last of equal words.
-    low = F.lit(PLACES).cast("long")
-    m = F.transform("words", lambda x, k: F.shiftleft(F.xxhash64(x).bitwiseAND(low), 31).bitwiseOR(low - k))
-    d = d.select("id", "row", "words", F.slice(m, F.lit(1), F.size("words") - gram + 1).alias("m"))
-    wide = 1
-    while wide < window:
-        step = min(wide, window - wide)
-        d = d.select("id", "row", "words", F.zip_with("m", F.slice("m", F.lit(step + 1), F.size("m")), lambda x, y: F.least(x, y)).alias("m"))
-        wide += step
-    d = d.select("id", "row", "words", F.array_distinct("m").alias("m"))
-    d = d.select("id", "row", "words", F.transform("m", lambda v: (low - v.bitwiseAND(low)).cast("int")).alias("m"))
-    d = d.select("id", "row", F.transform("m", lambda k: F.struct(k.alias("idx"), F.xxhash64(F.slice("words", k + 1, F.lit(gram))).alias("gram"))).alias("p"))
-    # As many selected places as GRAM words can have are looked back at.
-    again = lambda x, k: F.exists(F.slice("p", F.greatest(k - gram + 2, F.lit(1)), F.least(k, F.lit(gram - 1))), lambda y: (y["gram"] == x["gram"]) & (y["idx"] > x["idx"] - gram))
-    return d.select("id", "row", F.explode(F.filter("p", lambda x, k: ~again(x, k))).alias("p")).select("id", "row", "p.idx", "p.gram")
+    """The columns of docs as c0, c1 ..., and id and row to order them by; written once."""
+    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return settle(own.select("*", order_key(own[f"c{docs.columns.index(id_col)}"]).alias("id"), whole(f"c{docs.columns.index(text_col)}").alias("t"), F.monotonically_increasing_id().alias("row")))
+
+
+def wide_hash(x: Column) -> Column:
+    """128 bits."""
+    return F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("again"), x).alias("b"))
+
+
+def later_positions(places: DataFrame) -> DataFrame:
+    """The rows (gram, id, row, idx, ...) of places that don't hold the first position of their gram, with that position's row1 and idx1."""
+    # Most grams stand once; 64 of their bits leave few of those over.
+    shared = settle(places.groupBy(F.col("gram.a").alias("h")).count().where("count > 1").select("h"))
+    places = places.join(checked_broadcast(shared, BROADCAST_IDS), F.col("gram.a") == F.col("h"), "left_semi")
+    first = places.groupBy("gram").agg(F.min(F.struct("id", "row", "idx")).alias("f"))
+    return places.join(first.select("gram", F.col("f.row").alias("row1"), F.col("f.idx").alias("idx1")), "gram").where("row <> row1 or idx <> idx1")
+
+
+def lines_of(rows: DataFrame, least: int) -> DataFrame:
+    """id, row, idx (of the line in its text), the line that its window selects (h, minus: its place counted backwards), and the windows that begin and end at the line: (gram, idx, to). A window reaches up to the next line, over lines of white space."""
+    lines = rows.select("id", "row", F.posexplode_outer(F.split("t", "\n")).alias("idx", "line")).select("id", "row", "idx", F.btrim("line", F.lit(SPACES)).alias("line")).where("line <> ''")
+    lines = lines.select("id", "row", "idx", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("again"), "line").alias("h2"), (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("w"))
+    so_far = F.sum("w").over(Window.partitionBy("row").orderBy("idx"))
+    lines = lines.select("*", so_far.alias("upto"), (so_far - F.col("w")).alias("before"), F.sum("w").over(Window.partitionBy("row")).alias("total"))
+    ahead = Window.partitionBy("row").orderBy("before").rangeBetween(0, least - 1)
+    back = Window.partitionBy("row").orderBy("upto").rangeBetween(1 - least, 0)
+    lines = lines.withColumn("to", F.coalesce(F.lead("idx").over(Window.partitionBy("row").orderBy("idx")), F.col("idx") + 1))
+    held = F.collect_list(F.struct("idx", "h", "h2", "to"))
+    lines = lines.select("*", F.when(F.col("total") - F.col("before") >= least, held.over(ahead)).alias("a"), F.when(F.col("upto") >= least, held.over(back)).alias("b"))
+    window = lambda x: F.when(x.isNotNull(), F.struct(wide_hash(F.transform(x, lambda y: F.struct(y["h"], y["h2"]))).alias("gram"), x[0]["idx"].alias("idx"), F.element_at(x, -1)["to"].alias("to")))
+    picked = F.array_min(F.transform("a", lambda y: F.struct(y["h"].alias("h"), (-y["idx"]).alias("minus"))))
+    return lines.select("id", "row", "idx", "to", picked.alias("picked"), window(F.col("a")).alias("begins"), window(F.col("b")).alias("ends"))
+
+
+def line_runs(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """row, idx and to of the later windows of lines; and row, from and upto, where the lines of every text begin and end."""
+    lines = settle(lines_of(rows, least))
+    prints = lines.where("picked is not null").select("row", "picked.h", "picked.minus").distinct()
+    shared = prints.groupBy("h").count().where("count > 1")
+    met = settle(prints.join(shared, "h", "left_semi").select("row").distinct())
+    both = F.explode(F.array_distinct(F.filter(F.array("begins", "ends"), lambda x: x.isNotNull())))
+    windows = lines.join(checked_broadcast(met, BROADCAST_IDS), "row", "left_semi").select("id", "row", both.alias("x")).select("id", "row", "x.gram", "x.idx", "x.to")
+    return later_positions(windows).select("row", "idx", "to"), lines.groupBy("row").agg(F.min("idx").alias("from"), F.max("to").alias("upto"))
 
 
 def words_of(text: str) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
-
-
-def word_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """row and spans (from, to: words, to not included) of the repeated runs of words; the spans are in order and apart."""
-    prints = settle(word_prints(docs, id_col, text_col, gram, window))
-    first = prints.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "idx")).alias("f")).where("n > 1")
-    first = settle(first.select("gram", F.col("f.row").alias("row1"), F.col("f.idx").alias("idx1")))
-    met = prints.join(first, "gram").where("row <> row1 or idx <> idx1")
-    pairs = settle(met.groupBy("row", "row1").agg(F.collect_set(F.col("idx1") - F.col("idx")).alias("shifts")))
-    needed = settle(pairs.select("row").union(pairs.select("row1")).distinct())
-    texts = numbered(docs, id_col, text_col).select("row", "t").join(checked_broadcast(needed, BROADCAST_IDS), "row", "left_semi")
-    both = pairs.join(texts, "row").join(texts.select(F.col("row").alias("row1"), F.col("t").alias("t1")), "row1")
-    both = both.select("row", "shifts", words_of("t").alias("a"), words_of("t1").alias("b"))
-    both = both.select("row", "a", "b", F.explode("shifts").alias("s"))
-    both = both.select("row", "a", "b", "s", F.greatest(F.lit(0), -F.col("s")).alias("lo"), F.least(F.size("a"), F.size("b") - F.col("s")).alias("hi"))
-    differ = F.filter(F.sequence("lo", F.col("hi") - 1), lambda i: F.get("a", i) != F.get("b", i + F.col("s")))
-    both = both.select("row", F.concat(F.array(F.col("lo") - 1), differ, F.array("hi")).alias("cut"))
-    spans = both.select("row", F.explode(F.zip_with(F.slice("cut", F.lit(1), F.size("cut") - 1), F.slice("cut", F.lit(2), F.size("cut")), lambda x, y: F.struct((x + 1).alias("from"), y.alias("to")))).alias("s"))
-    spans = spans.where(F.col("s.to") - F.col("s.from") >= gram).groupBy("row").agg(F.sort_array(F.collect_set("s")).alias("s"))
-    none = F.expr("cast(array() as array<struct<from: int, to: int>>)")
-    last = lambda acc: F.element_at(acc, -1)
-    apart = lambda acc, s: F.when((F.size(acc) == 0) | (F.get(acc, F.size(acc) - 1)["to"] < s["from"]), F.concat(acc, F.array(s))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["from"].alias("from"), F.greatest(last(acc)["to"], s["to"]).alias("to")))))
-    return spans.select("row", F.aggregate("s", none, apart).alias("spans"))
-
-
-def marked(docs: DataFrame, id_col: str, text_col: str, gram: int, window: int) -> DataFrame:
-    """docs with its columns named c0, c1 ..., row, and lines: (line without its deleted words, gone) of the texts with something to delete, null for others."""
-    gone = settle(line_runs(docs, id_col, text_col, gram, window).groupBy("row").agg(F.collect_set("pos").alias("gone")))
-    spans = settle(word_runs(docs, id_col, text_col, gram, window))
-    cuts = settle(gone.join(spans, "row", "full"))
-    if (cuts.agg(F.sum(F.greatest(F.size("gone"), F.lit(0)) + F.greatest(F.size("spans"), F.lit(0)))).first()[0] or 0) <= BROADCAST_LINES:
-        cuts = F.broadcast(cuts)
-    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
-    text = f"c{docs.columns.index(text_col)}"
-    rows = own.withColumn("row", F.monotonically_increasing_id()).join(cuts, "row", "left")
+    return F.split(F.btrim(text, F.lit(SPACES)), r"\s+")
+
+
+def word_prints(rows: DataFrame, gram: int, window: int, share: int) -> DataFrame:
+    """id, row, idx (of the word that it begins at) and gram of the selected grams of words."""
+    d = rows.select("id", "row", words_of("t").alias("words"))
+    # The word's hash above, its place counted backwards below: the least is the last of equal words.
+    low = F.lit(PLACES).cast("long")
+    n = F.greatest(F.size("words") - (gram - 1), F.lit(0))
+    d = d.withColumn("m", F.transform(F.slice("words", F.lit(1), n), lambda x, k: F.shiftleft(F.xxhash64(x).bitwiseAND(low), 31).bitwiseOR(low - k)))
+    place = lambda v: (low - v.bitwiseAND(low)).cast("int")
+    d = d.withColumn("at", F.transform(F.filter("m", lambda v: v < F.lit(((PLACES + 1) // share) << 31)), place))
+    gaps = F.zip_with(F.concat(F.array(F.lit(-1)), "at"), F.concat("at", F.array(F.size("m"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    d = d.withColumn("gaps", F.filter(gaps, lambda g: g["b"] - g["a"] > window))
+    least = lambda g: F.array_distinct(F.transform(F.sequence(g["a"] + 1, g["b"] - window), lambda s: F.array_min(F.slice("m", s + 1, F.lit(window)))))
+    d = d.withColumn("at", F.when(F.size("gaps") > 0, F.concat("at", F.transform(F.flatten(F.transform("gaps", least)), place))).otherwise(F.col("at")))
+    # The outer form, as for the plain one Spark adds a filter that works all of this out once more.
+    return d.select("id", "row", "words", F.explode_outer("at").alias("idx")).where("idx is not null").select("id", "row", "idx", gram_at(gram)).select("id", "row", "idx", wide_hash(F.col("g")).alias("gram"))
+
+
+def gram_at(gram: int) -> Column:
+    return F.slice("words", F.col("idx") + 1, F.lit(gram)).alias("g")
+
+
+def later_words(places: DataFrame, gram: int) -> DataFrame:
+    """gram, row, idx of the later positions, without those of one text that lie within `gram` words of the one before."""
+    last = F.lag("idx").over(Window.partitionBy("gram", "row").orderBy("idx"))
+    later = later_positions(places).withColumn("last", last)
+    return later.where((F.col("row") != F.col("row1")) | (F.col("idx") - F.coalesce("last", "idx1") >= gram)).select("gram", "row", "idx")
+
+
+def word_runs(rows: DataFrame, gram: int, window: int, share: int) -> DataFrame:
+    """row, idx and to of the later copies of grams of words."""
+    prints = settle(word_prints(rows, gram, window, share))
+    later = settle(later_words(prints, gram))
+    of_text = Window.partitionBy("row").orderBy("idx")
+    ends = later.select("gram", (F.col("idx") - F.coalesce(F.lag("idx").over(of_text), F.lit(-gram - 1)) > gram).alias("left"), (F.coalesce(F.lead("idx").over(of_text), F.lit(PLACES)) - F.col("idx") > gram).alias("right"))
+    ends = ends.where(F.col("left") | F.col("right")).groupBy("gram").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    around = F.sequence(F.col("idx") - F.when(F.col("left"), gram - 1).otherwise(0), F.col("idx") + F.when(F.col("right"), gram - 1).otherwise(0))
+    places = prints.join(ends, "gram").select("row", around.alias("a")).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("a"))).alias("a"))
+    texts = rows.join(checked_broadcast(settle(places), BROADCAST_FIRST // 10), "row").select("id", "row", "a", words_of("t").alias("words"))
+    near = texts.select("id", "row", "words", F.explode("a").alias("idx")).where((F.col("idx") >= 0) & (F.col("idx") <= F.size("words") - gram)).select("id", "row", "idx", gram_at(gram)).select("id", "row", "idx", wide_hash(F.col("g")).alias("gram"))
+    both = later.unionByName(later_words(settle(near), gram))
+    return both.select("row", "idx", (F.col("idx") + gram).alias("to"))
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """row and spans: the united spans (idx, to) of every row, in order and apart."""
+    before = Window.partitionBy("row").orderBy("idx", "to").rowsBetween(Window.unboundedPreceding, -1)
+    parts = spans.distinct().withColumn("new", F.coalesce(F.col("idx") > F.max("to").over(before), F.lit(True)).cast("int"))
+    parts = parts.withColumn("island", F.sum("new").over(Window.partitionBy("row").orderBy("idx", "to")))
+    parts = parts.groupBy("row", "island").agg(F.min("idx").alias("from"), F.max("to").alias("to"))
+    return parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
+
+
+def replaced(items: Column, spans: Column, put) -> Column:
+    """The array of items with put(items) in place of the items of every span."""
+    ends, size = F.transform(spans, lambda s: s["to"]), F.size(items)
+    kept = F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(F.transform(spans, lambda s: s["from"]), F.array(size)), lambda a, b: F.slice(items, a + 1, b - a))
+    gone = F.transform(spans, lambda s: put(F.slice(items, s["from"] + 1, s["to"] - s["from"])))
+    return F.flatten(F.transform(F.arrays_zip(kept.alias("kept"), F.concat(gone, F.array(F.array().cast("array<string>"))).alias("gone")), lambda x: F.concat(x["kept"], x["gone"])))
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, gram: int, window: int, least: int, share: int) -> DataFrame:
+    """The numbered rows of docs, and lines: (line without its deleted words, gone) of the texts with something to delete, null for others."""
+    rows = numbered(docs, id_col, text_col)
+    runs, ends = line_runs(rows, least)
+    lines = settle(merged(runs).select("row", F.col("spans").alias("gone")))
+    whole_text = (F.size("gone") == 1) & (F.col("gone")[0]["from"] <= F.col("from")) & (F.col("gone")[0]["to"] >= F.col("upto"))
+    all_gone = lines.join(ends, "row").where(whole_text).select("row")
+    left = rows.join(checked_broadcast(settle(all_gone), BROADCAST_IDS), "row", "left_anti")
+    words = settle(merged(word_runs(left, gram, window, share)))
+    cuts = lines.join(words, "row", "full")
+    size = sum(x.agg(F.sum(F.size(c))).first()[0] or 0 for x, c in ((lines, "gone"), (words, "spans")))
+    rows = rows.join(F.broadcast(cuts) if size <= BROADCAST_FIRST else cuts, "row", "left")
     # A text does not hold a mark of its own hash.
-    rows = rows.withColumn("mark", F.concat(F.lit("\0"), F.hex(F.xxhash64(text))))
-    word = lambda x, k: F.when(F.exists("spans", lambda s: (s["from"] <= k) & (k < s["to"])), F.concat("mark", F.regexp_replace(x, r"^\S+[ \t\r\x0B\f]*", ""))).otherwise(x)
-    cut = F.concat(F.regexp_extract(text, r"^\s*", 0), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\S+\s*"), F.lit(0)), word), ""))
-    rows = rows.withColumn("cut", F.when(F.col("spans").isNotNull(), cut).when(F.col("gone").isNotNull(), F.col(text)))
-    left = lambda line: F.replace(line, F.col("mark"), F.lit(""))
-    empty = lambda line: F.contains(line, F.col("mark")) & (F.trim(F.translate(left(line), "\t\r\x0b\x0c", "    ")) == "")
-    listed = lambda k: F.coalesce(F.array_contains("gone", k), F.lit(False))
-    rows = rows.withColumn("lines", F.transform(F.split("cut", "\n"), lambda line, k: F.struct(left(line).alias("line"), (listed(k) | empty(line)).alias("gone"))))
-    return rows.select(*own.columns, "row", "lines")
-
-
-def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    rows = rows.withColumn("mark", F.concat(F.lit("\0"), F.hex(F.xxhash64("t"))))
+    without = lambda x: F.array(F.regexp_replace(F.array_join(x, ""), F.lit(r"[^\n]+"), F.col("mark")))
+    tokens = F.regexp_extract_all("t", F.lit(r"\S+\s*"), F.lit(0))
+    cut = F.concat(F.regexp_extract("t", r"^\s*", 0), F.array_join(replaced(tokens, F.col("spans"), without), ""))
+    rows = rows.withColumn("cut", F.when(F.col("spans").isNotNull(), cut).when(F.col("gone").isNotNull(), F.col("t")))
+    blank = lambda line: F.btrim(line, F.lit(SPACES)) == ""
+    lines_gone = replaced(F.split("cut", "\n"), F.col("gone"), lambda x: F.transform(x, lambda line: F.when(blank(line), line).otherwise(F.col("mark"))))
+    rows = rows.withColumn("cut", F.when(F.col("gone").isNotNull(), lines_gone).otherwise(F.split("cut", "\n")))
+    bare = lambda line: F.replace(line, F.col("mark"), F.lit(""))
+    empty = lambda line: F.contains(line, F.col("mark")) & blank(bare(line))
+    return rows.withColumn("lines", F.transform("cut", lambda line: F.struct(bare(line).alias("line"), empty(line).alias("gone")))).drop("mark", "cut", "gone", "spans")
+
+
+def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, least: int = LEAST, share: int = SHARE) -> DataFrame:
     """row and pos of every line that is deleted as a whole."""
-    lines = marked(docs, id_col, text_col, gram, window).select("row", F.posexplode("lines").alias("pos", "x"))
+    lines = marked(docs, id_col, text_col, gram, window, least, share).select("row", F.posexplode("lines").alias("pos", "x"))
     return lines.where("x.gone").select("row", "pos")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, least: int = LEAST, share: int = SHARE) -> DataFrame:
     """The columns of docs, the text without the deleted lines and words, and n_deleted put last."""
-    rows = marked(docs, id_col, text_col, gram, window)
+    rows = marked(docs, id_col, text_col, gram, window, least, share)
     kept = F.filter("lines", lambda x: ~x["gone"])
     left = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
-    shown = [F.when(F.col("lines").isNull(), F.col(f"c{k}")).otherwise(left).alias(n) if n == text_col else F.col(f"c{k}").alias(n) for k, n in enumerate(docs.columns)]
+    shown = [F.when(F.col("lines").isNull(), F.col(f"c{k}")).otherwise(left).alias(n) if n == text_col else F.col(f"c{k}").alias(n) for k, n in enumerate(docs.columns) if n != "n_deleted"]
     return rows.select(*shown, F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines") - F.size(kept)).alias("n_deleted"))
