@@ -127,9 +127,9 @@ def test_clashing_columns_and_text_ids(spark):
     assert sorted(r.n_deleted for r in done.collect()) == [0, 1]
 
 
-@pytest.mark.parametrize("most", [ld.BROADCAST_FIRST, 0])
+@pytest.mark.parametrize("most", [ld.BROADCAST_SPANS, 0])
 def test_texts_without_later_runs(spark, monkeypatch, most):
-    monkeypatch.setattr(ld, "BROADCAST_FIRST", most)
+    monkeypatch.setattr(ld, "BROADCAST_SPANS", most)
     texts = corpus()
     docs = frame(spark, texts)
     gone = {(texts[r.row][0], r.pos) for r in ld.runs(docs).collect()}

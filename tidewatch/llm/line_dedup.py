@@ -8,9 +8,9 @@ Lines (split at \n, trimmed; those of white space only are passed over):
 2. The positions of equal fingerprints are joined by a count of each; texts that hold a fingerprint which stands elsewhere too go on.
 3. Matches are extended both ways: in those texts the window that begins at a line and the one that ends at it are joined to their first position in the corpus, and the lines of every later position go. A run of equal lines that holds LEAST words is covered by such windows, whichever copy of it is the first, so no part of it has to share its first copy with another part.
 
-Words (split at white space), for passages that begin or end inside a line or are wrapped at other places, in the texts that have a line left:
+Words (split at white space), for passages that begin or end inside a line or are wrapped at other places, in the lines that are left and less than GRAM words around them:
 
-4. Of any WINDOW places in a row that GRAM words begin at, one at least is selected by these words alone: all words with a hash in the least 1/SHARE, and in windows without one the least hash (the last of equal ones). The fingerprint is the hash of the GRAM words from there on. Copies of GRAM + WINDOW - 1 words select a common one.
+4. Only words that reach into a line that is left take part. Of any WINDOW places in a row that GRAM words begin at, one at least is selected by these words alone: all words with a hash in the least 1/SHARE, and in windows without one the least hash (the last of equal ones). The fingerprint is the hash of the GRAM words from there on. Copies of GRAM + WINDOW - 1 words select a common one.
 5. The words of a fingerprint's later positions go. As selected places are no more than WINDOW apart, these stretches meet within a copied passage; it can reach past the first and the last one by fewer than GRAM words.
 6. So matches are extended both ways there: around all positions of a fingerprint at such an end every GRAM words are looked up in the same way, and the words of later positions go.
 7. Within one text, a stretch is no copy of itself: a later position counts only GRAM words or more after the first one and after the one before.
@@ -25,24 +25,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, checked_broadcast, order_key, settle, whole
+from .common import BROADCAST_IDS, SPACES, checked_broadcast, order_key, settle, whole
 
 #: Words that a repeated run of whole lines has at least.
 LEAST = 2
 GRAM, WINDOW = 25, 25
 #: One word in so many is a fingerprint's place by its hash alone.
-SHARE = 8
+SHARE = 16
 #: Words of a text that a place can tell apart.
 PLACES = (1 << 31) - 1
-#: Up to so many first positions, or texts with something to delete, are broadcast; more are joined by shuffle.
-BROADCAST_FIRST = 200_000
-SPACES = " \t\n\x0b\x0c\r"
+#: Up to so many spans or places of words, listed by text, are broadcast; more are joined by shuffle.
+BROADCAST_SPANS = 2_000_000
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The columns of docs as c0, c1 ..., and id and row to order them by; written once."""
+    """The columns of docs as c0, c1 ..., and id and row to order them by, written once; and t, the text."""
     own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
-    return settle(own.select("*", order_key(own[f"c{docs.columns.index(id_col)}"]).alias("id"), whole(f"c{docs.columns.index(text_col)}").alias("t"), F.monotonically_increasing_id().alias("row")))
+    rows = settle(own.select("*", order_key(own[f"c{docs.columns.index(id_col)}"]).alias("id"), F.monotonically_increasing_id().alias("row")))
+    return rows.withColumn("t", whole(f"c{docs.columns.index(text_col)}"))
 
 
 def wide_hash(x: Column) -> Column:
@@ -60,9 +60,9 @@ def later_positions(places: DataFrame) -> DataFrame:
 
 
 def lines_of(rows: DataFrame, least: int) -> DataFrame:
-    """id, row, idx (of the line in its text), the line that its window selects (h, minus: its place counted backwards), and the windows that begin and end at the line: (gram, idx, to). A window reaches up to the next line, over lines of white space."""
+    """id, row, idx (of the line in its text), before and upto (the words before it, and with it), the line that its window selects (h, minus: its place counted backwards), and the windows that begin and end at the line: (gram, idx, to). A window reaches up to the next line, over lines of white space."""
     lines = rows.select("id", "row", F.posexplode_outer(F.split("t", "\n")).alias("idx", "line")).select("id", "row", "idx", F.btrim("line", F.lit(SPACES)).alias("line")).where("line <> ''")
-    lines = lines.select("id", "row", "idx", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("again"), "line").alias("h2"), (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("w"))
+    lines = lines.select("id", "row", "idx", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("again"), "line").alias("h2"), F.size(words_of(F.col("line"))).cast("long").alias("w"))
     so_far = F.sum("w").over(Window.partitionBy("row").orderBy("idx"))
     lines = lines.select("*", so_far.alias("upto"), (so_far - F.col("w")).alias("before"), F.sum("w").over(Window.partitionBy("row")).alias("total"))
     ahead = Window.partitionBy("row").orderBy("before").rangeBetween(0, least - 1)
@@ -72,37 +72,66 @@ def lines_of(rows: DataFrame, least: int) -> DataFrame:
     lines = lines.select("*", F.when(F.col("total") - F.col("before") >= least, held.over(ahead)).alias("a"), F.when(F.col("upto") >= least, held.over(back)).alias("b"))
     window = lambda x: F.when(x.isNotNull(), F.struct(wide_hash(F.transform(x, lambda y: F.struct(y["h"], y["h2"]))).alias("gram"), x[0]["idx"].alias("idx"), F.element_at(x, -1)["to"].alias("to")))
     picked = F.array_min(F.transform("a", lambda y: F.struct(y["h"].alias("h"), (-y["idx"]).alias("minus"))))
-    return lines.select("id", "row", "idx", "to", picked.alias("picked"), window(F.col("a")).alias("begins"), window(F.col("b")).alias("ends"))
+    return lines.select("id", "row", "idx", F.col("before").cast("int").alias("before"), F.col("upto").cast("int").alias("upto"), picked.alias("picked"), window(F.col("a")).alias("begins"), window(F.col("b")).alias("ends"))
 
 
-def line_runs(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """row, idx and to of the later windows of lines; and row, from and upto, where the lines of every text begin and end."""
+def line_runs(rows: DataFrame, least: int) -> DataFrame:
+    """row, gone (the united spans of deleted lines) and left (the words of the other lines, null without any) of the texts with deleted lines."""
     lines = settle(lines_of(rows, least))
     prints = lines.where("picked is not null").select("row", "picked.h", "picked.minus").distinct()
     shared = prints.groupBy("h").count().where("count > 1")
     met = settle(prints.join(shared, "h", "left_semi").select("row").distinct())
     both = F.explode(F.array_distinct(F.filter(F.array("begins", "ends"), lambda x: x.isNotNull())))
     windows = lines.join(checked_broadcast(met, BROADCAST_IDS), "row", "left_semi").select("id", "row", both.alias("x")).select("id", "row", "x.gram", "x.idx", "x.to")
-    return later_positions(windows).select("row", "idx", "to"), lines.groupBy("row").agg(F.min("idx").alias("from"), F.max("to").alias("upto"))
+    gone = settle(merged(later_positions(windows).select("row", "idx", "to")).withColumnRenamed("spans", "gone"))
+    stays = lines.select("row", "idx", "before", "upto").join(gone, "row").where(~F.exists("gone", lambda s: (s["from"] <= F.col("idx")) & (F.col("idx") < s["to"])))
+    left = stays.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("before").alias("from"), F.col("upto").alias("to")))).alias("left"))
+    return settle(gone.join(left, "row", "left"))
 
 
-def words_of(text: str) -> Column:
-    return F.split(F.btrim(text, F.lit(SPACES)), r"\s+")
+def words_of(text: Column) -> Column:
+    for space in SPACES[1:]:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def let(x: Column, f) -> Column:
+    """f(x), with x worked out once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def reaches(idx: Column, gram: int) -> Column:
+    """Whether the words from idx on reach into a line that is left."""
+    return F.exists("left", lambda r: (r["from"] < idx + gram) & (idx < r["to"]))
 
 
 def word_prints(rows: DataFrame, gram: int, window: int, share: int) -> DataFrame:
-    """id, row, idx (of the word that it begins at) and gram of the selected grams of words."""
-    d = rows.select("id", "row", words_of("t").alias("words"))
-    # The word's hash above, its place counted backwards below: the least is the last of equal words.
+    """id, row, idx (of the word that it begins at) and gram of the selected grams of words, from rows (id, row, t, left): left are the words (from, to) of the lines that are left, null for all."""
     low = F.lit(PLACES).cast("long")
-    n = F.greatest(F.size("words") - (gram - 1), F.lit(0))
-    d = d.withColumn("m", F.transform(F.slice("words", F.lit(1), n), lambda x, k: F.shiftleft(F.xxhash64(x).bitwiseAND(low), 31).bitwiseOR(low - k)))
     place = lambda v: (low - v.bitwiseAND(low)).cast("int")
-    d = d.withColumn("at", F.transform(F.filter("m", lambda v: v < F.lit(((PLACES + 1) // share) << 31)), place))
-    gaps = F.zip_with(F.concat(F.array(F.lit(-1)), "at"), F.concat("at", F.array(F.size("m"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    d = d.withColumn("gaps", F.filter(gaps, lambda g: g["b"] - g["a"] > window))
-    least = lambda g: F.array_distinct(F.transform(F.sequence(g["a"] + 1, g["b"] - window), lambda s: F.array_min(F.slice("m", s + 1, F.lit(window)))))
-    d = d.withColumn("at", F.when(F.size("gaps") > 0, F.concat("at", F.transform(F.flatten(F.transform("gaps", least)), place))).otherwise(F.col("at")))
+
+    def of_gap(m: Column) -> Column:
+        """The least of each window: the least of 2, 4, 8 ... from each on, as far as a window fits in."""
+        least, wide = m, 1
+        while wide < window:
+            least, wide = let(least, halved(min(wide, window - wide))), wide + min(wide, window - wide)
+        return F.array_distinct(F.slice(least, F.lit(1), F.size(m) - (window - 1)))
+
+    def halved(step: int):
+        return lambda x: F.zip_with(x, F.slice(x, F.lit(step + 1), F.size(x)), lambda u, v: F.least(u, v))
+
+    def of_text(m: Column) -> Column:
+        at = F.transform(F.filter(m, lambda v: v < F.lit(((PLACES + 1) // share) << 31)), place)
+        return let(at, lambda at: F.concat(at, F.transform(F.flatten(F.transform(gaps(at, F.size(m)), lambda g: of_gap(F.slice(m, g["a"] + 2, g["b"] - g["a"] - 1)))), place)))
+
+    def gaps(at: Column, n: Column) -> Column:
+        pairs = F.zip_with(F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(n)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.filter(pairs, lambda g: g["b"] - g["a"] > window)
+
+    # The word's hash above, its place counted backwards below: the least is the last of equal words.
+    m = F.transform(F.slice("words", F.lit(1), F.greatest(F.size("words") - (gram - 1), F.lit(0))), lambda x, k: F.shiftleft(F.xxhash64(x).bitwiseAND(low), 31).bitwiseOR(low - k))
+    at = F.filter(let(m, of_text), lambda k: F.col("left").isNull() | reaches(k, gram))
+    d = rows.select("id", "row", "left", words_of(F.col("t")).alias("words")).select("id", "row", "words", at.alias("at"))
     # The outer form, as for the plain one Spark adds a filter that works all of this out once more.
     return d.select("id", "row", "words", F.explode_outer("at").alias("idx")).where("idx is not null").select("id", "row", "idx", gram_at(gram)).select("id", "row", "idx", wide_hash(F.col("g")).alias("gram"))
 
@@ -127,8 +156,10 @@ def word_runs(rows: DataFrame, gram: int, window: int, share: int) -> DataFrame:
     ends = ends.where(F.col("left") | F.col("right")).groupBy("gram").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     around = F.sequence(F.col("idx") - F.when(F.col("left"), gram - 1).otherwise(0), F.col("idx") + F.when(F.col("right"), gram - 1).otherwise(0))
     places = prints.join(ends, "gram").select("row", around.alias("a")).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("a"))).alias("a"))
-    texts = rows.join(checked_broadcast(settle(places), BROADCAST_FIRST // 10), "row").select("id", "row", "a", words_of("t").alias("words"))
-    near = texts.select("id", "row", "words", F.explode("a").alias("idx")).where((F.col("idx") >= 0) & (F.col("idx") <= F.size("words") - gram)).select("id", "row", "idx", gram_at(gram)).select("id", "row", "idx", wide_hash(F.col("g")).alias("gram"))
+    texts = rows.join(small(settle(places), "a"), "row").select("id", "row", "a", "left", words_of(F.col("t")).alias("words"))
+    fits = lambda k: (k >= 0) & (k <= F.size("words") - gram) & (F.col("left").isNull() | reaches(k, gram))
+    near = texts.select("id", "row", "words", F.filter("a", fits).alias("a")).select("id", "row", "words", F.explode_outer("a").alias("idx")).where("idx is not null")
+    near = near.select("id", "row", "idx", gram_at(gram)).select("id", "row", "idx", wide_hash(F.col("g")).alias("gram"))
     both = later.unionByName(later_words(settle(near), gram))
     return both.select("row", "idx", (F.col("idx") + gram).alias("to"))
 
@@ -142,6 +173,11 @@ def merged(spans: DataFrame) -> DataFrame:
     return parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
 
 
+def small(settled: DataFrame, column: str) -> DataFrame:
+    """A settled frame, broadcast if its arrays have BROADCAST_SPANS values or fewer; beyond that Spark joins it by shuffle."""
+    return F.broadcast(settled) if (settled.agg(F.sum(F.size(column))).first()[0] or 0) <= BROADCAST_SPANS else settled
+
+
 def replaced(items: Column, spans: Column, put) -> Column:
     """The array of items with put(items) in place of the items of every span."""
     ends, size = F.transform(spans, lambda s: s["to"]), F.size(items)
@@ -153,15 +189,10 @@ def replaced(items: Column, spans: Column, put) -> Column:
 def marked(docs: DataFrame, id_col: str, text_col: str, gram: int, window: int, least: int, share: int) -> DataFrame:
     """The numbered rows of docs, and lines: (line without its deleted words, gone) of the texts with something to delete, null for others."""
     rows = numbered(docs, id_col, text_col)
-    runs, ends = line_runs(rows, least)
-    lines = settle(merged(runs).select("row", F.col("spans").alias("gone")))
-    whole_text = (F.size("gone") == 1) & (F.col("gone")[0]["from"] <= F.col("from")) & (F.col("gone")[0]["to"] >= F.col("upto"))
-    all_gone = lines.join(ends, "row").where(whole_text).select("row")
-    left = rows.join(checked_broadcast(settle(all_gone), BROADCAST_IDS), "row", "left_anti")
-    words = settle(merged(word_runs(left, gram, window, share)))
-    cuts = lines.join(words, "row", "full")
-    size = sum(x.agg(F.sum(F.size(c))).first()[0] or 0 for x, c in ((lines, "gone"), (words, "spans")))
-    rows = rows.join(F.broadcast(cuts) if size <= BROADCAST_FIRST else cuts, "row", "left")
+    lines = line_runs(rows, least)
+    texts = rows.join(small(lines, "gone"), "row", "left").where("gone is null or left is not null").select("id", "row", "t", "left")
+    words = settle(merged(word_runs(texts, gram, window, share)))
+    rows = rows.join(small(lines.select("row", "gone"), "gone"), "row", "left").join(small(words, "spans"), "row", "left")
     # A text does not hold a mark of its own hash.
     rows = rows.withColumn("mark", F.concat(F.lit("\0"), F.hex(F.xxhash64("t"))))
     without = lambda x: F.array(F.regexp_replace(F.array_join(x, ""), F.lit(r"[^\n]+"), F.col("mark")))
