@@ -12,7 +12,7 @@ Words (split at white space), for passages that begin or end inside a line or ar
 
 4. Only words that reach into a line that is left take part. Of any WINDOW places in a row that GRAM words begin at, one at least is selected by these words alone: all words with a hash in the least 1/SHARE, and in windows without one the least hash (the last of equal ones). The fingerprint is the hash of the GRAM words from there on. Copies of GRAM + WINDOW - 1 words select a common one.
 5. The words of a fingerprint's later positions go. As selected places are no more than WINDOW apart, these stretches meet within a copied passage; it can reach past the first and the last one by fewer than GRAM words.
-6. So matches are extended both ways there: around all positions of a fingerprint at such an end every GRAM words are looked up in the same way, and the words of later positions go.
+6. So matches are extended both ways there: around all positions of a fingerprint at such an end GRAM words from every few words on, and then from every word on, are looked up in the same way, and the words of later positions go.
 7. Within one text, a stretch is no copy of itself: a later position counts only GRAM words or more after the first one and after the one before.
 
 The first position of a line or of GRAM words never goes, so what is deleted has an equal before it that stays. Hashes of positions that are compared have 128 bits. A line that is left without words goes as a whole; other lines keep their other words and their line break.
@@ -31,7 +31,7 @@ from .common import BROADCAST_IDS, SPACES, checked_broadcast, order_key, settle,
 LEAST = 2
 GRAM, WINDOW = 25, 25
 #: One word in so many is a fingerprint's place by its hash alone.
-SHARE = 16
+SHARE = 8
 #: Words of a text that a place can tell apart.
 PLACES = (1 << 31) - 1
 #: Up to so many spans or places of words, listed by text, are broadcast; more are joined by shuffle.
@@ -148,20 +148,28 @@ def later_words(places: DataFrame, gram: int) -> DataFrame:
 
 
 def word_runs(rows: DataFrame, gram: int, window: int, share: int) -> DataFrame:
-    """row, idx and to of the later copies of grams of words."""
-    prints = settle(word_prints(rows, gram, window, share))
-    later = settle(later_words(prints, gram))
+    """row, idx and to of the later copies of grams of words, from rows (id, row, t, left)."""
+    places = settle(word_prints(rows, gram, window, share))
+    later = settle(later_words(places, gram))
+    coarse = int(gram**0.5) + 1
+    for step, reach in ((coarse, gram - 1), (1, coarse - 1)):
+        places = settle(around(rows, places, later, gram, step, reach))
+        later = settle(later.unionByName(later_words(places, gram)).distinct())
+    return later.select("row", "idx", (F.col("idx") + gram).alias("to"))
+
+
+def around(rows: DataFrame, places: DataFrame, later: DataFrame, gram: int, step: int, reach: int) -> DataFrame:
+    """id, row, idx and gram at every step up to `reach` words before and after a copied passage's ends, in the later texts and at all places of the grams that stand there."""
     of_text = Window.partitionBy("row").orderBy("idx")
-    ends = later.select("gram", (F.col("idx") - F.coalesce(F.lag("idx").over(of_text), F.lit(-gram - 1)) > gram).alias("left"), (F.coalesce(F.lead("idx").over(of_text), F.lit(PLACES)) - F.col("idx") > gram).alias("right"))
-    ends = ends.where(F.col("left") | F.col("right")).groupBy("gram").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    around = F.sequence(F.col("idx") - F.when(F.col("left"), gram - 1).otherwise(0), F.col("idx") + F.when(F.col("right"), gram - 1).otherwise(0))
-    places = prints.join(ends, "gram").select("row", around.alias("a")).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("a"))).alias("a"))
-    texts = rows.join(small(settle(places), "a"), "row").select("id", "row", "a", "left", words_of(F.col("t")).alias("words"))
+    ends = later.select("gram", (F.col("idx") - F.coalesce(F.lag("idx").over(of_text), F.lit(-gram - 1)) > gram).alias("before"), (F.coalesce(F.lead("idx").over(of_text), F.lit(PLACES)) - F.col("idx") > gram).alias("after"))
+    ends = ends.where(F.col("before") | F.col("after")).groupBy("gram").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    steps = F.lit(reach // step * step)
+    range_of = F.sequence(F.col("idx") - F.when(F.col("before"), steps).otherwise(0), F.col("idx") + F.when(F.col("after"), steps).otherwise(0), F.lit(step))
+    at = places.join(ends, "gram").select("row", range_of.alias("a")).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("a"))).alias("a"))
+    texts = rows.join(small(settle(at), "a"), "row").select("id", "row", "a", "left", words_of(F.col("t")).alias("words"))
     fits = lambda k: (k >= 0) & (k <= F.size("words") - gram) & (F.col("left").isNull() | reaches(k, gram))
     near = texts.select("id", "row", "words", F.filter("a", fits).alias("a")).select("id", "row", "words", F.explode_outer("a").alias("idx")).where("idx is not null")
-    near = near.select("id", "row", "idx", gram_at(gram)).select("id", "row", "idx", wide_hash(F.col("g")).alias("gram"))
-    both = later.unionByName(later_words(settle(near), gram))
-    return both.select("row", "idx", (F.col("idx") + gram).alias("to"))
+    return near.select("id", "row", "idx", gram_at(gram)).select("id", "row", "idx", wide_hash(F.col("g")).alias("gram"))
 
 
 def merged(spans: DataFrame) -> DataFrame:
