@@ -96,3 +96,21 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(200)] + [(500, 501), (501, 502)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     assert got == {**{k: 0 for k in range(1, 201)}, 501: 500, 502: 500}
+
+
+def test_rows_are_dropped_and_not_ids(spark):
+    rows = [(3, "same"), (5, "same"), (5, "unique"), (9, "dup"), (9, "dup"), (None, "same"), (None, "lone"), (None, "lone")]
+    docs = spark.createDataFrame([(k, t, "x", 0) for k, t in rows], "doc_id long, text string, row string, c0 int")
+    for keep_one in (exact_dedup.keep_one, simhash.keep_one):
+        kept = keep_one(docs)
+        assert kept.columns == docs.columns
+        assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("3", "same"), ("5", "unique"), ("9", "dup"), ("None", "lone")]
+        assert keep_one(docs.limit(0)).count() == 0
+    spaced = spark.createDataFrame([(1, "a b"), (2, "a  b"), (2, "ab")], "doc_id long, text string")
+    assert [(r.doc_id, r.text) for r in exact_dedup.keep_one(spaced).collect()] == [(2, "a  b")]
+
+
+def test_text_ids(spark):
+    docs = spark.createDataFrame([("b", "one two"), ("a", "one two"), ("c", "else")], "doc_id string, text string")
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_groups(docs).collect()} == {"a": "a", "b": "a", "c": "c"}
+    assert len(simhash.keep_one(docs).collect()) == 2

@@ -55,12 +55,42 @@ def test_filter_levels_stand_for_the_counts(spark):
     rows = [(" ".join(f"k{j}" for j in range(64) if k < j),) for k in range(64)]
     shards = 5
     built = lm.filters(spark.createDataFrame(rows, "t string"), shards).collect()
-    lf = lm.LogFrequencyFilter([(r.shard, r.level, bytes(r.bits)) for r in built], shards, 1)
+    lf = lm.LogFrequencyFilter([(r.shard, r.level, bytes(r.bits)) for r in built], shards)
     hashed = lambda words: lm.ngram_hashes(np.zeros(1, np.int32), lm.Numbering([(lm.END, 0), *[(w, k + 1) for k, w in enumerate(words)]]))[1][1:]
     one = hashed([f"k{j}".encode() for j in range(1, 64)])
     assert (lf.level(one) >= np.array([1 + int(math.log2(j)) for j in range(1, 64)])).all()
     assert (lf.level(one) == np.array([1 + int(math.log2(j)) for j in range(1, 64)])).mean() > 0.9
     unseen = hashed([f"u{j}".encode() for j in range(5000)])
     assert (lf.level(unseen) > 0).mean() < 0.05
-    above = lm.LogFrequencyFilter([(r.shard, r.level, bytes(r.bits)) for r in built if r.level >= 3], shards, 3)
-    assert set(above.level(one)[:3]) == {0} and (above.level(one)[3:] >= 3).all()
+
+
+def brute_scores():
+    """Each text's log10 probability from exact counts of the training texts, put into levels."""
+    one, two = Counter(), Counter()
+    for k, t in texts():
+        if zlib.crc32(("" if k is None else str(k)).encode()) % 7 != 2:
+            w = words(t)
+            one.update(w)
+            two.update(zip([b"\n", *w], w))
+    n, v = sum(one.values()), len(one)
+    mid = lambda c: (3 * 2 ** int(math.log2(c)) - 1) / 2 if c else 0.0
+    out = []
+    for k, t in texts():
+        total = 0.0
+        for a, b in zip([b"\n", *words(t)], words(t)):
+            p = (mid(one[b]) + 1) / (n + v + 1)
+            total += math.log10((min(mid(two[a, b]), mid(one[a])) + lm.SMOOTH * p) / (mid(one[a]) + lm.SMOOTH))
+        out.append((str(k), len(words(t)), total))
+    return sorted(out)
+
+
+def test_scores_against_exact_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 40)  # hardly a false find
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.scores(frame(spark, texts())).collect())
+    for (k, n, score), (k2, n2, want) in zip(got, brute_scores(), strict=True):
+        assert (k, n) == (k2, n2) and abs(score - want) < 0.01 * n
+
+
+def test_the_limit_of_the_broadcast_changes_no_score(spark):
+    told = lambda **of: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in lm.scores(frame(spark, texts()), **of).collect())
+    assert told(max_filter_bytes=0) == told()

@@ -19,6 +19,8 @@ SPACES = " \t\n\x0b\x0c\r"
 BROADCAST_IDS = 1_000_000
 
 _own_folders: dict[str, str] = {}
+#: Folder of each settled table: where it is, and its file system, to delete it by after the session has ended too.
+_settled: dict[str, tuple] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,15 +44,30 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as Parquet into the shared folder and read them back, so that a lost executor costs no more than the running stage. The table goes when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/settled-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _settled[path] = where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended already
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def discard(settled: DataFrame) -> None:
+    """Delete the table of a settled frame that nothing reads any more."""
+    for name in settled.inputFiles()[:1]:
+        path = next((p for p in _settled if p.rsplit("/", 1)[-1] in name), None)
+        if path:
+            _remove(path)
+
+
+def _remove(path: str) -> None:
+    where, store = _settled.pop(path)
+    with contextlib.suppress(Exception):  # the driver may be ending
+        store.delete(where, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_settled):
+        _remove(path)
 
 
 def checked_broadcast(settled: DataFrame, most: int) -> DataFrame:
@@ -58,6 +75,12 @@ def checked_broadcast(settled: DataFrame, most: int) -> DataFrame:
     return F.broadcast(settled) if settled.count() <= most else settled
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column, str]:
+    """The rows of docs with their columns named c0, c1 ... and a number, row, written once, so that every step sees the same numbers; the id's column; the text's name."""
+    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return settle(own.withColumn("row", F.monotonically_increasing_id())), F.col(f"c{docs.columns.index(id_col)}"), f"c{docs.columns.index(text_col)}"
+
+
 def order_key(id_col: Column) -> Column:
     """A long to order rows by: the id if it is a whole number, else its hash; the largest long for a null id."""
     return F.coalesce(id_col.cast("string").try_cast("long"), F.when(id_col.isNotNull(), F.xxhash64(id_col.cast("string"))), F.lit((1 << 63) - 1))

@@ -2,11 +2,11 @@
 
 Items are indexed by their words (lower-cased). A posting's impact is its BM25 weight divided by the item's score for its own text, so a passage's score is the share of the item that it matches, and one threshold serves all items. Every document is cut into passages that overlap by the longest item, so an item that stands in a text stands whole in a passage. All items at or above THRESHOLD are retrieved, and a hit is verified by the shingles of the item's question and of its answer that the passage holds (five words, fewer for a short side): both overlaps must reach OVERLAP. The answer is the item's last sentence if that has three words and at most half of the item, else its last third.
 
-Before a passage is searched, a bound is tried: terms that together can't bring any item to half the threshold are set apart, and the rest of the score must come from the other, rare terms. A passage whose rare terms can't do so for any item is passed over; none that could reach the threshold is lost.
+Before a passage is searched by WAND, a dense pre-scan of its rare terms is made: terms that together can't bring any item to half the threshold are set apart, and the rest of the score must come from the other, rare terms, whose postings are added up over all items. A passage whose rare terms can't do so for any item is passed over; none that could reach the threshold is lost.
 
-The index of ITEMS items at most is broadcast; larger benchmarks are searched in blocks of so many, each with statistics of its own.
+An index of ITEMS items and ITEM_BYTES of text at most is broadcast; larger benchmarks are searched in blocks, whose indexes are built one at a time. The numbers of items and of items with a term, and the mean length, are those of the whole benchmark, so blocks don't change a score.
 
-Defined results: null or empty texts and items match nothing. Items of fewer than LEAST_WORDS words are no evidence and are not indexed. An item that stands in a document more than once is reported once, by its best and first passage. Rows that share an id are each searched; equal result rows stay. Empty tables give an empty result. Other columns are not looked at by hits(), and kept by keep().
+Defined results: null or empty texts and items match nothing. Items of fewer than LEAST_WORDS words are found as whole runs of words, with score 1; those of fewer than SHORTEST are no evidence. An item that stands in a document more than once is reported once, by its best and first passage. Rows that share an id are each searched; equal result rows stay. Empty tables give an empty result. Other columns are not looked at by hits(), and kept by keep().
 """
 
 from __future__ import annotations
@@ -15,19 +15,20 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole
+from .common import settle, slices, whole
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.5
-SHINGLE, LEAST_WORDS = 5, 8
-#: Postings of a block; items of an index that is broadcast.
-POSTINGS, ITEMS = 16, 50_000
+SHINGLE, LEAST_WORDS, SHORTEST = 5, 8, 3
+#: Postings of a block; items of an index that is broadcast, and bytes of their texts.
+POSTINGS, ITEMS, ITEM_BYTES = 16, 50_000, 32 << 20
 _END = 1 << 60
 
 
@@ -67,21 +68,33 @@ def parted(text: str) -> tuple[list[str], list[str]]:
     return w[:start], w[start:]
 
 
+class Statistics(NamedTuple):
+    """Of the whole benchmark: items that are indexed, their mean and largest length, and how many of them have a term."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
     """Postings by term, in blocks with their largest impact."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], of_all: Statistics | None = None):
+        self.short: dict[str, list[tuple[list[str], int]]] = {}
+        for i, text in items:
+            if SHORTEST <= len(w := words(text)) < LEAST_WORDS:
+                self.short.setdefault(w[0], []).append((w, i))
         kept = [(i, w, text) for i, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])) if len(w := words(text)) >= LEAST_WORDS]
         self.item = [i for i, _, _ in kept]
         self.sides = [parted(text) for _, _, text in kept]
-        self.longest = max((len(w) for _, w, _ in kept), default=0)
-        df = Counter(t for _, w, _ in kept for t in set(w))
-        self.term = {t: k for k, t in enumerate(sorted(df))}
-        mean = sum(len(w) for _, w, _ in kept) / max(1, len(kept))
+        own_df = Counter(t for _, w, _ in kept for t in set(w))
+        self.term = {t: k for k, t in enumerate(sorted(own_df))}
+        n_items, mean, self.longest, df = of_all or Statistics(len(kept), sum(len(w) for _, w, _ in kept) / max(1, len(kept)), max((len(w) for _, w, _ in kept), default=0), own_df)
         postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for n, (_, w, _) in enumerate(kept):
             tf = Counter(w)
-            weight = {t: math.log(1 + (len(kept) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in tf.items()}
+            weight = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in tf.items()}
             own = sum(weight.values())
             for t, x in weight.items():
                 postings[self.term[t]].append((n, x / own))
@@ -154,8 +167,17 @@ class Index:
     def hits(self, text: str) -> list[tuple[int, float, int, float, float]]:
         """(item_id, score, first word of the passage, question's overlap, answer's overlap) of the verified items of a text."""
         w = words(text)
-        if not w or not self.item:
-            return []
+        return self.short_hits(w) + (self.long_hits(w) if w and self.item else [])
+
+    def short_hits(self, w: list[str]) -> list[tuple[int, float, int, float, float]]:
+        found: dict[int, tuple[int, float, int, float, float]] = {}
+        for k, word in enumerate(w if self.short else []):
+            for run, i in self.short.get(word, ()):
+                if w[k : k + len(run)] == run:
+                    found.setdefault(i, (i, 1.0, k, 1.0, 1.0))
+        return list(found.values())
+
+    def long_hits(self, w: list[str]) -> list[tuple[int, float, int, float, float]]:
         none = len(self.term)
         term = np.fromiter(map(self.term.get, w, [none] * len(w)), dtype=np.int64, count=len(w))
         rare = np.flatnonzero(self.rare[term])
@@ -175,11 +197,28 @@ class Index:
         return [(self.item[n], *best[n]) for n in sorted(best)]
 
 
-def indexes(items: DataFrame, most: int = ITEMS) -> list[Index]:
-    """One index, or one for each block of about `most` items."""
+def indexes(items: DataFrame, most: int = ITEMS) -> Iterator[Index]:
+    """One index, or one after the other for blocks of about `most` items or ITEM_BYTES."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), whole("text").alias("text"))
-    n = max(1, -(-rows.count() // most))
-    return [Index([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]) for k in range(n)]
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // most), -(-size // ITEM_BYTES))
+    if blocks == 1:
+        yield Index([(r.item_id, r.text) for r in rows.collect()])
+        return
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            own = [(k, len(w), t) for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(w := words(text)) >= LEAST_WORDS for t in [None, *sorted(set(w))]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True) if own else [[]] * 3, [pa.int32(), pa.int64(), pa.string()], strict=True)], ["block", "length", "term"])
+
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    found = settle(rows.select("block", "text").mapInArrow(terms, "block int, length long, term string"))
+    kept, total, longest = found.where("term is null").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("length"), F.lit(0))).first()
+    df = settle(found.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    for k in range(blocks):
+        own = found.where((F.col("block") == k) & F.col("term").isNotNull()).select("term").distinct()
+        of_all = Statistics(kept, total / max(1, kept), longest, {r.term: r.df for r in df.join(own, "term").collect()})
+        yield Index([(r.item_id, r.text) for r in rows.where(F.col("block") == k).select("item_id", "text").collect()], of_all)
 
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = ITEMS) -> DataFrame:

@@ -8,7 +8,7 @@ DataFrame functions only. Three passes, none of which shuffles the text of a doc
 
 A hot group is dealt over as many salts as its size asks for, in pass 3; everywhere else counts are combined before they are shuffled, and the joins onto one row per group are split by the adaptive skew join.
 
-Defined results: a null text counts as empty, and all empty or all-white texts form one group. Rows that share an id and a text all carry kept = true if the id is kept. A null id is a row like any other, and is kept only where its group has no row with an id and as long a text. An empty table gives an empty result. Other columns of the input are not looked at, whatever their names.
+Defined results: a null text counts as empty, and all empty or all-white texts form one group. Rows that share an id and a text all carry kept = true if the id is kept. Ids can be of any type that can be ordered. A null id is a row like any other, and is kept only where its group has no row with an id and as long a text. An empty table gives an empty result. Other columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, SPACES, checked_broadcast, settle, whole
+from .common import BROADCAST_IDS, SPACES, checked_broadcast, numbered, settle, whole
 
 #: Rows of one group that a task compares at a time.
 ROWS_PER_SALT = 512
@@ -56,7 +56,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     told = keys.join(F.broadcast(groups.select("h")) if groups_b is not groups else groups.select("h"), "h", "left_semi")
     told = told.join(odd_b, (F.col("h") == F.col("odd_h")) & F.col("doc_id").eqNullSafe(F.col("odd_id")), "left").select("h", F.coalesce("odd_normal", F.lit("")).alias("other"), "doc_id", "n")
-    best = settle(told.groupBy("h", "other").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("n", (-F.col("doc_id")).alias("minus_id"))).alias("top")).select("h", "other", "size", (-F.col("top.minus_id")).alias("best_id")))
+    best = settle(told.groupBy("h", "other").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct((-F.col("n")).alias("minus"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("top")).select("h", "other", "size", F.col("top.doc_id").alias("best_id")))
     best_b = checked_broadcast(best, BROADCAST_GROUPS)
 
     out = keys.join(odd_b, (F.col("h") == F.col("odd_h")) & F.col("doc_id").eqNullSafe(F.col("odd_id")), "left").withColumn("other", F.coalesce("odd_normal", F.lit(""))).drop("odd_id", "odd_h", "odd_normal")
@@ -66,6 +66,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_groups() keeps. Rows without an id stay."""
-    gone = settle(exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(checked_broadcast(gone, BROADCAST_IDS), id_col, "left_anti").select(*docs.columns)
+    """One row of docs of every group of equal texts: the one that exact_groups() keeps, the first of several with its id. Rows, not ids, are dropped, so a text that shares its id with a copy of another one stays."""
+    rows, row_id, text = numbered(docs, id_col, text_col)
+    keys = rows.select(F.struct(row_id.isNull().alias("none"), row_id.alias("id"), "row").alias("key"), F.col(text).alias("t"))
+    gone = settle(exact_groups(keys, "key", "t").where("not kept").select("doc_id.row"))
+    return rows.join(checked_broadcast(gone, BROADCAST_IDS), "row", "left_anti").drop("row").toDF(*docs.columns)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, SPACES, checked_broadcast, order_key, settle, whole
+from .common import BROADCAST_IDS, SPACES, checked_broadcast, numbered, order_key, settle, whole
 
 #: Words that a repeated run of whole lines has at least.
 LEAST = 2
@@ -38,13 +38,6 @@ PLACES = (1 << 31) - 1
 BROADCAST_SPANS = 2_000_000
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The columns of docs as c0, c1 ..., and id and row to order them by, written once; and t, the text."""
-    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
-    rows = settle(own.select("*", order_key(own[f"c{docs.columns.index(id_col)}"]).alias("id"), F.monotonically_increasing_id().alias("row")))
-    return rows.withColumn("t", whole(f"c{docs.columns.index(text_col)}"))
-
-
 def wide_hash(x: Column) -> Column:
     """128 bits."""
     return F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("again"), x).alias("b"))
@@ -196,7 +189,8 @@ def replaced(items: Column, spans: Column, put) -> Column:
 
 def marked(docs: DataFrame, id_col: str, text_col: str, gram: int, window: int, least: int, share: int) -> DataFrame:
     """The numbered rows of docs, and lines: (line without its deleted words, gone) of the texts with something to delete, null for others."""
-    rows = numbered(docs, id_col, text_col)
+    rows, row_id, text = numbered(docs, id_col, text_col)
+    rows = rows.select("*", order_key(row_id).alias("id"), whole(text).alias("t"))
     lines = line_runs(rows, least)
     texts = rows.join(small(lines, "gone"), "row", "left").where("gone is null or left is not null").select("id", "row", "t", "left")
     words = settle(merged(word_runs(texts, gram, window, share)))

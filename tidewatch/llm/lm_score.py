@@ -5,7 +5,7 @@ Tokens are words [^\x20\x09-\x0D]+ with A-Z lower-cased, then one end token for
 1. Exact unigram counts: every block of texts counts its own tokens, then a grouped sum.
 2. Base score, exact: words with over a 65536th of all training tokens (fewer than 65536 words, whatever the corpus) are broadcast with their counts. A block's other words go, with the places of their texts, to the shard of their hash, meet the shard's counts there, and come back as sums for each text of the block.
 3. The model: unigrams and bigrams of the training texts are counted by their 48-bit hashes in shards. A count c reaches the levels 1 to 1 + floor(log2 c); each level of a shard has a Bloom filter of BITS_PER_ENTRY bits for each n-gram that reaches it.
-4. The filters of all shards are broadcast to the workers. Their size is known before: if it is over max_filter_bytes, the lowest levels are left out until the rest fits, so rare n-grams back off while the error rate stays the same. The n-gram's level is the last of repeated membership probes that succeeds, and stands for the middle of its counts. Probabilities are p(w) = (c(w) + 1) / (N + V + 1) and p(w|h) = (c(hw) + SMOOTH p(w)) / (c(h) + SMOOTH).
+4. The filters of all shards are broadcast to the workers if they have max_filter_bytes or less, which is known before. Beyond that they stay where they are: a block sends each of its n-grams once to the filter of its shard and gets the levels back, and the scores are the same. The n-gram's level is the last of repeated membership probes that succeeds, and stands for the middle of its counts. Probabilities are p(w) = (c(w) + 1) / (N + V + 1) and p(w|h) = (c(hw) + SMOOTH p(w)) / (c(h) + SMOOTH).
 
 Defined results: a null or empty text is one end token. A null id counts as the empty text in the split. Rows that share an id are each returned, and count as often as they stand. Without training tokens all counts are zero. An empty table gives an empty result. Other columns are not looked at.
 """
@@ -213,10 +213,10 @@ def place(at: np.ndarray, bits: np.ndarray | np.uint64) -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    """The filters of all shards and levels, from `lowest` up; count() probes them."""
+    """The filters of all shards, or of some, and of all levels; level() probes them."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes]], shards: int, lowest: int):
-        self.width, self.lowest = -(-(1 << 48) // shards), lowest
+    def __init__(self, rows: list[tuple[int, int, bytes]], shards: int):
+        self.width = -(-(1 << 48) // shards)
         self.of_level = {}
         for level in sorted({r[1] for r in rows}):
             own = {r[0]: r[2] for r in rows if r[1] == level}
@@ -224,9 +224,9 @@ class LogFrequencyFilter:
             self.of_level[level] = (np.frombuffer(b"".join(own.get(s, b"") for s in range(shards)), dtype=np.uint8), np.cumsum(size) - size, (size * 8).astype(np.uint64))
 
     def level(self, h: np.ndarray) -> np.ndarray:
-        """The last level of each n-gram that a probe finds; 0 if the lowest has none."""
+        """The last level of each n-gram that a probe finds; 0 if the first has none."""
         out, left = np.zeros(len(h), dtype=np.int64), np.arange(len(h))
-        k = self.lowest
+        k = 1
         while len(left) and k in self.of_level:
             bits, start, size = self.of_level[k]
             shard = (h[left] // np.uint64(self.width)).astype(np.int64)
@@ -243,36 +243,88 @@ class LogFrequencyFilter:
             k += 1
         return out
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        k = self.level(h)
-        return np.where(k > 0, (3 * 2.0 ** (k - 1) - 1) / 2, 0.0)  # the middle of 2^(k-1) .. 2^k - 1
+
+def middle(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for: the middle of 2^(k-1) .. 2^k - 1."""
+    return np.where(level > 0, (3 * 2.0 ** (level - 1.0) - 1) / 2, 0.0)
+
+
+def text_scores(sizes: np.ndarray, c_one: np.ndarray, c_before: np.ndarray, c_two: np.ndarray, n: int, v: int) -> np.ndarray:
+    """The log10 probability of each text, from the counts of its tokens, of those before them and of both."""
+    p = (c_one + 1) / (n + v + 1)
+    c_two = np.where((c_one > 0) & (c_before > 0), c_two, 0.0)  # no bigram without its words
+    log = np.log10((np.minimum(c_two, c_before) + SMOOTH * p) / (c_before + SMOOTH))
+    return np.add.reduceat(log, np.cumsum(sizes) - sizes)
 
 
 def model_scores(rows: DataFrame, model: LogFrequencyFilter, n: int, v: int) -> DataFrame:
-    """score, the model's log10 probability of the text, beside key, doc_id and held_out of rows (key, doc_id, held_out, t)."""
+    """key and score, the model's log10 probability of the text, of rows (key, t), with the filters broadcast."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lf = shared.value
-        for ids, sizes, token, number in text_blocks(batches, 3):
+        for ids, sizes, token, number in text_blocks(batches, 1):
             before, one, two = ngram_hashes(token, number)
-            c, log = lf.count(one), np.empty(len(token))
+            c = middle(lf.level(one))
+            c_two = np.zeros(len(token))
             for k in range(0, len(token), STEP):
                 at = slice(k, k + STEP)
-                c_one, c_before = c[token[at]], c[before[at]]
-                c_two, both = np.zeros(len(c_one)), (c_one > 0) & (c_before > 0)
-                c_two[both] = lf.count(two[at][both])  # no bigram without its words
-                p = (c_one + 1) / (n + v + 1)
-                log[at] = np.log10((np.minimum(c_two, c_before) + SMOOTH * p) / (c_before + SMOOTH))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*ids, strict=True)), pa.array(np.add.reduceat(log, np.cumsum(sizes) - sizes))], ["key", "doc_id", "held_out", "score"])
+                both = (c[token[at]] > 0) & (c[before[at]] > 0)
+                c_two[at][both] = middle(lf.level(two[at][both]))
+            yield scored(np.array([i[0] for i in ids]), text_scores(sizes, c[token], c[before], c_two, n, v))
+
+    return rows.select("key", "t").mapInArrow(run, "key long, score double")
+
+
+def scored(keys: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(score, pa.float64())], ["key", "score"])
+
+
+def routed_scores(rows: DataFrame, built: DataFrame, shards: int, n: int, v: int) -> DataFrame:
+    """What model_scores() gives, with the filters left in their shards: a block sends each n-gram once to its shard."""
+    width = np.uint64(-(-(1 << 48) // shards))
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    names = ["shard", "block", "h", "places", "keys", "sizes", "tokens"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        for k, (ids, sizes, token, number) in enumerate(text_blocks(batches, 1)):
+            before, one, two = ngram_hashes(token, number)
+            pairs, of_pair = np.unique(two, return_inverse=True)
+            h = np.concatenate((one, pairs))
+            out = [((part + k) % shards, part + k, None, None, np.array([i[0] for i in ids]).astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), np.concatenate((token, before, of_pair + len(one))).astype("<i4").tobytes())]
+            shard = (h // width).astype(np.int64)
+            rank = np.argsort(shard, kind="stable")
+            cut = np.searchsorted(shard[rank], np.arange(shards + 1))
+            for s in np.flatnonzero(cut[:-1] < cut[1:]):
+                at = rank[cut[s] : cut[s + 1]]
+                out.append((int(s), part + k, h[at].astype("<u8").tobytes(), at.astype("<i4").tobytes(), None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        lf = LogFrequencyFilter([(r["shard"], r["level"], r["bits"]) for r in right.to_pylist()], shards)
+        out = [(r["block"], None if r["h"] is None else lf.level(np.frombuffer(r["h"], dtype="<u8")).astype(np.uint8).tobytes(), r["places"], r["keys"], r["sizes"], r["tokens"]) for r in left.to_pylist()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds[1:], strict=True)], names=["block", "levels", *names[3:]])
+
+    def total(group: pa.Table) -> pa.Table:
+        parts = group.to_pylist()
+        own = next(r for r in parts if r["keys"] is not None)
+        places = [np.frombuffer(r["places"], dtype="<i4") for r in parts if r["places"] is not None]
+        level = np.zeros(1 + max(int(p.max()) for p in places))
+        for r, at in zip([r for r in parts if r["places"] is not None], places, strict=True):
+            level[at] = np.frombuffer(r["levels"], dtype=np.uint8)
+        c_one, c_before, c_two = (middle(level)[x] for x in np.frombuffer(own["tokens"], dtype="<i4").reshape(3, -1))
+        return pa.Table.from_batches([scored(np.frombuffer(own["keys"], dtype="<i8"), text_scores(np.frombuffer(own["sizes"], dtype="<i4").astype(np.int64), c_one, c_before, c_two, n, v))])
 
-    return rows.select("key", "doc_id", "held_out", "t").mapInArrow(run, f"key long, doc_id {kind}, held_out boolean, score double")
+    dealt = rows.select("key", "t").mapInArrow(deal, "shard int, block long, h binary, places binary, keys binary, sizes binary, tokens binary")
+    met = dealt.groupBy("shard").cogroup(built.select("shard", "level", "bits").groupBy("shard")).applyInArrow(meet, "block long, levels binary, places binary, keys binary, sizes binary, tokens binary")
+    return met.groupBy("block").applyInArrow(total, "key long, score double")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, frequent_share: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), whole(text_col).alias("t")).withColumn("key", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), whole(text_col).alias("t"))
+    rows = settle(rows.withColumn("key", F.monotonically_increasing_id()))  # so that every step sees the same keys
     train = rows.where(~F.col("held_out")).select("t")
     counts = settle(unigram_counts(train))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -280,12 +332,13 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-v // 200_000), -(-n // 2_000_000))
     base = base_scores(rows, counts, frequent, shards)
     built = settle(filters(train, shards))
-    sizes = {r.level: r.size for r in built.groupBy("level").agg(F.sum(F.length("bits")).alias("size")).collect()}
-    lowest = 1
-    while sum(s for k, s in sizes.items() if k >= lowest) > max_filter_bytes:
-        lowest += 1
-    held = [(r.shard, r.level, bytes(r.bits)) for r in built.where(F.col("level") >= lowest).select("shard", "level", "bits").toLocalIterator()]
-    model = model_scores(rows, LogFrequencyFilter(held, shards, lowest), n, v)
+    size = built.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
+    if size <= max_filter_bytes:
+        held = [(r.shard, r.level, bytes(r.bits)) for r in built.select("shard", "level", "bits").toLocalIterator()]
+        model = model_scores(rows, LogFrequencyFilter(held, shards), n, v)
+    else:
+        model = routed_scores(rows, built, shards, n, v)
+    model = rows.select("key", "doc_id", "held_out").join(model, "key")
     all_of = model.join(base, "key")
     one = float(np.log10(n + v + 1))
     return all_of.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(one)).alias("base_score"), "score")

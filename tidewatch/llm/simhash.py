@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bktree
-from .common import BROADCAST_IDS, checked_broadcast, settle, slices, whole, words
+from .common import BROADCAST_IDS, checked_broadcast, discard, numbered, order_key, settle, slices, whole, words
 
 SEED = 42
 #: Of near_copies(): words of a shingle, the least Jaccard similarity, and the radius that fingerprints of such texts lie within.
-WIDTH, LEAST_ALIKE, RADIUS = 5, 0.8, 18
-#: Bands of two least shingle hashes, one of which texts that alike share but for one pair in 450, and bytes of a sketch.
-BANDS, SKETCH = 6, 256
+WIDTH, LEAST_ALIKE, RADIUS = 5, 0.8, 24
+#: Bands of two least shingle hashes, one of which texts that alike share but for one pair in 27,000, and bytes of a sketch.
+BANDS, SKETCH = 10, 256
 #: Fingerprints that one shard, or one part of a split shard, may hold.
 SHARD_ROWS = 4096
 
@@ -151,6 +151,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         new = settle(small.where("a <> b").distinct())
         seen, was = edge_sum(new), seen
+        for old in (edges, least, large, down):
+            discard(old)
         edges = new
         if seen == was:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -176,10 +178,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, least_alike: float = LEAST_ALIKE) -> DataFrame:
-    """doc_id and root, the smallest id of its component, of every text with near copies of a Jaccard similarity of its shingles of least_alike or more.
+    """doc_id and root, the smallest id of its component, of every text with near copies (but for the one with that id) of a Jaccard similarity of its shingles of least_alike or more. Rows without an id are not looked at.
 
-    Fingerprints of such texts differ in up to 18 bits, too many for blocks of bits to shard by. Here a text's shards are bands of its least shingle hashes; the BK-trees in the shards find the fingerprints within the radius, a sketch of the least hash in each of SKETCH ranges rules out clear misses, and the distinct shingle hashes of both texts decide. Only texts that share a band with another are sent, with these bands. Texts without words have no shards, and rows without an id are not looked at.
+    Fingerprints of such texts differ in up to some 18 bits, too many for blocks of bits to shard by. Here a text's shards are bands of its least shingle hashes; the BK-trees in the shards find the fingerprints within the radius, a sketch of the least hash in each of SKETCH ranges rules out clear misses, and the distinct shingle hashes of both texts decide. Only texts that share a band with another are sent, with these bands. Texts without words have no shards.
     """
+    rows = docs.where(F.col(id_col).isNotNull()).select(order_key(F.col(id_col)).alias("node"), whole(text_col).alias("t"))
+    return linked_texts(rows, width, radius, least_alike).select(F.col("node").alias("doc_id"), "root")
+
+
+def linked_texts(rows: DataFrame, width: int, radius: int, least_alike: float) -> DataFrame:
+    """node and root, the smallest node of its component, of the other nodes of near copies, from rows (node, t)."""
     odd = np.random.default_rng(SEED).integers(0, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,17 +216,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sets.append(h.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(codes, dtype=np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], ["node", "bands", "code", "sketch", "hashes"])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), whole(text_col).alias("t"))
     places = settle(rows.mapInArrow(banded, "node long, bands array<long>").select("node", F.explode("bands").alias("shard")))
     met = places.groupBy("shard").count().where("count > 1").select("shard")
     shared = settle(places.join(met, "shard", "left_semi").groupBy("node").agg(F.collect_set("shard").alias("bands")))
     found = rows.where(F.length("t") > 0).join(checked_broadcast(shared, BROADCAST_IDS // 8), "node").select("node", "t", "bands")
     prints = settle(found.mapInArrow(detailed, "node long, bands array<long>, code long, sketch binary, hashes binary"))
     edges = linked_edges(prints.select(F.explode("bands").alias("shard"), "node", "code", "sketch", "hashes"), radius, least_alike)
-    return components(edges).select(F.col("node").alias("doc_id"), "root")
+    return components(edges)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those that near_copies() links to a smaller id."""
-    gone = settle(near_copies(docs, id_col, text_col).select(F.col("doc_id").alias(id_col)))
-    return docs.join(checked_broadcast(gone, BROADCAST_IDS), id_col, "left_anti").select(*docs.columns)
+    """One row of docs of every group of near copies: the one with the smallest id, the first of several with it, one without an id only where all are. Rows, not ids, are dropped."""
+    rows, row_id, text = numbered(docs, id_col, text_col)
+    linked = settle(linked_texts(rows.select(F.col("row").alias("node"), whole(text).alias("t")), WIDTH, RADIUS, LEAST_ALIKE))
+    members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
+    members = settle(rows.select(F.col("row").alias("node"), row_id.alias("id")).join(members, "node"))
+    kept = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("k")).select(F.col("k.node").alias("node"))
+    gone = settle(members.join(kept, "node", "left_anti").select(F.col("node").alias("row")))
+    return rows.join(checked_broadcast(gone, BROADCAST_IDS), "row", "left_anti").drop("row").toDF(*docs.columns)
