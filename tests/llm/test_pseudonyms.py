@@ -21,7 +21,7 @@ def test_feistel_is_a_permutation(spark):
 
 def run(spark, texts):
     docs = spark.createDataFrame([(k, t, "h", 2) for k, t in texts], "doc_id long, text string, pii string, found int")
-    done = ps.pseudonymise(docs.drop("pii"), "key")
+    done = ps.pseudonymise(docs, "key")
     assert done.columns == ["doc_id", "text", "found", "pii"]
     return {r.doc_id: r for r in done.collect()}
 
@@ -56,3 +56,63 @@ def test_empty_table_and_counts(spark):
     # A permutation: no two addresses share a pseudonym.
     many = spark.range(3000).select("id", F.concat(F.lit("10.0."), (F.col("id") / 250).cast("int"), F.lit("."), F.col("id") % 250).alias("text"))
     assert ps.pseudonymise(many, "k").select("text").distinct().count() == 3000
+
+
+def iban_ok(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_more_formats(spark):
+    got = run(spark, [
+        (1, "3782 822463 10005 and 378282246310005"), (2, "+44 20 7946 0958, (+442079460958) +49 30 901820"), (3, "DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, DE89370400440532013000; DE88370400440532013000"),
+        (4, "2001:db8::1 2001:0DB8:0:0:0:0:0:1 ::1 12:34:56 a::b::c"), (5, "3/4/1990, 03/04/1990 12/25/2001 3.4.1990"), (6, "12 March 1990; March 12, 1990; 12 Mar 1990; 31 February 1990"),
+        (7, "an müller@firma.de. x"), (8, "ünited1990-01-02 v1.2.3 1990-01-02x"), (9, "AB12 1234"),
+    ])
+    new = {k: [s.new for s in r.pii] for k, r in got.items()}
+    kinds = {k: [s.kind for s in r.pii] for k, r in got.items()}
+    assert kinds[1] == ["card", "card"] and new[1][0].replace(" ", "") == new[1][1] and luhn(new[1][1]) and re.fullmatch(r"\d{4} \d{6} \d{5}", new[1][0])
+    assert kinds[2] == ["intl"] * 3 and re.fullmatch(r"\+44 \d\d \d{4} \d{4}", new[2][0]) and new[2][0].replace(" ", "") == new[2][1] and re.fullmatch(r"\+49 \d\d \d{6}", new[2][2])
+    assert kinds[3] == ["iban"] * 3 and all(map(iban_ok, new[3])) and new[3][0].replace(" ", "") == new[3][2] and new[3][1][4:8] == "WEST" and got[3].text.endswith("DE88370400440532013000")
+    assert kinds[4] == ["ipv6"] * 3 and new[4][0] == new[4][1] != new[4][2] and len(new[4][0].split(":")) == 8 and got[4].text.endswith("12:34:56 a::b::c")
+    assert kinds[5] == ["date"] * 4
+    as_days = [tuple(map(int, re.split("[/.]", x))) for x in new[5]]
+    assert as_days[0] == as_days[1] == as_days[3]
+    assert kinds[6] == ["date"] * 3 and got[6].text.endswith("31 February 1990")
+    assert new[6][0].split()[0] == new[6][1].split()[1].rstrip(",") and new[6][0].split()[1][:3] == new[6][2].split()[1]
+    assert kinds[7] == ["email"] and got[7].text == f"an {new[7][0]}. x"
+    assert kinds[8] == kinds[9] == []
+    for k, old in ((1, "82246"), (2, "7946"), (3, "0044 0532"), (4, "db8"), (6, "12 March 1990"), (7, "müller")):
+        assert old not in got[k].text
+
+
+def test_repeated_rows_and_a_key_that_no_plan_shows(spark):
+    docs = spark.createDataFrame([(1, "10.0.0.1"), (1, "10.0.0.1"), (None, "10.0.0.1")], "doc_id long, text string")
+    done = ps.pseudonymise(docs, "a-secret-key")
+    assert len({r.text for r in done.collect()}) == 1 and done.count() == 3
+    assert "a-secret-key" not in done._jdf.queryExecution().toString()
+
+
+def plain_finds(text):
+    """What the formats of digits alone are, told by taking the text apart at white space."""
+    out = []
+    for w in text.split():
+        w = w.strip(".,;()")
+        if re.fullmatch(r"\d{3}-\d\d-\d{4}", w) and w[:3] not in ("000", "666") and w[0] != "9" and w[4:6] != "00" and w[7:] != "0000":
+            out.append(("ssn", w))
+        elif re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", w) and all(int(o) < 256 for o in w.split(".")):
+            out.append(("ip", w))
+        elif re.fullmatch(r"\d{13,19}", w) and luhn(w):
+            out.append(("card", w))
+    return out
+
+
+def test_finds_against_words(spark):
+    import random
+
+    rng = random.Random(2)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    some = [lambda: f"{num(3)}-{num(2)}-{num(4)}", lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: num(16), lambda: "word", lambda: num(5)]
+    texts = [(k, " ".join(rng.choice(some)() + rng.choice(["", "", ",", "."]) for _ in range(60))) for k in range(60)]
+    for k, r in run(spark, texts).items():
+        assert [(s.kind, s.old) for s in r.pii if s.kind in ("ssn", "ip", "card")] == plain_finds(dict(texts)[k])
