@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import CALIBRATED_ON, CAPABILITY_BASELINE, CAPABILITY_FIELDS, CAPABILITY_STATES, DEDUP_KEYS, DIRECTIONS, INPUT_MODES, NOT_OBSERVABLE, SCORE_TYPES, SEVERITIES
+from ..config import CALIBRATED_ON, CAPABILITY_BASELINE, CAPABILITY_FIELDS, DEDUP_KEYS, DIRECTIONS, INPUT_MODES, NOT_OBSERVABLE, SCORE_TYPES, SEVERITIES
 from .scalars import any_of, canonical, sigmoid
 
 
@@ -79,8 +79,8 @@ def alert_ips(json: Column) -> Column:
 def capability_baseline(mode: Column) -> Column:
     """struct of the 14 fields' states that an input mode starts with."""
     fields = []
-    for k, f in enumerate(CAPABILITY_FIELDS):
-        state = reduce(lambda c, x, k=k: c.when(mode == x[0], CAPABILITY_STATES[x[1][k]]), CAPABILITY_BASELINE.items(), F.when(F.lit(False), F.lit(None)))
+    for f in CAPABILITY_FIELDS:
+        state = reduce(lambda c, x, f=f: c.when(mode == x[0], x[1][f]), CAPABILITY_BASELINE.items(), F.when(F.lit(False), F.lit(None)))
         fields.append(state.otherwise(NOT_OBSERVABLE).alias(f))
     return F.struct(*fields)
 

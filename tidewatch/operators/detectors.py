@@ -168,7 +168,9 @@ def novelty(events: DataFrame, cfg: TlsConfig = TlsConfig(), baseline: DataFrame
     for kind in ("ja3", "ja4"):
         e = e.withColumn(f"_{kind}", F.nullif(F.lower(kind), F.lit("")))
         # The latest sighting so far, as an older event doesn't turn it back.
-        before = F.max("t_us").over(Window.partitionBy(f"_{kind}").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
+        # Flows without a fingerprint are dealt out by their number, as nothing is asked of them.
+        none = F.when(C(f"_{kind}").isNull(), C("event_seq"))
+        before = F.max("t_us").over(Window.partitionBy(f"_{kind}", none).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
         if baseline is not None:
             known = baseline.where(C("kind") == kind).select(C("fingerprint").alias(f"_{kind}"), C("last_us").alias(f"_{kind}_us"))
             e = e.join(known, f"_{kind}", "left")
