@@ -15,6 +15,7 @@ from .enrich import directional_bytes
 from .sessions import ORDER, along, first_crossing, running_distinct, sessions
 
 C = F.col
+FLEET_SLICE_US = 3_600_000_000
 
 
 def clamp(c: Column) -> Column:
@@ -49,30 +50,52 @@ def scan(events: DataFrame, cfg: ScanConfig = ScanConfig(), plan: AddressPlan =
 
 
 def fleet_size(events: DataFrame, key: list[str]) -> DataFrame:
-    """events with fleet, the number of distinct sources that a destination has had so far, over all time."""
-    s = events.withColumn("session", F.lit(0))
-    return running_distinct(s, key, ["src_ip"]).withColumnRenamed("n_src_ip", "fleet").drop("session")
+    """events with fleet, the number of distinct sources that a destination has had so far, over all time. First sights are counted by slices of time, so that a service in use by everyone is split; the sights of a slice are met by its events in one sorted pass."""
+    slice_of = F.floor(C("t_us") / FLEET_SLICE_US)
+    sights = first_sights(events, key).select(*key, "at.*").withColumns({"_slice": slice_of, "_new": F.lit(1)})
+    both = events.withColumns({"_slice": slice_of, "_new": F.lit(0)}).unionByName(sights, allowMissingColumns=True).withColumn("_event", C("_new") == 0)
+    own = Window.partitionBy(*key, "_slice").orderBy(*ORDER).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sights.groupBy(*key, "_slice").agg(F.sum("_new").alias("_n"))
+    starts = events.select(*key, slice_of.alias("_slice")).distinct().join(starts, [*key, "_slice"], "left").select(*key, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counted = both.withColumn("_so_far", F.sum("_new").over(own)).where("_event")
+    return counted.join(starts, [*key, "_slice"]).withColumn("fleet", C("_before") + C("_so_far")).select(*events.columns, "fleet")
+
+
+def first_sights(events: DataFrame, key: list[str]) -> DataFrame:
+    """key, src_ip and at (t_us, event_seq), one row for each source that a destination has had; combined before the shuffle."""
+    return events.where(C("src_ip").isNotNull()).groupBy(*key, "src_ip").agg(F.min(F.struct(*ORDER)).alias("at"))
+
+
+def shared_from(events: DataFrame, key: list[str], hosts: int) -> DataFrame:
+    """key and since: the event at which a destination has its `hosts`-th source; no row for one that never has so many. Only so many first sights of each destination are shuffled from a task."""
+    n = F.row_number().over(Window.partitionBy(*key).orderBy("at"))
+    return first_sights(events, key).withColumn("_n", n).where(C("_n") <= hosts).groupBy(*key).agg(F.max("at").alias("since"), F.count(F.lit(1)).alias("_n")).where(C("_n") == hosts).drop("_n")
 
 
 def c2(events: DataFrame, cfg: C2Config = C2Config()) -> DataFrame:
     """Conversations with regular gaps: at least min_events among the last 64 stamps, a mean of 50 ms or more and a sample coefficient of variation up to max_cv. A destination that several hosts share is a service."""
     keys = list(cfg.key)
     e = filters.c2_input(events, cfg)
-    if cfg.fleet_hosts:
-        e = fleet_size(e, [k for k in keys if k != "src_ip"])
     s = sessions(e, keys, cfg.gap_s)
     iat = (C("t_us") - F.lag("t_us").over(Window.partitionBy(*keys, "session").orderBy(*ORDER))) / 1e6
     s = s.withColumn("iat", F.when(iat > cfg.min_iat_s, iat))
     w, recent = along(keys), along(keys, cfg.history - 2)
     s = s.withColumns({
-        "n": F.least(F.count(F.lit(1)).over(w), F.lit(cfg.history)), "valid": F.count("iat").over(recent), "iat_mean": F.avg("iat").over(recent), "iat_std": F.coalesce(F.stddev_samp("iat").over(recent), F.lit(0.0)), "first_us": F.min("t_us").over(w),
+        "n": F.least(F.count(F.lit(1)).over(w), F.lit(cfg.history)), "valid": F.count("iat").over(recent), "iat_mean": F.avg("iat").over(recent), "iat_std": F.coalesce(F.stddev_samp("iat").over(recent), F.lit(0.0)), "first_us": F.min("t_us").over(w), "rn": F.row_number().over(Window.partitionBy(*keys, "session").orderBy(*ORDER)),
     })
     cv = C("iat_std") / C("iat_mean")
     regular = (C("n") >= cfg.min_events) & (C("valid") >= cfg.min_valid) & (C("iat_mean") >= cfg.min_mean_s) & (cv <= cfg.max_cv)
+    candidates = s.where(regular)
     if cfg.fleet_hosts:
-        regular = regular & (C("fleet") < cfg.fleet_hosts)
-    hit = first_crossing(s.withColumn("gaps", F.collect_list("iat").over(recent)), keys, regular)
-    out = hit.select(
+        service = [k for k in keys if k != "src_ip"]
+        candidates = candidates.join(shared_from(e, service, cfg.fleet_hosts), service, "left").where(C("since").isNull() | (F.struct(*ORDER) < C("since")))
+    hit = first_crossing(candidates, keys, F.lit(True))
+    # The gaps are gathered for the alerts alone, not for every event.
+    own = [*keys, "session"]
+    near = s.select(*own, C("rn").alias("u_rn"), "iat").where("iat is not null").join(hit.select(*own, "rn"), own).where((C("u_rn") <= C("rn")) & (C("u_rn") > C("rn") - (cfg.history - 1)))
+    gaps = near.groupBy(*own).agg(F.transform(F.sort_array(F.collect_list(F.struct("u_rn", "iat"))), lambda x: x["iat"]).alias("gaps"))
+    out = hit.drop("iat").join(gaps, own).select(
         *keys, *ORDER, "first_us", C("n").alias("event_count"), "iat_mean", "iat_std", cv.alias("iat_cv"), features.quantile_of(C("gaps"), 0.5).alias("iat_median"), features.mad_of(C("gaps")).alias("iat_mad"), ((C("t_us") - C("first_us")) / 1e6).alias("duration_s"),
         F.slice("gaps", 1, 10).alias("sample_iats"), F.lit("c2_beacon").alias("threat_class"), clamp(1 - 0.5 * cv / cfg.max_cv).alias("score"), F.when(cv < 0.08, "CRITICAL").otherwise("HIGH").alias("severity"),
     )
@@ -82,7 +105,7 @@ def c2(events: DataFrame, cfg: C2Config = C2Config()) -> DataFrame:
 def dga(dns: DataFrame, cfg: DgaConfig = DgaConfig(), model: DataFrame | None = None, mode: str = "off", threshold: float = 0.5) -> DataFrame:
     """Sources whose first 100 queries score high, or rather high with many failures; once for each source. The failure count goes on past the hundred, so the rate can pass 1. With mode `on`, a model's mean probability (qname, p) decides; with `shadow` it is reported."""
     s = filters.dns_input(dns).withColumn("_core", domains.core_label(C("qname")))
-    s = s.withColumns({"session": F.lit(0), "score1": domains.rule_score(C("qname"), C("_core"))}).drop("_core")
+    s = s.withColumn("session", F.lit(0))
     if model is not None and mode != "off":
         s = s.join(model.select("qname", "p"), "qname", "left").withColumn("p", F.when(domains.is_allowlisted(C("qname")), 0.0).otherwise(C("p")))
     else:
@@ -90,6 +113,7 @@ def dga(dns: DataFrame, cfg: DgaConfig = DgaConfig(), model: DataFrame | None =
     w = along(["src_ip"])
     s = s.withColumn("rn", F.row_number().over(Window.partitionBy("src_ip", "session").orderBy(*ORDER)))
     kept = C("rn") <= cfg.history
+    s = s.withColumn("score1", F.when(kept, domains.rule_score(C("qname"), C("_core")))).drop("_core")  # of the names that count, not of all
     s = s.withColumns({
         "n": F.least("rn", F.lit(cfg.history)), "avg_score": F.avg(F.when(kept, C("score1"))).over(w), "nx": F.sum(F.coalesce(C("nxdomain"), F.lit(False)).cast("int")).over(w), "first_us": F.min("t_us").over(w),
         "model_mean": F.avg(F.when(kept, C("p"))).over(w), "model_n": F.count(F.when(kept, C("p"))).over(w),
@@ -251,8 +275,10 @@ def reflection(events: DataFrame, cfg: ReflectionConfig = ReflectionConfig(), pl
 
 
 def cooled(df: DataFrame, keys: list[str], at: str, cooldown: float) -> DataFrame:
-    """Rows that fire: a key's first, then each first one at least `cooldown` after the last that fired. The recurrence is a fold over a key's candidate stamps, one long each."""
-    stamps = df.groupBy(*keys).agg(F.sort_array(F.collect_set(at)).alias("_s"))
+    """Rows that fire: a key's first, then each first one at least `cooldown` after the last that fired. A stamp that long after its predecessor always fires, so the recurrence is a fold over each stretch of closer stamps, one long each."""
+    by = Window.partitionBy(*keys).orderBy(at)
+    stamps = df.select(*keys, at).distinct().withColumn("_new", F.coalesce((C(at) - F.lag(at).over(by) >= cooldown).cast("int"), F.lit(0)))
+    stamps = stamps.withColumn("_stretch", F.sum("_new").over(by)).groupBy(*keys, "_stretch").agg(F.sort_array(F.collect_list(at)).alias("_s"))
 
     def step(acc: Column, x: Column) -> Column:
         return F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= cooldown), F.concat(acc, F.array(x))).otherwise(acc)
@@ -271,10 +297,20 @@ def reflection_rule(windows: DataFrame, plan: AddressPlan = AddressPlan(), min_f
 def slowloris(flows: DataFrame, cfg: SlowlorisConfig = SlowlorisConfig()) -> DataFrame:
     """From flow summaries (w_us, end of their window; dst_ip, dst_port, duration_s, bytes, packets): target and window with many long, small, slow flows in the last memory_s. A missing port is 80."""
     f = flows.where(C("dst_ip").isNotNull()).withColumn("dst_port", F.coalesce(F.nullif("dst_port", F.lit(0)), F.lit(80)))
-    back = Window.partitionBy("dst_ip", "dst_port").orderBy("w_us").rangeBetween(-int(cfg.memory_s * 1_000_000), 0)
+    own, memory = ["dst_ip", "dst_port", "w_us"], int(cfg.memory_s * 1_000_000)
+    back = Window.partitionBy("dst_ip", "dst_port").orderBy("w_us").rangeBetween(-memory, 0)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    s = f.select("dst_ip", "dst_port", "w_us", F.count(F.lit(1)).over(back).alias("concurrency"), F.sort_array(F.collect_list(zero("duration_s").cast("double")).over(back)).alias("d"), F.sum(zero("bytes")).over(back).alias("b"), F.sum(zero("packets")).over(back).alias("p")).dropDuplicates(["dst_ip", "dst_port", "w_us"])
-    s = s.select("dst_ip", "dst_port", "w_us", "concurrency", features.nearest_rank(C("d"), 0.95).alias("duration_p95"), (C("b") / C("concurrency")).alias("bytes_per_connection"), (C("p") / F.lit(cfg.window_s)).alias("pps"))
-    hit = s.where((C("concurrency") >= cfg.min_flows) & (C("duration_p95") >= cfg.min_p95_s) & (C("bytes_per_connection") <= cfg.max_bytes) & (C("pps") <= cfg.max_pps))
+    # One row for each window and duration, then one for each window: the target under attack is combined before the shuffle.
+    by_duration = f.groupBy(*own, zero("duration_s").cast("double").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum(zero("bytes")).alias("b"), F.sum(zero("packets")).alias("p"))
+    s = by_duration.groupBy(*own).agg(F.sum("n").alias("n"), F.sum(F.when(C("d") < cfg.min_p95_s, C("n")).otherwise(0)).alias("short"), F.sum("b").alias("b"), F.sum("p").alias("p"))
+    s = s.select(*own, *[F.sum(x).over(back).alias(y) for x, y in (("n", "concurrency"), ("short", "short"), ("b", "b"), ("p", "p"))])
+    s = s.withColumns({"rank": F.ceil(F.lit(0.95) * C("concurrency")), "bytes_per_connection": C("b") / C("concurrency"), "pps": C("p") / F.lit(cfg.window_s)}).drop("b", "p")
+    # The percentile reaches the threshold if fewer flows than its rank are below; it is worked out for the alerts alone.
+    hit = s.where((C("concurrency") >= cfg.min_flows) & (C("short") < C("rank")) & (C("bytes_per_connection") <= cfg.max_bytes) & (C("pps") <= cfg.max_pps)).drop("short")
+    part = F.floor(C("w_us") / memory)
+    served = by_duration.select("dst_ip", "dst_port", C("w_us").alias("u_us"), "d", "n", F.explode(F.array(part, part + 1)).alias("_part"))
+    near = hit.select(*own, "rank", part.alias("_part")).join(served, ["dst_ip", "dst_port", "_part"]).where(C("u_us").between(C("w_us") - memory, C("w_us")))
+    near = near.groupBy(*own, "rank", "d").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy(*own).orderBy("d")))
+    hit = hit.drop("rank").join(near.where(C("upto") >= C("rank")).groupBy(*own).agg(F.min("d").alias("duration_p95")), own)
     out = hit.withColumns({"score": clamp(0.5 * C("concurrency") / cfg.min_flows + 0.5 * C("duration_p95") / cfg.min_p95_s), "severity": F.lit("HIGH"), "threat_class": F.lit("slowloris"), "t_us": C("w_us"), "event_seq": C("w_us"), "first_us": C("w_us")})
     return named(out, "ddos", "anomaly_score")

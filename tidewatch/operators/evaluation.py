@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantile_bucket, sums_before
+
 C = F.col
 
 
@@ -66,10 +68,10 @@ def brier(pairs: DataFrame) -> DataFrame:
 
 
 def roc_auc(pairs: DataFrame) -> DataFrame:
-    """The area from counts of each distinct score: equal scores share their rank. Distinct scores are summed in order by a window over them, so p should be rounded where there are very many."""
+    """The area from counts of each distinct score: equal scores share their rank. Distinct scores are summed in order by buckets of quantiles."""
     by = pairs.groupBy("p").agg(F.sum(C("y").cast("long")).alias("pos"), F.sum(1 - C("y")).cast("long").alias("neg"))
-    below = F.sum("neg").over(Window.partitionBy(F.lit(1)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    t = by.withColumn("below", F.coalesce(below, F.lit(0))).agg(F.sum(C("pos") * (C("below") + C("neg") / 2)).alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    by = sums_before(quantile_bucket(by, "p"), "p", C("_bucket"), ["neg"])
+    t = by.agg(F.sum(C("pos") * (C("neg_before") + C("neg") / 2)).alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return t.select(F.when((C("pos") > 0) & (C("neg") > 0), C("wins") / (C("pos") * C("neg"))).alias("auc"))
 
 
@@ -80,11 +82,12 @@ def brier_by_detector(df: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(df: DataFrame, value: str) -> DataFrame:
-    """p50, p95, p99 (the round(q n)-th smallest) and max: distinct values are counted first, so no task sorts all rows."""
-    by = df.where(C(value).isNotNull()).groupBy(C(value).alias("v")).count()
-    one = Window.partitionBy(F.lit(1)).orderBy("v")
-    c = by.select("v", F.sum("count").over(one).alias("upto"), F.sum("count").over(Window.partitionBy(F.lit(1))).alias("n"))
-    at = lambda q: F.min(F.when(C("upto") >= F.greatest(F.round(F.lit(q) * C("n")), F.lit(1)), C("v")))
+    """p50, p95, p99 (the round(q n)-th smallest) and max: distinct values are counted first and summed in order by buckets of quantiles, so no task sorts all rows or values."""
+    rows = df.where(C(value).isNotNull())
+    by = rows.groupBy(C(value).alias("v")).agg(F.count(F.lit(1)).alias("count"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"))  # one row
+    c = sums_before(quantile_bucket(by, "v"), "v", C("_bucket"), ["count"]).join(F.broadcast(total), how="cross")
+    at = lambda q: F.min(F.when(C("count_before") + C("count") >= F.greatest(F.round(F.lit(q) * C("n")), F.lit(1)), C("v")))
     return c.agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max("v").alias("max"))
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DdosConfig
+from .ordered import sums_before
 
 C = F.col
+DAY_US = 86_400_000_000
 OUT = "w_us long, pps double, median_pps double, mad_pps double, z double, run int, flood boolean, threat_class string, alert boolean"
 
 
@@ -86,12 +88,9 @@ def alerts(windows: DataFrame, cfg: DdosConfig = DdosConfig()) -> DataFrame:
 
 
 def runs(windows: DataFrame, min_pps: float, length: int = 2) -> DataFrame:
-    """Stretches of at least `length` successive windows (rows, not calendar time) at min_pps or more: gaps and islands, without the baseline."""
-    from pyspark.sql import Window
-
-    one = Window.partitionBy(F.lit(1)).orderBy("w_us")
-    n = windows.select("w_us", "pps", F.row_number().over(one).alias("n"))
-    hot = n.where(C("pps") >= min_pps)
-    island = hot.withColumn("island", C("n") - F.row_number().over(one))
-    g = island.groupBy("island").agg(F.min("w_us").alias("start_us"), F.max("w_us").alias("end_us"), F.count(F.lit(1)).alias("windows"), F.max("pps").alias("peak_pps"))
+    """Stretches of at least `length` successive windows (rows, not calendar time) at min_pps or more: gaps and islands, without the baseline. Windows are counted by days, so a task holds those of one."""
+    n = windows.select("w_us", "pps", F.lit(1).alias("row"), F.coalesce(C("pps") >= min_pps, F.lit(False)).cast("int").alias("hot"))
+    n = sums_before(n, "w_us", F.floor(C("w_us") / DAY_US), ["row", "hot"])
+    # Within a stretch both counts grow by one a window.
+    g = n.where("hot = 1").groupBy((C("row_before") - C("hot_before")).alias("island")).agg(F.min("w_us").alias("start_us"), F.max("w_us").alias("end_us"), F.count(F.lit(1)).alias("windows"), F.max("pps").alias("peak_pps"))
     return g.where(C("windows") >= length).drop("island")

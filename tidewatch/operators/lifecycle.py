@@ -29,7 +29,7 @@ def updates(df: DataFrame, cfg: LifecycleConfig = LifecycleConfig()) -> DataFram
 
     The first alert is NEW, the second ACTIVE, later ones UPDATED. Score and severity keep their peak, confidence the newest of equal peaks; the last sighting only moves forward, and a newer value replaces an older one in the evidence.
     """
-    by = Window.partitionBy("incident_id").orderBy("t_us", "event_seq")
+    by = Window.partitionBy("incident_id").orderBy("t_us", "event_seq", *[c for c in ("detector", "threat_class", "score") if c in df.columns])
     w = by.rowsBetween(Window.unboundedPreceding, 0)
     status = F.when(C("ordinal") == 1, "NEW").when(C("ordinal") == 2, "ACTIVE").otherwise("UPDATED")
     rank = fn.severity_rank(C("severity"))
@@ -43,15 +43,46 @@ def updates(df: DataFrame, cfg: LifecycleConfig = LifecycleConfig()) -> DataFram
     if "confidence" in df.columns:
         peak = F.max(F.when(C("confidence").isNotNull(), F.struct("confidence", "ordinal", "calibrated_on"))).over(w)
         out |= {"confidence": peak["confidence"], "calibrated_on": peak["calibrated_on"]}
+    d = d.withColumns(out)
+    # What is merged over alerts is not gathered anew for each: first sights and missing keys are looked up.
+    types = dict(df.dtypes)
     if "flows" in df.columns:
-        out["flows"] = F.slice(F.array_distinct(F.flatten(F.collect_list("flows").over(w))), 1, cfg.max_flows)
+        seen_so_far = F.transform(F.filter("_sights", lambda x: x["at"]["ordinal"] <= C("ordinal")), lambda x: x["v"])
+        d = looked_up(d, first_sights(d, "flows", cfg.max_flows), ["incident_id"]).withColumn("flows", F.coalesce(seen_so_far, F.array().cast(types["flows"]))).drop("_sights")
     if "evidence" in df.columns:
-        maps = F.collect_list("evidence").over(w)
-        out["evidence"] = F.aggregate(maps, F.create_map().cast("map<string,string>"), lambda s, m: F.map_concat(F.map_filter(s, lambda k, _: ~F.map_contains_key(m, k)), m))
-    d = d.withColumns(out)
+        none = F.create_map().cast(types["evidence"])
+        older = F.coalesce("_older", none)
+        own = F.map_filter(F.coalesce("evidence", none), lambda k, _: ~F.map_contains_key(older, k))
+        d = looked_up(d, older_values(d), ["incident_id", "ordinal"]).withColumn("evidence", F.map_concat(own, older)).drop("_older")
     return d.withColumn("duration_s", F.greatest((C("last_observed_us") - C("first_observed_us")) / 1e6, F.lit(0.001))).drop("_count", "_first", "_last")
 
 
+def looked_up(d: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join by keys that may be null. A plain one would also test the keys for null at the source, where their long expressions would be worked out once more."""
+    renamed = found.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return d.join(renamed, [C(k).eqNullSafe(C(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+
+
+def first_sights(d: DataFrame, column: str, most: int) -> DataFrame:
+    """incident_id and _sights, the first `most` distinct values of an array column in order of their first sight, as structs (at, v)."""
+    v = d.select("incident_id", "ordinal", F.posexplode(column).alias("pos", "v"))
+    sights = v.groupBy("incident_id", "v").agg(F.min(F.struct("ordinal", "pos")).alias("at"))
+    n = F.row_number().over(Window.partitionBy("incident_id").orderBy("at"))
+    return sights.withColumn("n", n).where(C("n") <= most).groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("_sights"))
+
+
+def older_values(d: DataFrame) -> DataFrame:
+    """incident_id, ordinal and _older, a map of the newest values so far of those evidence keys that some of the incident's alerts lack. Keys that all alerts have need no look back."""
+    keys = F.coalesce(F.sort_array(F.map_keys("evidence")), F.array().cast("array<string>"))
+    shapes = F.collect_set(keys).over(Window.partitionBy("incident_id"))  # a few for each detector
+    lacking = F.filter(F.array_distinct(F.flatten("_shapes")), lambda k: F.exists("_shapes", lambda s: ~F.array_contains(s, k)))
+    rows = d.select("incident_id", "ordinal", "evidence", shapes.alias("_shapes")).select("incident_id", "ordinal", "evidence", F.explode(lacking).alias("k"))
+    held = F.when(F.map_contains_key("evidence", C("k")), F.struct(F.try_element_at("evidence", C("k")).alias("v")))
+    upto = Window.partitionBy("incident_id", "k").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.select("incident_id", "ordinal", "k", F.last(held, ignorenulls=True).over(upto).alias("x")).where("x is not null")
+    return last.groupBy("incident_id", "ordinal").agg(F.map_from_entries(F.collect_list(F.struct("k", C("x.v").alias("v")))).alias("_older"))
+
+
 def incidents(updated: DataFrame) -> DataFrame:
     """The latest row of each incident."""
     n = F.row_number().over(Window.partitionBy("incident_id").orderBy(C("ordinal").desc()))

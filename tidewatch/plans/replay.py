@@ -46,8 +46,12 @@ def alerts(events: DataFrame, dns: DataFrame | None = None, tls: DataFrame | Non
 def signed(all_alerts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The ledger: every alert as an update of its incident, in order, chained."""
     a = all_alerts.withColumns({"evidence": F.from_json("evidence_json", "map<string,string>"), "last_us": C("t_us")})
-    u = lifecycle.updates(a, settings.lifecycle).withColumn("last_observed", scalars.iso8601(C("last_observed_us")))
-    u = u.withColumn("payload_hash", chain.struct_hash(["incident_id", "dedup_key", "detector", "status", "severity", "score", "event_count", "last_observed", "evidence_json"]))
-    u = u.withColumn("order", F.struct("t_us", "event_seq", "detector", "incident_id"))
-    sealed = chain.sealed(u.select("order", "incident_id", "last_observed", "payload_hash"))
-    return u.join(sealed, ["incident_id", "last_observed", "payload_hash"])
+
+    def hashed(found: DataFrame) -> DataFrame:
+        u = lifecycle.updates(found, settings.lifecycle).withColumn("last_observed", scalars.iso8601(C("last_observed_us")))
+        u = u.withColumn("payload_hash", chain.struct_hash(["incident_id", "dedup_key", "detector", "status", "severity", "score", "event_count", "last_observed", "evidence_json"]))
+        return u.withColumn("order", F.struct("t_us", "event_seq", "detector", "incident_id"))
+
+    # The chain has each alert's own evidence, so it needs no merged one.
+    sealed = chain.sealed(hashed(a.drop("evidence")).select("order", "incident_id", "last_observed", "payload_hash"))
+    return hashed(a).join(sealed, ["incident_id", "last_observed", "payload_hash"])
