@@ -108,7 +108,8 @@ def linked_edges(shards: DataFrame, radius: int, least_alike: float | None = Non
     keyed = keyed.repartition("shard").sortWithinPartitions("shard", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in whole_groups(batches, 8192 if extra else 65_536):  # hashes are long
+        # Hashes are long: small slices, so that few rows are copied at a time.
+        for b in whole_groups(slices(batches, 1024), 2048) if extra else whole_groups(batches):
             group, node, code = (b.column(k).to_numpy() for k in range(3))
             sketch = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(len(node), -1) if extra else None
             sets = b.column(4).to_pylist() if extra else None
