@@ -12,6 +12,7 @@ from ..operators import detectors, evaluation, lifecycle, ml
 from ..sources import flowrec, pcap
 from ..streaming import windows
 from . import replay, views
+from .detect_queries import SESSION
 from .registry import query
 from .views import sql
 
@@ -112,7 +113,11 @@ def replay_incidents(spark, d):
     return lifecycle.incidents(replay.signed(found, SETTINGS)).select("incident_id", "detector", "status", "severity", "score", "event_count", "last_observed", "seq", "entry_hash")
 
 
-@query("threshold_sweep")
+@query("threshold_sweep", sql(f"""
+WITH e AS (SELECT * FROM v_flow WHERE NOT ((src_port < 1024 OR src_port IN (53, 123, 389, 1900, 11211)) AND dst_port >= 1024) AND NOT (src_ip IN ('10.10.0.53', '10.0.1.2') AND dst_port = 53)), {SESSION("src_ip", 48 * HOUR, "e")},
+r AS (SELECT a.src_ip, a.session, a.t_us, a.event_seq, count(DISTINCT b.dst_ip) AS hosts, count(DISTINCT b.dst_port) AS ports FROM s a JOIN s b ON a.src_ip = b.src_ip AND a.session = b.session AND (b.t_us, b.event_seq) <= (a.t_us, a.event_seq) GROUP BY 1, 2, 3, 4),
+hit AS (SELECT setting, greatest(hosts / h, ports / p) AS score FROM r, (VALUES ('hosts4_ports4', 4, 4), ('hosts4_ports5', 4, 5), ('hosts6_ports4', 6, 4), ('hosts6_ports5', 6, 5)) v(setting, h, p) WHERE hosts >= h OR ports >= p QUALIFY row_number() OVER (PARTITION BY setting, src_ip, session ORDER BY t_us, event_seq) = 1)
+SELECT setting, count(*) AS alerts, round(max(score), 6) AS peak FROM hit GROUP BY 1""", "v_flow"))
 def threshold_sweep(spark, d):
     """Scan alerts under a grid of thresholds."""
     configs = {f"hosts{h}_ports{p}": ScanConfig(gap_s=172_800.0, min_hosts=h, min_ports=p) for h in (4, 6) for p in (4, 5)}
