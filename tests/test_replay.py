@@ -1,3 +1,5 @@
+import hashlib
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import chain, lifecycle
 from tidewatch.plans import replay
+from tidewatch.schema import ALERT
 from tidewatch.sources.tables import attack, synthetic_flows
 
 T0 = 1_773_280_000_000_000
@@ -28,3 +31,12 @@ def test_attacks_become_signed_incidents(spark):
 def test_quiet_traffic_raises_no_scan_beacon_or_flood(spark):
     r = replay.alerts(synthetic_flows(spark, 20_000, rate=20)).groupBy("detector").count().collect()
     assert {x.detector for x in r} <= {"exfil", "c2"}
+
+
+def test_alerts_follow_the_contract(spark):
+    found = replay.alerts(attack("scan", spark, T0, 200, "10.10.0.60"))
+    r = replay.reported(found)
+    assert [(f.name, f.dataType) for f in r.schema] == [(f.name, f.dataType) for f in spark.createDataFrame([], ALERT).schema]
+    one = r.where("detector = 'scan'").first()
+    assert (one.schema_version, one.flow_ref_type, one.status, one.flow_id) == ("1.3", "entity", "NEW", hashlib.sha256(b"10.10.0.60").hexdigest()[:16])
+    assert json.loads(one.evidence)["unique_port_count"] >= 100

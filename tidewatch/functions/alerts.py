@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import CALIBRATED_ON, CAPABILITY_BASELINE, CAPABILITY_FIELDS, DEDUP_KEYS, DIRECTIONS, INPUT_MODES, NOT_OBSERVABLE, SCORE_TYPES, SEVERITIES
-from .scalars import any_of, canonical, sigmoid
+from ..config import CALIBRATED_ON, CAPABILITY_BASELINE, CAPABILITY_FIELDS, DEDUP_KEYS, DIRECTIONS, ENTITY_DETECTORS, INPUT_MODES, KEY_PART_DETECTORS, NOT_OBSERVABLE, SCORE_TYPES, SEVERITIES
+from .scalars import any_of, canonical, identifier, part, sigmoid
 
 
 def severity_of(score: Column, score_type: Column) -> Column:
@@ -71,6 +71,15 @@ def dedup_key(detector: Column, ps_class: Column, parts: dict[str, Column]) -> C
     return reduce(lambda c, x: c.when(detector == x[0], one(x[1])), DEDUP_KEYS.items(), F.when(F.lit(False), F.lit(None))).otherwise(one(DEDUP_KEYS["ddos"]))
 
 
+def flow_reference(detector: Column, key: Column, parts: dict[str, Column]) -> dict[str, Column]:
+    """flow_id and flow_ref_type of an alert: the host as it is, or the identifier's list of key parts, or the key."""
+    missing = F.lit(None).cast("string")
+    of_parts = reduce(lambda c, d: c.when(detector == d, canonical([(parts.get(n, missing), n in NUMBERS) for n in DEDUP_KEYS[d]])), KEY_PART_DETECTORS, F.when(F.lit(False), F.lit(None)))
+    entity = F.coalesce(detector.isin(*ENTITY_DETECTORS), F.lit(False))
+    text = F.when(entity, part(parts.get("src_ip", missing))).otherwise(F.coalesce(of_parts, key))
+    return {"flow_id": identifier(text), "flow_ref_type": F.when(entity, "entity").otherwise("aggregate")}
+
+
 def alert_ips(json: Column) -> Column:
     """Distinct IPv4 addresses in a text but the two public resolvers, in order of first sight."""
     return F.array_except(F.array_distinct(F.regexp_extract_all(json, F.lit(r"\b(?:\d{1,3}\.){3}\d{1,3}\b"), F.lit(0))), any_of(["1.1.1.1", "8.8.8.8"]))

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PS_CLASS, LifecycleConfig
+from ..config import ALERT_SCHEMA_VERSION, PS_CLASS, LifecycleConfig
 from ..functions import alerts as fn
 from ..functions import scalars
+from ..schema import ALERT
 
 C = F.col
+KEY_COLUMNS = ("src_ip", "dst_ip", "dst_port", "amplifier_port", "registered_domain", "ja3")
 
 
 def keyed(df: DataFrame) -> DataFrame:
     """ps_class, dedup_key, incident_id of alerts that lack them, from the detector and whatever key columns there are."""
     classes = F.create_map(*[F.lit(x) for kv in PS_CLASS.items() for x in kv])
     ps = F.coalesce(C("ps_class"), F.try_element_at(classes, C("detector"))) if "ps_class" in df.columns else F.try_element_at(classes, C("detector"))
-    parts = {n: C(n) for n in ("src_ip", "dst_ip", "dst_port", "amplifier_port", "registered_domain", "ja3") if n in df.columns}
+    parts = {n: C(n) for n in KEY_COLUMNS if n in df.columns}
     d = df.withColumn("ps_class", ps)
     key = fn.dedup_key(C("detector"), C("ps_class"), parts)
     d = d.withColumn("dedup_key", F.coalesce(C("dedup_key"), key) if "dedup_key" in df.columns else key)
@@ -24,6 +26,21 @@ def keyed(df: DataFrame) -> DataFrame:
     return d.withColumn("incident_id", F.coalesce(C("incident_id"), own) if "incident_id" in df.columns else own)
 
 
+def contract(df: DataFrame) -> DataFrame:
+    """Keyed and scored alerts as rows of schema.ALERT, with their flow reference. What an alert lacks is null; a status or count that is missing is NEW and 1, first and last sight are the alert's time."""
+    parts = {n: C(n) for n in KEY_COLUMNS if n in df.columns}
+    d = df.withColumns(fn.flow_reference(C("detector"), C("dedup_key"), parts)).withColumn("schema_version", F.lit(ALERT_SCHEMA_VERSION))
+    if "evidence_json" in df.columns:
+        d = d.withColumn("evidence", C("evidence_json"))
+    fallback = {"status": F.lit("NEW"), "event_count": F.lit(1), "first_us": C("t_us"), "last_us": C("t_us")}
+    out = []
+    for column in ALERT.replace("\n", " ").split(","):
+        name, kind = column.split()
+        value = C(name) if name in d.columns else F.lit(None)
+        out.append((F.coalesce(value, fallback[name]) if name in fallback else value).cast(kind).alias(name))
+    return d.select(*out)
+
+
 def updates(df: DataFrame, cfg: LifecycleConfig = LifecycleConfig()) -> DataFrame:
     """One row per alert in its incident's order (t_us, event_seq): ordinal, status, running event_count, score, severity, confidence with its source, first and last seen, and the duration. Columns flows (array) and evidence (map), if there are any, are merged.
 

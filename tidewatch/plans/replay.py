@@ -22,7 +22,8 @@ def as_alerts(found: DataFrame) -> DataFrame:
     evidence = [c for c in found.columns if c not in CORE and c != "status"]
     keys = [C(k).cast(t).alias(k) if k in found.columns else F.lit(None).cast(t).alias(k) for k, t in KEYS.items()]
     count = F.coalesce(*[C(c).cast("long") for c in ("event_count", "packets_sent", "query_count", "packets") if c in found.columns], F.lit(1))
-    return found.select(*CORE, *keys, count.alias("event_count"), F.to_json(F.struct(*evidence)).alias("evidence_json"))
+    status = C("status") if "status" in found.columns else F.lit("NEW")
+    return found.select(*CORE, *keys, status.alias("status"), count.alias("event_count"), F.to_json(F.struct(*evidence)).alias("evidence_json"))
 
 
 def alerts(events: DataFrame, dns: DataFrame | None = None, tls: DataFrame | None = None, settings: Settings = Settings(), windows_s: float | None = None, second_us: int = 1_000_000) -> DataFrame:
@@ -43,6 +44,11 @@ def alerts(events: DataFrame, dns: DataFrame | None = None, tls: DataFrame | Non
     return fn.scored(every.withColumns({"confidence": null.cast("double"), "calibrated_on": null.cast("string")}), settings.ddos.min_z)
 
 
+def reported(all_alerts: DataFrame) -> DataFrame:
+    """The alerts as rows of the contract, schema.ALERT."""
+    return lifecycle.contract(all_alerts.withColumn("last_us", C("t_us")))
+
+
 def signed(all_alerts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The ledger: every alert as an update of its incident, in order, chained."""
     a = all_alerts.withColumns({"evidence": F.from_json("evidence_json", "map<string,string>"), "last_us": C("t_us")})

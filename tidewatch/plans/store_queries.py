@@ -29,6 +29,13 @@ def _updates(spark, d):
     return lifecycle.updates(_alerts(spark, d))
 
 
+@query("alert_contract", sql("WITH " + KEYED + """, r AS (SELECT *, CASE WHEN detector IN ('scan', 'dga') THEN src_ip WHEN detector = 'c2' THEN '["' || src_ip || '","' || dst_ip || '",' || dst_port || ']' WHEN detector = 'dns' THEN '["' || src_ip || '","NOT_OBSERVABLE"]' WHEN detector = 'exfil' THEN '["' || src_ip || '","' || dst_ip || '"]' WHEN detector = 'tls_quic' THEN '["' || src_ip || '","NOT_OBSERVABLE","' || dst_ip || '"]' ELSE dedup_key END AS text FROM keyed)
+SELECT event_seq, '1.3' AS schema_version, substr(sha256(text), 1, 16) AS flow_id, CASE WHEN detector IN ('scan', 'dga') THEN 'entity' ELSE 'aggregate' END AS flow_ref_type, incident_id, dedup_key, severity, 'NEW' AS status, packets AS event_count, t_us AS first_us, t_us AS last_us, FALSE AS calibrated FROM r""", "v_alert"))
+def alert_contract(spark, d):
+    a = _alerts(spark, d).withColumns({"confidence": F.lit(None).cast("double"), "calibrated_on": F.lit(None).cast("string")})
+    return lifecycle.contract(fn.scored(a)).select("event_seq", "schema_version", "flow_id", "flow_ref_type", "incident_id", "dedup_key", "severity", "status", "event_count", "first_us", "last_us", "calibrated")
+
+
 def _ledger(spark, d):
     """Updates with their arrival as seq."""
     return _updates(spark, d).withColumns({"seq": C("event_seq"), "last_observed": scalars.iso8601(C("last_observed_us")), "created_at": C("t_us")})

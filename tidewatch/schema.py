@@ -22,7 +22,7 @@ capability {_CAPABILITY}
 
 #: One alert; evidence is JSON. An incident is the same row with seq and the chain's hashes.
 ALERT = """
-event_seq long, t_us long, detector string, ps_class string, threat_class string, incident_id string, dedup_key string, flow_id string, flow_ref_type string,
+schema_version string, event_seq long, t_us long, detector string, ps_class string, threat_class string, incident_id string, dedup_key string, flow_id string, flow_ref_type string,
 score double, score_type string, confidence double, calibrated_on string, calibrated boolean, severity string, status string,
 first_us long, last_us long, event_count long, evidence string
 """
