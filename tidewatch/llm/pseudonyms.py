@@ -29,7 +29,7 @@ MONTHS = ["January", "February", "March", "April", "May", "June", "July", "Augus
 MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in MONTHS) + ")"
 # The formats, in the order in which they are tried.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2} " + MONTH + " [0-9]{4}|" + MONTH + r" [0-9]{1,2}, [0-9]{4})(?![\p{L}0-9/-]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?:(?<![0-9])\+?1[ .-]?)?(?:\([0-9]{3}\) ?|(?<![0-9.-])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
