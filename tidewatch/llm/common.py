@@ -43,13 +43,19 @@ def scratch_folder(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as Parquet into the shared folder and read them back, so that a lost executor costs no more than the running stage. The table goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/settled-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    _settled[path] = where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = scratch_path(spark, "settled")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, for what goes when the driver ends."""
+    path = f"{scratch_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _settled[path] = where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path
+
+
 def discard(settled: DataFrame) -> None:
     """Delete the table of a settled frame that nothing reads any more."""
     for name in settled.inputFiles()[:1]:

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, line_dedup, lm_score, pseudonyms, quality, secrets, simhash
-from .common import table
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, line_dedup, lm_score, pseudonyms, quality, secrets, simhash, warc
+from .common import scratch_path, table
 
 
 #: The public vocabulary that the queries encode with.
@@ -74,5 +74,22 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_secret_scan": op2_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_lm_score": op4_lm_score, "op5_chat_format": op5_chat_format, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_pseudonyms": op8_pseudonyms, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup}
-SQL = {"op10_exact_dedup": OP10_SQL}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    read = warc.resolved(warc.records(spark, path, payload=False))
+    return read.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "verified")
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, CAST(CAST(from_hex(sha1(html)) AS BIT) AS VARCHAR) AS bits, max(page_id) OVER (PARTITION BY html) AS best FROM p)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, CAST(i * 5 + j + 1 AS INT), 1) AS INT) << CAST(4 - j AS INT)))::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to, true AS verified
+FROM q
+"""
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_secret_scan": op2_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_lm_score": op4_lm_score, "op5_chat_format": op5_chat_format, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_pseudonyms": op8_pseudonyms, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup, "op11_warc": op11_warc}
+SQL = {"op10_exact_dedup": OP10_SQL, "op11_warc": OP11_SQL}
