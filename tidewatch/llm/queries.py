@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, line_dedup, lm_score, pseudonyms, quality, secrets, simhash, warc
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, line_dedup, lm_score, pseudonyms, quality, secrets, simhash, spelling, warc
 from .common import scratch_path, table
 
 
@@ -91,5 +91,9 @@ FROM q
 """
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_secret_scan": op2_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_lm_score": op4_lm_score, "op5_chat_format": op5_chat_format, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_pseudonyms": op8_pseudonyms, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup, "op11_warc": op11_warc}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_secret_scan": op2_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_lm_score": op4_lm_score, "op5_chat_format": op5_chat_format, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_pseudonyms": op8_pseudonyms, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup, "op11_warc": op11_warc, "op13_spelling_variants": op13_spelling_variants}
 SQL = {"op10_exact_dedup": OP10_SQL, "op11_warc": OP11_SQL}
