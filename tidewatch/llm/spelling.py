@@ -15,6 +15,7 @@ Defined results: a null text has no words, a null id counts as an empty one in t
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
@@ -110,18 +111,23 @@ def postings_of(words: list[str]) -> dict[tuple[str, int], list[int]]:
 
 
 def merged(lists: list[list[int]], least: int) -> Iterator[int]:
-    """Numbers that come up at least so often in ascending lists, which a heap merges."""
+    """Numbers that come up at least so often in ascending lists. What does so stands in one of the shorter lists even if it stands in all of the least - 1 longest, so a heap merges the shorter ones and the longest are looked up."""
     if len(lists) < least:
         return
+    lists = sorted(lists, key=len)
+    short, long = lists[: len(lists) - least + 1], lists[len(lists) - least + 1 :]
     last, times = -1, 0
-    for k in heapq.merge(*lists) if len(lists) > 1 else lists[0]:
+    for k in heapq.merge(*short, [1 << 62]) if len(short) > 1 else (*short[0], 1 << 62):
         if k != last:
-            if times >= least:
+            if times and (times >= least or times + sum(stands_in(last, x) for x in long) >= least):
                 yield last
             last, times = k, 0
         times += 1
-    if times >= least:
-        yield last
+
+
+def stands_in(k: int, ascending: list[int]) -> bool:
+    at = bisect.bisect_left(ascending, k)
+    return at < len(ascending) and ascending[at] == k
 
 
 def found(index: list[str], probes: list[str], longer: int) -> Iterator[tuple[int, int]]:
@@ -133,7 +139,10 @@ def found(index: list[str], probes: list[str], longer: int) -> Iterator[tuple[in
     least = max(1, len(index[0]) - GRAM + 1 - SPOILT)
     for q, a in enumerate(probes):
         lists = [postings[x] for g, p in grams(a) for x in ((g, p), (g, p + 1))[: 1 + longer] if x in postings]
-        for k in merged(lists, least):
+        # A gram that all have, as the key they meet under, is counted and not merged.
+        part = [x for x in lists if len(x) < len(index)]
+        rest = least - (len(lists) - len(part))
+        for k in merged(part, rest) if rest > 0 else range(len(index)):
             if (longer or a < index[k]) and one_edit(a, index[k]):
                 yield q, k
 
