@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, line_dedup, lm_score, pseudonyms, quality, secrets, simhash, spelling, warc
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, hard_negatives, line_dedup, lm_score, pseudonyms, quality, secrets, simhash, spelling, warc
 from .common import scratch_path, table
 
 
@@ -91,9 +91,30 @@ FROM q
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+"""
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_secret_scan": op2_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_lm_score": op4_lm_score, "op5_chat_format": op5_chat_format, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_pseudonyms": op8_pseudonyms, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup, "op11_warc": op11_warc, "op13_spelling_variants": op13_spelling_variants}
-SQL = {"op10_exact_dedup": OP10_SQL, "op11_warc": OP11_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_secret_scan": op2_secret_scan, "op3_byte_bpe": op3_byte_bpe, "op4_lm_score": op4_lm_score, "op5_chat_format": op5_chat_format, "op6_decontamination": op6_decontamination, "op7_quality_classifier": op7_quality_classifier, "op8_pseudonyms": op8_pseudonyms, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup, "op11_warc": op11_warc, "op12_hard_negatives": op12_hard_negatives, "op13_spelling_variants": op13_spelling_variants}
+SQL = {"op10_exact_dedup": OP10_SQL, "op11_warc": OP11_SQL, "op12_hard_negatives": OP12_SQL}
