@@ -279,10 +279,19 @@ def reflection_windows(spark, d):
     return r.select("dst_ip", "amplifier_port", C("event_seq").alias("day"), "fan_in", "packets", F.round("unsolicited_share", 6).alias("unsolicited_share"))
 
 
-@query("reflection_detect")
+REFLECTED = sql("WITH " + RESPONSES.format(DAY) + f""", b AS (SELECT dst_ip, src_port, src_ip, t_us // {DAY} AS day, sum(packets) AS p, sum(bytes) AS size, arg_min(solicited, (t_us - 1700000000000000) * 100000 + event_seq) AS s FROM a GROUP BY 1, 2, 3, 4),
+y AS (SELECT x.dst_ip, x.src_port, x.day, y.src_ip, sum(y.p) AS p, sum(y.size) AS size, max(CAST(y.s AS INT)) AS s, min(y.day) AS first_day FROM (SELECT DISTINCT dst_ip, src_port, day FROM b) x JOIN b y ON x.dst_ip = y.dst_ip AND x.src_port = y.src_port AND y.day BETWEEN x.day - 4 AND x.day GROUP BY 1, 2, 3, 4),
+w AS (SELECT dst_ip, src_port AS amplifier_port, day, count(*) AS fan_in, avg(1 - s) AS unsolicited_share, CAST(sum(p) AS BIGINT) AS packets, CAST(sum(size) AS BIGINT) AS bytes, min(first_day) AS first_day, sum(p) / (day - min(first_day) + 1) AS pps FROM y GROUP BY 1, 2, 3),
+hot AS (SELECT *, row_number() OVER (PARTITION BY dst_ip, amplifier_port ORDER BY day) AS rn FROM w WHERE fan_in >= 3 AND unsolicited_share >= 0.5 AND pps >= 1.0),
+f AS (SELECT *, day AS fired FROM hot WHERE rn = 1 UNION ALL SELECT h.*, CASE WHEN h.day - f.fired >= 8 THEN h.day ELSE f.fired END FROM f JOIN hot h ON h.dst_ip = f.dst_ip AND h.amplifier_port = f.amplifier_port AND h.rn = f.rn + 1)
+SELECT dst_ip, amplifier_port, day, first_day, fan_in, round(unsolicited_share, 6) AS unsolicited_share, round(pps, 6) AS pps, packets, bytes, round(0.5 + 0.5 * least(greatest((pps - 1) / 4, 0), 1), 6) AS score, CASE WHEN pps >= 5 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM f WHERE fired = day""", "v_flow").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("reflection_detect", REFLECTED)
 def reflection_detect(spark, d):
-    """With the cooldown, a greedy recurrence; tests hold it against a plain loop."""
-    return detectors.reflection(views.flow(spark, d), REFLECTION, second_us=DAY)
+    """With the cooldown, a recurrence over the candidate days."""
+    r = detectors.reflection(views.flow(spark, d), REFLECTION, second_us=DAY)
+    return r.select("dst_ip", "amplifier_port", C("event_seq").alias("day"), F.floor(C("first_us") / DAY).alias("first_day"), "fan_in", F.round("unsolicited_share", 6).alias("unsolicited_share"), F.round("pps", 6).alias("pps"), "packets", "bytes", F.round("score", 6).alias("score"), "severity")
 
 
 @query("reflection_window_rule", sql(f"WITH w AS (SELECT src_port AS port, t_us // {DAY} AS day, count(DISTINCT src_ip) AS fan_in, sum(packets) AS pps FROM v_flow GROUP BY 1, 2) SELECT port, day, CASE WHEN port IN (53, 123, 389, 1900, 11211) AND fan_in >= 5 AND pps >= 20 THEN 'ALERT' ELSE 'QUIET' END AS outcome FROM w UNION ALL SELECT NULL, 0, 'NOT_OBSERVABLE'", "v_flow"))

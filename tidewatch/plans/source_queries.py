@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..config import C2Config, DdosConfig, DgaConfig, DnsConfig, ExfilConfig, ReflectionConfig, ScanConfig, Settings, TlsConfig
+from .. import scratch
 from ..operators import detectors, evaluation, lifecycle, ml
 from ..sources import flowrec, pcap
 from ..streaming import windows
@@ -65,14 +63,14 @@ def _stream(spark, d):
 
 def _finished(spark, df):
     """The rows that the stream has put out when all its input has been read, by way of a Parquet table in the shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    out = f"{folder}/stream-{uuid.uuid4().hex}"
+    return _ended(spark, df)[0]
+
+
+def _ended(spark, df):
+    """These rows, and the checkpoint."""
+    out = scratch.path(spark, "stream")
     windows.appended(df, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/rows")
+    return spark.read.schema(df.schema).parquet(f"{out}/rows"), f"{out}/checkpoint"
 
 
 @query("stream_windows", f"SELECT epoch_us(ts) // {HOUR} * {HOUR} AS start_us, count(*) AS event_count, sum(CAST(floor(value * 100) AS BIGINT)) AS bytes FROM events GROUP BY 1 HAVING start_us + {HOUR} <= (SELECT max(epoch_us(ts)) - 300000 FROM events)")
@@ -83,6 +81,15 @@ def stream_windows(spark, d):
     return _finished(spark, windows.tumbling(_stream(spark, d), WindowConfig(width_s=3600.0))).select("start_us", "event_count", "bytes")
 
 
+@query("stream_windows_flushed", f"SELECT epoch_us(ts) // {HOUR} * {HOUR} AS start_us, count(*) AS event_count, count(*) AS packets, sum(CAST(floor(value * 100) AS BIGINT)) AS bytes, count(*) AS syn FROM events GROUP BY 1")
+def stream_windows_flushed(spark, d):
+    """All windows of the stream, the last ones out of the state store."""
+    from ..config import WindowConfig
+
+    closed, checkpoint = _ended(spark, windows.tumbling(_stream(spark, d), WindowConfig(width_s=3600.0)))
+    return windows.flushed(spark, closed, checkpoint).select("start_us", "event_count", "packets", "bytes", "syn")
+
+
 @query("stream_sessions", f"""WITH g AS (SELECT user_id, epoch_us(ts) AS t, event_id, floor(value * 100) AS b, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > {24 * HOUR} THEN 1 ELSE 0 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS s FROM g) SELECT CAST(user_id AS VARCHAR) AS src_ip, min(t) AS start_us, max(t) AS last_us, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM s GROUP BY user_id, s HAVING max(t) + {24 * HOUR} <= (SELECT max(epoch_us(ts)) - 300000 FROM events)""")
 def stream_sessions(spark, d):

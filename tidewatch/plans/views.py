@@ -21,7 +21,10 @@ def idiv(a: Column, b: int) -> Column:
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return base_of(table(spark, sf_dir, "events"))
+
+
+def base_of(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     service = F.coalesce(*[F.when(F.col("event_type") == t, F.lit(p)) for t, p in SERVICES.items()])
     user = F.col("user_id")
@@ -34,7 +37,12 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_seq, t_us, user_id, k, src_ip, dst_ip, src_port, dst_port, protocol, tcp_flags, packets, bytes, direction."""
-    b = _base(spark, sf_dir)
+    return flow_of(table(spark, sf_dir, "events"))
+
+
+def flow_of(events: DataFrame) -> DataFrame:
+    """The flows of rows of the events table, which can be a stream."""
+    b = base_of(events)
     seq = F.col("event_seq")
     inbound, inside = seq % 3 == 0, seq % 11 == 0
     udp = F.col("svc").isin(53, 123)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import WindowConfig
@@ -17,14 +17,33 @@ def timed(events: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
     return events.withColumn("ts", F.timestamp_micros("t_us")).withWatermark("ts", f"{int(cfg.delay_s * 1000)} milliseconds")
 
 
+def measures() -> list[tuple]:
+    """What a window measures: its name, the aggregate, and how the aggregate's state becomes its value."""
+    return [
+        ("event_count", F.count(F.lit(1)), C), ("packets", F.sum(F.coalesce(C("packets"), F.lit(1))), C), ("bytes", F.sum(F.coalesce(C("bytes"), F.lit(0))), C), ("udp", F.sum((C("protocol") == "UDP").cast("long")), C),
+        ("syn", F.sum((C("tcp_flags").bitwiseAND(F.lit(2)) > 0).cast("long")), C), ("approx_sources", F.hll_sketch_agg("src_ip"), F.hll_sketch_estimate),
+    ]
+
+
 def tumbling(events: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
     """Closed windows: start_us, event_count, packets, bytes, udp events, SYN events, approximate distinct sources. In append mode a window leaves when the watermark passes its end; later events are dropped, and Spark counts them in the query's progress."""
     w = F.window("ts", f"{int(cfg.width_s * 1_000_000)} microseconds").alias("w")
-    g = timed(events, cfg).groupBy(w).agg(
-        F.count(F.lit(1)).alias("event_count"), F.sum(F.coalesce(C("packets"), F.lit(1))).alias("packets"), F.sum(F.coalesce(C("bytes"), F.lit(0))).alias("bytes"), F.sum((C("protocol") == "UDP").cast("long")).alias("udp"),
-        F.sum((C("tcp_flags").bitwiseAND(F.lit(2)) > 0).cast("long")).alias("syn"), F.approx_count_distinct("src_ip").alias("approx_sources"),
-    )
-    return g.select(F.unix_micros("w.start").alias("start_us"), *[c for c in g.columns if c != "w"])
+    g = timed(events, cfg).groupBy(w).agg(*[agg.alias(name) for name, agg, _ in measures()])
+    return g.select(F.unix_micros("w.start").alias("start_us"), *[value(name).alias(name) for name, _, value in measures()])
+
+
+def still_open(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The windows that a stopped or finished query of tumbling() had not closed yet, in the form of the closed ones, out of its state store as of the last batch."""
+    state = spark.read.format("statestore").load(checkpoint)
+    # The state names several fields alike: its struct gets names by place.
+    kinds = [f.dataType.simpleString() for f in state.schema["value"].dataType.fields]
+    own = C("value").cast("struct<" + ", ".join(f"{name}: {kind}" for (name, *_), kind in zip(measures(), kinds)) + ">")
+    return state.select(F.unix_micros("key.window.start").alias("start_us"), own.alias("v")).select("start_us", *[value(f"v.{name}").alias(name) for name, _, value in measures()])
+
+
+def flushed(spark: SparkSession, closed: DataFrame, checkpoint: str) -> DataFrame:
+    """All windows of a stream that has ended: those that its query put out, and those still open. The state is only read; a query that goes on from the checkpoint closes its open windows itself."""
+    return closed.unionByName(still_open(spark, checkpoint))
 
 
 def sliding(events: DataFrame, width_s: int = 5, step_s: int = 1, cfg: WindowConfig = WindowConfig()) -> DataFrame:
