@@ -3,10 +3,10 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.config import ScanConfig
+from tidewatch.config import C2Config, ReflectionConfig, ScanConfig, TlsConfig
 from tidewatch.operators import detectors, sessions
 from tidewatch.sources.tables import attack
-from tidewatch.streaming import stateful, windows
+from tidewatch.streaming import detect, inorder, late, stateful, windows
 
 T0 = 1_773_280_000_000_000
 
@@ -83,3 +83,69 @@ def test_stateful_scan_equals_the_batch_detector(spark, tmp_path):
         spark.conf.unset(key)
     batch = {(r.src_ip, r.t_us, r.unique_dst_count, r.unique_port_count, r.threat_class) for r in detectors.scan(e, cfg).collect()}
     assert stream == batch and len(batch) == 3
+
+
+def ended(spark, df, tmp_path, name):
+    """What a keyed-state stream has put out at its end, and its checkpoint."""
+    with inorder.rocks(spark):
+        windows.appended(df, f"{tmp_path}/{name}", f"{tmp_path}/cp-{name}").awaitTermination(120)
+    return spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}"), f"{tmp_path}/cp-{name}"
+
+
+def test_flushed_windows_are_all_windows(spark, tmp_path):
+    f = flows(spark, [0.1, 0.9, 1.35, 1.2, 5.0, 5.9, 7.2])
+    e = windows.tumbling(streamed(spark, f, tmp_path / "in", 3))
+    windows.appended(e, f"{tmp_path}/w", f"{tmp_path}/cp").awaitTermination(60)
+    closed = spark.read.schema(e.schema).parquet(f"{tmp_path}/w")
+    got = {r.start_us - T0: (r.event_count, r.packets, r.approx_sources) for r in windows.flushed(spark, closed, f"{tmp_path}/cp").collect()}
+    assert closed.count() < 4 and got == {0: (2, 2, 1), 1_000_000: (2, 2, 1), 5_000_000: (2, 2, 1), 7_000_000: (1, 1, 1)}
+
+
+def test_late_rows_are_flagged_and_kept(spark, tmp_path):
+    f = flows(spark, [0.1, 1.2, 2.5, 0.5, 2.2, 1.9]).withColumn("part", (F.col("event_seq") / 3).cast("int"))
+    (tmp_path / "in").mkdir()
+    for k in range(2):  # in this order, not in order of time
+        f.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(f.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out, _ = ended(spark, late.marked(s.select("t_us", "event_seq")), tmp_path, "late")
+    rows = {r.event_seq: (r.late, r.watermark_us) for r in out.collect()}
+    now = T0 + 2_200_000
+    assert rows == {0: (False, 0), 1: (False, 0), 2: (False, 0), 3: (True, now), 4: (False, now), 5: (True, now)}
+
+
+def test_beacons_with_shared_services_equal_the_batch_form(spark, tmp_path):
+    cfg = C2Config(fleet_hosts=3, gap_s=100.0)
+    parts = [attack("beacon", spark, T0 + 1_000_000 * n, 40, f"10.10.0.{20 + n}").withColumns({"event_seq": F.col("event_seq") + 1000 * n, "dst_ip": F.lit("203.0.113.7")}) for n in range(2)]
+    parts += [attack("beacon", spark, T0 + s * 1_000_000, 30, f"10.10.0.{40 + n}").withColumns({"event_seq": F.col("event_seq") + 3000 + 1000 * n, "dst_ip": F.lit("203.0.113.8")}) for n, s in enumerate((0, 1, 2_000))]
+    e = parts[0]
+    for p in parts[1:]:
+        e = e.unionByName(p)
+    out, checkpoint = ended(spark, detect.c2_alerts(streamed(spark, e, tmp_path / "in", 4), cfg), tmp_path, "c2")
+    row = lambda r: (r.src_ip, r.dst_ip, r.t_us, r.event_count, round(r.iat_mean, 6), round(r.iat_cv, 6), r.severity)
+    reached = (e.agg(F.max("t_us")).first()[0] // 1000 - 300) * 1000
+    want = {row(r) for r in detectors.c2(e, cfg).where(F.col("t_us") <= reached).collect()}
+    assert {row(r) for r in out.collect()} == want and len(want) >= 2
+    state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "stamps").load(checkpoint)
+    assert state.groupBy("key").count().agg(F.max("count")).first()[0] in (None, *range(1, 65))
+
+
+def test_reflection_equals_the_batch_form(spark, tmp_path):
+    cfg = ReflectionConfig(cooldown_s=3.0, min_pps=100.0)
+    a = attack("reflection", spark, T0, 3000)
+    b = attack("reflection", spark, T0 + 9_000_000, 3000).withColumn("event_seq", F.col("event_seq") + 5000)
+    e = a.unionByName(b).unionByName(attack("beacon", spark, T0, 3).withColumns({"event_seq": F.col("event_seq") + 20_000, "t_us": F.col("t_us") + 14_000_000}))
+    out, _ = ended(spark, detect.reflection_alerts(streamed(spark, e, tmp_path / "in", 4), cfg), tmp_path, "r")
+    got = {(r.dst_ip, r.amplifier_port, r.second * 1_000_000, r.fan_in, r.packets, round(r.pps, 6), round(r.score, 6), r.severity) for r in out.collect()}
+    reached = (e.agg(F.max("t_us")).first()[0] // 1000 - 300) * 1000
+    want = {(r.dst_ip, r.amplifier_port, r.t_us, r.fan_in, r.packets, round(r.pps, 6), round(r.score, 6), r.severity) for r in detectors.reflection(e, cfg).where(F.col("t_us") + 1_000_000 <= reached).collect()}
+    assert got == want and len(want) >= 1
+
+
+def test_novel_fingerprints_with_a_baseline(spark, tmp_path):
+    day = 86_400_000_000
+    rows = [(0, "AA", "t1"), (1, "bb", None), (2, "aa", ""), (9, "aa", "t1"), (9, "aa", "t2"), (30, "bb", "t9"), (31, None, None), (32, "zz", None), (40, "end", None)]
+    e = spark.createDataFrame([(T0 + d * day, k, a, b) for k, (d, a, b) in enumerate(rows)], "t_us long, event_seq long, ja3 string, ja4 string")
+    base = spark.createDataFrame([("ja3", "BB", T0 - day), ("ja4", "t1", T0 - 20 * day), ("ja3", "zz", T0)], "kind string, fingerprint string, last_us long")
+    out, _ = ended(spark, detect.novel_fingerprints(streamed(spark, e, tmp_path / "in", 3), TlsConfig(), base), tmp_path, "n")
+    got = {(r.kind, r.fingerprint, r.event_seq) for r in out.collect()}
+    assert got == {("ja3", "aa", 0), ("ja4", "t1", 0), ("ja4", "t1", 3), ("ja4", "t2", 4), ("ja3", "bb", 5), ("ja4", "t9", 5), ("ja3", "zz", 7)}

@@ -178,30 +178,35 @@ def exfil(events: DataFrame, cfg: ExfilConfig = ExfilConfig()) -> DataFrame:
     return out.withColumn("detector", F.lit("exfil"))
 
 
+def first_sightings(events: DataFrame, kind: str, novelty_s: float, baseline: DataFrame | None = None) -> DataFrame:
+    """fingerprint, t_us, event_seq of the events that show a fingerprint of this kind which no one has shown within novelty_s before, in the stream or in the baseline (kind, fingerprint, last_us).
+
+    Slices of time are no longer than novelty_s, so within a slice only a fingerprint's first event can be one. A popular fingerprint is combined by slice before the shuffle and is a row a slice after it, and no window goes over its events."""
+    slice_us = max(min(int(novelty_s * 1_000_000), FLEET_SLICE_US), 1)
+    shown = events.select(F.nullif(F.lower(kind), F.lit("")).alias("fingerprint"), *ORDER).where("fingerprint is not null")
+    slices = shown.groupBy("fingerprint", F.floor(C("t_us") / slice_us).alias("_slice")).agg(F.min(F.struct(*ORDER)).alias("_at"), F.max("t_us").alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy("fingerprint").orderBy("_slice"))
+    slices = slices.withColumn("_before", before)
+    if baseline is not None:
+        known = baseline.where(C("kind") == kind).groupBy("fingerprint").agg(F.max("last_us").alias("_known"))
+        slices = slices.join(known, "fingerprint", "left").withColumn("_before", F.greatest("_before", "_known"))
+    new = C("_before").isNull() | (C("_at.t_us") - C("_before") > int(novelty_s * 1_000_000))
+    return slices.where(new).select("fingerprint", "_at.*")
+
+
 def novelty(events: DataFrame, cfg: TlsConfig = TlsConfig(), baseline: DataFrame | None = None) -> DataFrame:
     """events with novel: a JA3 or JA4 that no one on the network has shown within novelty_s. Without a baseline (kind, fingerprint, last_us) the first warm_up_s only learn."""
-    e = events
-    shown = C("ja3").isNotNull() | C("ja4").isNotNull()
+    e, flags = events, []
+    for kind in ("ja3", "ja4"):
+        new = first_sightings(events, kind, cfg.novelty_s, baseline).withColumnRenamed("fingerprint", f"_{kind}").withColumn(f"_{kind}_new", F.lit(True))
+        e = e.withColumn(f"_{kind}", F.nullif(F.lower(kind), F.lit(""))).join(new, [f"_{kind}", *ORDER], "left")
+        flags.append(F.coalesce(C(f"_{kind}_new"), F.lit(False)))
+    active = F.lit(True)
     if baseline is None:
-        first = events.where(shown).agg(F.min("t_us").alias("_start"))
+        first = events.where(C("ja3").isNotNull() | C("ja4").isNotNull()).agg(F.min("t_us").alias("_start"))
         e = e.join(F.broadcast(first), how="cross")  # one row
         active = C("t_us") - C("_start") >= int(cfg.warm_up_s * 1_000_000)
-    else:
-        active = F.lit(True)
-    flags = []
-    for kind in ("ja3", "ja4"):
-        e = e.withColumn(f"_{kind}", F.nullif(F.lower(kind), F.lit("")))
-        # The latest sighting so far, as an older event doesn't turn it back.
-        # Flows without a fingerprint are dealt out by their number, as nothing is asked of them.
-        none = F.when(C(f"_{kind}").isNull(), C("event_seq"))
-        before = F.max("t_us").over(Window.partitionBy(f"_{kind}", none).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
-        if baseline is not None:
-            known = baseline.where(C("kind") == kind).select(C("fingerprint").alias(f"_{kind}"), C("last_us").alias(f"_{kind}_us"))
-            e = e.join(known, f"_{kind}", "left")
-            before = F.greatest(before, C(f"_{kind}_us"))
-        flags.append(C(f"_{kind}").isNotNull() & (before.isNull() | (C("t_us") - before > int(cfg.novelty_s * 1_000_000))))
-    out = e.withColumn("novel", active & (flags[0] | flags[1]))
-    return out.select(*events.columns, "novel")
+    return e.withColumn("novel", active & (flags[0] | flags[1])).select(*events.columns, "novel")
 
 
 def tls_quic(events: DataFrame, cfg: TlsConfig = TlsConfig(), baseline: DataFrame | None = None) -> DataFrame:

@@ -33,13 +33,16 @@ def from_or_to_resolver(events: DataFrame, plan: AddressPlan = AddressPlan()) ->
     return events.where(C("src_ip").isin(*plan.resolvers) | C("dst_ip").isin(*plan.resolvers))
 
 
-def previous_sighting(events: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
-    """events (fingerprint, t_us, event_seq) with last_us, the latest earlier sighting in the stream or the baseline (fingerprint, last_us)."""
-    w = Window.partitionBy("fingerprint").orderBy("t_us", "event_seq").rowsBetween(Window.unboundedPreceding, -1)
-    seen = events.withColumn("last_us", F.max("t_us").over(w))
-    if baseline is None:
-        return seen
-    return seen.join(baseline.select("fingerprint", C("last_us").alias("_b")), "fingerprint", "left").withColumn("last_us", F.greatest("last_us", "_b")).drop("_b")
+def previous_sighting(events: DataFrame, baseline: DataFrame | None = None, slice_s: float = 60.0) -> DataFrame:
+    """events (fingerprint, t_us, event_seq) with last_us, the latest earlier sighting in the stream or the baseline (fingerprint, last_us). A fingerprint is looked at by slices of time, so a popular one is as many groups as it has slices; a slice's first event meets the last one of the slice before."""
+    sliced = events.withColumn("_slice", F.floor(C("t_us") / int(slice_s * 1_000_000)))
+    own = Window.partitionBy("fingerprint", "_slice").orderBy("t_us", "event_seq")
+    ends = sliced.groupBy("fingerprint", "_slice").agg(F.max("t_us").alias("_end")).withColumn("_before", F.lag("_end").over(Window.partitionBy("fingerprint").orderBy("_slice"))).drop("_end")
+    seen = sliced.withColumn("_lag", F.lag("t_us").over(own)).join(ends, ["fingerprint", "_slice"], "left")
+    seen = seen.withColumn("last_us", F.coalesce("_lag", "_before"))
+    if baseline is not None:
+        seen = seen.join(baseline.select("fingerprint", C("last_us").alias("_b")), "fingerprint", "left").withColumn("last_us", F.greatest("last_us", "_b"))
+    return seen.select(*events.columns, "last_us")
 
 
 def latest_template(data: DataFrame, templates: DataFrame, idle_s: float = 1800.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import scratch
-from ..config import AddressPlan, C2Config, WindowConfig
+from ..config import AddressPlan, C2Config, TlsConfig, WindowConfig
 from ..streaming import detect, late
 from ..streaming.inorder import rocks
 from . import views
@@ -54,13 +54,13 @@ def stream_late(spark, d):
 WITH e AS (SELECT * FROM v_flow WHERE NOT ((protocol = 'UDP' AND dst_port IN (53, 123)) OR (protocol = 'TCP' AND dst_port = 53)) AND direction <> 'inbound'), {SESSION("src_ip, dst_ip", 240 * HOUR, "e")},
 i AS (SELECT *, CASE WHEN gap > 0.001 THEN gap END AS iat FROM (SELECT *, (t_us - lag(t_us) OVER (PARTITION BY src_ip, dst_ip, session ORDER BY t_us, event_seq)) / 1e6 AS gap FROM s)),
 r AS (SELECT *, count(*) OVER a AS n, count(iat) OVER p AS valid, avg(iat) OVER p AS m, stddev_samp(iat) OVER p AS sd FROM i WINDOW a AS (PARTITION BY src_ip, dst_ip, session ORDER BY t_us, event_seq ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY src_ip, dst_ip, session ORDER BY t_us, event_seq ROWS 62 PRECEDING)),
-sight AS (SELECT dst_ip, src_ip, min((t_us, event_seq)) AS seen FROM e GROUP BY 1, 2), nth AS (SELECT dst_ip, seen FROM sight QUALIFY row_number() OVER (PARTITION BY dst_ip ORDER BY seen) = 60)
+sight AS (SELECT dst_ip, src_ip, min((t_us, event_seq)) AS seen FROM e GROUP BY 1, 2), nth AS (SELECT dst_ip, seen FROM sight QUALIFY row_number() OVER (PARTITION BY dst_ip ORDER BY seen) = 120)
 SELECT src_ip, r.dst_ip, t_us, event_seq, CAST(least(n, 64) AS INT) AS event_count, round(m, 3) AS iat_mean, round(sd / m, 6) AS iat_cv, round(least(1, greatest(0, 1 - 0.5::DOUBLE * (sd / m) / 0.3::DOUBLE)), 6) AS score
 FROM r LEFT JOIN nth ON nth.dst_ip = r.dst_ip WHERE n >= 4 AND valid >= 3 AND sd / m <= 0.3 AND (seen IS NULL OR (t_us, event_seq) < seen) AND t_us <= {REACHED}
 QUALIFY row_number() OVER (PARTITION BY src_ip, r.dst_ip, session ORDER BY t_us, event_seq) = 1""", "v_flow"))
 def stream_c2(spark, d):
-    """Beacons to destinations of fewer than 60 hosts, up to the watermark."""
-    cfg = C2Config(key=("src_ip", "dst_ip"), gap_s=240 * 3600.0, min_events=4, min_valid=3, max_cv=0.3, fleet_hosts=60)
+    """Beacons to destinations of fewer than 120 hosts, up to the watermark."""
+    cfg = C2Config(key=("src_ip", "dst_ip"), gap_s=240 * 3600.0, min_events=4, min_valid=3, max_cv=0.3, fleet_hosts=120)
     with rocks(spark):
         a = _finished(spark, detect.c2_alerts(flows(spark, d), cfg, WINDOW))
     return a.select("src_ip", "dst_ip", "t_us", "event_seq", "event_count", F.round("iat_mean", 3).alias("iat_mean"), F.round("iat_cv", 6).alias("iat_cv"), F.round("score", 6).alias("score"))
@@ -72,3 +72,21 @@ def stream_reflection(spark, d):
     with rocks(spark):
         a = _finished(spark, detect.reflection_alerts(flows(spark, d), REFLECTION, AddressPlan(), WINDOW, DAY))
     return a.select("dst_ip", "amplifier_port", C("second").alias("day"), C("first_second").alias("first_day"), C("fan_in").cast("long").alias("fan_in"), F.round("unsolicited_share", 6).alias("unsolicited_share"), F.round("pps", 6).alias("pps"), "packets", "bytes", F.round("score", 6).alias("score"), "severity")
+
+
+SHOWN = "UNION ALL".join(f" SELECT '{k}' AS kind, {k} AS fingerprint, t_us, event_seq FROM v_tls " for k in ("ja3", "ja4"))
+
+
+@query("stream_novelty", sql(f"""
+WITH shown AS ({SHOWN}), start AS (SELECT min(epoch_us(ts)) AS t0 FROM events), known AS (SELECT DISTINCT kind, fingerprint, t0 - {DAY // 4} AS last_us FROM shown, start WHERE fingerprint < '8'),
+b AS (SELECT shown.*, greatest(lag(t_us) OVER (PARTITION BY shown.kind, shown.fingerprint ORDER BY t_us, event_seq), known.last_us) AS before_us FROM shown LEFT JOIN known ON known.kind = shown.kind AND known.fingerprint = shown.fingerprint)
+SELECT kind, fingerprint, t_us, event_seq FROM b WHERE (before_us IS NULL OR t_us - before_us > {DAY // 2}) AND (t_us // 60000000 + 1) * 60000000 <= (SELECT (max(t_us) // 1000 - 300) * 1000 FROM v_tls)""", "v_tls"))
+def stream_novelty(spark, d):
+    """First sightings within half a day, with half of the fingerprints known from a quarter of a day before."""
+    t = views.tls(spark, d)
+    start = views.table(spark, d, "events").agg(F.min(F.unix_micros(C("ts").cast("timestamp")))).first()[0]
+    shown = t.select(F.explode(F.array(F.struct(F.lit("ja3").alias("kind"), C("ja3").alias("fingerprint")), F.struct(F.lit("ja4").alias("kind"), C("ja4").alias("fingerprint")))).alias("f"))
+    known = shown.select("f.*").where("fingerprint < '8'").distinct().withColumn("last_us", F.lit(start - DAY // 4))
+    with rocks(spark):
+        shown = views.tls_of(views.flow_of(arriving(spark, d)))
+        return _finished(spark, detect.novel_fingerprints(shown, TlsConfig(novelty_s=43_200.0), known, WINDOW))

@@ -69,7 +69,11 @@ def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows to ports 443 and 8443 with ja3, ja4, sni, pkt_size."""
-    f = flow(spark, sf_dir).where(F.col("dst_port").isin(443, 8443))
+    return tls_of(flow(spark, sf_dir))
+
+
+def tls_of(flows: DataFrame) -> DataFrame:
+    f = flows.where(F.col("dst_port").isin(443, 8443))
     return f.withColumns({
         "ja3": F.md5((F.col("k") % 20).cast("string")), "ja4": F.md5((F.col("k") % 13).cast("string")), "sni": F.when(F.col("event_seq") % 5 != 0, "service.example"), "pkt_size": (40 + F.col("k") % 4 * 100).cast("int"),
     })

@@ -1,17 +1,18 @@
-"""Detectors as streams that give what their batch forms give, up to the watermark: beacons and reflection. Each is a chain of two stateful operators; the first spreads what a popular service or a victim receives over finer keys."""
+"""Detectors as streams that give what their batch forms give, up to the watermark: beacons, reflection and novel fingerprints. Each is a chain of two stateful operators; the first spreads what a popular service or a victim receives over finer keys."""
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
-from ..config import AddressPlan, C2Config, ReflectionConfig, WindowConfig
+from ..config import AddressPlan, C2Config, ReflectionConfig, TlsConfig, WindowConfig
 from ..operators import filters
 from .inorder import InOrder
-from .windows import timed
+from .windows import timed_by_all
 
 C = F.col
 
@@ -86,7 +87,7 @@ def c2_alerts(events: DataFrame, cfg: C2Config = C2Config(), window: WindowConfi
     """Beacon alerts of a stream: the batch detector's rows whose event the watermark has passed."""
     keys = list(cfg.key)
     kind = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    e = filters.c2_input(timed(events, window), cfg).select(*keys, "t_us", "event_seq", "ts")
+    e = filters.c2_input(timed_by_all(events, window), cfg).select(*keys, "t_us", "event_seq", "ts")
     if cfg.fleet_hosts:
         service = [k for k in keys if k != "src_ip"]
         named = ", ".join(f"{k} {kind[k]}" for k in service)
@@ -177,10 +178,54 @@ class VictimProcessor(InOrder):
 
 def reflection_alerts(events: DataFrame, cfg: ReflectionConfig = ReflectionConfig(), plan: AddressPlan = AddressPlan(), window: WindowConfig = WindowConfig(), second_us: int = 1_000_000) -> DataFrame:
     """Reflection alerts of a stream: the batch detector's rows of all seconds that the watermark has closed. A flood to one victim is combined by second and amplifier before it meets in the victim's state."""
-    e = timed(events, window)
+    e = timed_by_all(events, window)
     amount = [F.coalesce("packets", F.lit(1)).cast("long").alias("packets"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), "t_us", "event_seq", "ts"]
     answers = filters.reflection_responses(e, plan).select(C("dst_ip").alias("victim"), C("src_port").cast("int").alias("port"), C("src_ip").alias("amp"), F.lit(False).alias("asks"), *amount)
     asks = filters.reflection_requests(e, plan).select(C("src_ip").alias("victim"), C("dst_port").cast("int").alias("port"), C("dst_ip").alias("amp"), F.lit(True).alias("asks"), *amount)
     closed = answers.unionByName(asks).groupBy("victim", "port", "amp").transformWithStateInPandas(AskedProcessor(cfg, second_us), "victim string, port int, amp string, t_us long, event_seq long, packets long, bytes long, solicited boolean, ts timestamp", "append", "eventTime", eventTimeColumnName="ts")
     out = "dst_ip string, amplifier_port int, second long, first_second long, fan_in int, unsolicited_share double, pps double, bps double, packets long, bytes long, score double, severity string"
     return closed.groupBy("victim", "port").transformWithStateInPandas(VictimProcessor(cfg, second_us), out, "append", "eventTime")
+
+
+class NoveltyProcessor(InOrder):
+    """Per kind and fingerprint: when it was last shown, from the baseline at first. State goes when the watermark is novelty_s past it, as the next sighting is novel with it or without."""
+
+    fields = "t_us long, event_seq long, last_us long"
+    out = ["kind", "fingerprint", "t_us", "event_seq"]
+
+    def __init__(self, novelty_us: int):
+        self.novelty_us = novelty_us
+
+    def states(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "t_us long")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.last.update((int(initialState["last_us"].max()),))
+        self.sleep((int(initialState["last_us"].max()) + self.novelty_us) // 1000 + 1)
+
+    def step(self, key: tuple, rows: list[tuple], now_us: int) -> list[tuple]:
+        told, last = [], self.last.get()[0] if self.last.exists() else None
+        for first, seq, end in rows:
+            if last is None or first - last > self.novelty_us:
+                told.append((*key, first, seq))
+            last = end if last is None else max(last, end)
+        if last is None or now_us - last > self.novelty_us:
+            self.last.clear()
+        else:
+            self.last.update((last,))
+        return told
+
+    def idle(self, now_us: int) -> int | None:
+        return (self.last.get()[0] + self.novelty_us) // 1000 + 1 if self.last.exists() else None
+
+
+def novel_fingerprints(events: DataFrame, cfg: TlsConfig = TlsConfig(), baseline: DataFrame | None = None, window: WindowConfig = WindowConfig(), slice_s: float = 60.0) -> DataFrame:
+    """kind, fingerprint, t_us, event_seq of a stream's events that show a JA3 or JA4 for the first time in novelty_s, as soon as the watermark has closed their slice of time. baseline (kind, fingerprint, last_us) is the state to begin with.
+
+    Slices are no longer than novelty_s, so only a slice's first event can be novel. A popular fingerprint is combined by slice within each task before its rows meet, so its state gets a row a slice."""
+    slice_us = max(min(int(slice_s * 1_000_000), int(cfg.novelty_s * 1_000_000)), 1)
+    shown = timed_by_all(events, window).select("ts", "t_us", "event_seq", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.nullif(F.lower(k), F.lit("")).alias("fingerprint")) for k in ("ja3", "ja4")])).alias("f")).where("f.fingerprint is not null")
+    slices = shown.groupBy(F.window("ts", f"{slice_us} microseconds").alias("w"), C("f.kind").alias("kind"), C("f.fingerprint").alias("fingerprint")).agg(F.min(F.struct("t_us", "event_seq")).alias("at"), F.max("t_us").alias("last_us"))
+    rows = slices.select("kind", "fingerprint", "at.*", "last_us", F.window_time("w").alias("ts"))
+    known = baseline.select("kind", F.lower("fingerprint").alias("fingerprint"), "last_us").groupBy("kind", "fingerprint") if baseline is not None else None
+    return rows.groupBy("kind", "fingerprint").transformWithStateInPandas(NoveltyProcessor(int(cfg.novelty_s * 1_000_000)), "kind string, fingerprint string, t_us long, event_seq long", "append", "eventTime", initialState=known)
