@@ -4,6 +4,7 @@ import struct
 
 import pytest
 
+from tidewatch.sources import capture as captures
 from tidewatch.sources import flowrec, pcap, tables
 
 ETH = b"\0" * 12
@@ -154,3 +155,29 @@ def test_tables(spark, tmp_path):
     assert {tuple(r) for r in tables.fingerprint_baseline(spark, f"file://{tmp_path}/fp.json").collect()} == {("ja3", "ab", 1_000_000), ("ja4", "cd", 2_000_000)}
     a, b = (sorted(map(str, tables.synthetic_flows(spark, 100).repartition(k).collect())) for k in (1, 5))
     assert a == b and len(a) == 100
+
+
+def split_read(spark, tmp_path, content, range_bytes, name="split.pcap"):
+    (tmp_path / name).write_bytes(content)
+    row = lambda r: (r.linktype, r["index"], r.t_us, r.caplen, r.wirelen, bytes(r.data) if r.data is not None else None, r.fault)
+    got = [row(r) for r in captures.read_captures(spark, f"{tmp_path}/{name}", range_bytes).collect()]
+    return sorted(got, key=repr), sorted((r[1:] for r in pcap.records("p", content)), key=repr)
+
+
+def test_a_capture_in_ranges_has_the_records_of_one(spark, tmp_path):
+    inner = capture([b"z" * 30] * 25)  # a capture within packets: headers where there are none
+    packets = [eth(0x0800, ip4(6, tcp(2) + b"x" * (k * 7 % 90))) for k in range(40)] + [(inner, len(inner))] * 3 + [b"", (b"abc", 1), b"\0" * 700, b"\xff" * 300]
+    whole = capture(packets)
+    for content in (whole, capture(packets, end=">"), whole[:-3], whole + b"\0" * 9, whole[:2000] + b"\xff" * 20 + whole[2020:], whole[:24], whole[:10], b"", pcap.PCAPNG + b"\0" * 900, b"\0" * 900):
+        got, want = split_read(spark, tmp_path, content, max(1, len(content) // 8))
+        assert got == want
+    got, want = split_read(spark, tmp_path, whole, 10**9)
+    assert got == want
+
+
+def test_written_captures_come_back(spark, tmp_path):
+    rows = [(1_757_500_000_000_000 + k * 1_000_003, bytes([k]) * k) for k in range(60)]
+    captures.write_captures(spark.createDataFrame(rows, "t_us long, data binary").repartition(3), f"{tmp_path}/out")
+    got = captures.read_captures(spark, f"{tmp_path}/out", 512).collect()
+    assert sorted((r.t_us, bytes(r.data)) for r in got) == rows and len({r.path for r in got}) == 3
+    assert all(sorted(r["index"] for r in got if r.path == p) == list(range(sum(r.path == p for r in got))) for p in {r.path for r in got})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import C2Config, DdosConfig, DgaConfig, DnsConfig, ExfilConfig, ReflectionConfig, ScanConfig, Settings, TlsConfig
 from .. import scratch
 from ..operators import detectors, evaluation, lifecycle, ml
-from ..sources import flowrec, pcap
+from ..sources import capture, flowrec, pcap
 from ..streaming import windows
 from . import replay, views
 from .detect_queries import SESSION
@@ -31,12 +31,26 @@ def _ip_hex(ip):
 @query("packet_headers", sql("SELECT event_seq, src_ip, dst_ip, src_port, dst_port, CASE protocol WHEN 'TCP' THEN 6 ELSE 17 END AS protocol, tcp_flags, 4 AS ip_version FROM v_flow WHERE event_seq % 7 > 0 UNION ALL SELECT event_seq, src_ip, dst_ip, NULL, NULL, CASE protocol WHEN 'TCP' THEN 6 ELSE 17 END, NULL, 4 FROM v_flow WHERE event_seq % 7 = 0", "v_flow"))
 def packet_headers(spark, d):
     """Ethernet, IPv4 and TCP or UDP headers as bytes, every seventh cut before its transport header."""
+    recs = _frames(views.flow(spark, d), C("event_seq") % 7 > 0).select("event_seq", F.lit(1).alias("linktype"), "data", F.lit(None).cast("string").alias("fault"))
+    return pcap.headers(recs).select("event_seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags", "ip_version")
+
+
+def _frames(flows, whole):
+    """flows with data, the bytes of a frame; its transport header only where `whole` holds."""
     tcp = C("protocol") == "TCP"
     ip = F.concat(F.lit("450000280000000040"), F.when(tcp, "06").otherwise("11"), F.lit("0000"), _ip_hex(C("src_ip")), _ip_hex(C("dst_ip")))
     transport = F.concat(_hex("src_port", 4), _hex("dst_port", 4), F.when(tcp, F.concat(F.lit("000000000000000050"), _hex("tcp_flags", 2), F.lit("000000000000"))).otherwise("00080000"))
-    frame = F.concat(F.lit("000000000000000000000000" + "8100" + "0005" + "0800"), ip, F.when(C("event_seq") % 7 > 0, transport).otherwise(""))
-    recs = views.flow(spark, d).select("event_seq", F.lit(1).alias("linktype"), F.unhex(frame).alias("data"), F.lit(None).cast("string").alias("fault"))
-    return pcap.headers(recs).select("event_seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags", "ip_version")
+    frame = F.concat(F.lit("000000000000000000000000" + "8100" + "0005" + "0800"), ip, F.when(whole, transport).otherwise(""))
+    return flows.withColumn("data", F.unhex(frame))
+
+
+@query("capture_ranges", sql("SELECT t_us, src_ip, dst_ip, src_port, dst_port, CASE protocol WHEN 'TCP' THEN 6 ELSE 17 END AS protocol, tcp_flags, 4 AS ip_version FROM v_flow", "v_flow"))
+def capture_ranges(spark, d):
+    """The flows' packets, written as captures and read back by ranges of 64 kB."""
+    path = scratch.path(spark, "captures")
+    capture.write_captures(_frames(views.flow(spark, d), F.lit(True)), path)
+    heads = pcap.headers(capture.read_captures(spark, path, 1 << 16))
+    return heads.select("t_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags", "ip_version")
 
 
 @query("flow_records", sql("SELECT event_seq, src_ip, dst_ip, dst_port, packets, bytes FROM v_flow WHERE k % 4 < 3", "v_flow"))

@@ -148,7 +148,12 @@ def headers(recs: DataFrame) -> DataFrame:
 
 def events(spark: SparkSession, path: str, plan: AddressPlan = AddressPlan()) -> DataFrame:
     """Normalized events of all readable packets, one for each, in the file's order."""
-    h = headers(read_records(spark, path)).where("reason is null")
+    return events_of(read_records(spark, path), plan)
+
+
+def events_of(recs: DataFrame, plan: AddressPlan = AddressPlan()) -> DataFrame:
+    """The same of records that have been read, whole or by ranges (capture.read_captures)."""
+    h = headers(recs).where("reason is null")
     e = h.select(C("index").alias("event_seq"), "t_us", "src_ip", "dst_ip", "src_port", "dst_port", C("protocol").cast("string").alias("protocol"), "ip_version", "tcp_flags", F.lit(1).cast("long").alias("packets"), C("wirelen").alias("bytes"), F.lit("pcap_replay").alias("input_mode"), C("path").alias("capture_source"), "fragmented", "transport_truncated")
     return normalised(e, plan)
 
