@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..config import AddressPlan, C2Config, TlsConfig, WindowConfig
-from ..streaming import detect, late
+from ..sources import flowrec, flowstream, pcap
+from ..streaming import detect, late, windows
 from ..streaming.inorder import rocks
 from . import views
 from .detect_queries import DAY, HOUR, REFLECTED, REFLECTION, SESSION
 from .registry import query
-from .source_queries import _finished
+from .source_queries import _finished, _hex, _ip_hex
 from .views import sql
 
 C = F.col
@@ -90,3 +91,26 @@ def stream_novelty(spark, d):
     with rocks(spark):
         shown = views.tls_of(views.flow_of(arriving(spark, d)))
         return _finished(spark, detect.novel_fingerprints(shown, TlsConfig(novelty_s=43_200.0), known, WINDOW))
+
+
+@query("stream_flow_records", sql("SELECT t_us // 1000000 AS export_s, src_ip, dst_ip, dst_port, packets, bytes FROM v_flow WHERE k % 4 < 3 AND t_us // 1000000 * 1000000 <= (SELECT max(epoch_us(ts)) // 1000000 * 1000000 - 300000 FROM events)", "v_flow"))
+def stream_flow_records(spark, d):
+    """IPFIX messages of four exporters in files, read as a stream. Each exporter's template comes in its first message alone, and the fourth has none."""
+    f = views.flow(spark, d).withColumn("exporter", C("k") % 4)
+    first = f.groupBy("exporter").agg(F.min("event_seq").alias("first"))
+    # The fields' types and lengths, as in flow_records.
+    template = "0002001C" + "01000005" + "".join(f"{kind:04X}{size:04X}" for kind, size in [(8, 4), (12, 4), (11, 2), (2, 4), (1, 8)])
+    told = F.when((C("event_seq") == C("first")) & (C("exporter") < 3), F.lit(template)).otherwise("")
+    data = F.concat(F.lit("0100001A"), _ip_hex(C("src_ip")), _ip_hex(C("dst_ip")), _hex("dst_port", 4), _hex("packets", 8), _hex("bytes", 16))
+    head = F.concat(F.lit("000A"), _hex(F.shiftright(F.length(told) + F.length(data), 1) + 16, 4), _hex(F.floor(C("t_us") / 1_000_000), 8), F.lit("0000000000000001"))
+    m = f.join(F.broadcast(first), "exporter").select("exporter", "event_seq", F.unhex(F.concat(head, told, data)).alias("message"))
+    path = scratch.path(spark, "messages")
+    for k in range(4):
+        flowstream.write_messages(m.where(C("exporter") == k).repartitionByRange(3, "event_seq").sortWithinPartitions("event_seq"), f"{path}/e{k}")
+    out = scratch.path(spark, "stream")
+    with rocks(spark):
+        found = flowstream.decoded(flowstream.read_stream(spark, path), 40 * 86_400.0, WINDOW)
+        windows.drained(found, f"{out}/rows", f"{out}/checkpoint")
+    r = spark.read.schema(found.schema).parquet(f"{out}/rows")
+    ip = lambda k: F.concat_ws(".", *[pcap.number(n, 1, F.try_element_at("v", F.lit(k))) for n in range(4)])
+    return r.where("fault is null").select("export_s", ip(8).alias("src_ip"), ip(12).alias("dst_ip"), flowrec.value(11).cast("int").alias("dst_port"), flowrec.value(2).alias("packets"), flowrec.value(1).alias("bytes"))

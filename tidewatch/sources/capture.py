@@ -177,23 +177,30 @@ class Written(WriterCommitMessage):
     name: str | None
 
 
-class CaptureWriter(DataSourceArrowWriter):
-    """Takes rows (t_us long, data binary)."""
+class FileWriter(DataSourceArrowWriter):
+    """Writes one file for each task that has rows: `top`, then what `piece` makes of each row's `columns`."""
+
+    columns: list[str]
+    suffix: str
+    top = b""
 
     def __init__(self, options: dict):
-        self.path, self.linktype, self.run = options["path"], int(options.get("linktype", 1)), uuid.uuid4().hex
+        self.path, self.run = options["path"], uuid.uuid4().hex
+
+    def piece(self, *row) -> bytes:
+        raise NotImplementedError
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, base = fs.FileSystem.from_uri(self.path)
         task = TaskContext.get()
-        name, out = f"{self.run}-{task.partitionId():06d}-{task.taskAttemptId()}.pcap", None
+        name, out = f"{self.run}-{task.partitionId():06d}-{task.taskAttemptId()}.{self.suffix}", None
         for b in iterator:
-            for t, data in zip(b.column(b.schema.get_field_index("t_us")).to_pylist(), b.column(b.schema.get_field_index("data")).to_pylist()):
+            for row in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in self.columns]):
                 if out is None:
                     store.create_dir(f"{base}/.{self.run}", recursive=True)
                     out = store.open_output_stream(f"{base}/.{self.run}/{name}", compression=None)
-                    out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, MAX_RECORD, self.linktype))
-                out.write(struct.pack("<IIII", *divmod(t, 1_000_000), len(data), len(data)) + data)
+                    out.write(self.top)
+                out.write(self.piece(*row))
         if out is None:
             return Written(None)
         out.close()
@@ -212,6 +219,19 @@ class CaptureWriter(DataSourceArrowWriter):
             store.delete_dir(f"{base}/.{self.run}")
 
 
+class CaptureWriter(FileWriter):
+    """Takes rows (t_us long, data binary)."""
+
+    columns, suffix = ["t_us", "data"], "pcap"
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.top = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, MAX_RECORD, int(options.get("linktype", 1)))
+
+    def piece(self, t_us: int, data: bytes) -> bytes:
+        return struct.pack("<IIII", *divmod(t_us, 1_000_000), len(data), len(data)) + data
+
+
 class CaptureSource(DataSource):
     """Options: range_bytes; bounds (rows of BOUNDS in place of records); plan (the ranges as JSON, from `planned`); linktype, of writing."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import AddressPlan
 from ..operators.enrich import normalised
 from ..operators.joins import latest_template
+from .capture import Bytes
 from .pcap import ipv6_text, number
 
 C = F.col
@@ -46,31 +48,36 @@ def templates(body: bytes) -> Iterator[tuple[int, list[dict]] | None]:
 
 
 def sets(path: str, content: bytes) -> Iterator[tuple]:
-    """Rows of SET. A v9 datagram has no length and takes the rest of the file; an IPFIX message has its own."""
-    at, seq = 0, 0
-    while at + 2 <= len(content):
-        version = struct.unpack_from("!H", content, at)[0]
+    """Rows of SET of a file that is held whole."""
+    return sets_in(path, Bytes(io.BytesIO(content), len(content)))
+
+
+def sets_in(path: str, window: Bytes) -> Iterator[tuple]:
+    """Rows of SET of a file that is read by blocks. A v9 datagram has no length and takes the rest of the file; an IPFIX message has its own."""
+    at, seq, end = 0, 0, window.size
+    while at + 2 <= end:
+        version = struct.unpack("!H", window.at(at, 2))[0]
         size = {9: 20, 10: 16}.get(version)
-        if size is None or at + size > len(content):
+        if size is None or at + size > end:
             yield path, path, None, seq, None, None, None, None, None, None, "datagram"
             return
         if version == 9:
-            _, _, uptime, export, _, domain = struct.unpack_from("!HHIIII", content, at)
-            limit, mode = len(content), "netflow_v9"
+            _, _, uptime, export, _, domain = struct.unpack("!HHIIII", window.at(at, 20))
+            limit, mode = end, "netflow_v9"
         else:
-            _, length, export, _, domain = struct.unpack_from("!HHIII", content, at)
+            _, length, export, _, domain = struct.unpack("!HHIII", window.at(at, 16))
             limit, mode, uptime = at + length, "ipfix", None
-            if length < size or limit > len(content):
+            if length < size or limit > end:
                 yield path, path, None, seq, None, None, None, None, None, None, "datagram"
                 return
         row = lambda set_id, fields, body, fault=None: (path, path, domain, seq, mode, export, uptime, set_id, fields, body, fault)  # noqa: B023, E731
         at += size
         while at + 4 <= limit:
-            set_id, length = struct.unpack_from("!HH", content, at)
+            set_id, length = struct.unpack("!HH", window.at(at, 4))
             if length < 4 or at + length > limit:
                 yield row(set_id, None, None, "set")
                 break
-            body = content[at + 4 : at + length]
+            body = window.at(at + 4, length - 4)
             if set_id in (0, 2):
                 for t in templates(body):
                     yield row(t[0], t[1], None) if t else row(set_id, None, None, "template")
@@ -106,6 +113,11 @@ def decoded(all_sets: DataFrame, idle_s: float = 1800.0) -> DataFrame:
     known = s.where("fields is not null").withColumn("version", F.struct("event_seq", "fields"))
     data = s.where("body is not null").drop("fields", "fault")
     j = latest_template(data, known.select("exporter", "domain", "template_id", "t_us", "event_seq", "version"), idle_s).withColumn("fields", C("version.fields"))
+    return unpacked(j).drop("version", "t_us")
+
+
+def unpacked(j: DataFrame) -> DataFrame:
+    """The records of data sets (fields, body and others), one row each, with fault and v."""
     size = F.aggregate("fields", F.lit(0), lambda a, f: a + f["len"])
     fault = F.when(C("fields").isNull(), "no_template").when(F.exists("fields", lambda f: f["len"] == VARIABLE) | (size == 0), "template_length")
     j = j.withColumns({"fault": fault, "_size": size})
@@ -116,7 +128,7 @@ def decoded(all_sets: DataFrame, idle_s: float = 1800.0) -> DataFrame:
     own = F.transform(F.arrays_zip(C("fields"), ends.alias("at")), lambda f: F.struct(f["fields"]["type"].alias("type"), F.substr("body", C("record") * C("_size") + f["at"] + 1, f["fields"]["len"]).alias("raw")))
     # The last of equal types stands.
     latest = F.aggregate(F.filter(own, lambda f: f["type"] > 0), F.create_map().cast("map<int,binary>"), lambda m, f: F.map_concat(F.map_filter(m, lambda k, _: k != f["type"]), F.create_map(f["type"], f["raw"])))
-    return r.withColumn("v", F.when(C("fault").isNull(), latest)).drop("body", "_size", "version", "t_us")
+    return r.withColumn("v", F.when(C("fault").isNull(), latest)).drop("body", "_size")
 
 
 def value(kind: int) -> Column:

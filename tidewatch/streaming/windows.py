@@ -79,3 +79,12 @@ def pushed(df: DataFrame, send: Callable[[list[dict], int], None], checkpoint: s
 def appended(df: DataFrame, path: str, checkpoint: str):
     """Start a query that appends rows to a Parquet ledger, each batch once, and ends when all input that is there has been read."""
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def drained(df: DataFrame, path: str, checkpoint: str) -> None:
+    """The same for sources that know no such end: run until all input that is there has been read and the watermark's last batch is done, then stop."""
+    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime="0 seconds").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
