@@ -82,6 +82,15 @@ def windows(df: DataFrame, width_s: float, plan: AddressPlan = AddressPlan()) ->
     return out.withColumns({"pps": C("packets") / F.lit(float(width_s)), "bps": C("bytes") * 8 / F.lit(float(width_s)), "syn_ack_ratio": F.when(C("ack") > 0, C("syn") / C("ack")).otherwise(C("syn").cast("double"))})
 
 
+def window_samples(df: DataFrame, width_s: float, columns: list[str], most: int = 8) -> DataFrame:
+    """w_us, n and samples: `most` events of each window, by the least hashes of their numbers, so that any merge of parts has the same ones. A task sends so many rows of a window at the most, as the limit on the rank is applied before the shuffle too."""
+    width = int(width_s * 1_000_000)
+    rows = df.select((F.floor(C("t_us") / width) * width).alias("w_us"), F.md5(C("event_seq").cast("string")).alias("_h"), F.struct("event_seq", *columns).alias("event"))
+    rank = F.row_number().over(Window.partitionBy("w_us").orderBy("_h", "event"))
+    few = rows.withColumn("_n", rank).where(C("_n") <= most)
+    return few.groupBy("w_us").agg(F.count(F.lit(1)).alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("_h", "event"))), lambda x: x["event"]).alias("samples"))
+
+
 def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys and a sorted map of value to events, made from one row for each value."""
     n = df.where(C(value).isNotNull()).groupBy(*keys, value).count()

@@ -73,8 +73,8 @@ def shared_from(events: DataFrame, key: list[str], hosts: int) -> DataFrame:
     return first_sights(events, key).withColumn("_n", n).where(C("_n") <= hosts).groupBy(*key).agg(F.max("at").alias("since"), F.count(F.lit(1)).alias("_n")).where(C("_n") == hosts).drop("_n")
 
 
-def c2(events: DataFrame, cfg: C2Config = C2Config()) -> DataFrame:
-    """Conversations with regular gaps: at least min_events among the last 64 stamps, a mean of 50 ms or more and a sample coefficient of variation up to max_cv. A destination that several hosts share is a service."""
+def c2_measures(events: DataFrame, cfg: C2Config) -> tuple[DataFrame, DataFrame]:
+    """The events of conversations with what is measured along each session, and those of them at which a beacon is possible, whatever its variation."""
     keys = list(cfg.key)
     e = filters.c2_input(events, cfg)
     s = sessions(e, keys, cfg.gap_s)
@@ -84,13 +84,18 @@ def c2(events: DataFrame, cfg: C2Config = C2Config()) -> DataFrame:
     s = s.withColumns({
         "n": F.least(F.count(F.lit(1)).over(w), F.lit(cfg.history)), "valid": F.count("iat").over(recent), "iat_mean": F.avg("iat").over(recent), "iat_std": F.coalesce(F.stddev_samp("iat").over(recent), F.lit(0.0)), "first_us": F.min("t_us").over(w), "rn": F.row_number().over(Window.partitionBy(*keys, "session").orderBy(*ORDER)),
     })
-    cv = C("iat_std") / C("iat_mean")
-    regular = (C("n") >= cfg.min_events) & (C("valid") >= cfg.min_valid) & (C("iat_mean") >= cfg.min_mean_s) & (cv <= cfg.max_cv)
-    candidates = s.where(regular)
+    candidates = s.where((C("n") >= cfg.min_events) & (C("valid") >= cfg.min_valid) & (C("iat_mean") >= cfg.min_mean_s))
     if cfg.fleet_hosts:
         service = [k for k in keys if k != "src_ip"]
         candidates = candidates.join(shared_from(e, service, cfg.fleet_hosts), service, "left").where(C("since").isNull() | (F.struct(*ORDER) < C("since")))
-    hit = first_crossing(candidates, keys, F.lit(True))
+    return s, candidates
+
+
+def c2(events: DataFrame, cfg: C2Config = C2Config()) -> DataFrame:
+    """Conversations with regular gaps: at least min_events among the last 64 stamps, a mean of 50 ms or more and a sample coefficient of variation up to max_cv. A destination that several hosts share is a service."""
+    keys, cv = list(cfg.key), C("iat_std") / C("iat_mean")
+    s, candidates = c2_measures(events, cfg)
+    hit = first_crossing(candidates, keys, cv <= cfg.max_cv)
     # The gaps are gathered for the alerts alone, not for every event.
     own = [*keys, "session"]
     near = s.select(*own, C("rn").alias("u_rn"), "iat").where("iat is not null").join(hit.select(*own, "rn"), own).where((C("u_rn") <= C("rn")) & (C("u_rn") > C("rn") - (cfg.history - 1)))

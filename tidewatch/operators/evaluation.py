@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import AddressPlan, C2Config, ScanConfig
+from . import filters
+from .detectors import c2_measures
 from .ordered import quantile_bucket, sums_before
+from .sessions import ORDER, running_distinct, sessions
 
 C = F.col
 
@@ -115,8 +121,28 @@ def earliest_by_domain(df: DataFrame) -> DataFrame:
     return df.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def sweep(detect, events: DataFrame, configs: dict) -> DataFrame:
-    """A detector's alerts under each of several settings, with the setting's name."""
-    from functools import reduce
+def newly(settings: Column, now: Callable[[Column], Column], before: Callable[[Column], Column]) -> Column:
+    """The settings that a session's measures meet here and did not meet a row before. Along a session the measures only go one way, so each setting comes up once: at its first crossing."""
+    return F.explode(F.filter(settings, lambda x: now(x) & ~F.coalesce(before(x), F.lit(False))))
+
+
+def scan_sweep(events: DataFrame, grid: list[tuple[int, int]], cfg: ScanConfig = ScanConfig(), plan: AddressPlan = AddressPlan()) -> DataFrame:
+    """hosts, ports, src_ip, t_us, event_seq, score: the scan detector's alerts under every pair of thresholds (min_hosts, min_ports), from one pass over the events."""
+    s = running_distinct(sessions(filters.scan_input(events, plan), ["src_ip"], cfg.gap_s), ["src_ip"], ["dst_ip", "dst_port"])
+    by = Window.partitionBy("src_ip", "session").orderBy(*ORDER)
+    s = s.withColumns({"_h": F.lag("n_dst_ip").over(by), "_p": F.lag("n_dst_port").over(by)})
+    settings = F.array(*[F.struct(F.lit(h).alias("hosts"), F.lit(p).alias("ports")) for h, p in grid])
+    met = lambda h, p: lambda x: (C(h) >= x["hosts"]) | (C(p) >= x["ports"])
+    hit = s.select("src_ip", *ORDER, "n_dst_ip", "n_dst_port", newly(settings, met("n_dst_ip", "n_dst_port"), met("_h", "_p")).alias("x"))
+    return hit.select("x.*", "src_ip", *ORDER, F.greatest(C("n_dst_ip") / C("x.hosts"), C("n_dst_port") / C("x.ports")).alias("score"))
+
 
-    return reduce(DataFrame.unionByName, [detect(events, cfg).select("score", "severity").withColumn("setting", F.lit(name)) for name, cfg in configs.items()])
+def c2_sweep(events: DataFrame, max_cvs: list[float], cfg: C2Config = C2Config()) -> DataFrame:
+    """max_cv, the conversation's keys, t_us, event_seq, iat_cv: the beacon detector's alerts under every limit of variation, from one pass over the events. The least variation so far only falls."""
+    keys = list(cfg.key)
+    _, candidates = c2_measures(events, cfg)
+    by = Window.partitionBy(*keys, "session").orderBy(*ORDER)
+    least = F.min("iat_cv").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    s = candidates.withColumn("iat_cv", C("iat_std") / C("iat_mean")).withColumn("_least", least).withColumn("_before", F.lag("_least").over(by))
+    met = lambda c: lambda x: C(c) <= x
+    return s.select(newly(F.array(*[F.lit(float(c)) for c in max_cvs]), met("_least"), met("_before")).alias("max_cv"), *keys, *ORDER, "iat_cv")

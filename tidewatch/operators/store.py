@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
@@ -44,17 +44,36 @@ def export_json(ledger: DataFrame) -> DataFrame:
     return ledger.select("seq", F.to_json(F.struct("*")).alias("json")).orderBy("seq")
 
 
-def flattened(df: DataFrame, column: str = "evidence") -> DataFrame:
-    """df with flat, a map of dotted keys to texts, from a JSON column with one level of nesting; lists stay compact JSON."""
-    top = F.from_json(C(column), "map<string,string>")
-    inner = F.transform(F.map_entries(top), lambda e: F.when(e.value.startswith("{"), F.transform(F.map_entries(F.from_json(e.value, "map<string,string>")), lambda i: F.struct(F.concat(e.key, F.lit("."), i.key).alias("key"), i.value.alias("value")))).otherwise(F.array(F.struct(e.key.alias("key"), e.value.alias("value")))))
-    return df.withColumn("flat", F.map_from_entries(F.flatten(inner)))
+def opened(entries: Column) -> Column:
+    """Entries (key, value, object) with every object replaced by its own entries, one level down, under dotted keys. An empty object has none."""
+    return F.flatten(F.transform(entries, lambda e: F.when(e["object"], entries_of(e["value"], F.concat(e["key"], F.lit(".")))).otherwise(F.array(e))))
 
 
-def export_table(snap: DataFrame, columns: list[str], column: str = "evidence") -> DataFrame:
-    """One row per incident with its columns and the sorted union of evidence keys; a missing value is an empty text. The keys are few, as detectors have fixed fields."""
+def entries_of(text: Column, prefix: Column) -> Column:
+    """The entries of a JSON object: prefixed key, value as text (lists as compact JSON), and whether it is an object and not a text that looks like one."""
+    kinds = F.parse_json(text).cast("map<string,variant>")
+    return F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value"), F.coalesce(F.schema_of_variant(F.element_at(kinds, e["key"])).startswith("OBJECT"), F.lit(False)).alias("object")))
+
+
+def flattened(df: DataFrame, column: str = "evidence", levels: int = 6) -> DataFrame:
+    """df with flat, a map of dotted keys to texts, from a JSON column of any depth; of equal keys the last stands. So many levels are opened at once, and more as long as a row has one."""
+    out = df.withColumn("_e", entries_of(C(column), F.lit("")))
+    while True:
+        e = C("_e")
+        for _ in range(levels - 1):
+            e = opened(e)
+        out = out.withColumn("_e", e)
+        if out.where(F.exists("_e", lambda x: x["object"])).isEmpty():
+            latest = F.aggregate("_e", F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["key"]), F.create_map(x["key"], x["value"])))
+            return out.withColumn("flat", latest).drop("_e")
+
+
+def export_table(snap: DataFrame, columns: list[str], column: str = "evidence", most: int = 1000) -> DataFrame:
+    """One row per incident with its columns and the sorted union of evidence keys; a missing value is an empty text. The keys are few, as detectors have fixed fields; more than `most` are refused, as a table can't have them as columns."""
     flat = flattened(snap, column)
-    keys = sorted(r.k for r in flat.select(F.explode(F.map_keys("flat")).alias("k")).distinct().collect())
+    keys = sorted(r.k for r in flat.select(F.explode(F.map_keys("flat")).alias("k")).distinct().limit(most + 1).collect())
+    if len(keys) > most:
+        raise ValueError(f"{column} has over {most} keys")
     value = lambda k: F.coalesce(F.try_element_at("flat", F.lit(k)), F.lit(""))
     return flat.select(*columns, *[value(k).alias(f"{column}.{k}") for k in keys])
 

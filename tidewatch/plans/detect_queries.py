@@ -39,6 +39,14 @@ def window_summary(spark, d):
     return w.select("w_us", "event_count", "packets", "bytes", "udp", "inbound", "syn", "ack", "unique_src", "unique_dst_ports", "top_dst_ip", *[F.round(c, 6).alias(c) for c in ("src_entropy", "dst_entropy", "top_flow_share")], F.round("pps", 9).alias("pps"))
 
 
+@query("window_samples", sql(f"""WITH r AS (SELECT t_us // {HOUR} * {HOUR} AS w_us, *, row_number() OVER (PARTITION BY t_us // {HOUR} ORDER BY md5(CAST(event_seq AS VARCHAR)), event_seq) AS rn FROM v_flow)
+SELECT w_us, count(*) AS n, string_agg(event_seq || ' ' || src_ip || ' ' || dst_ip, ',' ORDER BY rn) AS samples FROM r WHERE rn <= 8 GROUP BY 1""", "v_flow"))
+def window_samples(spark, d):
+    """Eight events of every hour, the same ones however the table is divided."""
+    s = aggregates.window_samples(views.flow(spark, d), 3600.0, ["src_ip", "dst_ip"])
+    return s.select("w_us", "n", F.array_join(F.transform("samples", lambda e: F.concat_ws(" ", e["event_seq"], e["src_ip"], e["dst_ip"])), ",").alias("samples"))
+
+
 @query("tumbling_window", sql(f"SELECT t_us // {HOUR} * {HOUR} AS w_us, count(*) AS n FROM v_flow GROUP BY 1", "v_flow"))
 def tumbling_window(spark, d):
     w = F.window(F.timestamp_micros("t_us"), "1 hour")

@@ -141,9 +141,20 @@ hit AS (SELECT setting, greatest(hosts / h, ports / p) AS score FROM r, (VALUES
 SELECT setting, count(*) AS alerts, round(max(score), 6) AS peak FROM hit GROUP BY 1""", "v_flow"))
 def threshold_sweep(spark, d):
     """Scan alerts under a grid of thresholds."""
-    configs = {f"hosts{h}_ports{p}": ScanConfig(gap_s=172_800.0, min_hosts=h, min_ports=p) for h in (4, 6) for p in (4, 5)}
-    s = evaluation.sweep(detectors.scan, views.flow(spark, d), configs)
-    return s.groupBy("setting").agg(F.count(F.lit(1)).alias("alerts"), F.round(F.max("score"), 6).alias("peak"))
+    s = evaluation.scan_sweep(views.flow(spark, d), [(h, p) for h in (4, 6) for p in (4, 5)], ScanConfig(gap_s=172_800.0))
+    return s.groupBy(F.concat(F.lit("hosts"), "hosts", F.lit("_ports"), "ports").alias("setting")).agg(F.count(F.lit(1)).alias("alerts"), F.round(F.max("score"), 6).alias("peak"))
+
+
+@query("jitter_sweep", sql(f"""
+WITH e AS (SELECT * FROM v_flow WHERE NOT ((protocol = 'UDP' AND dst_port IN (53, 123)) OR (protocol = 'TCP' AND dst_port = 53)) AND direction <> 'inbound'), {SESSION("src_ip, dst_ip", 240 * HOUR, "e")},
+i AS (SELECT *, CASE WHEN gap > 0.001 THEN gap END AS iat FROM (SELECT *, (t_us - lag(t_us) OVER (PARTITION BY src_ip, dst_ip, session ORDER BY t_us, event_seq)) / 1e6 AS gap FROM s)),
+r AS (SELECT *, count(*) OVER a AS n, count(iat) OVER p AS valid, avg(iat) OVER p AS m, stddev_samp(iat) OVER p AS sd FROM i WINDOW a AS (PARTITION BY src_ip, dst_ip, session ORDER BY t_us, event_seq ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY src_ip, dst_ip, session ORDER BY t_us, event_seq ROWS 62 PRECEDING))
+SELECT max_cv, src_ip, dst_ip, t_us, event_seq, round(sd / m, 6) AS iat_cv FROM r, (SELECT unnest([0.2, 0.3, 0.5, 0.8]::DOUBLE[]) AS max_cv) WHERE n >= 4 AND valid >= 3 AND sd / m <= max_cv
+QUALIFY row_number() OVER (PARTITION BY max_cv, src_ip, dst_ip, session ORDER BY t_us, event_seq) = 1""", "v_flow"))
+def jitter_sweep(spark, d):
+    """Beacon alerts under four limits of variation."""
+    cfg = C2Config(key=("src_ip", "dst_ip"), gap_s=240 * 3600.0, min_events=4, min_valid=3, fleet_hosts=None)
+    return evaluation.c2_sweep(views.flow(spark, d), [0.2, 0.3, 0.5, 0.8], cfg).withColumn("iat_cv", F.round("iat_cv", 6))
 
 
 @query("dga_model")

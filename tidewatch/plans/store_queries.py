@@ -127,6 +127,19 @@ def export_csv(spark, d):
     return out.toDF(*[c.replace(".", "_") for c in out.columns])
 
 
+DEEP = [("k", "k"), ("a.ip", "dst_ip"), ("a.b.port", "dst_port"), ("a.b.c.n", "event_seq"), ("a.b.c.d.text", "'{' || src_ip"), ("a.b.c.list", "'[' || k || ',{\"z\":1}]'"), ("a.b.dot.ted", "detector")]
+
+
+@query("flatten_evidence", sql(" UNION ALL ".join(f"SELECT event_seq, '{key}' AS key, CAST({value} AS VARCHAR) AS value FROM v_alert" for key, value in DEEP), "v_alert"))
+def flatten_evidence(spark, d):
+    """Evidence of five levels with a list, a text like an object and a dotted key, by key."""
+    a = views.alert(spark, d)
+    c = F.struct(C("event_seq").alias("n"), F.struct(F.concat(F.lit("{"), "src_ip").alias("text")).alias("d"), F.array(C("k").cast("string"), F.lit("Z")).alias("list"))
+    deep = F.struct("k", F.struct(C("dst_ip").alias("ip"), F.struct(C("dst_port").alias("port"), c.alias("c"), C("detector").alias("dot.ted")).alias("b")).alias("a"))
+    text = F.regexp_replace(F.to_json(deep), r'\["(\d+)","Z"\]', r'[$1,{"z":1}]')
+    return store.flattened(a.select("event_seq", text.alias("evidence")), levels=3).select("event_seq", F.explode("flat").alias("key", "value"))
+
+
 @query("count_incidents", sql("WITH " + SNAP + " SELECT (SELECT count(*) FROM snap) AS incidents, (SELECT count(*) FROM led) AS updates", "v_alert"))
 def count_incidents(spark, d):
     ledger = _ledger(spark, d)
