@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.config import C2Config, DdosConfig, DgaConfig, DnsConfig, ExfilConfig, ReflectionConfig, ScanConfig, SlowlorisConfig, TlsConfig
-from tidewatch.operators import aggregates, detectors, flood
+from tidewatch.operators import aggregates, detectors, evaluation, flood
 from tidewatch.sources.tables import attack
 
 T0 = 1_773_280_000_000_000
@@ -208,3 +208,22 @@ def test_flow_table_sides_and_states(spark):
     assert [(x.events, x.fwd_packets, x.rev_bytes, x.state) for x in r] == [(2, 1, 500, "ACTIVE"), (2, 2, 0, "RESET")]
     r = aggregates.flow_table(events(spark, [(k * 200, {}) for k in range(40)]).withColumns({"flow_id": F.lit("f"), "tcp_flags": F.lit(None).cast("int")})).collect()
     assert len(r) == 3 and all(x.duration_s < 3600 for x in r)
+
+
+def test_sweeps_equal_a_run_for_each_setting(spark):
+    e = attack("scan", spark, T0, 120).unionByName(attack("sweep", spark, T0, 90, "10.10.0.77").withColumn("event_seq", F.col("event_seq") + 300)).unionByName(attack("scan", spark, T0 + 60_000_000, 70).withColumn("event_seq", F.col("event_seq") + 600))
+    grid = [(10, 20), (50, 100), (80, 60), (1000, 1000)]
+    got = {(r.hosts, r.ports, r.src_ip, r.t_us, r.event_seq, round(r.score, 9)) for r in evaluation.scan_sweep(e, grid).collect()}
+    want = {(h, p, r.src_ip, r.t_us, r.event_seq, round(r.score, 9)) for h, p in grid for r in detectors.scan(e, ScanConfig(min_hosts=h, min_ports=p)).collect()}
+    assert got == want and len({x[:2] for x in got}) == 3
+    jitter = attack("beacon", spark, T0, 60).withColumn("t_us", F.col("t_us") + F.pmod(F.col("event_seq") * 7919, F.lit(23)) * F.col("event_seq") * 10_000)
+    limits = [0.01, 0.05, 0.15, 0.4]
+    got = {(r.max_cv, r.src_ip, r.t_us, round(r.iat_cv, 9)) for r in evaluation.c2_sweep(jitter, limits).collect()}
+    want = {(c, r.src_ip, r.t_us, round(r.iat_cv, 9)) for c in limits for r in detectors.c2(jitter, C2Config(max_cv=c)).collect()}
+    assert got == want and got
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    e = attack("scan", spark, T0, 300)
+    runs = [sorted((r.w_us, r.n, tuple(x.event_seq for x in r.samples)) for r in aggregates.window_samples(e.repartition(n), 1.0, ["src_ip"], most=5).collect()) for n in (1, 7)]
+    assert runs[0] == runs[1] and all(r[1] <= 5 == len(set(r[2])) or r[1] == len(r[2]) for r in runs[0])

@@ -123,3 +123,17 @@ def test_dga_model_query_fits_the_default_number_of_trees():
 
     assert "trees=" not in inspect.getsource(source_queries.dga_model)
     assert inspect.signature(ml.DgaModel.fit).parameters["trees"].default == 120
+
+
+def test_evidence_of_any_depth_is_flattened(spark):
+    deep = 41
+    for k in range(12, 0, -1):
+        deep = {f"l{k}": deep, "x": k}
+    rows = [{"a": {"b": {"c": {"d": [1, {"e": 2}]}}}, "t": "{not an object", "u": '{"v": 1}'}, deep, {"empty": {}, "none": None, "dot.ted": {"k.l": True}}, {}]
+    docs = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(rows)] + [(9, None)], "id int, evidence string")
+    got = {r.id: r.flat for r in store.flattened(docs, levels=3).collect()}
+    assert got[0] == {"a.b.c.d": '[1,{"e":2}]', "t": "{not an object", "u": '{"v": 1}'}
+    assert got[1]["l1.l2.l3.l4.l5.l6.l7.l8.l9.l10.l11.l12"] == "41" and len(got[1]) == 13
+    assert got[2] == {"none": None, "dot.ted.k.l": "true"} and got[3] == {} and got[9] is None
+    with pytest.raises(ValueError):
+        store.export_table(docs, ["id"], most=3)

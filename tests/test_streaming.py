@@ -1,4 +1,6 @@
 import shutil
+import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,8 @@ from pyspark.sql import functions as F
 from tidewatch.config import C2Config, ReflectionConfig, ScanConfig, TlsConfig
 from tidewatch.operators import detectors, sessions
 from tidewatch.sources.tables import attack
-from tidewatch.streaming import detect, inorder, late, stateful, windows
+from tidewatch.sources import flowrec, flowstream
+from tidewatch.streaming import detect, inorder, late, latency, stateful, windows
 
 T0 = 1_773_280_000_000_000
 
@@ -149,3 +152,49 @@ def test_novel_fingerprints_with_a_baseline(spark, tmp_path):
     out, _ = ended(spark, detect.novel_fingerprints(streamed(spark, e, tmp_path / "in", 3), TlsConfig(), base), tmp_path, "n")
     got = {(r.kind, r.fingerprint, r.event_seq) for r in out.collect()}
     assert got == {("ja3", "aa", 0), ("ja4", "t1", 0), ("ja4", "t1", 3), ("ja4", "t2", 4), ("ja3", "bb", 5), ("ja4", "t9", 5), ("ja3", "zz", 7)}
+
+
+def test_latency_percentiles_are_within_the_sketch_error(spark, tmp_path):
+    f = spark.range(4000).select((F.lit(T0) + F.col("id") * 977 % 1_000_003 * 1000).alias("received_us"), F.col("id").alias("event_seq"), F.col("id").alias("t_us"))
+    listener = latency.LatencyListener(f"{tmp_path}/latency", every=2)
+    spark.streams.addListener(listener)
+    try:
+        q = latency.observed(streamed(spark, f, tmp_path / "in", 3)).writeStream.format("parquet").queryName("lat").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        for _ in range(100):
+            if sum(r.rows for r in (spark.read.parquet(f"{tmp_path}/latency").collect() if (tmp_path / "latency").exists() else [])) == 4000:
+                break
+            time.sleep(0.1)
+            listener.flush()
+    finally:
+        spark.streams.removeListener(listener)
+    table = spark.read.parquet(f"{tmp_path}/latency")
+    assert table.agg(F.sum("observed")).first()[0] == 4000
+    r = latency.percentiles(table, [0.5, 0.95]).first()
+    # A batch's time is the same for its rows, so ranks can be held against receipts within each batch's share: the spread of receipts dwarfs the batches' own seconds.
+    exact = sorted(x.received_us for x in f.collect())
+    spread = exact[-1] - exact[0]
+    now = time.time() * 1e6
+    for rank, got in ((0.5, r.wait_us_p50), (0.95, r.wait_us_p95)):
+        share = sum(now - x <= got for x in exact) / len(exact)
+        assert abs(share - rank) < 0.02 + 120e6 / spread
+    assert r.batches == 3 and r.rows == 4000 and r.batch_ms_p50 > 0
+
+
+def test_a_stream_of_flow_records_equals_the_batch_form(spark, tmp_path):
+    template = struct.pack("!HHHHHHHH", 2, 16, 256, 2, 8, 4, 2, 4)
+    data = lambda *rows: struct.pack("!HH", 256, 4 + 8 * len(rows)) + b"".join(struct.pack("!II", a, b) for a, b in rows)
+    def message(t, *sets):
+        return struct.pack("!HHIII", 10, 16 + sum(map(len, sets)), t, 0, 7) + b"".join(sets)
+    files = {"e1/1.flow": [(100, data((1, 1)), template, data((2, 2), (3, 3)))], "e1/2.flow": [(150, data((4, 4))), (1_950, data((5, 5)))], "e1/3.flow": [(2_000, template, data((6, 6)))], "e2/1.flow": [(100, data((7, 7))), (5_000, template)]}
+    for name, messages in files.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"".join(message(*m) for m in messages))
+    with inorder.rocks(spark):
+        windows.drained(flowstream.decoded(flowstream.read_stream(spark, f"{tmp_path}/in")), f"{tmp_path}/o", f"{tmp_path}/cp")
+    row = lambda r: (r.exporter, r.export_s, r.fault, flat(r.v))
+    flat = lambda v: None if v is None else tuple(sorted((k, bytes(x)) for k, x in v.items()))
+    stream = sorted((row(r) for r in spark.read.parquet(f"{tmp_path}/o").collect()), key=repr)
+    spark.dataSource.register(flowstream.FlowSource)
+    batch = sorted((row(r) for r in flowrec.decoded(spark.read.format("flowrec").options(path=f"{tmp_path}/in", exporter="folder").load()).collect()), key=repr)
+    assert stream == batch and [r[2] for r in batch].count("no_template") == 3 and len(batch) == 7

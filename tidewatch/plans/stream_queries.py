@@ -16,13 +16,13 @@ from .source_queries import _finished, _hex, _ip_hex
 from .views import sql
 
 C = F.col
-SLICES = 8
+SLICES = 4
 #: Rows of a micro-batch's file.
 FILE_ROWS = 1_000_000
 WINDOW = WindowConfig(width_s=3600.0)
 #: Up to where the watermark gets: the latest event, in whole milliseconds, less the delay.
 REACHED = "(SELECT (max(epoch_us(ts)) // 1000 - 300) * 1000 FROM events)"
-ARRIVAL = "event_id * 8 // (SELECT max(event_id) + 1 FROM events) + CASE WHEN {} THEN 1 + event_id % 3 ELSE 0 END"
+ARRIVAL = "event_id * 4 // (SELECT max(event_id) + 1 FROM events) + CASE WHEN {} THEN 1 + event_id % 3 ELSE 0 END"
 
 
 def arriving(spark, d, delayed="false"):
