@@ -94,3 +94,15 @@ def test_scores_against_exact_counts(spark, monkeypatch):
 def test_the_limit_of_the_broadcast_changes_no_score(spark):
     told = lambda **of: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in lm.scores(frame(spark, texts()), **of).collect())
     assert told(max_filter_bytes=0) == told()
+
+
+def test_scores_do_not_depend_on_the_session(spark):
+    key, told = "spark.sql.shuffle.partitions", []
+    own = spark.conf.get(key)
+    try:
+        for n in ("3", "11"):
+            spark.conf.set(key, n)
+            told.append(sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.scores(frame(spark, texts())).collect()))
+    finally:
+        spark.conf.set(key, own)
+    assert told[0] == told[1]

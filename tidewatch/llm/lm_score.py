@@ -34,6 +34,8 @@ STEP = 65_536
 #: Words with more than this share of the training tokens are broadcast: fewer than 65536.
 FREQUENT = 65_536
 HASHES, BITS_PER_ENTRY = 4, 8
+#: Shards of a small table's filters.
+SHARDS_LEAST = 48
 MAX_FILTER_BYTES = 256 << 20
 #: Weight of the unigram probability, in tokens.
 SMOOTH = 20.0
@@ -329,7 +331,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     counts = settle(unigram_counts(train))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = {bytes(r.word): r.c for r in counts.where(F.col("c") * frequent_share > n).collect()}
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-v // 200_000), -(-n // 2_000_000))
+    # Of the table alone, as false finds depend on the filters' sizes: the same scores on every cluster.
+    shards = max(SHARDS_LEAST, -(-v // 200_000), -(-n // 2_000_000))
     base = base_scores(rows, counts, frequent, shards)
     built = settle(filters(train, shards))
     size = built.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
