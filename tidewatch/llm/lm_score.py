@@ -35,7 +35,7 @@ STEP = 65_536
 FREQUENT = 65_536
 HASHES, BITS_PER_ENTRY = 4, 8
 #: Shards of a small table's filters.
-SHARDS_LEAST = 48
+SHARDS_LEAST = 12
 MAX_FILTER_BYTES = 256 << 20
 #: Weight of the unigram probability, in tokens.
 SMOOTH = 20.0
