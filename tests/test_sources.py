@@ -4,6 +4,7 @@ import struct
 
 import pytest
 
+from tidewatch.config import Settings
 from tidewatch.sources import capture as captures
 from tidewatch.sources import flowrec, pcap, tables
 
@@ -181,3 +182,15 @@ def test_written_captures_come_back(spark, tmp_path):
     got = captures.read_captures(spark, f"{tmp_path}/out", 512).collect()
     assert sorted((r.t_us, bytes(r.data)) for r in got) == rows and len({r.path for r in got}) == 3
     assert all(sorted(r["index"] for r in got if r.path == p) == list(range(sum(r.path == p for r in got))) for p in {r.path for r in got})
+
+
+def test_thresholds_and_calibration_from_files(spark, tmp_path):
+    (tmp_path / "t.yaml").write_text("version: 1\nscan: {unique_dst_min: 7}\ntls_quic: {novelty_days: 2}\nlatency: {watermark_ms: 500, slo_p95_ms: 2000}\nc2: {cv_max: 0.2}\nthroughput: {sustain_seconds: 60}\n")
+    got = Settings.load(str(tmp_path / "t.yaml"))
+    assert (got.scan.min_hosts, got.scan.min_ports, got.tls.novelty_s, got.window.delay_s, got.c2.max_cv) == (7, 100, 172_800.0, 0.5, 0.2)
+    assert got.ddos == Settings().ddos
+    (tmp_path / "bad.yaml").write_text("scan: {unique_dest_min: 7}\n")
+    with pytest.raises(ValueError):
+        Settings.load(str(tmp_path / "bad.yaml"))
+    (tmp_path / "c.json").write_text(json.dumps({"fitted": "x", "detectors": {"scan": {"a": 2.5, "b": -1}, "c2": {"a": 1.0}}}, indent=1))
+    assert [tuple(r) for r in tables.calibration(spark, f"file://{tmp_path}/c.json").collect()] == [("scan", 2.5, -1.0)]

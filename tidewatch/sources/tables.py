@@ -70,3 +70,9 @@ def attack(kind: str, spark: SparkSession, start_us: int, n: int, source: str =
     return spark.range(n).select(
         i.alias("event_seq"), t.alias("t_us"), src.alias("src_ip"), dst.alias("dst_ip"), sport.cast("int").alias("src_port"), port.cast("int").alias("dst_port"), proto.alias("protocol"), F.when(proto == "TCP", 2).alias("tcp_flags"), F.lit(1).cast("long").alias("packets"), size.cast("long").alias("bytes"), F.lit(way).alias("direction"),
     )
+
+
+def calibration(spark: SparkSession, path: str) -> DataFrame:
+    """detector, a, b from a JSON file of each detector's logistic parameters, for joins.with_confidence; detectors without both are left out."""
+    d = spark.read.schema("detectors map<string,struct<a: double, b: double>>").option("multiLine", True).json(path)
+    return d.select(F.explode("detectors").alias("detector", "p")).select("detector", "p.a", "p.b").where("a is not null and b is not null")
