@@ -227,3 +227,42 @@ def test_samples_do_not_depend_on_partitions(spark):
     e = attack("scan", spark, T0, 300)
     runs = [sorted((r.w_us, r.n, tuple(x.event_seq for x in r.samples)) for r in aggregates.window_samples(e.repartition(n), 1.0, ["src_ip"], most=5).collect()) for n in (1, 7)]
     assert runs[0] == runs[1] and all(r[1] <= 5 == len(set(r[2])) or r[1] == len(r[2]) for r in runs[0])
+
+
+def test_generated_names_against_a_loop(spark):
+    r = random.Random(5)
+    names = ["www.google.com", "mail.example.org", *["".join(r.choices("bcdfghjklmnpqrstvwxz0123456789", k=16)) + ".info" for _ in range(20)]]
+    rows = []
+    for host in range(12):
+        for _ in range([3, 60, 100, 101, 400, 600][host % 6]):
+            odd = r.random() < host / 14
+            rows.append((f"10.10.1.{host}", T0 + r.randrange(10**9), len(rows), names[2 + r.randrange(20)] if odd else names[r.randrange(2)], "A", r.random() < 0.05 + host / 30))
+    e = spark.createDataFrame(rows, "src_ip string, t_us long, event_seq long, qname string, qtype string, nxdomain boolean")
+    score = {x.qname: x.s for x in e.select("qname", detectors.domains.rule_score(F.col("qname")).alias("s")).distinct().collect()}
+    late = 0
+    for cfg in (DgaConfig(high=0.5, low=0.1, nx_rate=0.3), DgaConfig(high=0.8, low=0.05, nx_rate=0.9), DgaConfig(high=2.0, low=0.0, nx_rate=1.0), DgaConfig(min_queries=101, high=0.1)):
+        want = set()
+        for host in {x[0] for x in rows}:
+            total = nx = 0
+            for k, x in enumerate(sorted((x for x in rows if x[0] == host), key=lambda x: x[1:3]), 1):
+                total += score[x[3]] if k <= cfg.history else 0
+                nx += x[5]
+                n = min(k, cfg.history)
+                if n >= cfg.min_queries and (total / n >= cfg.high or total / n >= cfg.low and nx / n >= cfg.nx_rate):
+                    want.add((host, x[2], n, round(total / n, 6), round(nx / n, 6)))
+                    late += k > cfg.history
+                    break
+        got = {(x.src_ip, x.event_seq, x.query_count, round(x.avg_score, 6), round(x.nxdomain_rate, 6)) for x in detectors.dga(e, cfg).collect()}
+        assert got == want
+    assert late >= 3
+
+
+def test_a_long_stretch_of_firings(spark):
+    stamps = [0, *range(2, 4000), *range(5000, 5003)]
+    df = spark.createDataFrame([("a", s) for s in stamps] + [("b", 7)], "k string, at long")
+    want, last = [], None
+    for s in stamps:
+        if last is None or s - last >= 3:
+            want, last = [*want, s], s
+    got = detectors.cooled(df, ["k"], "at", 3.0).orderBy("k", "at").collect()
+    assert [r.at for r in got if r.k == "a"] == want and len(want) > 1000 and got[-1].at == 7

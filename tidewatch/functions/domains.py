@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import ALLOWLIST, COMMON_BIGRAMS, COMMON_TLDS, NOT_OBSERVABLE
-from .features import entropy_of, ngrams_of
+from .features import entropy_of
 
 
 def cleaned(qname: Column) -> Column:
@@ -49,9 +49,9 @@ def is_allowlisted(qname: Column) -> Column:
 
 def ngram_anomaly(label: Column) -> Column:
     """Share of letter pairs that aren't common; 0 for fewer than two letters."""
-    pairs = ngrams_of(F.regexp_replace(F.lower(label), "[^a-z]", ""), 2)
-    odd = F.size(F.filter(pairs, lambda p: ~p.isin(*COMMON_BIGRAMS)))
-    return F.when(F.size(pairs) == 0, 0.0).otherwise(odd / F.size(pairs))
+    letters = F.regexp_replace(F.lower(label), "[^a-z]", "")
+    pairs, common = F.length(letters) - 1, F.regexp_count(letters, F.lit(f"(?={'|'.join(COMMON_BIGRAMS)})"))
+    return F.when(pairs < 1, 0.0).otherwise((pairs - common) / pairs)
 
 
 def lexical_features(qname: Column, core: Column | None = None) -> dict[str, Column]:

@@ -8,18 +8,10 @@ from pyspark.sql import functions as F
 from ..schema import FEATURE_ORDER
 
 
-def chars(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
-
-
 def entropy_of(text: Column) -> Column:
-    """Base-2 character entropy; 0 for an empty or missing text."""
-    own, n = chars(text), F.length(text)
-    return F.coalesce(F.when(n > 0, F.aggregate(F.array_distinct(own), F.lit(0.0), lambda s, c: s - _plogp(F.size(F.filter(own, lambda x: x == c)) / n))), F.lit(0.0))
-
-
-def _plogp(p: Column) -> Column:
-    return p * F.log2(p)
+    """Base-2 character entropy; 0 for an empty or missing text. The sorted text is cut into runs of one character each."""
+    runs, n = F.regexp_extract_all(F.array_join(F.array_sort(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0)), F.length(text)
+    return F.coalesce(F.when(n > 0, F.aggregate(runs, F.lit(0.0), lambda s, r: s - F.length(r) / n * F.log2(F.length(r) / n))), F.lit(0.0))
 
 
 def entropy_from_counts(count: Column) -> Column:

@@ -16,6 +16,8 @@ from .sessions import ORDER, along, first_crossing, running_distinct, sessions
 
 C = F.col
 FLEET_SLICE_US = 3_600_000_000
+#: Stamps that cooled() folds at a time.
+BLOCK = 256
 
 
 def clamp(c: Column) -> Column:
@@ -108,30 +110,42 @@ def c2(events: DataFrame, cfg: C2Config = C2Config()) -> DataFrame:
 
 
 def dga(dns: DataFrame, cfg: DgaConfig = DgaConfig(), model: DataFrame | None = None, mode: str = "off", threshold: float = 0.5) -> DataFrame:
-    """Sources whose first 100 queries score high, or rather high with many failures; once for each source. The failure count goes on past the hundred, so the rate can pass 1. With mode `on`, a model's mean probability (qname, p) decides; with `shadow` it is reported."""
-    s = filters.dns_input(dns).withColumn("_core", domains.core_label(C("qname")))
-    s = s.withColumn("session", F.lit(0))
+    """Sources whose first 100 queries score high, or rather high with many failures; once for each source. The failure count goes on past the hundred, so the rate can pass 1. With mode `on`, a model's mean probability (qname, p) decides; with `shadow` it is reported.
+
+    Past the hundredth query only the failure count moves, so a source that has not been reported by then can be at one event alone: the failure that makes the rate. Thus of a source's history its first hundred queries and so many of its first failures leave a task, however many it has."""
+    e = filters.dns_input(dns)
+    by = Window.partitionBy("src_ip").orderBy(*ORDER)
+    s = e.withColumn("rn", F.row_number().over(by)).where(C("rn") <= cfg.history).withColumns({"session": F.lit(0), "_core": domains.core_label(C("qname"))})
     if model is not None and mode != "off":
         s = s.join(model.select("qname", "p"), "qname", "left").withColumn("p", F.when(domains.is_allowlisted(C("qname")), 0.0).otherwise(C("p")))
     else:
         s = s.withColumn("p", F.lit(None).cast("double"))
     w = along(["src_ip"])
-    s = s.withColumn("rn", F.row_number().over(Window.partitionBy("src_ip", "session").orderBy(*ORDER)))
-    kept = C("rn") <= cfg.history
-    s = s.withColumn("score1", F.when(kept, domains.rule_score(C("qname"), C("_core")))).drop("_core")  # of the names that count, not of all
-    s = s.withColumns({
-        "n": F.least("rn", F.lit(cfg.history)), "avg_score": F.avg(F.when(kept, C("score1"))).over(w), "nx": F.sum(F.coalesce(C("nxdomain"), F.lit(False)).cast("int")).over(w), "first_us": F.min("t_us").over(w),
-        "model_mean": F.avg(F.when(kept, C("p"))).over(w), "model_n": F.count(F.when(kept, C("p"))).over(w),
+    s = s.withColumn("score1", domains.rule_score(C("qname"), C("_core"))).withColumns({
+        "avg_score": F.avg("score1").over(w), "nx": F.sum(F.coalesce(C("nxdomain"), F.lit(False)).cast("int")).over(w), "first_us": F.min("t_us").over(w), "model_mean": F.avg("p").over(w), "model_n": F.count("p").over(w),
     })
+    s = s.select("src_ip", "session", *ORDER, C("rn").alias("n"), "avg_score", "nx", "first_us", "model_mean", "model_n")
+    enough = failures_for(cfg.nx_rate, cfg.history)
+    failures = e.where(C("nxdomain")).withColumn("_nx", F.row_number().over(by)).where(C("_nx") == enough).select("src_ip", *[C(c).alias(f"_{c}") for c in ORDER])
+    last = s.where(C("n") == cfg.history).join(failures, "src_ip").where(F.struct("_t_us", "_event_seq") > F.struct(*ORDER))
+    last = last.select("src_ip", "session", *[C(f"_{c}").alias(c) for c in ORDER], "n", "avg_score", F.lit(enough).cast("long").alias("nx"), "first_us", "model_mean", "model_n")
     rate = C("nx") / C("n")
     rules = (C("avg_score") >= cfg.high) | (C("avg_score") >= cfg.low) & (rate >= cfg.nx_rate)
     decides = (C("model_n") == C("n")) if mode == "on" else F.lit(False)
-    hit = first_crossing(s, ["src_ip"], (C("n") >= cfg.min_queries) & F.when(decides, C("model_mean") >= threshold).otherwise(rules))
+    hit = first_crossing(s.unionByName(last), ["src_ip"], (C("n") >= cfg.min_queries) & F.when(decides, C("model_mean") >= threshold).otherwise(rules))
     score = F.when(decides, C("model_mean")).otherwise(C("avg_score"))
     out = hit.select("src_ip", *ORDER, "first_us", C("n").alias("query_count"), "avg_score", rate.alias("nxdomain_rate"), "model_mean", F.lit("dga_domain").alias("threat_class"), score.alias("score"), F.when(score >= 0.9, "HIGH").otherwise("MEDIUM").alias("severity"), F.when(decides, "model_probability").otherwise("rule_score").alias("score_type"))
     return out.withColumn("detector", F.lit("dga"))
 
 
+def failures_for(rate: float, queries: int) -> int:
+    """The least number of failures, 1 or more, whose share of `queries` is the rate."""
+    n = max(int(rate * queries) - 1, 1)
+    while n / queries < rate:
+        n += 1
+    return n
+
+
 def dns_tunnel(dns: DataFrame, cfg: DnsConfig = DnsConfig()) -> DataFrame:
     """Source and registered domain with long names of high entropy, or many of some length, or a share of TXT or NULL queries. Length and entropy are means of the first 100 queries."""
     keys = list(cfg.key)
@@ -285,16 +299,22 @@ def reflection(events: DataFrame, cfg: ReflectionConfig = ReflectionConfig(), pl
 
 
 def cooled(df: DataFrame, keys: list[str], at: str, cooldown: float) -> DataFrame:
-    """Rows that fire: a key's first, then each first one at least `cooldown` after the last that fired. A stamp that long after its predecessor always fires, so the recurrence is a fold over each stretch of closer stamps, one long each."""
+    """Rows that fire: a key's first, then each first one at least `cooldown` after the last that fired. A stamp that long after its predecessor always fires, so the recurrence is a fold over each stretch of closer stamps, one long each. It is folded by blocks, as a list that grows is copied at each firing."""
     by = Window.partitionBy(*keys).orderBy(at)
     stamps = df.select(*keys, at).distinct().withColumn("_new", F.coalesce((C(at) - F.lag(at).over(by) >= cooldown).cast("int"), F.lit(0)))
     stamps = stamps.withColumn("_stretch", F.sum("_new").over(by)).groupBy(*keys, "_stretch").agg(F.sort_array(F.collect_list(at)).alias("_s"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / BLOCK).cast("int")), lambda k: F.slice("_s", k * BLOCK + 1, F.lit(BLOCK)))
+    none = F.lit(None).cast("long").alias("last")
 
     def step(acc: Column, x: Column) -> Column:
-        return F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= cooldown), F.concat(acc, F.array(x))).otherwise(acc)
+        return F.when(acc["last"].isNull() | (x - acc["last"] >= cooldown), F.struct(x.alias("last"), F.concat(acc["fired"], F.array(x)).alias("fired"))).otherwise(acc)
+
+    def block(acc: Column, stamps: Column) -> Column:
+        start = F.struct(acc["last"].alias("last"), F.array().cast("array<long>").alias("fired"))
+        return F.aggregate(stamps, start, step, lambda a: F.struct(a["last"].alias("last"), F.concat(acc["blocks"], F.array(a["fired"])).alias("blocks")))
 
-    fired = stamps.select(*keys, F.explode(F.aggregate("_s", F.array().cast("array<long>"), step)).alias(at))
-    return df.join(fired, [*keys, at])
+    folded = F.aggregate(blocks, F.struct(none, F.array().cast("array<array<long>>").alias("blocks")), block, lambda a: F.flatten(a["blocks"]))
+    return df.join(stamps.select(*keys, F.explode(folded).alias(at)), [*keys, at])
 
 
 def reflection_rule(windows: DataFrame, plan: AddressPlan = AddressPlan(), min_fan_in: int = 10, min_pps: float = 5_000.0) -> DataFrame:

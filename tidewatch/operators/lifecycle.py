@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import ALERT_SCHEMA_VERSION, PS_CLASS, LifecycleConfig
 from ..functions import alerts as fn
@@ -34,10 +35,9 @@ def contract(df: DataFrame) -> DataFrame:
         d = d.withColumn("evidence", C("evidence_json"))
     fallback = {"status": F.lit("NEW"), "event_count": F.lit(1), "first_us": C("t_us"), "last_us": C("t_us")}
     out = []
-    for column in ALERT.replace("\n", " ").split(","):
-        name, kind = column.split()
-        value = C(name) if name in d.columns else F.lit(None)
-        out.append((F.coalesce(value, fallback[name]) if name in fallback else value).cast(kind).alias(name))
+    for column in StructType.fromDDL(ALERT):
+        value = C(column.name) if column.name in d.columns else F.lit(None)
+        out.append((F.coalesce(value, fallback[column.name]) if column.name in fallback else value).cast(column.dataType).alias(column.name))
     return d.select(*out)
 
 

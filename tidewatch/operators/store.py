@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 C = F.col
 
 
@@ -107,8 +109,11 @@ def class_breakdown(snap: DataFrame) -> DataFrame:
 
 
 def placed(df: DataFrame, *by: str) -> DataFrame:
-    """Every row of df with its place (from 1) in the order of `by`, which has to be total: sorted by ranges, with the counts of the ranges before as offsets."""
-    ranged = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).persist()  # counted and numbered: the same ranges for both
+    """Every row of df with its place (from 1) in the order of `by`, which has to be total: sorted by ranges, with the counts of the ranges before as offsets. The ranges come from a sample, so they are written once, and counted and numbered as written."""
+    ranged = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    at = scratch.path(df.sparkSession, "placed")
+    ranged.write.parquet(at)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(at)
     before, starts = 0, []
     for r in ranged.groupBy("_part").count().orderBy("_part").collect():
         starts.append((r[0], before))

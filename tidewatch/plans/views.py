@@ -59,7 +59,7 @@ def flow_of(events: DataFrame) -> DataFrame:
 def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_seq, t_us, src_ip, qname, qtype, nxdomain."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id"), F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("name"))
-    b = _base(spark, sf_dir).join(pages, F.col("page_id") == F.col("event_id") % 50)
+    b = _base(spark, sf_dir).join(pages, F.col("page_id") == F.col("event_id") % pages.count())
     seq = F.col("event_seq")
     kind = seq % 10
     qtype = F.when(kind <= 4, "A").when(kind <= 6, "AAAA").when(kind == 7, "TXT").when(kind == 8, "CNAME").otherwise("NULL")
@@ -113,7 +113,7 @@ SQL = {
     "v_dns": """SELECT event_seq, t_us, host AS src_ip,
     CASE WHEN event_seq % 4 = 0 THEN substr(md5(CAST(event_seq AS VARCHAR)), 1, 16) || '.info' ELSE regexp_extract(url, '^https?://([^/:?#]+)', 1) END AS qname,
     CASE WHEN event_seq % 10 <= 4 THEN 'A' WHEN event_seq % 10 <= 6 THEN 'AAAA' WHEN event_seq % 10 = 7 THEN 'TXT' WHEN event_seq % 10 = 8 THEN 'CNAME' ELSE 'NULL' END AS qtype,
-    event_seq % 7 = 0 AS nxdomain FROM base JOIN pages ON page_id = event_seq % 50""",
+    event_seq % 7 = 0 AS nxdomain FROM base JOIN pages ON page_id = event_seq % (SELECT count(*) FROM pages)""",
     "v_tls": """SELECT *, md5(CAST(k % 20 AS VARCHAR)) AS ja3, md5(CAST(k % 13 AS VARCHAR)) AS ja4, CASE WHEN event_seq % 5 <> 0 THEN 'service.example' END AS sni, CAST(40 + k % 4 * 100 AS INT) AS pkt_size
     FROM v_flow WHERE dst_port IN (443, 8443)""",
     "v_label": """SELECT 'L' || user_id AS attack_id, substr('abcdef', CAST(user_id % 6 + 1 AS INT), 1) AS letter, host AS key_ip, min(t_us) AS t_start, min(t_us) + 86400000000 AS t_end
