@@ -80,6 +80,54 @@ def flow_reference(detector: Column, key: Column, parts: dict[str, Column]) -> d
     return {"flow_id": identifier(text), "flow_ref_type": F.when(entity, "entity").otherwise("aggregate")}
 
 
+# The names of the contract's evidence by detector, each with the measured column and the decimal places that it is told with.
+EVIDENCE = {
+    "ddos": {
+        "packet_rate_pps": ("pps", 2), "byte_rate_bps": ("bps", 2), "unique_source_count": ("unique_src", None), "source_entropy": ("src_entropy", 4), "syn_count": ("syn", None), "ack_count": ("ack", None), "syn_ack_ratio": ("syn_ack_ratio", 2), "target_ip": ("dst_ip", None), "target_port": ("dst_port", None),
+        "top_flow_packet_share": ("top_flow_share", 3), "half_open_concurrency": ("concurrency", None), "connection_duration_p95": ("duration_p95", 2), "bytes_per_connection": ("bytes_per_connection", 2),
+    },
+    "reflection": {"target_ip": ("dst_ip", None), "amplifier_port": ("amplifier_port", None), "fan_in": ("fan_in", None), "packet_rate_pps": ("pps", 1), "bit_rate_bps": ("bps", 1), "unsolicited_share": ("unsolicited_share", 3)},
+    "scan": {"unique_dst_count": ("unique_dst_count", None), "unique_port_count": ("unique_port_count", None), "scan_pattern": ("scan_pattern", None), "packets_sent": ("packets_sent", None), "duration_s": ("duration_s", 2), "sample_targets": ("sample_targets", None), "sample_ports": ("sample_ports", None)},
+    "c2": {"event_count": ("event_count", None), "iat_mean": ("iat_mean", 3), "iat_median": ("iat_median", 3), "iat_std": ("iat_std", 3), "iat_cv": ("iat_cv", 4), "iat_mad": ("iat_mad", 3), "duration_s": ("duration_s", 2), "sample_iats": ("sample_iats", None)},
+    "dga": {"query_count": ("query_count", None), "avg_score": ("avg_score", 3), "nxdomain_rate": ("nxdomain_rate", 3), "mean_probability": ("model_mean", 4)},
+    "dns": {
+        "qtype_txt_ratio": ("txt_share", 3), "qtype_null_ratio": ("null_share", 3), "qtype_cname_ratio": ("cname_share", 3), "query_count": ("query_count", None), "avg_length": ("avg_length", 2), "avg_entropy": ("avg_entropy", 3), "qps": ("qps", 2), "registered_domain": ("registered_domain", None),
+    },
+    "tls_quic": {"ja3": ("ja3", None), "ja4": ("ja4", None), "sni": ("sni", None), "iat_cv": ("iat_cv", 4), "target_ip": ("dst_ip", None), "target_port": ("dst_port", None)},
+    "exfil": {
+        "outbound_bytes": ("outbound_bytes", None), "inbound_bytes": ("inbound_bytes", None), "outbound_ratio": ("outbound_ratio", 2), "robust_z": ("robust_z", None), "outbound_packets": ("outbound_packets", None), "inbound_packets": ("inbound_packets", None), "duration_s": ("duration_s", 2),
+        "source": ("src_ip", None), "destination": ("dst_ip", None), "burst_or_sustained": ("burst_or_sustained", None),
+    },
+}
+#: One sentence an alert, from the contract's evidence names.
+INTERPRETATIONS = {
+    "ddos": "Flood of %s packets a second on %s", "slowloris": "%s slow connections are held open on %s", "reflection": "%s amplifiers answer at port %s", "scan": "%s hosts and %s ports were tried", "c2": "%s contacts at even gaps, variation %s", "dga": "%s names asked, mean score %s", "dns": "%s queries of mean length %s",
+    "tls_quic": "Odd handshake metadata or packet shape toward %s, port %s; no payload was read", "exfil": "%s bytes out, %s times what came in; contents are not looked at",
+}
+TOLD = {
+    "ddos": ("packet_rate_pps", "target_ip"), "slowloris": ("half_open_concurrency", "target_ip"), "reflection": ("fan_in", "amplifier_port"), "scan": ("unique_dst_count", "unique_port_count"), "c2": ("event_count", "iat_cv"), "dga": ("query_count", "avg_score"), "dns": ("query_count", "avg_length"),
+    "tls_quic": ("target_ip", "target_port"), "exfil": ("outbound_bytes", "outbound_ratio"),
+}
+
+
+def evidence_of(detector: str, columns: list[str]) -> Column:
+    """The struct of a detector's evidence under the contract's names, of what it has measured; null where a row has no value."""
+    held = {name: F.col(c) if digits is None else F.round(c, digits) for name, (c, digits) in EVIDENCE[detector].items() if c in columns}
+    if detector == "reflection":
+        held["mean_packet_bytes"] = F.round(F.try_divide("bytes", "packets"), 1)
+    if detector == "c2":
+        held["repeated_destination"] = F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string"))
+    if detector == "exfil":
+        held["direction"] = F.lit("outbound")
+    if detector == "dns":
+        held["qtype_distribution"] = F.struct(*[held[f"qtype_{k}_ratio"].alias(k.upper()) for k in ("txt", "null", "cname")])
+    if detector == "tls_quic":
+        held["novel_fingerprint"] = F.col("novel")
+    kind = "slowloris" if "concurrency" in columns else detector
+    said = F.format_string(INTERPRETATIONS[kind], *[F.coalesce(held[n].cast("string"), F.lit("an unknown")) for n in TOLD[kind]])
+    return F.struct(said.alias("interpretation"), *[c.alias(n) for n, c in held.items()])
+
+
 def alert_ips(json: Column) -> Column:
     """Distinct IPv4 addresses in a text but the two public resolvers, in order of first sight."""
     return F.array_except(F.array_distinct(F.regexp_extract_all(json, F.lit(r"\b(?:\d{1,3}\.){3}\d{1,3}\b"), F.lit(0))), any_of(["1.1.1.1", "8.8.8.8"]))

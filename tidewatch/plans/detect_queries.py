@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import C2Config, DdosConfig, DgaConfig, DnsConfig, ExfilConfig, ReflectionConfig, ScanConfig, SlowlorisConfig, TlsConfig
 from ..operators import aggregates, detectors, flood, joins, sessions
-from . import views
+from . import replay, views
 from .registry import query
 from .scalar_queries import CORE
 from .views import sql
@@ -199,14 +199,23 @@ def dns_tunnel_detect(spark, d):
     return detectors.dns_tunnel(views.dns(spark, d), cfg).select("src_ip", "t_us", "event_seq", C("query_count").cast("long").alias("query_count"), *[F.round(c, 6).alias(c) for c in ("avg_length", "avg_entropy", "txt_share", "null_share")])
 
 
-@query("exfil_detect", sql(f"""
-WITH e AS (SELECT *, CASE WHEN direction = 'inbound' THEN dst_ip ELSE src_ip END AS internal, CASE WHEN direction = 'inbound' THEN src_ip ELSE dst_ip END AS ext, CASE WHEN direction = 'inbound' THEN 0 ELSE bytes END AS ob, CASE WHEN direction = 'inbound' THEN bytes ELSE 0 END AS ib FROM v_flow WHERE direction IN ('inbound', 'outbound', 'external')), {SESSION("internal, ext", 120 * HOUR, "e")},
-r AS (SELECT *, sum(ob) OVER w AS outbound_bytes, sum(ib) OVER w AS inbound_bytes FROM s WINDOW w AS (PARTITION BY internal, ext, session ORDER BY t_us, event_seq ROWS UNBOUNDED PRECEDING))
-SELECT internal AS src_ip, ext AS dst_ip, t_us, event_seq, outbound_bytes, inbound_bytes, round(outbound_bytes / greatest(inbound_bytes, 1), 6) AS outbound_ratio FROM r WHERE direction <> 'inbound' AND outbound_bytes >= 20000 AND outbound_bytes / greatest(inbound_bytes, 1) >= 3
-QUALIFY row_number() OVER (PARTITION BY internal, ext, session ORDER BY t_us, event_seq) = 1""", "v_flow"))
+EXFIL = f"""WITH e AS (SELECT *, CASE WHEN direction = 'inbound' THEN dst_ip ELSE src_ip END AS internal, CASE WHEN direction = 'inbound' THEN src_ip ELSE dst_ip END AS ext, CASE WHEN direction = 'inbound' THEN 0 ELSE bytes END AS ob, CASE WHEN direction = 'inbound' THEN bytes ELSE 0 END AS ib FROM v_flow WHERE direction IN ('inbound', 'outbound', 'external')), {SESSION("internal, ext", 120 * HOUR, "e")},
+r AS (SELECT *, sum(ob) OVER w AS outbound_bytes, sum(ib) OVER w AS inbound_bytes, min(t_us) OVER w AS first_us FROM s WINDOW w AS (PARTITION BY internal, ext, session ORDER BY t_us, event_seq ROWS UNBOUNDED PRECEDING))"""
+EXFIL_HITS = "FROM r WHERE direction <> 'inbound' AND outbound_bytes >= 20000 AND outbound_bytes / greatest(inbound_bytes, 1) >= 3 QUALIFY row_number() OVER (PARTITION BY internal, ext, session ORDER BY t_us, event_seq) = 1"
+EXFIL_SETTINGS = ExfilConfig(gap_s=120 * 3600.0, min_bytes=20_000, min_ratio=3.0)
+
+
+@query("exfil_detect", sql(f"{EXFIL} SELECT internal AS src_ip, ext AS dst_ip, t_us, event_seq, outbound_bytes, inbound_bytes, round(outbound_bytes / greatest(inbound_bytes, 1), 6) AS outbound_ratio {EXFIL_HITS}", "v_flow"))
 def exfil_detect(spark, d):
-    cfg = ExfilConfig(gap_s=120 * 3600.0, min_bytes=20_000, min_ratio=3.0)
-    return detectors.exfil(views.flow(spark, d), cfg).select("src_ip", "dst_ip", "t_us", "event_seq", "outbound_bytes", "inbound_bytes", F.round("outbound_ratio", 6).alias("outbound_ratio"))
+    return detectors.exfil(views.flow(spark, d), EXFIL_SETTINGS).select("src_ip", "dst_ip", "t_us", "event_seq", "outbound_bytes", "inbound_bytes", F.round("outbound_ratio", 6).alias("outbound_ratio"))
+
+
+@query("evidence_contract", sql(f"{EXFIL} SELECT event_seq, internal AS source, ext AS destination, 'outbound' AS direction, CAST(outbound_bytes AS VARCHAR) AS outbound_bytes, round(outbound_bytes / greatest(inbound_bytes, 1), 2) AS outbound_ratio, CASE WHEN t_us - first_us >= 30000000 THEN 'sustained' ELSE 'burst' END AS burst_or_sustained {EXFIL_HITS}", "v_flow"))
+def evidence_contract(spark, d):
+    """Evidence as it stands in an alert, read back from its JSON."""
+    a = replay.as_alerts(detectors.exfil(views.flow(spark, d), EXFIL_SETTINGS), "exfil")
+    told = {n: F.get_json_object("evidence_json", f"$.{n}") for n in ("source", "destination", "direction", "outbound_bytes", "outbound_ratio", "burst_or_sustained")}
+    return a.select("event_seq", *[(c.cast("double") if n == "outbound_ratio" else c).alias(n) for n, c in told.items()])
 
 
 @query("tls_quic_detect", sql(f"""
@@ -258,8 +267,7 @@ WITH f AS (SELECT dst_ip, dst_port, t_us // {HOUR} * {HOUR} AS w_us, CAST(k AS D
 r AS (SELECT a.dst_ip, a.dst_port, a.w_us, count(*) AS concurrency, list_sort(list(b.duration)) AS ds, sum(b.bytes) AS b, sum(b.packets) AS p FROM (SELECT DISTINCT dst_ip, dst_port, w_us FROM f) a JOIN f b ON a.dst_ip = b.dst_ip AND a.dst_port = b.dst_port AND b.w_us BETWEEN a.w_us - {24 * HOUR} AND a.w_us GROUP BY 1, 2, 3)
 SELECT dst_ip, dst_port, w_us, concurrency, ds[CAST(ceil(0.95 * len(ds)) AS INT)] AS duration_p95, round(b / concurrency, 6) AS bytes_per_connection FROM r WHERE concurrency >= 10 AND ds[CAST(ceil(0.95 * len(ds)) AS INT)] >= 90 AND b / concurrency <= 8000 AND p <= 1000""", "v_flow"))
 def slowloris_detect(spark, d):
-    f = views.flow(spark, d).where("protocol = 'TCP' and dst_port in (80, 443, 8443)").select("dst_ip", "dst_port", (F.floor(C("t_us") / HOUR) * HOUR).alias("w_us"), C("k").cast("double").alias("duration_s"), "bytes", "packets")
-    out = detectors.slowloris(f, SlowlorisConfig(memory_s=86_400.0, min_flows=10, min_p95_s=90.0, max_bytes=8000.0, max_pps=1000.0))
+    out = detectors.slowloris(views.slow_flows(spark, d), SlowlorisConfig(memory_s=86_400.0, min_flows=10, min_p95_s=90.0, max_bytes=8000.0, max_pps=1000.0))
     return out.select("dst_ip", "dst_port", "w_us", "concurrency", "duration_p95", F.round("bytes_per_connection", 6).alias("bytes_per_connection"))
 
 

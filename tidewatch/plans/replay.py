@@ -17,29 +17,31 @@ KEYS = {"src_ip": "string", "dst_ip": "string", "dst_port": "int", "amplifier_po
 CORE = ["detector", "threat_class", "score", "score_type", "severity", "t_us", "event_seq", "first_us"]
 
 
-def as_alerts(found: DataFrame) -> DataFrame:
-    """A detector's rows in the common form: its measured values become the evidence, as JSON and as a map."""
-    evidence = [c for c in found.columns if c not in CORE and c != "status"]
+def as_alerts(found: DataFrame, detector: str) -> DataFrame:
+    """A detector's rows in the common form: its measured values become the evidence, as JSON under the contract's names."""
     keys = [C(k).cast(t).alias(k) if k in found.columns else F.lit(None).cast(t).alias(k) for k, t in KEYS.items()]
-    count = F.coalesce(*[C(c).cast("long") for c in ("event_count", "packets_sent", "query_count", "packets") if c in found.columns], F.lit(1))
+    count = F.coalesce(*[C(c).cast("long") for c in ("event_count", "packets_sent", "query_count", "concurrency", "packets") if c in found.columns], F.lit(1))
     status = C("status") if "status" in found.columns else F.lit("NEW")
-    return found.select(*CORE, *keys, status.alias("status"), count.alias("event_count"), F.to_json(F.struct(*evidence)).alias("evidence_json"))
+    return found.select(*CORE, *keys, status.alias("status"), count.alias("event_count"), F.to_json(fn.evidence_of(detector, found.columns)).alias("evidence_json"))
 
 
-def alerts(events: DataFrame, dns: DataFrame | None = None, tls: DataFrame | None = None, settings: Settings = Settings(), windows_s: float | None = None, second_us: int = 1_000_000) -> DataFrame:
-    """Alerts of all detectors, scored, with their dedup keys and identifiers. events is read by five detectors, so cache it if its plan is costly."""
+def alerts(events: DataFrame, dns: DataFrame | None = None, tls: DataFrame | None = None, settings: Settings = Settings(), windows_s: float | None = None, second_us: int = 1_000_000, flows: DataFrame | None = None) -> DataFrame:
+    """Alerts of all detectors, scored, with their dedup keys and identifiers; of slow connections too, if there are flow summaries. events is read by five detectors, so cache it if its plan is costly."""
     width = windows_s or settings.window.width_s
     if "tcp_flags_str" not in events.columns:
         events = events.withColumn("tcp_flags_str", scalars.tcp_flag_letters(C("tcp_flags")))
-    found = [
-        detectors.scan(events, settings.scan, settings.plan), detectors.c2(events, settings.c2), detectors.exfil(events, settings.exfil), detectors.reflection(events, settings.reflection, settings.plan, second_us),
-        flood.alerts(aggregates.windows(events, width, settings.plan), settings.ddos),
-    ]
+    found = {
+        "scan": detectors.scan(events, settings.scan, settings.plan), "c2": detectors.c2(events, settings.c2), "exfil": detectors.exfil(events, settings.exfil), "reflection": detectors.reflection(events, settings.reflection, settings.plan, second_us),
+        "ddos": flood.alerts(aggregates.windows(events, width, settings.plan), settings.ddos),
+    }
     if dns is not None:
-        found += [detectors.dga(dns, settings.dga), detectors.dns_tunnel(dns, settings.dns)]
+        found |= {"dga": detectors.dga(dns, settings.dga), "dns": detectors.dns_tunnel(dns, settings.dns)}
     if tls is not None:
-        found.append(detectors.tls_quic(tls, settings.tls))
-    every = lifecycle.keyed(reduce(DataFrame.unionByName, map(as_alerts, found)))
+        found["tls_quic"] = detectors.tls_quic(tls, settings.tls)
+    every = [as_alerts(rows, detector) for detector, rows in found.items()]
+    if flows is not None:
+        every.append(as_alerts(detectors.slowloris(flows, settings.slowloris), "ddos"))
+    every = lifecycle.keyed(reduce(DataFrame.unionByName, every))
     null = F.lit(None)
     return fn.scored(every.withColumns({"confidence": null.cast("double"), "calibrated_on": null.cast("string")}), settings.ddos.min_z)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import C2Config, DdosConfig, DgaConfig, DnsConfig, ExfilConfig, ReflectionConfig, ScanConfig, Settings, TlsConfig
+from ..config import C2Config, DdosConfig, DgaConfig, DnsConfig, ExfilConfig, ReflectionConfig, ScanConfig, Settings, SlowlorisConfig, TlsConfig
 from .. import scratch
 from ..operators import detectors, evaluation, lifecycle, ml
 from ..sources import capture, flowrec, pcap
@@ -113,12 +113,12 @@ def stream_sessions(spark, d):
 SETTINGS = Settings(
     scan=ScanConfig(gap_s=172_800.0, min_hosts=6, min_ports=5), c2=C2Config(key=("src_ip", "dst_ip"), gap_s=864_000.0, min_events=4, min_valid=3, max_cv=0.3, fleet_hosts=None), dga=DgaConfig(high=0.3, low=0.15, nx_rate=0.2),
     dns=DnsConfig(key=("src_ip",), gap_s=172_800.0, min_queries=3, share_length=15.0), exfil=ExfilConfig(gap_s=432_000.0, min_bytes=20_000, min_ratio=3.0), tls=TlsConfig(gap_s=1_080_000.0, usual_ports=(443,), min_sizes=2, novelty_s=259_200.0, warm_up_s=86_400.0),
-    ddos=DdosConfig(min_pps=0.014, z_min_pps=0.003, min_z=3.0, hysteresis=1), reflection=ReflectionConfig(min_fan_in=3, min_unsolicited=0.5, min_pps=1.0, min_bps=1e9, cooldown_s=8.0, memory_s=86_400.0),
+    slowloris=SlowlorisConfig(memory_s=86_400.0, min_flows=10, min_p95_s=90.0, max_bytes=8000.0, max_pps=1000.0), ddos=DdosConfig(min_pps=0.014, z_min_pps=0.003, min_z=3.0, hysteresis=1), reflection=ReflectionConfig(min_fan_in=3, min_unsolicited=0.5, min_pps=1.0, min_bps=1e9, cooldown_s=8.0, memory_s=86_400.0),
 )
 
 
 def _replay(spark, d):
-    return replay.alerts(views.flow(spark, d), views.dns(spark, d), views.tls(spark, d), SETTINGS, 3600.0, 24 * HOUR)
+    return replay.alerts(views.flow(spark, d), views.dns(spark, d), views.tls(spark, d), SETTINGS, 3600.0, 24 * HOUR, views.slow_flows(spark, d))
 
 
 @query("replay_alerts")

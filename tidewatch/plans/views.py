@@ -67,6 +67,12 @@ def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("event_seq", "t_us", F.col("host").alias("src_ip"), F.when(seq % 4 == 0, generated).otherwise(F.col("name")).alias("qname"), qtype.alias("qtype"), (seq % 7 == 0).alias("nxdomain"))
 
 
+def slow_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TCP flows to web ports as summaries by the hour: dst_ip, dst_port, w_us, duration_s, bytes, packets."""
+    f = flow(spark, sf_dir).where("protocol = 'TCP' and dst_port in (80, 443, 8443)")
+    return f.select("dst_ip", "dst_port", (F.floor(F.col("t_us") / 3_600_000_000) * 3_600_000_000).alias("w_us"), F.col("k").cast("double").alias("duration_s"), "bytes", "packets")
+
+
 def tls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows to ports 443 and 8443 with ja3, ja4, sni, pkt_size."""
     return tls_of(flow(spark, sf_dir))
