@@ -61,7 +61,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(filled == 0, 1.0, same / np.maximum(filled, 1))
 
 
-def linked(group: np.ndarray, code: np.ndarray, radius: int, sketch: np.ndarray | None = None, sets: list[bytes] | None = None, least_alike: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def linked(group: np.ndarray, code: np.ndarray, radius: int, sketch: np.ndarray | None = None, sets: list | None = None, least_alike: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """For every row that has a link in its group to an earlier row of its linked part: the row, and the part's first row. With sketches, a link needs sets (sorted distinct 64-bit hashes) of a Jaccard similarity of least_alike."""
     n = len(code)
     tree = build(group, code)
@@ -81,13 +81,14 @@ def linked(group: np.ndarray, code: np.ndarray, radius: int, sketch: np.ndarray
     return rows, label[rows]
 
 
-def jaccard(a: bytes, b: bytes) -> float:
+def jaccard(a, b) -> float:
+    """Of two buffers of sorted distinct 64-bit hashes."""
     x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(len(x) + len(y) - both, 1)
 
 
-def join_alike(label: np.ndarray, q: np.ndarray, node: np.ndarray, sketch: np.ndarray, sets: list[bytes], least: float) -> None:
+def join_alike(label: np.ndarray, q: np.ndarray, node: np.ndarray, sketch: np.ndarray, sets: list, least: float) -> None:
     """Join the pairs whose sets are alike; sketches that are far apart rule a pair out before. Each row's pairs are tried one, two, four ... at a time, and those that have met by then are passed over, so a dense group costs few comparisons."""
     order = np.lexsort((node, q))
     q, node = q[order], node[order]

@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +48,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """The settled rows of what `make` gives; the tables that were written on the way to it go."""
+    before = set(_settled)
+    out = settle(make())
+    mine = next(reversed(_settled))
+    for path in set(_settled) - before - {mine}:
+        _remove(path)
+    return out
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder, for what goes when the driver ends."""
     path = f"{scratch_folder(spark)}/{kind}-{uuid.uuid4().hex}"

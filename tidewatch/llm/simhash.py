@@ -26,8 +26,8 @@ SEED = 42
 WIDTH, LEAST_ALIKE, RADIUS = 5, 0.8, 24
 #: Bands of two least shingle hashes, one of which texts that alike share but for one pair in 27,000, and bytes of a sketch.
 BANDS, SKETCH = 10, 256
-#: Fingerprints that one shard, or one part of a split shard, may hold.
-SHARD_ROWS = 4096
+#: Fingerprints that one shard, or one part of a split shard, may hold, and bytes of shingle sets.
+SHARD_ROWS, SHARD_BYTES = 4096, 1 << 24
 
 
 def shingle_hashes(tokens: list[bytes], width: int) -> np.ndarray:
@@ -95,11 +95,13 @@ def pigeonhole_shards(codes: DataFrame, radius: int) -> DataFrame:
 
 
 def linked_edges(shards: DataFrame, radius: int, least_alike: float | None = None) -> DataFrame:
-    """Edges (a, b) of nodes from rows (shard, node, code) or, with least_alike, (shard, node, code, sketch, hashes): for every node with a link inside a shard one edge to the first node of its linked part. Links need a distance of at most `radius` and, if asked for, that Jaccard similarity of the hashes."""
+    """Edges (a, b) of nodes from rows (shard, node, code) or, with least_alike, (shard, node, code, sketch, hashes, size): for every node with a link inside a shard one edge to the first node of its linked part. Links need a distance of at most `radius` and, if asked for, that Jaccard similarity of the hashes."""
     extra = ["sketch", "hashes"] if least_alike is not None else []
-    shards = shards.select("shard", "node", "code", *extra)
-    large = settle(shards.groupBy("shard").count().where(F.col("count") > SHARD_ROWS).select("shard", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("parts")))
-    rows = shards.join(large, "shard", "left")
+    parts = F.count(F.lit(1)) / SHARD_ROWS
+    if extra:
+        parts = F.greatest(parts, F.sum("size") / SHARD_BYTES)  # few long texts are as much as many short ones
+    large = settle(shards.groupBy("shard").agg(F.ceil(parts).cast("int").alias("parts")).where("parts > 1"))
+    rows = shards.select("shard", "node", "code", *extra).join(large, "shard", "left")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     pairs = F.transform(others, lambda o: F.concat_ws("|", "shard", F.least(part, o), F.greatest(part, o)))
@@ -108,11 +110,11 @@ def linked_edges(shards: DataFrame, radius: int, least_alike: float | None = Non
     keyed = keyed.repartition("shard").sortWithinPartitions("shard", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Hashes are long: small slices, so that few rows are copied at a time.
-        for b in whole_groups(slices(batches, 1024), 2048) if extra else whole_groups(batches):
+        # Hashes are long: small slices, so that few rows are copied at a time, and sets that stay in Arrow's memory.
+        for b in whole_groups(slices(batches, 256), 2048, SHARD_BYTES) if extra else whole_groups(batches):
             group, node, code = (b.column(k).to_numpy() for k in range(3))
             sketch = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(len(node), -1) if extra else None
-            sets = b.column(4).to_pylist() if extra else None
+            sets = [v.as_buffer() for v in b.column(4)] if extra else None
             a, to = bktree.linked(group, code.view(np.uint64), radius, sketch, sets, least_alike or 0.0)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[to])], ["a", "b"])
@@ -120,20 +122,23 @@ def linked_edges(shards: DataFrame, radius: int, least_alike: float | None = Non
     return keyed.mapInArrow(run, "a long, b long").distinct()
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.RecordBatch]:
-    """Batches of about `rows` rows that end where the first column's value changes."""
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 65_536, size: int = 1 << 62) -> Iterator[pa.RecordBatch]:
+    """Batches of about `rows` rows or `size` bytes that end where the first column's value changes."""
     held: list[pa.RecordBatch] = []
     for b in batches:
+        if not b.num_rows:
+            continue
         held.append(b)
-        if sum(x.num_rows for x in held) >= rows:
+        if (sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size) and held[0].column(0)[0] != b.column(0)[b.num_rows - 1]:
             one = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             key = one.column(0).to_numpy()
             cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield one.slice(0, cut)
-            held = [one.slice(cut)]
-    if held and (last := pa.Table.from_batches(held).combine_chunks().to_batches()):
-        yield last[0]
+            yield one.slice(0, cut)
+            # Copied, so that what went out can be freed.
+            held = pa.Table.from_batches([one.slice(cut).take(pa.array(np.arange(one.num_rows - cut)))]).to_batches()
+            del one, key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,8 +226,8 @@ def linked_texts(rows: DataFrame, width: int, radius: int, least_alike: float) -
     met = places.groupBy("shard").count().where("count > 1").select("shard")
     shared = settle(places.join(met, "shard", "left_semi").groupBy("node").agg(F.collect_set("shard").alias("bands")))
     found = rows.where(F.length("t") > 0).join(checked_broadcast(shared, BROADCAST_IDS // 8), "node").select("node", "t", "bands")
-    prints = settle(found.mapInArrow(detailed, "node long, bands array<long>, code long, sketch binary, hashes binary"))
-    edges = linked_edges(prints.select(F.explode("bands").alias("shard"), "node", "code", "sketch", "hashes"), radius, least_alike)
+    prints = settle(found.mapInArrow(detailed, "node long, bands array<long>, code long, sketch binary, hashes binary").withColumn("size", F.octet_length("hashes")))
+    edges = linked_edges(prints.select(F.explode("bands").alias("shard"), "node", "code", "sketch", "hashes", "size"), radius, least_alike)
     return components(edges)
 
 
