@@ -8,7 +8,7 @@ import pytest
 from tidewatch.plans.catalog import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
-FEW = ["window_summary", "flow_id_5tuple", "scan_detect", "c2_detect", "dga_detect", "dns_tunnel_detect", "exfil_detect", "tls_quic_detect", "reflection_windows", "slowloris_detect", "dedup_lifecycle", "hash_chain_append", "alert_attribution", "packet_headers", "flow_records", "stream_windows", "stream_windows_flushed", "template_asof", "capture_ranges", "reflection_detect", "fingerprint_asof", "flatten_evidence", "window_samples", "threshold_sweep", "jitter_sweep"]
+FEW = ["window_summary", "flow_id_5tuple", "scan_detect", "c2_detect", "dga_detect", "dns_tunnel_detect", "exfil_detect", "tls_quic_detect", "reflection_windows", "slowloris_detect", "dedup_lifecycle", "hash_chain_append", "alert_attribution", "packet_headers", "flow_records", "stream_windows", "stream_windows_flushed", "template_asof", "capture_ranges", "reflection_detect", "fingerprint_asof", "flatten_evidence", "window_samples", "threshold_sweep", "jitter_sweep", "evidence_contract"]
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no tables")
 
 

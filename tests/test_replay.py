@@ -45,10 +45,10 @@ def test_alerts_follow_the_contract(spark):
 
 
 def test_evidence_has_the_names_of_the_contract(spark):
-    flow = attack("flood", spark, T0, 4000, "10.10.0.64").unionByName(attack("reflection", spark, T0, 3000, "10.10.0.65").withColumn("event_seq", F.col("event_seq") + 10_000))
-    slow = spark.createDataFrame([("10.10.0.9", 80, T0, 400.0, 300, 4)] * 200, "dst_ip string, dst_port int, w_us long, duration_s double, bytes long, packets long")
+    flow = attack("flood", spark, T0, 20_000).unionByName(attack("reflection", spark, T0 + 400_000_000, 18_000).withColumn("event_seq", F.col("event_seq") + 100_000))
+    slow = spark.createDataFrame([("10.10.0.9", 80, T0, 400.0, 300, 4)] * 20, "dst_ip string, dst_port int, w_us long, duration_s double, bytes long, packets long")
     found = replay.alerts(flow, flows=slow).collect()
     by = {r.threat_class: json.loads(r.evidence_json) for r in found}
-    assert by["slowloris"]["half_open_concurrency"] == 200 and by["slowloris"]["connection_duration_p95"] == 400.0 and by["slowloris"]["interpretation"] == "200 slow connections are held open on 10.10.0.9"
+    assert by["slowloris"]["half_open_concurrency"] == 20 and by["slowloris"]["connection_duration_p95"] == 400.0 and by["slowloris"]["interpretation"] == "20 slow connections are held open on 10.10.0.9"
     assert {"packet_rate_pps", "source_entropy", "syn_count", "target_ip", "top_flow_packet_share", "interpretation"} <= by["syn_flood"].keys()
     assert {"fan_in", "bit_rate_bps", "mean_packet_bytes", "unsolicited_share"} <= by["udp_reflection"].keys() and by["udp_reflection"]["target_ip"] is not None
