@@ -6,7 +6,7 @@ k documents are sampled without replacement by Gumbel top-k: key = score / TEMPE
 
 Fitted on a bounded sample: of the labelled documents the LABELLED ones with the smallest hash of their id. Raw counts cover all documents, and every document gets its weight. The k-th largest key is found by counting rows in ever narrower ranges of keys, not by sorting.
 
-Defined results: a null or empty text has no n-grams and score 0. A null id has the noise of id 0. Rows that share an id have the same noise; equal keys are all selected or all rejected, so a tie at the k-th place can select more than k rows. Labels that are null, or that contradict each other for one id, count as bad. Without both good and bad labelled documents nothing is rejected. An empty table gives an empty result. Other columns are not looked at by scores(), and kept by keep().
+Defined results: a null or empty text has no n-grams and score 0. Ids are whole numbers, or texts of them; others fail. A null id has the noise of id 0. Rows that share an id have the same noise; equal keys are all selected or all rejected, so a tie at the k-th place can select more than k rows. Labels that are null, or that contradict each other for one id, count as bad. Without both good and bad labelled documents nothing is rejected. An empty table gives an empty result. Other columns are not looked at by scores(), and kept by keep().
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@
 3. Each task builds the BK-trees of its shards (a child hangs on its parent by their integer distance) and follows, for each fingerprint, only the edges within the radius. Trees grow with the corpus, so they are sent to tasks by shuffle, not by broadcast. Found links leave a task as one edge per fingerprint, to the smallest fingerprint of its linked part: never as all pairs of a group.
 4. Connected components of these edges by large-star and small-star rounds, each written to the shared folder.
 
-Defined results: a null, empty or all-white text has no words and fingerprint zero, and is linked like any other. A text with fewer words than a shingle has one shingle, all its words. Ties at exactly half give bit 0. Rows that share an id are each returned. A null id links like any other and never is the smallest, unless a component has no id. An empty table gives an empty result. Other columns are not looked at.
+Defined results: a null, empty or all-white text has no words and fingerprint zero, and is linked like any other. A text with fewer words than a shingle has one shingle, all its words. Ties at exactly half give bit 0. Rows that share an id are each returned. A null id links like any other and never is the smallest, unless a component has no id. An empty table gives an empty result. Other columns are not looked at. near_groups() orders its components by whole-number ids and fails on others; near_copies() and keep_one() take ids of any kind.
 """
 
 from __future__ import annotations
