@@ -12,7 +12,7 @@ from ..streaming.inorder import rocks
 from . import views
 from .detect_queries import DAY, HOUR, REFLECTED, REFLECTION, SESSION
 from .registry import query
-from .source_queries import _finished, _hex, _ip_hex
+from .source_queries import _finished, _hex
 from .views import sql
 
 C = F.col
@@ -101,7 +101,7 @@ def stream_flow_records(spark, d):
     # The fields' types and lengths, as in flow_records.
     template = "0002001C" + "01000005" + "".join(f"{kind:04X}{size:04X}" for kind, size in [(8, 4), (12, 4), (11, 2), (2, 4), (1, 8)])
     told = F.when((C("event_seq") == C("first")) & (C("exporter") < 3), F.lit(template)).otherwise("")
-    data = F.concat(F.lit("0100001A"), _ip_hex(C("src_ip")), _ip_hex(C("dst_ip")), _hex("dst_port", 4), _hex("packets", 8), _hex("bytes", 16))
+    data = F.concat(F.lit("0100001A"), views.wire(C("src_ip")), views.wire(C("dst_ip")), _hex("dst_port", 4), _hex("packets", 8), _hex("bytes", 16))
     head = F.concat(F.lit("000A"), _hex(F.shiftright(F.length(told) + F.length(data), 1) + 16, 4), _hex(F.floor(C("t_us") / 1_000_000), 8), F.lit("0000000000000001"))
     m = f.join(F.broadcast(first), "exporter").select("exporter", "event_seq", F.unhex(F.concat(head, told, data)).alias("message"))
     path = scratch.path(spark, "messages")
@@ -113,4 +113,4 @@ def stream_flow_records(spark, d):
         windows.drained(found, f"{out}/rows", f"{out}/checkpoint")
     r = spark.read.schema(found.schema).parquet(f"{out}/rows")
     ip = lambda k: F.concat_ws(".", *[pcap.number(n, 1, F.try_element_at("v", F.lit(k))) for n in range(4)])
-    return r.where("fault is null").select("export_s", ip(8).alias("src_ip"), ip(12).alias("dst_ip"), flowrec.value(11).cast("int").alias("dst_port"), flowrec.value(2).alias("packets"), flowrec.value(1).alias("bytes"))
+    return r.where("fault is null").select("export_s", views.from_wire(ip(8)).alias("src_ip"), views.from_wire(ip(12)).alias("dst_ip"), flowrec.value(11).cast("int").alias("dst_port"), flowrec.value(2).alias("packets"), flowrec.value(1).alias("bytes"))
