@@ -266,3 +266,8 @@ def test_a_long_stretch_of_firings(spark):
             want, last = [*want, s], s
     got = detectors.cooled(df, ["k"], "at", 3.0).orderBy("k", "at").collect()
     assert [r.at for r in got if r.k == "a"] == want and len(want) > 1000 and got[-1].at == 7
+
+
+def test_generated_names_are_scored_once(spark):
+    plan = detectors.dga(dns(spark, [(k, "x7f3k9q2zp.com", "A", True) for k in range(9)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS score1") == 1 and "Union" not in plan
