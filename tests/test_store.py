@@ -109,6 +109,42 @@ def test_model_of_generated_names(spark, tmp_path):
     assert set(fit) == {"scan"} and fit["scan"][0] > 0
 
 
+def test_models_of_folds_and_the_trees_tasks(spark, monkeypatch):
+    """One count gives each fold the model of the others' names, and the trees are grown by more tasks than there are classes, on the same three quarters as a window over each class gives."""
+    rows = [(hashlib.sha256(str(k).encode()).hexdigest()[: 6 + k % 5] + ".com", int(k % 3 > 0)) for k in range(240)]
+    df = spark.createDataFrame(rows, "qname string, y int").withColumn("domain", F.col("qname"))
+    names = df.where("y = 0").select((F.length("qname") % 3).cast("long").alias("_fold"), F.substring("qname", 1, 6).alias("_name"))
+    caught = []
+
+    class Seen(Exception):
+        pass
+
+    class Pipeline:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, d):
+            caught.append((d.select(F.spark_partition_id()).distinct().count(), {r.qname for r in d.collect()}))
+            raise Seen
+
+    monkeypatch.setattr(ml, "Pipeline", Pipeline)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with pytest.raises(Seen):
+            ml.DgaModel.fit(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    tasks, trained = caught[0]
+    want = set()
+    for y in (0, 1):
+        own = sorted((q for q, v in rows if v == y), key=lambda q: hashlib.sha256(q.encode()).hexdigest())
+        want |= {q for n, q in enumerate(own, 1) if n % 4}
+    assert tasks > 2 and trained == want
+    for k in range(3):
+        alone = {(r.gram, r.p) for r in ml.language_model(names.where(F.col("_fold") != k), "_name").collect()}
+        assert alone == {(r.gram, r.p) for r in ml.fold_models(names, "_name", 3).where(F.col("_fold") == k).collect()}
+
+
 def test_every_row_has_its_place(spark):
     rows = [(k, k * 7919 % 1000 // 3) for k in range(1000)]
     got = {r.event_seq: r.place for r in store.placed(spark.createDataFrame(rows, "event_seq long, t_us long").repartition(5), "t_us", "event_seq").collect()}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features, scalars
+from .ordered import placed_within
 
 C = F.col
 FEATURES = ["length", "entropy", "digit_ratio", "vowel_ratio", "label_count", "lm_bigram", "lm_trigram"]
@@ -29,31 +30,40 @@ def language_model(names: DataFrame, label: str, sizes: tuple[int, ...] = (2, 3)
     return counts.select("gram", (C("c") / F.sum("c").over(Window.partitionBy(F.lit(1)))).alias("p"))
 
 
-def language_scores(df: DataFrame, label: str, model: DataFrame, sizes: tuple[int, ...] = (2, 3), floor: float = -12.0) -> DataFrame:
-    """df with lm_<n>, the mean log probability of its label's n-grams by a left join on the model; unseen grams count as the floor, a short label as 0."""
-    out = df
+def language_scores(df: DataFrame, label: str, model: DataFrame, sizes: tuple[int, ...] = (2, 3), floor: float = -12.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with lm_<n>, the mean log probability of its label's n-grams by a left join on the model; unseen grams count as the floor, a short label as 0. With `by`, columns of df and the model, each of their values has its own model."""
+    out, own = df, [label, *by]
     for n in sizes:
-        seen = exploded(df.select(label).distinct(), label, n).join(model, "gram", "left")
-        one = seen.groupBy(label).agg(F.avg(F.when(C("p").isNull(), floor).otherwise(F.log(F.greatest("p", F.lit(1e-12))))).alias(f"lm_{n}"))
-        out = out.join(one, label, "left").fillna(0.0, [f"lm_{n}"])
+        seen = exploded(df.select(*own).distinct(), label, n).join(model, ["gram", *by], "left")
+        one = seen.groupBy(*own).agg(F.avg(F.when(C("p").isNull(), floor).otherwise(F.log(F.greatest("p", F.lit(1e-12))))).alias(f"lm_{n}"))
+        out = out.join(one, own, "left").fillna(0.0, [f"lm_{n}"])
     return out
 
 
-def lexical(df: DataFrame, model: DataFrame) -> DataFrame:
-    """df (qname) with the seven features."""
+def lexical(df: DataFrame, model: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """df (qname) with the seven features; `by` as in language_scores."""
     f = features.domain_features(C("qname"), F.lit(0.0), F.lit(None).cast("map<string,double>"))
     d = df.withColumns({n: f[n] for n in FEATURES[:5]}).withColumn("_label", F.regexp_replace(features.primary_label(C("qname")), "[^a-z0-9]", ""))
-    return language_scores(d, "_label", model).withColumnsRenamed({"lm_2": "lm_bigram", "lm_3": "lm_trigram"}).drop("_label")
+    return language_scores(d, "_label", model, by=by).withColumnsRenamed({"lm_2": "lm_bigram", "lm_3": "lm_trigram"}).drop("_label")
 
 
 def out_of_fold(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """df (qname, y) with the seven features, the language scores of each fold by a model of the benign names of the other folds; a group is in one fold."""
-    from functools import reduce
-
     d = df.withColumn("_fold", scalars.hash_bucket(C(group), folds))
     benign = d.where("y = 0").withColumn("_name", F.regexp_replace(features.primary_label(C("qname")), "[^a-z0-9]", ""))
-    parts = [lexical(d.where(C("_fold") == k), language_model(benign.where(C("_fold") != k), "_name")) for k in range(folds)]
-    return reduce(DataFrame.unionByName, parts).drop("_fold")
+    return lexical(d, fold_models(benign, "_name", folds), ("_fold",)).drop("_fold")
+
+
+def fold_models(names: DataFrame, label: str, folds: int, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """_fold, gram, p: for each fold the language model of the names (label, _fold) of the others, from one count of all: what a gram has in all folds less what it has in its own."""
+    from functools import reduce
+
+    grams = reduce(DataFrame.unionByName, [exploded(names.select("_fold", label), label, n).select("_fold", "gram") for n in sizes])
+    own = [F.count_if(C("_fold") == k).alias(f"_{k}") for k in range(folds)]
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), *own)
+    left = F.array(*[F.struct(F.lit(k).cast("long").alias("_fold"), (C("n") - C(f"_{k}")).alias("c")) for k in range(folds)])
+    c = counts.select("gram", F.inline(left)).where("c > 0")
+    return c.select("_fold", "gram", (C("c") / F.sum("c").over(Window.partitionBy("_fold"))).alias("p"))
 
 
 class DgaModel:
@@ -66,13 +76,14 @@ class DgaModel:
     def fit(df: DataFrame, group: str = "domain", trees: int = 120) -> DgaModel:
         """From rows (qname, y, group column)."""
         names = language_model(df.where("y = 0").withColumn("_name", F.regexp_replace(features.primary_label(C("qname")), "[^a-z0-9]", "")), "_name")
-        d = out_of_fold(df, group)
-        held = F.row_number().over(Window.partitionBy("y").orderBy(F.sha2("qname", 256))) % 4 == 0
-        d = d.withColumn("_held", held).withColumn("label", C("y").cast("double"))
+        # The order of a class is cut by the first digits of its hashes, so that the trees are grown by all tasks and not by one a class. Read twice by the trees' two parts.
+        d = placed_within(out_of_fold(df, group).withColumn("_hash", F.sha2("qname", 256)), ["y"], "_hash", F.substring("_hash", 1, 3), "_place")
+        d = d.withColumn("_held", C("_place") % 4 == 0).withColumn("label", C("y").cast("double")).drop("_hash", "_place").persist()
         gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, stepSize=0.08, maxDepth=4, minInstancesPerNode=5, seed=SEED)
         model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), gbt]).fit(d.where("not _held"))
         raw = DgaModel._raw(model.transform(d.where("_held")))
         platt = Pipeline(stages=[VectorAssembler(inputCols=["logit"], outputCol="logit_v"), LogisticRegression(featuresCol="logit_v", labelCol="label")]).fit(raw.select("logit", "label"))
+        d.unpersist()
         return DgaModel(model, platt, names)
 
     @staticmethod

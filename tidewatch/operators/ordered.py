@@ -23,3 +23,13 @@ def sums_before(df: DataFrame, by: str, bucket: Column, sums: list[str]) -> Data
     own = Window.partitionBy("_bucket").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumns({f"{s}_before": F.coalesce(F.sum(s).over(own), F.lit(0)) for s in sums}).join(starts, "_bucket")
     return out.withColumns({f"{s}_before": C(f"{s}_before") + C(f"_{s}") for s in sums}).drop("_bucket", *[f"_{s}" for s in sums])
+
+
+def placed_within(df: DataFrame, keys: list[str], by: str, bucket: Column, name: str) -> DataFrame:
+    """df with `name`, a row's place from 1 among its keys' rows in the order of `by`. `bucket` has to follow that order; a task holds a bucket's rows, and one row of each bucket passes the window over a key."""
+    rows = df.withColumn("_bucket", bucket)
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(by))
+    return rows.withColumn("_own", own).join(starts, [*keys, "_bucket"]).withColumn(name, C("_start") + C("_own")).drop("_bucket", "_own", "_start")
