@@ -48,3 +48,20 @@ def test_addresses_survive_the_wire(spark):
     dotted = F.concat_ws(".", *[F.floor(number / (1 << s)) % 256 for s in (24, 16, 8, 0)])
     rows = spark.createDataFrame([(i,) for i in ips], "ip string").select("ip", views.from_wire(dotted).alias("back")).collect()
     assert all(r.back == r.ip for r in rows)
+
+
+@pytest.mark.parametrize("key", ["evidence_contract", "exfil_detect"])
+def test_ratios_that_are_a_half_in_decimals_alone(spark, tmp_path, key):
+    """27559 / 200 is 137.795, which as a double is below the half that its shortest text names."""
+    import duckdb
+
+    rows = [(n, 1_704_067_200 + n, 7, "view", value, '{"k": 6}') for n, value in ((0, 2.0), (1, 75.59), (2, 200.0))]
+    e = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string")
+    e.select("event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    r = duck.execute(ORACLES[key])
+    names = [c[0] for c in r.description]
+    want = [tuple(plain(x) for x in row) for row in r.fetchall()]
+    got = [tuple(plain(x) for x in row) for row in QUERIES[key](spark, str(tmp_path)).select(*names).collect()]
+    assert len(want) == 1 and got == want

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import CALIBRATED_ON, CAPABILITY_BASELINE, CAPABILITY_FIELDS, DEDUP_KEYS, DIRECTIONS, ENTITY_DETECTORS, INPUT_MODES, KEY_PART_DETECTORS, NOT_OBSERVABLE, SCORE_TYPES, SEVERITIES
-from .scalars import any_of, canonical, identifier, part, sigmoid
+from .scalars import any_of, canonical, identifier, part, rounded, sigmoid
 
 
 def severity_of(score: Column, score_type: Column) -> Column:
@@ -112,9 +112,9 @@ TOLD = {
 
 def evidence_of(detector: str, columns: list[str]) -> Column:
     """The struct of a detector's evidence under the contract's names, of what it has measured; null where a row has no value."""
-    held = {name: F.col(c) if digits is None else F.round(c, digits) for name, (c, digits) in EVIDENCE[detector].items() if c in columns}
+    held = {name: F.col(c) if digits is None else rounded(F.col(c), digits) for name, (c, digits) in EVIDENCE[detector].items() if c in columns}
     if detector == "reflection":
-        held["mean_packet_bytes"] = F.round(F.try_divide("bytes", "packets"), 1)
+        held["mean_packet_bytes"] = rounded(F.try_divide("bytes", "packets"), 1)
     if detector == "c2":
         held["repeated_destination"] = F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string"))
     if detector == "exfil":
