@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _made: list[tuple] = []
@@ -34,6 +34,13 @@ def path(spark: SparkSession, kind: str) -> str:
     return out
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """The rows of df, written there as Parquet and read back: what is read several times is worked out once."""
+    out = path(df.sparkSession, kind)
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 @atexit.register
 def _remove() -> None:
     for where, store in _made:
