@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import chain, lifecycle
 from tidewatch.plans import replay
+from tidewatch.plans.catalog import QUERIES
 from tidewatch.schema import ALERT
 from tidewatch.sources.tables import attack, synthetic_flows
 
@@ -52,3 +53,9 @@ def test_evidence_has_the_names_of_the_contract(spark):
     assert by["slowloris"]["half_open_concurrency"] == 20 and by["slowloris"]["connection_duration_p95"] == 400.0 and by["slowloris"]["interpretation"] == "20 slow connections are held open on 10.10.0.9"
     assert {"packet_rate_pps", "source_entropy", "syn_count", "target_ip", "top_flow_packet_share", "interpretation"} <= by["syn_flood"].keys()
     assert {"fan_in", "bit_rate_bps", "mean_packet_bytes", "unsolicited_share"} <= by["udp_reflection"].keys() and by["udp_reflection"]["target_ip"] is not None
+
+
+def test_the_replay_reads_its_views_and_alerts_as_written_tables(spark):
+    """The detectors' plans are run once: what is keyed, scored and signed is read from the scratch folder, not from the events."""
+    files = QUERIES["replay_alerts"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/alerts-" in f for f in files)

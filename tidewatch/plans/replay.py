@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..config import Settings
 from ..functions import alerts as fn
 from ..functions import scalars
@@ -26,7 +27,7 @@ def as_alerts(found: DataFrame, detector: str) -> DataFrame:
 
 
 def alerts(events: DataFrame, dns: DataFrame | None = None, tls: DataFrame | None = None, settings: Settings = Settings(), windows_s: float | None = None, second_us: int = 1_000_000, flows: DataFrame | None = None) -> DataFrame:
-    """Alerts of all detectors, scored, with their dedup keys and identifiers; of slow connections too, if there are flow summaries. events is read by five detectors, so cache it if its plan is costly."""
+    """Alerts of all detectors, scored, with their dedup keys and identifiers; of slow connections too, if there are flow summaries. events is read by five detectors, so cache or write it if its plan is costly. The detectors run at the call: what they find is written to the scratch folder."""
     width = windows_s or settings.window.width_s
     if "tcp_flags_str" not in events.columns:
         events = events.withColumn("tcp_flags_str", scalars.tcp_flag_letters(C("tcp_flags")))
@@ -41,7 +42,8 @@ def alerts(events: DataFrame, dns: DataFrame | None = None, tls: DataFrame | Non
     every = [as_alerts(rows, detector) for detector, rows in found.items()]
     if flows is not None:
         every.append(as_alerts(detectors.slowloris(flows, settings.slowloris), "ddos"))
-    every = lifecycle.keyed(reduce(DataFrame.unionByName, every))
+    # Written here: the keys and scores would else be worked out inside each detector's plan, with its evidence anew at each mention.
+    every = lifecycle.keyed(scratch.written(reduce(DataFrame.unionByName, every), "alerts"))
     null = F.lit(None)
     return fn.scored(every.withColumns({"confidence": null.cast("double"), "calibrated_on": null.cast("string")}), settings.ddos.min_z)
 
