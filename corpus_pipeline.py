@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import byte_bpe, decontaminate, exact_dedup, quality, simhash
-from tidewatch.llm.common import discard, settled_alone, table
+from tidewatch.llm.common import discard, settle, settled_alone, table  # noqa: F401, settle for runs of single stages
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 

@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, slices, whole
+from .common import settle, slices, tidied, whole
 
 #: Code points of a chunk without its overlap, and of the overlap with the next.
 CHUNK, OVERLAP = 32_768, 512
@@ -66,6 +66,7 @@ def stitches(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int)
     chunks = docs.select("key", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk).cast("int"))).alias("k"), "t")
     chunks = chunks.select("key", "k", F.length("t").alias("n"), F.expr(f"substring(t, k * {chunk} + 1, {chunk + overlap})").alias("part"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = vocabulary(path, pattern).piece
         for b in slices(batches):
@@ -88,6 +89,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """doc_id and parts: the text's ids in order, as an array of binaries."""
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("t"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for b in slices(batches):
@@ -110,6 +112,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def read_back(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """From encode()'s rows: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for b in slices(batches):

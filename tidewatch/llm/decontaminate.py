@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices, whole
+from .common import settle, slices, tidied, whole
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.5
@@ -206,6 +206,7 @@ def indexes(items: DataFrame, most: int = ITEMS) -> Iterator[Index]:
         yield Index([(r.item_id, r.text) for r in rows.collect()])
         return
 
+    @tidied
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             own = [(k, len(w), t) for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(w := words(text)) >= LEAST_WORDS for t in [None, *sorted(set(w))]]
@@ -229,6 +230,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     def search(index: Index) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
+        @tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
                 found = [(k, *h) for k, t in enumerate(b.column(1)) for h in shared.value.hits(t.as_py())]
@@ -248,6 +250,7 @@ def keep(docs: DataFrame, items: DataFrame, text_col: str = "text", most: int =
     for index in indexes(items, most):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
+        @tidied
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
                 yield b.filter(pa.array([not shared.value.hits(t.as_py() or "") for t in b.column(at)], pa.bool_()))

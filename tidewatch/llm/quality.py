@@ -21,13 +21,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices, whole
+from .common import settle, slices, tidied, whole
 
 WORD_BUCKETS = 10_000
 SHAPES = 64
 BUCKETS = WORD_BUCKETS + SHAPES + 3 * SHAPES * SHAPES
 #: Labelled documents that the models and the threshold are fitted on, at most.
 LABELLED = 20_000
+#: Words whose hash and shape a worker keeps.
+KNOWN = 100_000
 TEMPERATURE = 0.02
 SEED = 20_260
 
@@ -56,7 +58,7 @@ class WordFeatures(dict):
 
 def ngrams(texts: list[list[bytes]], known: WordFeatures) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of the texts' n-grams, repeats included, and the place of each one's text."""
-    if len(known) > 500_000:
+    if len(known) > KNOWN:
         known.clear()
         known.hash, known.shape = array("Q"), array("q")
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
@@ -83,6 +85,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -
     """The log ratio of target to raw probability of every bucket."""
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("t")).join(sample, "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), "t")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = WordFeatures(), np.zeros((2, BUCKETS), dtype=np.int64)
         for b in slices(batches):
@@ -117,6 +120,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str) ->
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     at = docs.columns.index(text_col)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ratio = WordFeatures(), shared.value
         for b in slices(batches):

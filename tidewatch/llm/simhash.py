@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bktree
-from .common import BROADCAST_IDS, checked_broadcast, discard, numbered, order_key, settle, slices, whole, words
+from .common import BROADCAST_IDS, checked_broadcast, discard, numbered, order_key, settle, slices, tidied, whole, words
 
 SEED = 42
 #: Of near_copies(): words of a shingle, the least Jaccard similarity, and the radius that fingerprints of such texts lie within.
@@ -57,6 +57,7 @@ def simhash(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """doc_id and code, the fingerprint as a signed long."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             codes = np.array([simhash(shingle_hashes(words(t), width)) for t in b.column(1).to_pylist()], dtype=np.uint64)
@@ -109,6 +110,7 @@ def linked_edges(shards: DataFrame, radius: int, least_alike: float | None = Non
     keyed = keyed.select(F.xxhash64("shard").alias("shard"), "node", "code", *extra)
     keyed = keyed.repartition("shard").sortWithinPartitions("shard", "node")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Hashes are long: small slices, so that few rows are copied at a time, and sets that stay in Arrow's memory.
         for b in whole_groups(slices(batches, 256), 2048, SHARD_BYTES) if extra else whole_groups(batches):
@@ -196,6 +198,7 @@ def linked_texts(rows: DataFrame, width: int, radius: int, least_alike: float) -
     """node and root, the smallest node of its component, of the other nodes of near copies, from rows (node, t)."""
     odd = np.random.default_rng(SEED).integers(0, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+    @tidied
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             ids, bands = [], []
@@ -208,6 +211,7 @@ def linked_texts(rows: DataFrame, width: int, radius: int, least_alike: float) -
                 bands.append([xxhash.xxh64_intdigest(f"{k} {least[2 * k]} {least[2 * k + 1]}") - (1 << 63) for k in range(BANDS)])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["node", "bands"])
 
+    @tidied
     def detailed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             codes, sketches, sets = [], [], []
