@@ -36,8 +36,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes of every document."""
-    coded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    return byte_bpe.read_back(coded, RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.encode_and_read_back(docs, RANKS, public_tokenizers.PATTERN)
 
 
 STAGES = [("quality_classifier", classify), ("exact_dedup", drop_copies), ("simhash_near_dedup", drop_near_copies), ("benchmark_decontamination", decontaminated), ("byte_bpe", encode)]

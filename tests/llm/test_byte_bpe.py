@@ -1,10 +1,12 @@
 import base64
 import hashlib
 import random
+import re
 
 import public_tokenizers as P
 import tiktoken
 
+import corpus_pipeline
 from tidewatch.llm import byte_bpe
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -37,3 +39,28 @@ def test_long_texts_are_cut_into_stretches(spark):
     spans = byte_bpe.stitches(long, PATH, P.PATTERN, 100, 20).orderBy("key", "start").collect()
     assert [(r.start, r.end) for r in spans if r.key == 1] == [(0, 104), (104, 204), (204, 304), (304, 404), (404, 500)]
     assert [(r.start, r.end) for r in spans if r.key == 2] == [(0, 504)] or spans[-1].end == 504
+
+
+def test_one_worker_a_task_encodes_and_reads_back(spark):
+    docs = spark.createDataFrame(texts(), "doc_id long, text string")
+    key = lambda rows: sorted(map(tuple, rows), key=repr)
+    for chunk, overlap in ((64, 16), (32_768, 512)):
+        both = byte_bpe.encode_and_read_back(docs, PATH, P.PATTERN, chunk=chunk, overlap=overlap)
+        apart = byte_bpe.read_back(byte_bpe.encode(docs, PATH, P.PATTERN, chunk=chunk, overlap=overlap), PATH, P.PATTERN)
+        assert both.schema == apart.schema and key(both.collect()) == key(apart.collect())
+    # A Python step on top of another one runs beside it, in a second worker.
+    assert chained_steps(byte_bpe.read_back(byte_bpe.encode(docs, PATH, P.PATTERN), PATH, P.PATTERN)) == 1
+    for rows in (byte_bpe.encode_and_read_back(docs, PATH, P.PATTERN), corpus_pipeline.encode(spark, docs, "")):
+        assert chained_steps(rows) == 0
+
+
+def chained_steps(rows):
+    """How many Python steps of the plan have another one under them in the same task."""
+    n, inside = 0, False
+    for line in rows._jdf.queryExecution().sparkPlan().toString().splitlines():
+        step = re.search(r"\w+", line).group()
+        if step == "MapInArrow":
+            n, inside = n + inside, True
+        elif step not in ("Project", "Filter", "Union"):
+            inside = False
+    return n

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -85,11 +85,9 @@ def stitches(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int)
     return starts.select("key", "start", F.coalesce(F.lead("start").over(by_text), "n").alias("end"))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id and parts: the text's ids in order, as an array of binaries."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("t"))
+def encoder(path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: the last column, a text, becomes its ids."""
 
-    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for b in slices(batches):
@@ -97,29 +95,19 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             ids = [v.encode(t).tobytes() for t in b.column(last).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(ids, pa.binary())], [*b.schema.names[:last], "ids"])
 
-    kind = dict(rows.dtypes)["doc_id"]
-    short = rows.where(F.length("t") <= chunk).mapInArrow(run, f"doc_id {kind}, ids binary").select("doc_id", F.array("ids").alias("parts"))
-    # A long text's row has a key of its own, so that rows that share an id stay apart; written, it is the same in every use.
-    long = settle(rows.where(F.length("t") > chunk).withColumn("key", F.monotonically_increasing_id()))
-    spans = stitches(long.select("key", "t"), path, pattern, chunk, overlap)
-    spans = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    pieces = long.join(spans, "key").select("key", F.explode("spans").alias("s"), "t").select("key", F.col("s.start").alias("start"), F.expr("substring(t, s.start + 1, s.end - s.start)").alias("t"))
-    coded = pieces.repartition("key", "start").mapInArrow(run, "key long, start int, ids binary")
-    whole_ids = coded.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "ids"))).alias("c")).select("key", F.col("c.ids").alias("parts"))
-    return short.unionByName(long.select("key", "doc_id").join(whole_ids, "key").select("doc_id", "parts"))
+    return run
 
 
-def read_back(coded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """From encode()'s rows: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes."""
+def reader(path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: from doc_id and ids, or the parts of the ids, to the columns of read_back()."""
 
-    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for b in slices(batches):
             n, ids_sha, text_sha, size = [], [], [], []
             for parts in b.column(1).to_pylist():
                 of_ids, of_text, tokens, count = hashlib.sha256(), hashlib.sha256(), 0, 0
-                for part in parts:
+                for part in [parts] if isinstance(parts, bytes) else parts:
                     ids = np.frombuffer(part, dtype="<u4").tolist()
                     if ids:
                         of_ids.update(b" " * bool(tokens) + b" ".join(map(v.digits_of.__getitem__, ids)))
@@ -132,5 +120,50 @@ def read_back(coded: DataFrame, path: str, pattern: str) -> DataFrame:
                 size.append(count)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(size, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
 
-    kind = dict(coded.dtypes)["doc_id"]
-    return coded.select("doc_id", "parts").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return run
+
+
+def read_columns(rows: DataFrame) -> str:
+    return f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
+
+
+def short_texts(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("t")).where(F.length("t") <= chunk)
+
+
+def encode_long(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, chunk: int, overlap: int) -> DataFrame:
+    """encode()'s rows of the texts of more than one chunk."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("t"))
+    # A long text's row has a key of its own, so that rows that share an id stay apart; written, it is the same in every use.
+    long = settle(rows.where(F.length("t") > chunk).withColumn("key", F.monotonically_increasing_id()))
+    spans = stitches(long.select("key", "t"), path, pattern, chunk, overlap)
+    spans = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    pieces = long.join(spans, "key").select("key", F.explode("spans").alias("s"), "t").select("key", F.col("s.start").alias("start"), F.expr("substring(t, s.start + 1, s.end - s.start)").alias("t"))
+    coded = pieces.repartition("key", "start").mapInArrow(tidied(encoder(path, pattern)), "key long, start int, ids binary")
+    whole_ids = coded.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "ids"))).alias("c")).select("key", F.col("c.ids").alias("parts"))
+    return long.select("key", "doc_id").join(whole_ids, "key").select("doc_id", "parts")
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id and parts: the text's ids in order, as an array of binaries."""
+    short = short_texts(docs, id_col, text_col, chunk)
+    short = short.mapInArrow(tidied(encoder(path, pattern)), f"doc_id {dict(short.dtypes)['doc_id']}, ids binary").select("doc_id", F.array("ids").alias("parts"))
+    return short.unionByName(encode_long(docs, path, pattern, id_col, text_col, chunk, overlap))
+
+
+def read_back(coded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """From encode()'s rows: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes."""
+    return coded.select("doc_id", "parts").mapInArrow(tidied(reader(path, pattern)), read_columns(coded))
+
+
+def encode_and_read_back(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """The rows of read_back(encode(docs)). A task's short texts are encoded and their ids decoded by one Python worker, one slice after the other: two steps in a row would keep two workers a task, and an executor keeps those for all later stages."""
+    encoded, read = encoder(path, pattern), reader(path, pattern)
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return read(encoded(batches))
+
+    short = short_texts(docs, id_col, text_col, chunk)
+    long = encode_long(docs, path, pattern, id_col, text_col, chunk, overlap)
+    return short.mapInArrow(run, read_columns(short)).unionByName(read_back(long, path, pattern))

@@ -15,8 +15,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
-    return byte_bpe.read_back(coded, RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.encode_and_read_back(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
