@@ -167,3 +167,31 @@ def test_passages_inside_lines_and_wrapped_anew(spark):
         0: (texts[0][1], 0), 1: ("head  of it tail\tof it\nlast\n", 0), 2: ("before\n\nafter", 18), 3: ("one \ntwo", 0),
         4: (" ".join(long + ["a"]) + " \nend", 0), 5: (texts[5][1], 0), 6: (None, 0),
     }
+
+
+def test_no_text_is_sent_after_the_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(ld, "BROADCAST_SPANS", 0)
+    monkeypatch.setattr(ld, "BROADCAST_IDS", 0)
+    seen, around = [], ld.around
+
+    def watched(rows, places, *more):
+        seen.append(places.groupBy("gram").count().agg({"count": "min"}).first()[0])
+        return around(rows, places, *more)
+
+    monkeypatch.setattr(ld, "around", watched)
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(6)
+        passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+        texts = [(k, f"own{k} " + rng.choice(passages) + f" and\n{k} then " + rng.choice(passages)) for k in range(40)]
+        done = ld.dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+        plan = done._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert sum(len(r.text) < len(dict(texts)[r.doc_id]) for r in done.collect()) > 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    # The only exchange before the result is that of the cuts, which have no text (c1).
+    sent = [k for k, line in enumerate(plan) if "Exchange" in line]
+    assert len(sent) == 1 and not any("c1#" in line for line in plan[sent[0] :])
+    # Grams that stand once go no further than the count that tells so.
+    assert len(seen) == 2 and min(seen) > 1

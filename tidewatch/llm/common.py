@@ -99,6 +99,21 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Co
     return settle(own.withColumn("row", F.monotonically_increasing_id())), F.col(f"c{docs.columns.index(id_col)}"), f"c{docs.columns.index(text_col)}"
 
 
+def numbered_by_row(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column, str]:
+    """As numbered(), in a table that is bucketed by row: the rows are sent once, and joins and groups by row leave them where they are."""
+    spark = docs.sparkSession
+    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).withColumn("row", F.monotonically_increasing_id())
+    n, name = max(1, docs.rdd.getNumPartitions()), f"numbered_{uuid.uuid4().hex}"
+    own.repartition(n, "row").write.format("parquet").bucketBy(n, "row").option("path", scratch_path(spark, "numbered")).saveAsTable(name)
+    atexit.register(_forget, spark, name)
+    return spark.table(name), F.col(f"c{docs.columns.index(id_col)}"), f"c{docs.columns.index(text_col)}"
+
+
+def _forget(spark: SparkSession, name: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and with it the name
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def order_key(id_col: Column) -> Column:
     """A long to order rows by: the id if it is a whole number, else its hash; the largest long for a null id."""
     return F.coalesce(id_col.cast("string").try_cast("long"), F.when(id_col.isNotNull(), F.xxhash64(id_col.cast("string"))), F.lit((1 << 63) - 1))

@@ -1,6 +1,6 @@
 r"""Line dedup by winnowing over line hashes, then over words. DataFrame functions only.
 
-The rows are numbered and written once, so that every step sees the same numbers. Positions are ordered by document id, then row, then place.
+The rows are numbered and written once, dealt by these numbers, so that every step sees the same numbers and finds the texts where they are: no later join sends a text. Positions are ordered by document id, then row, then place.
 
 Lines (split at \n, trimmed; those of white space only are passed over):
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, SPACES, checked_broadcast, numbered, order_key, settle, whole
+from .common import BROADCAST_IDS, SPACES, checked_broadcast, discard, numbered_by_row, order_key, settle, whole
 
 #: Words that a repeated run of whole lines has at least.
 LEAST = 2
@@ -43,11 +43,17 @@ def wide_hash(x: Column) -> Column:
     return F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("again"), x).alias("b"))
 
 
+def met_again(places: DataFrame) -> DataFrame:
+    """The rows (gram, ...) of the settled places whose gram stands more than once. Most stand once; 64 of their bits leave few of those over."""
+    shared = settle(places.groupBy(F.col("gram.a").alias("h")).count().where("count > 1").select("h"))
+    met = settle(places.join(checked_broadcast(shared, BROADCAST_IDS), F.col("gram.a") == F.col("h"), "left_semi"))
+    discard(shared)
+    discard(places)
+    return met
+
+
 def later_positions(places: DataFrame) -> DataFrame:
     """The rows (gram, id, row, idx, ...) of places that don't hold the first position of their gram, with that position's row1 and idx1."""
-    # Most grams stand once; 64 of their bits leave few of those over.
-    shared = settle(places.groupBy(F.col("gram.a").alias("h")).count().where("count > 1").select("h"))
-    places = places.join(checked_broadcast(shared, BROADCAST_IDS), F.col("gram.a") == F.col("h"), "left_semi")
     first = places.groupBy("gram").agg(F.min(F.struct("id", "row", "idx")).alias("f"))
     return places.join(first.select("gram", F.col("f.row").alias("row1"), F.col("f.idx").alias("idx1")), "gram").where("row <> row1 or idx <> idx1")
 
@@ -76,10 +82,14 @@ def line_runs(rows: DataFrame, least: int) -> DataFrame:
     met = settle(prints.join(shared, "h", "left_semi").select("row").distinct())
     both = F.explode(F.array_distinct(F.filter(F.array("begins", "ends"), lambda x: x.isNotNull())))
     windows = lines.join(checked_broadcast(met, BROADCAST_IDS), "row", "left_semi").select("id", "row", both.alias("x")).select("id", "row", "x.gram", "x.idx", "x.to")
+    windows = met_again(settle(windows))
     gone = settle(merged(later_positions(windows).select("row", "idx", "to")).withColumnRenamed("spans", "gone"))
     stays = lines.select("row", "idx", "before", "upto").join(gone, "row").where(~F.exists("gone", lambda s: (s["from"] <= F.col("idx")) & (F.col("idx") < s["to"])))
     left = stays.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("before").alias("from"), F.col("upto").alias("to")))).alias("left"))
-    return settle(gone.join(left, "row", "left"))
+    out = settle(gone.join(left, "row", "left"))
+    for done in (lines, met, windows, gone):
+        discard(done)
+    return out
 
 
 def words_of(text: Column) -> Column:
@@ -88,6 +98,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
+def word_hashes(text: Column) -> Column:
+    """64 bits of every word: grams are hashed from these, so that each word is read once."""
+    return F.transform(words_of(text), lambda x: F.xxhash64(x))
+
+
 def let(x: Column, f) -> Column:
     """f(x), with x worked out once."""
     return F.transform(F.array(x), f)[0]
@@ -122,9 +137,9 @@ def word_prints(rows: DataFrame, gram: int, window: int, share: int) -> DataFram
         return F.filter(pairs, lambda g: g["b"] - g["a"] > window)
 
     # The word's hash above, its place counted backwards below: the least is the last of equal words.
-    m = F.transform(F.slice("words", F.lit(1), F.greatest(F.size("words") - (gram - 1), F.lit(0))), lambda x, k: F.shiftleft(F.xxhash64(x).bitwiseAND(low), 31).bitwiseOR(low - k))
+    m = F.transform(F.slice("words", F.lit(1), F.greatest(F.size("words") - (gram - 1), F.lit(0))), lambda x, k: F.shiftleft(x.bitwiseAND(low), 31).bitwiseOR(low - k))
     at = F.filter(let(m, of_text), lambda k: F.col("left").isNull() | reaches(k, gram))
-    d = rows.select("id", "row", "left", words_of(F.col("t")).alias("words")).select("id", "row", "words", at.alias("at"))
+    d = rows.select("id", "row", "left", word_hashes(F.col("t")).alias("words")).select("id", "row", "words", at.alias("at"))
     # The outer form, as for the plain one Spark adds a filter that works all of this out once more.
     return d.select("id", "row", "words", F.explode_outer("at").alias("idx")).where("idx is not null").select("id", "row", "idx", gram_at(gram)).select("id", "row", "idx", wide_hash(F.col("g")).alias("gram"))
 
@@ -142,12 +157,16 @@ def later_words(places: DataFrame, gram: int) -> DataFrame:
 
 def word_runs(rows: DataFrame, gram: int, window: int, share: int) -> DataFrame:
     """row, idx and to of the later copies of grams of words, from rows (id, row, t, left)."""
-    places = settle(word_prints(rows, gram, window, share))
+    places = met_again(settle(word_prints(rows, gram, window, share)))
     later = settle(later_words(places, gram))
     coarse = int(gram**0.5) + 1
     for step, reach in ((coarse, gram - 1), (1, coarse - 1)):
-        places = settle(around(rows, places, later, gram, step, reach))
+        was = places, later
+        # Only places that are met again can be the ends of a copy, so no round sends the others.
+        places = met_again(settle(around(rows, places, later, gram, step, reach)))
         later = settle(later.unionByName(later_words(places, gram)).distinct())
+        for done in was:
+            discard(done)
     return later.select("row", "idx", (F.col("idx") + gram).alias("to"))
 
 
@@ -159,7 +178,7 @@ def around(rows: DataFrame, places: DataFrame, later: DataFrame, gram: int, step
     steps = F.lit(reach // step * step)
     range_of = F.sequence(F.col("idx") - F.when(F.col("before"), steps).otherwise(0), F.col("idx") + F.when(F.col("after"), steps).otherwise(0), F.lit(step))
     at = places.join(ends, "gram").select("row", range_of.alias("a")).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("a"))).alias("a"))
-    texts = rows.join(small(settle(at), "a"), "row").select("id", "row", "a", "left", words_of(F.col("t")).alias("words"))
+    texts = rows.join(small(settle(at), "a"), "row").select("id", "row", "a", "left", word_hashes(F.col("t")).alias("words"))
     fits = lambda k: (k >= 0) & (k <= F.size("words") - gram) & (F.col("left").isNull() | reaches(k, gram))
     near = texts.select("id", "row", "words", F.filter("a", fits).alias("a")).select("id", "row", "words", F.explode_outer("a").alias("idx")).where("idx is not null")
     return near.select("id", "row", "idx", gram_at(gram)).select("id", "row", "idx", wide_hash(F.col("g")).alias("gram"))
@@ -174,9 +193,10 @@ def merged(spans: DataFrame) -> DataFrame:
     return parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
 
 
-def small(settled: DataFrame, column: str) -> DataFrame:
-    """A settled frame, broadcast if its arrays have BROADCAST_SPANS values or fewer; beyond that Spark joins it by shuffle."""
-    return F.broadcast(settled) if (settled.agg(F.sum(F.size(column))).first()[0] or 0) <= BROADCAST_SPANS else settled
+def small(settled: DataFrame, *columns: str) -> DataFrame:
+    """A settled frame to join the rows with, broadcast if its arrays have BROADCAST_SPANS values or fewer; beyond that it is sent to where the rows are dealt by their numbers, and the texts are neither sent nor sorted."""
+    values = sum((F.greatest(F.size(c), F.lit(0)) for c in columns), F.lit(0))
+    return F.broadcast(settled) if (settled.agg(F.sum(values)).first()[0] or 0) <= BROADCAST_SPANS else settled.hint("shuffle_hash")
 
 
 def replaced(items: Column, spans: Column, put) -> Column:
@@ -189,12 +209,13 @@ def replaced(items: Column, spans: Column, put) -> Column:
 
 def marked(docs: DataFrame, id_col: str, text_col: str, gram: int, window: int, least: int, share: int) -> DataFrame:
     """The numbered rows of docs, and lines: (line without its deleted words, gone) of the texts with something to delete, null for others."""
-    rows, row_id, text = numbered(docs, id_col, text_col)
-    rows = rows.select("*", order_key(row_id).alias("id"), whole(text).alias("t"))
+    own, row_id, text = numbered_by_row(docs, id_col, text_col)
+    rows = own.select("row", order_key(row_id).alias("id"), whole(text).alias("t"))
     lines = line_runs(rows, least)
     texts = rows.join(small(lines, "gone"), "row", "left").where("gone is null or left is not null").select("id", "row", "t", "left")
-    words = settle(merged(word_runs(texts, gram, window, share)))
-    rows = rows.join(small(lines.select("row", "gone"), "gone"), "row", "left").join(small(words, "spans"), "row", "left")
+    words = merged(word_runs(texts, gram, window, share))
+    cuts = settle(lines.select("row", "gone").join(words, "row", "full"))
+    rows = own.join(small(cuts, "gone", "spans"), "row", "left").withColumn("t", whole(text))
     # A text does not hold a mark of its own hash.
     rows = rows.withColumn("mark", F.concat(F.lit("\0"), F.hex(F.xxhash64("t"))))
     without = lambda x: F.array(F.regexp_replace(F.array_join(x, ""), F.lit(r"[^\n]+"), F.col("mark")))
