@@ -32,6 +32,8 @@ LEAST = 2
 GRAM, WINDOW = 25, 25
 #: One word in so many is a fingerprint's place by its hash alone.
 SHARE = 8
+#: So often a stretch without such a place is split at its least hash before its windows are looked at one by one.
+ROUNDS = 3
 #: Words of a text that a place can tell apart.
 PLACES = (1 << 31) - 1
 #: Up to so many spans or places of words, listed by text, are broadcast; more are joined by shuffle.
@@ -62,13 +64,18 @@ def lines_of(rows: DataFrame, least: int) -> DataFrame:
     """id, row, idx (of the line in its text), before and upto (the words before it, and with it), the line that its window selects (h, minus: its place counted backwards), and the windows that begin and end at the line: (gram, idx, to). A window reaches up to the next line, over lines of white space."""
     lines = rows.select("id", "row", F.posexplode_outer(F.split("t", "\n")).alias("idx", "line")).select("id", "row", "idx", F.btrim("line", F.lit(SPACES)).alias("line")).where("line <> ''")
     lines = lines.select("id", "row", "idx", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("again"), "line").alias("h2"), F.size(words_of(F.col("line"))).cast("long").alias("w"))
-    so_far = F.sum("w").over(Window.partitionBy("row").orderBy("idx"))
-    lines = lines.select("*", so_far.alias("upto"), (so_far - F.col("w")).alias("before"), F.sum("w").over(Window.partitionBy("row")).alias("total"))
-    ahead = Window.partitionBy("row").orderBy("before").rangeBetween(0, least - 1)
-    back = Window.partitionBy("row").orderBy("upto").rangeBetween(1 - least, 0)
-    lines = lines.withColumn("to", F.coalesce(F.lead("idx").over(Window.partitionBy("row").orderBy("idx")), F.col("idx") + 1))
-    held = F.collect_list(F.struct("idx", "h", "h2", "to"))
-    lines = lines.select("*", F.when(F.col("total") - F.col("before") >= least, held.over(ahead)).alias("a"), F.when(F.col("upto") >= least, held.over(back)).alias("b"))
+    # All windows have this one order, so that the lines are sorted once; a line has a word at least, so a window has no more lines than words.
+    of_text = Window.partitionBy("row").orderBy("idx")
+    so_far = F.sum("w").over(of_text.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("w").over(of_text.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    lines = lines.select("*", so_far.alias("upto"), (so_far - F.col("w")).alias("before"), total.alias("total"), F.coalesce(F.lead("idx").over(of_text), F.col("idx") + 1).alias("to"))
+    lines = lines.withColumn("held", F.struct("idx", "h", "h2", "to", "before", "upto"))
+    a = F.array("held", *[F.lead("held", k).over(of_text) for k in range(1, least)])
+    b = F.array(*[F.lag("held", k).over(of_text) for k in range(least - 1, 0, -1)], "held")
+    lines = lines.select("*", a.alias("a"), b.alias("b"))
+    ahead = F.when(F.col("total") - F.col("before") >= least, F.filter("a", lambda y: y["before"] < F.col("before") + least))
+    back = F.when(F.col("upto") >= least, F.filter("b", lambda y: y["upto"] > F.col("upto") - least))
+    lines = lines.withColumns({"a": ahead, "b": back})
     window = lambda x: F.when(x.isNotNull(), F.struct(wide_hash(F.transform(x, lambda y: F.struct(y["h"], y["h2"]))).alias("gram"), x[0]["idx"].alias("idx"), F.element_at(x, -1)["to"].alias("to")))
     picked = F.array_min(F.transform("a", lambda y: F.struct(y["h"].alias("h"), (-y["idx"]).alias("minus"))))
     return lines.select("id", "row", "idx", F.col("before").cast("int").alias("before"), F.col("upto").cast("int").alias("upto"), picked.alias("picked"), window(F.col("a")).alias("begins"), window(F.col("b")).alias("ends"))
@@ -77,8 +84,9 @@ def lines_of(rows: DataFrame, least: int) -> DataFrame:
 def line_runs(rows: DataFrame, least: int) -> DataFrame:
     """row, gone (the united spans of deleted lines) and left (the words of the other lines, null without any) of the texts with deleted lines."""
     lines = settle(lines_of(rows, least))
-    prints = lines.where("picked is not null").select("row", "picked.h", "picked.minus").distinct()
-    shared = prints.groupBy("h").count().where("count > 1")
+    prints = lines.where("picked is not null").select("row", "picked.h", "picked.minus")
+    # Windows of one text can select the same line; positions differ if their least and greatest do.
+    shared = prints.groupBy("h").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("row", "minus") for f in (F.min, F.max)]).where("min_row < max_row or min_minus < max_minus").select("h")
     met = settle(prints.join(shared, "h", "left_semi").select("row").distinct())
     both = F.explode(F.array_distinct(F.filter(F.array("begins", "ends"), lambda x: x.isNotNull())))
     windows = lines.join(checked_broadcast(met, BROADCAST_IDS), "row", "left_semi").select("id", "row", both.alias("x")).select("id", "row", "x.gram", "x.idx", "x.to")
@@ -93,9 +101,12 @@ def line_runs(rows: DataFrame, least: int) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    for space in SPACES[1:]:
-        text = F.replace(text, F.lit(space), F.lit(" "))
-    return F.array_remove(F.split(text, " "), "")
+    rare = text
+    for space in SPACES[1:].replace("\n", ""):
+        rare = F.replace(rare, F.lit(space), F.lit(" "))
+    # Most texts hold blanks and line breaks only: they are read over twice, not once for each kind.
+    text = F.when(F.rlike(text, F.lit(r"[\t\x0B-\r]")), rare).otherwise(text)
+    return F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), "")
 
 
 def word_hashes(text: Column) -> Column:
@@ -117,28 +128,38 @@ def word_prints(rows: DataFrame, gram: int, window: int, share: int) -> DataFram
     """id, row, idx (of the word that it begins at) and gram of the selected grams of words, from rows (id, row, t, left): left are the words (from, to) of the lines that are left, null for all."""
     low = F.lit(PLACES).cast("long")
     place = lambda v: (low - v.bitwiseAND(low)).cast("int")
+    long = lambda g: g["b"] - g["a"] > window
+    places = F.greatest(F.size("words") - (gram - 1), F.lit(0))
+
+    def ranked(g: Column) -> Column:
+        """The word's hash above, its place counted backwards below: the least is the last of equal words."""
+        return let(g["a"] + 1, lambda at: F.transform(F.slice("words", at + 1, g["b"] - at), lambda x, k: F.shiftleft(x.bitwiseAND(low), 31).bitwiseOR(low - at - k)))
 
     def of_gap(m: Column) -> Column:
         """The least of each window: the least of 2, 4, 8 ... from each on, as far as a window fits in."""
         least, wide = m, 1
         while wide < window:
             least, wide = let(least, halved(min(wide, window - wide))), wide + min(wide, window - wide)
-        return F.array_distinct(F.slice(least, F.lit(1), F.size(m) - (window - 1)))
+        return F.transform(F.array_distinct(F.slice(least, F.lit(1), F.size(m) - (window - 1))), place)
 
     def halved(step: int):
         return lambda x: F.zip_with(x, F.slice(x, F.lit(step + 1), F.size(x)), lambda u, v: F.least(u, v))
 
-    def of_text(m: Column) -> Column:
-        at = F.transform(F.filter(m, lambda v: v < F.lit(((PLACES + 1) // share) << 31)), place)
-        return let(at, lambda at: F.concat(at, F.transform(F.flatten(F.transform(gaps(at, F.size(m)), lambda g: of_gap(F.slice(m, g["a"] + 2, g["b"] - g["a"] - 1)))), place)))
-
-    def gaps(at: Column, n: Column) -> Column:
-        pairs = F.zip_with(F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(n)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        return F.filter(pairs, lambda g: g["b"] - g["a"] > window)
-
-    # The word's hash above, its place counted backwards below: the least is the last of equal words.
-    m = F.transform(F.slice("words", F.lit(1), F.greatest(F.size("words") - (gram - 1), F.lit(0))), lambda x, k: F.shiftleft(x.bitwiseAND(low), 31).bitwiseOR(low - k))
-    at = F.filter(let(m, of_text), lambda k: F.col("left").isNull() | reaches(k, gram))
+    def of_gaps(gaps: Column, rounds: int) -> Column:
+        """The least of a gap is that of all windows that hold it; others lie before or after it. Most gaps are done with so, what is left of the rest is looked at window by window."""
+        if not rounds:
+            return F.flatten(F.transform(gaps, lambda g: let(ranked(g), of_gap)))
+        split = F.transform(gaps, lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"), place(F.array_min(ranked(g))).alias("p")))
+        sides = lambda x: F.array(F.struct(x["a"].alias("a"), x["p"].alias("b")), F.struct(x["p"].alias("a"), x["b"].alias("b")))
+        more = lambda found: let(F.filter(F.flatten(F.transform(found, sides)), long), lambda g: F.when(F.size(g) > 0, of_gaps(g, rounds - 1)).otherwise(F.array().cast("array<int>")))
+        return let(split, lambda found: F.concat(F.transform(found, lambda x: x["p"]), more(found)))
+
+    def of_text(at: Column) -> Column:
+        pairs = F.zip_with(F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(places)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.concat(at, let(F.filter(pairs, long), lambda gaps: of_gaps(gaps, ROUNDS)))
+
+    chosen = F.transform(F.slice("words", F.lit(1), places), lambda x, k: F.when(x.bitwiseAND(low) < (PLACES + 1) // share, k).otherwise(-1))
+    at = F.filter(let(F.filter(chosen, lambda k: k >= 0), of_text), lambda k: F.col("left").isNull() | reaches(k, gram))
     d = rows.select("id", "row", "left", word_hashes(F.col("t")).alias("words")).select("id", "row", "words", at.alias("at"))
     # The outer form, as for the plain one Spark adds a filter that works all of this out once more.
     return d.select("id", "row", "words", F.explode_outer("at").alias("idx")).where("idx is not null").select("id", "row", "idx", gram_at(gram)).select("id", "row", "idx", wide_hash(F.col("g")).alias("gram"))
@@ -150,9 +171,10 @@ def gram_at(gram: int) -> Column:
 
 def later_words(places: DataFrame, gram: int) -> DataFrame:
     """gram, row, idx of the later positions, without those of one text that lie within `gram` words of the one before."""
-    last = F.lag("idx").over(Window.partitionBy("gram", "row").orderBy("idx"))
-    later = later_positions(places).withColumn("last", last)
-    return later.where((F.col("row") != F.col("row1")) | (F.col("idx") - F.coalesce("last", "idx1") >= gram)).select("gram", "row", "idx")
+    # The positions in the first one's text come first, so they follow one another in this one order.
+    of_gram = Window.partitionBy("gram").orderBy("id", "row", "idx")
+    later = places.select("*", F.first("row").over(of_gram).alias("row1"), F.lag("idx").over(of_gram).alias("last"))
+    return later.where((F.col("row") != F.col("row1")) | (F.col("idx") - F.col("last") >= gram)).select("gram", "row", "idx")
 
 
 def word_runs(rows: DataFrame, gram: int, window: int, share: int) -> DataFrame:
@@ -164,9 +186,11 @@ def word_runs(rows: DataFrame, gram: int, window: int, share: int) -> DataFrame:
         was = places, later
         # Only places that are met again can be the ends of a copy, so no round sends the others.
         places = met_again(settle(around(rows, places, later, gram, step, reach)))
-        later = settle(later.unionByName(later_words(places, gram)).distinct())
-        for done in was:
-            discard(done)
+        later = later.unionByName(later_words(places, gram))
+        if step > 1:
+            later = settle(later)
+            discard(was[1])
+        discard(was[0])
     return later.select("row", "idx", (F.col("idx") + gram).alias("to"))
 
 
@@ -187,7 +211,7 @@ def around(rows: DataFrame, places: DataFrame, later: DataFrame, gram: int, step
 def merged(spans: DataFrame) -> DataFrame:
     """row and spans: the united spans (idx, to) of every row, in order and apart."""
     before = Window.partitionBy("row").orderBy("idx", "to").rowsBetween(Window.unboundedPreceding, -1)
-    parts = spans.distinct().withColumn("new", F.coalesce(F.col("idx") > F.max("to").over(before), F.lit(True)).cast("int"))
+    parts = spans.withColumn("new", F.coalesce(F.col("idx") > F.max("to").over(before), F.lit(True)).cast("int"))
     parts = parts.withColumn("island", F.sum("new").over(Window.partitionBy("row").orderBy("idx", "to")))
     parts = parts.groupBy("row", "island").agg(F.min("idx").alias("from"), F.max("to").alias("to"))
     return parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
@@ -219,15 +243,16 @@ def marked(docs: DataFrame, id_col: str, text_col: str, gram: int, window: int,
     # A text does not hold a mark of its own hash.
     rows = rows.withColumn("mark", F.concat(F.lit("\0"), F.hex(F.xxhash64("t"))))
     without = lambda x: F.array(F.regexp_replace(F.array_join(x, ""), F.lit(r"[^\n]+"), F.col("mark")))
-    tokens = F.regexp_extract_all("t", F.lit(r"\S+\s*"), F.lit(0))
-    cut = F.concat(F.regexp_extract("t", r"^\s*", 0), F.array_join(replaced(tokens, F.col("spans"), without), ""))
-    rows = rows.withColumn("cut", F.when(F.col("spans").isNotNull(), cut).when(F.col("gone").isNotNull(), F.col("t")))
+    # Tokens and lines are columns of their own, so that they are split once and not for every span.
+    rows = rows.withColumn("tokens", F.when(F.col("spans").isNotNull(), F.split(F.ltrim("t", F.lit(SPACES)), r"(?<=\s)(?=\S)")))
+    cut = F.concat(F.regexp_extract("t", r"^\s*", 0), F.array_join(replaced(F.col("tokens"), F.col("spans"), without), ""))
+    rows = rows.withColumn("cut", F.split(F.when(F.col("spans").isNotNull(), cut).when(F.col("gone").isNotNull(), F.col("t")), "\n"))
     blank = lambda line: F.btrim(line, F.lit(SPACES)) == ""
-    lines_gone = replaced(F.split("cut", "\n"), F.col("gone"), lambda x: F.transform(x, lambda line: F.when(blank(line), line).otherwise(F.col("mark"))))
-    rows = rows.withColumn("cut", F.when(F.col("gone").isNotNull(), lines_gone).otherwise(F.split("cut", "\n")))
+    lines_gone = replaced(F.col("cut"), F.col("gone"), lambda x: F.transform(x, lambda line: F.when(blank(line), line).otherwise(F.col("mark"))))
+    rows = rows.withColumn("cut", F.when(F.col("gone").isNotNull(), lines_gone).otherwise(F.col("cut")))
     bare = lambda line: F.replace(line, F.col("mark"), F.lit(""))
     empty = lambda line: F.contains(line, F.col("mark")) & blank(bare(line))
-    return rows.withColumn("lines", F.transform("cut", lambda line: F.struct(bare(line).alias("line"), empty(line).alias("gone")))).drop("mark", "cut", "gone", "spans")
+    return rows.withColumn("lines", F.transform("cut", lambda line: F.struct(bare(line).alias("line"), empty(line).alias("gone")))).drop("mark", "cut", "tokens", "gone", "spans")
 
 
 def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, least: int = LEAST, share: int = SHARE) -> DataFrame:
