@@ -195,3 +195,14 @@ def test_no_text_is_sent_after_the_rows_are_dealt(spark, monkeypatch):
     assert len(sent) == 1 and not any("c1#" in line for line in plan[sent[0] :])
     # Grams that stand once go no further than the count that tells so.
     assert len(seen) == 2 and min(seen) > 1
+
+
+def test_later_words_and_spans_are_sent_once(spark):
+    places = spark.createDataFrame([((1, 2), 5, 7, 0), ((1, 2), 5, 7, 30), ((1, 2), 5, 7, 40), ((1, 2), 4, 9, 3), ((1, 2), 6, 8, 1)], "gram struct<a long, b long>, id long, row long, idx int")
+    later = ld.later_words(places, 25)
+    spans = ld.merged(spark.createDataFrame([(1, 0, 4), (1, 0, 4), (1, 2, 6), (1, 8, 9)], "row long, idx int, to int"))
+    assert sorted((r.row, r.idx) for r in later.collect()) == [(7, 0), (7, 30), (7, 40), (8, 1)]
+    assert [(r.row, [tuple(x) for x in r.spans]) for r in spans.collect()] == [(1, [(0, 6), (8, 9)])]
+    for done in (later, spans):
+        assert done._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+        assert done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
