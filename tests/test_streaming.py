@@ -198,3 +198,18 @@ def test_a_stream_of_flow_records_equals_the_batch_form(spark, tmp_path):
     spark.dataSource.register(flowstream.FlowSource)
     batch = sorted((row(r) for r in flowrec.decoded(spark.read.format("flowrec").options(path=f"{tmp_path}/in", exporter="folder").load()).collect()), key=repr)
     assert stream == batch and [r[2] for r in batch].count("no_template") == 3 and len(batch) == 7
+
+
+def test_victims_share_states_and_alerts_equal_the_batch_form(spark, tmp_path):
+    cfg = ReflectionConfig(cooldown_s=2.0, min_fan_in=3, min_pps=3.0)
+    one = attack("reflection", spark, T0, 9)
+    # 700 victims in three places of a second apart, with times out of order across them, and the end that closes all.
+    e = one.crossJoin(spark.range(700).withColumnRenamed("id", "v")).withColumns({"dst_ip": F.concat(F.lit("10.10."), F.floor(F.col("v") / 250), F.lit("."), F.col("v") % 250 + 1), "src_ip": F.concat(F.lit("203.0.113."), F.col("event_seq") % 4 + 1), "t_us": F.lit(T0) + F.col("event_seq") % 3 * 1_000_000 + F.col("v") * 100, "event_seq": F.col("event_seq") * 700 + F.col("v")}).drop("v")
+    e = e.unionByName(attack("beacon", spark, T0, 1).withColumns({"event_seq": F.lit(100_000).cast("long"), "t_us": F.lit(T0 + 3_500_000)}))
+    out, checkpoint = ended(spark, detect.reflection_alerts(streamed(spark, e, tmp_path / "in", 2), cfg), tmp_path, "many")
+    row = lambda r, at: (r.dst_ip, r.amplifier_port, at, r.fan_in, r.packets, round(r.pps, 6), round(r.score, 6), r.severity)
+    got = {row(r, r.second * 1_000_000) for r in out.collect()}
+    want = {row(r, r.t_us) for r in detectors.reflection(e, cfg).collect()}
+    assert got == want and len({r[0] for r in want}) == 700
+    states = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "own").load(checkpoint)
+    assert 0 < states.count() <= inorder.SHARDS

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from ..config import AddressPlan, C2Config, ReflectionConfig, TlsConfig, WindowConfig
 from ..operators import filters
-from .inorder import InOrder
+from .inorder import InOrder, InShards, arrow_schema, shard_of
 from .windows import timed_by_all
 
 C = F.col
@@ -97,21 +99,20 @@ def c2_alerts(events: DataFrame, cfg: C2Config = C2Config(), window: WindowConfi
     return e.groupBy(*keys).transformWithStateInPandas(BeaconProcessor(keys, cfg), out, "append", "eventTime")
 
 
-class AskedProcessor(InOrder):
+class AskedProcessor(InShards):
     """Per host, port and amplifier: answers of each closed second, and whether the first of them was asked for within the memory. The state is the last request's time, which goes when the memory is over."""
 
-    fields = "t_us long, event_seq long, asks boolean, packets long, bytes long"
+    fields = "victim string, port int, amp string, t_us long, event_seq long, asks boolean, packets long, bytes long"
+    width = 3
+    kept = arrow_schema("victim string, port int, amp string, asked_us long")
     stamped = True
     out = ["victim", "port", "amp", "t_us", "event_seq", "packets", "bytes", "solicited"]
 
     def __init__(self, cfg: ReflectionConfig, second_us: int):
         self.memory_us, self.unit_us = int(cfg.memory_s * 1_000_000), second_us
 
-    def states(self, handle: StatefulProcessorHandle) -> None:
-        self.asked = handle.getValueState("asked", "t_us long")
-
-    def step(self, key: tuple, rows: list[tuple], now_us: int) -> list[tuple]:
-        last = self.asked.get()[0] if self.asked.exists() else None
+    def step(self, key: tuple, state: tuple | None, rows: list[tuple], now_us: int) -> tuple[list[tuple], tuple | None]:
+        last = state[0] if state else None
         seconds: dict[int, list] = {}
         for t, _, asks, packets, size in rows:
             if asks:
@@ -119,36 +120,30 @@ class AskedProcessor(InOrder):
                 continue
             own = seconds.setdefault(t // self.unit_us, [0, 0, last is not None and t - last <= self.memory_us])
             own[0], own[1] = own[0] + packets, own[1] + size
-        if last is not None and now_us - last <= self.memory_us:
-            self.asked.update((last,))
-        else:
-            self.asked.clear()
-        return [(*key, (s + 1) * self.unit_us, s, *own) for s, own in seconds.items()]
+        return [(*key, (s + 1) * self.unit_us, s, *own) for s, own in seconds.items()], (last,) if last is not None else None
 
-    def idle(self, now_us: int) -> int | None:
-        return (self.asked.get()[0] + self.memory_us) // 1000 + 1 if self.asked.exists() else None
+    def over_us(self, state: tuple) -> int:
+        return state[0] + self.memory_us + 1
 
 
-class VictimProcessor(InOrder):
+class VictimProcessor(InShards):
     """Per victim and port: a ring of the last window_s seconds' amplifiers, and the second that last fired. Seconds come closed; each is judged over the ring, with the cooldown. State goes when ring and cooldown are over."""
 
-    fields = "t_us long, event_seq long, amp string, packets long, bytes long, solicited boolean"
+    fields = "victim string, port int, t_us long, event_seq long, amp string, packets long, bytes long, solicited boolean"
+    width = 2
+    ring = pa.list_(pa.struct([("second", pa.int64()), ("amp", pa.string()), ("packets", pa.int64()), ("bytes", pa.int64()), ("solicited", pa.bool_())]))
+    kept = pa.schema([("victim", pa.string()), ("port", pa.int32()), ("ring", ring), ("last", pa.int64()), ("fired", pa.int64())])
     out = ["dst_ip", "amplifier_port", "second", "first_second", "fan_in", "unsolicited_share", "pps", "bps", "packets", "bytes", "score", "severity"]
 
     def __init__(self, cfg: ReflectionConfig, second_us: int):
         self.cfg, self.second_us = cfg, second_us
 
-    def states(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getListState("ring", "second long, amp string, packets long, bytes long, solicited boolean")
-        self.span = handle.getValueState("span", "last long, fired long")
-
-    def step(self, key: tuple, rows: list[tuple], now_us: int) -> list[tuple]:
+    def step(self, key: tuple, state: tuple | None, rows: list[tuple], now_us: int) -> tuple[list[tuple], tuple | None]:
         cfg, told = self.cfg, []
-        ring = list(self.ring.get()) if self.ring.exists() else []
-        last, fired = self.span.get() if self.span.exists() else (None, None)
-        rows = [(seq, amp, p, b, s) for _, seq, amp, p, b, s in rows]
-        for second in sorted({r[0] for r in rows}):
-            ring = [r for r in ring if r[0] > second - cfg.window_s] + [r for r in rows if r[0] == second]
+        ring, last, fired = state or ([], None, None)
+        ring = [tuple(r.values()) for r in ring]
+        for second, own in groupby(rows, key=lambda r: r[1]):
+            ring = [r for r in ring if r[0] > second - cfg.window_s] + [r[1:] for r in own]
             last, first = second, min(r[0] for r in ring)
             packets, size, span = sum(r[2] for r in ring), sum(r[3] for r in ring), second - first + 1
             amps: dict[str, bool] = {}
@@ -160,21 +155,13 @@ class VictimProcessor(InOrder):
                 fired, ratio = second, max(pps / cfg.min_pps, bps / cfg.min_bps)
                 score = 0.5 + 0.5 * min(max((ratio - 1) / 4, 0.0), 1.0)
                 told.append((*key, second, first, len(amps), share, pps, bps, packets, size, score, "CRITICAL" if pps >= 5 * cfg.min_pps or bps >= 5 * cfg.min_bps else "HIGH"))
-        if last is None or now_us >= self.over_us(last, fired):
-            self.ring.clear()
-            self.span.clear()
-        else:
-            self.ring.put(ring)
-            self.span.update((last, fired))
-        return told
+        return told, ([dict(zip(("second", "amp", "packets", "bytes", "solicited"), r)) for r in ring], last, fired)
 
-    def over_us(self, last: int, fired: int | None) -> int:
+    def over_us(self, state: tuple) -> int:
         """When neither the ring nor the cooldown matters to a later second."""
+        _, last, fired = state
         return max(last + self.cfg.window_s, fired + math.ceil(self.cfg.cooldown_s) if fired is not None else 0) * self.second_us
 
-    def idle(self, now_us: int) -> int | None:
-        return self.over_us(*self.span.get()) // 1000 + 1 if self.span.exists() else None
-
 
 def reflection_alerts(events: DataFrame, cfg: ReflectionConfig = ReflectionConfig(), plan: AddressPlan = AddressPlan(), window: WindowConfig = WindowConfig(), second_us: int = 1_000_000) -> DataFrame:
     """Reflection alerts of a stream: the batch detector's rows of all seconds that the watermark has closed. A flood to one victim is combined by second and amplifier before it meets in the victim's state."""
@@ -182,9 +169,9 @@ def reflection_alerts(events: DataFrame, cfg: ReflectionConfig = ReflectionConfi
     amount = [F.coalesce("packets", F.lit(1)).cast("long").alias("packets"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), "t_us", "event_seq", "ts"]
     answers = filters.reflection_responses(e, plan).select(C("dst_ip").alias("victim"), C("src_port").cast("int").alias("port"), C("src_ip").alias("amp"), F.lit(False).alias("asks"), *amount)
     asks = filters.reflection_requests(e, plan).select(C("src_ip").alias("victim"), C("dst_port").cast("int").alias("port"), C("dst_ip").alias("amp"), F.lit(True).alias("asks"), *amount)
-    closed = answers.unionByName(asks).groupBy("victim", "port", "amp").transformWithStateInPandas(AskedProcessor(cfg, second_us), "victim string, port int, amp string, t_us long, event_seq long, packets long, bytes long, solicited boolean, ts timestamp", "append", "eventTime", eventTimeColumnName="ts")
+    closed = answers.unionByName(asks).withColumn("shard", shard_of("victim", "port", "amp")).groupBy("shard").transformWithStateInPandas(AskedProcessor(cfg, second_us), "victim string, port int, amp string, t_us long, event_seq long, packets long, bytes long, solicited boolean, ts timestamp", "append", "eventTime", eventTimeColumnName="ts")
     out = "dst_ip string, amplifier_port int, second long, first_second long, fan_in int, unsolicited_share double, pps double, bps double, packets long, bytes long, score double, severity string"
-    return closed.groupBy("victim", "port").transformWithStateInPandas(VictimProcessor(cfg, second_us), out, "append", "eventTime")
+    return closed.withColumn("shard", shard_of("victim", "port")).groupBy("shard").transformWithStateInPandas(VictimProcessor(cfg, second_us), out, "append", "eventTime")
 
 
 class NoveltyProcessor(InOrder):
