@@ -2,6 +2,7 @@ import shutil
 import struct
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,56 @@ def test_victims_share_states_and_alerts_equal_the_batch_form(spark, tmp_path):
     assert got == want and len({r[0] for r in want}) == 700
     states = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "own").load(checkpoint)
     assert 0 < states.count() <= inorder.SHARDS
+
+
+def test_an_exporters_records_wait_in_parts_and_chunks(spark, tmp_path):
+    template = struct.pack("!HHHHHH", 2, 12, 256, 1, 8, 4)
+    message = lambda t, body: struct.pack("!HHIII", 10, 16 + len(body), t, 0, 7) + body
+    (tmp_path / "in/e1").mkdir(parents=True)
+    (tmp_path / "in/e1/1.flow").write_bytes(message(100, template) + b"".join(message(101 + k // 500, struct.pack("!HHI", 256, 8, k)) for k in range(1000)))
+    with inorder.rocks(spark):
+        windows.drained(flowstream.decoded(flowstream.read_stream(spark, f"{tmp_path}/in")), f"{tmp_path}/o", f"{tmp_path}/cp")
+    r = spark.read.parquet(f"{tmp_path}/o")
+    assert sorted(int.from_bytes(x.v[8], "big") for x in r.collect()) == list(range(500)) and r.where("fault is not null").count() == 0
+    # The second that the watermark has not passed waits as bytes, dealt over many keys.
+    waiting = spark.read.format("statestore").option("stateVarName", "chunks").load(f"{tmp_path}/cp")
+    assert waiting.count() == waiting.select("key.*").distinct().count() > 16
+    assert sum(inorder.from_bytes(x.rows).num_rows for x in waiting.select("user_map_value.rows").collect()) == 500
+
+
+class Handle:
+    """States in memory, in place of the state server."""
+
+    def __init__(self):
+        self.timers = set()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getMapState(self, name, *_):
+        own = {}
+        return type("M", (), {"updateValue": lambda _, k, v: own.__setitem__(k, v), "getValue": lambda _, k: own[k], "removeKey": lambda _, k: own.pop(k)})()
+
+    def getValueState(self, name, *_):
+        own = []
+        return type("V", (), {"exists": lambda _: bool(own), "get": lambda _: own[0], "update": lambda _, v: own.__setitem__(slice(None), [v]), "clear": lambda _: own.clear()})()
+
+    def getListState(self, name, *_):
+        own = []
+        return type("L", (), {"exists": lambda _: bool(own), "get": lambda _: iter(own), "put": lambda _, v: own.__setitem__(slice(None), v), "appendList": lambda _, v: own.extend(v), "clear": lambda _: own.clear()})()
+
+
+def test_templates_of_one_time_are_told_apart_by_number_and_go_when_idle():
+    p, handle = flowstream.TemplateProcessor(10_000_000), Handle()
+    p.init(handle)
+    frame = lambda rows: pd.DataFrame([(t * 1_000_000, seq, "p", "ipfix", -1, fields, body) for t, seq, fields, body in rows], columns=p.schema.names)
+    list(p.handleInputRows(("e", 1, 256, 0), iter([frame([(1, 1, None, b"a"), (1, 2, "x", None), (1, 3, None, b"b"), (1, 4, "y", None)]), frame([(1, 5, None, b"c"), (11, 6, None, b"d"), (12, 7, None, b"e"), (40, 8, None, b"f")])]), None))
+    assert handle.timers == {1000}
+    clock = lambda ms: type("T", (), {"getCurrentWatermarkInMs": lambda _: ms})()
+    parts = list(p.handleExpiredTimer(("e", 1, 256, 0), clock(12_000), None))
+    assert [list(zip(b["body"], b["fields"])) for b in parts] == [[(b"a", None), (b"b", "x")], [(b"c", "y"), (b"d", "y"), (b"e", None)]]
+    assert not p.templates.exists() and 40_000 in handle.timers
+    assert [list(b["body"]) for b in p.handleExpiredTimer(("e", 1, 256, 0), clock(40_000), None)] == [[b"f"]] and not p.index.exists()

@@ -5,10 +5,14 @@ A file is read by blocks in one task; many files are many tasks. A stream's offs
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..config import WindowConfig
-from ..streaming.inorder import InOrder
+from ..streaming.inorder import Waiting, shard_of
 from ..streaming.windows import timed_by_all
 from .capture import Bytes, FileWriter, listed
 from .flowrec import SET, sets_in, unpacked
@@ -128,8 +132,8 @@ def write_messages(messages: DataFrame, path: str) -> None:
     messages.select("message").write.format("flowrec").options(path=path).mode("append").save()
 
 
-class TemplateProcessor(InOrder):
-    """Per exporter, domain and set: the latest template and when it was registered. It goes when the watermark is idle_s past that, unless it is registered anew."""
+class TemplateProcessor(Waiting):
+    """Per exporter, domain, set and part of its data sets: the templates that a row can still need. The latest of those that the watermark has passed goes when the watermark is idle_s past it, unless it is registered anew. Rows are given their template by chunks, so an exporter's records are never in memory together."""
 
     fields = "t_us long, event_seq long, path string, mode string, uptime_ms long, fields string, body binary"
     out = ["exporter", "domain", "set_id", "t_us", "event_seq", "path", "mode", "uptime_ms", "fields", "body"]
@@ -138,31 +142,48 @@ class TemplateProcessor(InOrder):
         self.idle_us = idle_us
 
     def states(self, handle: StatefulProcessorHandle) -> None:
-        self.template = handle.getValueState("template", "fields string, t_us long")
-
-    def step(self, key: tuple, rows: list[tuple], now_us: int) -> list[tuple]:
-        fields, at = self.template.get() if self.template.exists() else (None, None)
-        told = []
-        for t, seq, path, mode, uptime, own, body in rows:
-            if own is not None:
-                fields, at = own, t
-            else:
-                told.append((*key, t, seq, path, mode, uptime, fields if at is not None and t - at <= self.idle_us else None, bytes(body)))
-        if at is None or now_us - at > self.idle_us:
-            self.template.clear()
+        self.templates = handle.getListState("templates", "t_us long, event_seq long, fields string")
+
+    def taken(self, rows: pa.Table) -> tuple[pa.Table, int | None]:
+        own = pc.is_valid(rows["fields"])
+        told = [tuple(r.values()) for r in rows.filter(own).select(["t_us", "event_seq", "fields"]).to_pylist()]
+        if told:
+            self.templates.appendList(told)
+        return rows.filter(pc.invert(own)), min(((t + self.idle_us) // 1000 + 1 for t, _, _ in told), default=None)
+
+    def woken(self, key: tuple, due: Iterator[pa.Table], now_us: int) -> Iterator[pd.DataFrame]:
+        known = sorted(self.templates.get()) if self.templates.exists() else []
+        at, seqs = np.array([t for t, _, _ in known], dtype=np.int64), [seq for _, seq, _ in known]
+        fields = np.array([None, *[f for _, _, f in known]], dtype=object)
+        for rows in due:
+            t, seq = rows["t_us"].to_numpy(), rows["event_seq"].to_numpy()
+            # How many templates are before each row, in order of time and then of number.
+            low, high = np.searchsorted(at, t, "left"), np.searchsorted(at, t, "right")
+            for k in np.flatnonzero(low < high):
+                low[k] = bisect_left(seqs, seq[k], low[k], high[k])
+            place = np.where((low > 0) & (t - np.concatenate(([0], at))[low] <= self.idle_us), low, 0)
+            out = rows.to_pandas().assign(fields=fields[place], exporter=key[0], domain=key[1], set_id=key[2])
+            yield out[self.out]
+        passed = int(np.searchsorted(at, now_us, "right"))
+        kept = known[max(passed - 1, 0) :]
+        if passed and now_us - kept[0][0] > self.idle_us:
+            kept = kept[1:]
+        self.over = (kept[0][0] + self.idle_us) // 1000 + 1 if kept else None
+        if kept:
+            self.templates.put(kept)
         else:
-            self.template.update((fields, at))
-        return told
+            self.templates.clear()
 
-    def idle(self, now_us: int) -> int | None:
-        return (self.template.get()[1] + self.idle_us) // 1000 + 1 if self.template.exists() else None
+    def idle(self) -> int | None:
+        return self.over
 
 
-def decoded(sets: DataFrame, idle_s: float = 1800.0, window: WindowConfig = WindowConfig()) -> DataFrame:
-    """The rows of flowrec.decoded for a stream of sets: records of data sets that the watermark, which follows the export times, has passed. Each set has the latest template registered before it, in order of export time and of the files, at most idle_s old."""
+def decoded(sets: DataFrame, idle_s: float = 1800.0, window: WindowConfig = WindowConfig(), parts: int = 32) -> DataFrame:
+    """The rows of flowrec.decoded for a stream of sets: records of data sets that the watermark, which follows the export times, has passed. Each set has the latest template registered before it, in order of export time and of the files, at most idle_s old. An exporter's data sets are dealt over `parts` keys, each of which gets its templates too."""
     s = sets.where("fault is null").withColumn("t_us", C("export_s") * 1_000_000)
     s = timed_by_all(s.select("exporter", "domain", "set_id", "t_us", "event_seq", "path", "mode", F.coalesce("uptime_ms", F.lit(-1)).alias("uptime_ms"), F.to_json("fields").alias("fields"), "body"), window)
+    s = s.withColumn("part", F.explode(F.when(C("fields").isNotNull(), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(shard_of("event_seq", shards=parts)))))
     kinds = "exporter string, domain long, set_id int, t_us long, event_seq long, path string, mode string, uptime_ms long, fields string, body binary"
-    j = s.groupBy("exporter", "domain", "set_id").transformWithStateInPandas(TemplateProcessor(int(idle_s * 1_000_000)), kinds, "append", "eventTime")
+    j = s.groupBy("exporter", "domain", "set_id", "part").transformWithStateInPandas(TemplateProcessor(int(idle_s * 1_000_000)), kinds, "append", "eventTime")
     j = j.withColumns({"template_id": C("set_id"), "export_s": F.floor(C("t_us") / 1_000_000), "uptime_ms": F.nullif("uptime_ms", F.lit(-1)), "fields": F.from_json("fields", FIELDS)})
     return unpacked(j).drop("t_us")
