@@ -267,3 +267,14 @@ def test_templates_of_one_time_are_told_apart_by_number_and_go_when_idle():
     assert [list(zip(b["body"], b["fields"])) for b in parts] == [[(b"a", None), (b"b", "x")], [(b"c", "y"), (b"d", "y"), (b"e", None)]]
     assert not p.templates.exists() and 40_000 in handle.timers
     assert [list(b["body"]) for b in p.handleExpiredTimer(("e", 1, 256, 0), clock(40_000), None)] == [[b"f"]] and not p.index.exists()
+
+
+def test_a_request_is_remembered_until_the_seconds_that_it_matters_to_are_closed():
+    p, handle = detect.AskedProcessor(ReflectionConfig(memory_s=6.0), 10_000_000), Handle()
+    p.init(handle)
+    clock = lambda ms: type("T", (), {"getCurrentWatermarkInMs": lambda _: ms})()
+    frame = lambda rows: pd.DataFrame([("v", 53, "a", t * 1_000_000, seq, asks, 1, 100) for seq, (t, asks) in enumerate(rows)], columns=p.schema.names)
+    list(p.handleInputRows((0,), iter([frame([(8, True), (13, False), (25, False)])]), None))
+    assert list(p.handleExpiredTimer((0,), clock(18_000), None)) == []  # past the memory, but the answer waits for its second to close
+    out = [(r.t_us, r.solicited) for b in p.handleExpiredTimer((0,), clock(30_000), None) for r in b.itertuples()]
+    assert out == [(20_000_000, True), (30_000_000, False)] and not p.own.exists() and not p.index.exists()
