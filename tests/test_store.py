@@ -173,3 +173,24 @@ def test_evidence_of_any_depth_is_flattened(spark):
     assert got[2] == {"none": None, "dot.ted.k.l": "true"} and got[3] == {} and got[9] is None
     with pytest.raises(ValueError):
         store.export_table(docs, ["id"], most=3)
+
+
+def test_names_are_looked_up_in_one_pass_and_trees_grow_in_as_many_tasks_as_cores(spark, monkeypatch):
+    names = [f"{w}{k}.example" for k in range(40) for w in ("alpha", "lemon")] + [f"x{k * 7919:x}q{k}.info" for k in range(80)]
+    df = spark.createDataFrame([(n, int(n.endswith(".info")), n) for n in names], "qname string, y int, domain string")
+    scored = ml.lexical(df, ml.language_model(df.where("y = 0").withColumn("_name", F.split("qname", "[.]")[0]), "_name"))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and "rightHint=(strategy=broadcast)" in plan
+    tasks, fit = [], ml.Pipeline.fit
+    monkeypatch.setattr(ml.Pipeline, "fit", lambda self, rows: tasks.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("40", "false")):
+            spark.conf.set(k, v)
+        model = ml.DgaModel.fit(df, trees=2)
+        assert len(tasks) == 2 and max(tasks) <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    p = {r.y: r.p for r in model.predict(df).groupBy("y").agg(F.avg("p").alias("p")).collect()}
+    assert p[1] > 0.9 > 0.1 > p[0]

@@ -15,6 +15,8 @@ from .ordered import placed_within
 C = F.col
 FEATURES = ["length", "entropy", "digit_ratio", "vowel_ratio", "label_count", "lm_bigram", "lm_trigram"]
 SEED = 26_145
+#: Rows that a task has at least when the trees are grown, if all cores have a task.
+TASK_ROWS = 100_000
 
 
 def exploded(df: DataFrame, label: str, n: int) -> DataFrame:
@@ -31,20 +33,20 @@ def language_model(names: DataFrame, label: str, sizes: tuple[int, ...] = (2, 3)
 
 
 def language_scores(df: DataFrame, label: str, model: DataFrame, sizes: tuple[int, ...] = (2, 3), floor: float = -12.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """df with lm_<n>, the mean log probability of its label's n-grams by a left join on the model; unseen grams count as the floor, a short label as 0. With `by`, columns of df and the model, each of their values has its own model."""
-    out, own = df, [label, *by]
-    for n in sizes:
-        seen = exploded(df.select(*own).distinct(), label, n).join(model, ["gram", *by], "left")
-        one = seen.groupBy(*own).agg(F.avg(F.when(C("p").isNull(), floor).otherwise(F.log(F.greatest("p", F.lit(1e-12))))).alias(f"lm_{n}"))
-        out = out.join(one, own, "left").fillna(0.0, [f"lm_{n}"])
-    return out
+    """df with lm_<n>, the mean log probability of its label's n-grams by a left join on the model; unseen grams count as the floor, a short label as 0. With `by`, columns of df and the model, each of their values has its own model. All sizes are looked up in one pass."""
+    own = [label, *by]
+    grams = df.select(*own).distinct().select(*own, F.explode(F.concat(*[features.ngrams_of(C(label), n) for n in sizes])).alias("gram"))
+    p = F.when(C("p").isNull(), floor).otherwise(F.log(F.greatest("p", F.lit(1e-12))))
+    means = grams.join(model, ["gram", *by], "left").groupBy(*own).agg(*[F.avg(F.when(F.length("gram") == n, p)).alias(f"lm_{n}") for n in sizes])
+    return df.join(means, own, "left").fillna(0.0, [f"lm_{n}" for n in sizes])
 
 
 def lexical(df: DataFrame, model: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """df (qname) with the seven features; `by` as in language_scores."""
     f = features.domain_features(C("qname"), F.lit(0.0), F.lit(None).cast("map<string,double>"))
     d = df.withColumns({n: f[n] for n in FEATURES[:5]}).withColumn("_label", F.regexp_replace(features.primary_label(C("qname")), "[^a-z0-9]", ""))
-    return language_scores(d, "_label", model, by=by).withColumnsRenamed({"lm_2": "lm_bigram", "lm_3": "lm_trigram"}).drop("_label")
+    # A model of 36 characters has 36 ** 2 + 36 ** 3 grams at most, whatever the names: it goes to all tasks.
+    return language_scores(d, "_label", F.broadcast(model), by=by).withColumnsRenamed({"lm_2": "lm_bigram", "lm_3": "lm_trigram"}).drop("_label")
 
 
 def out_of_fold(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
@@ -76,12 +78,15 @@ class DgaModel:
     def fit(df: DataFrame, group: str = "domain", trees: int = 120) -> DgaModel:
         """From rows (qname, y, group column)."""
         names = language_model(df.where("y = 0").withColumn("_name", F.regexp_replace(features.primary_label(C("qname")), "[^a-z0-9]", "")), "_name")
-        # The order of a class is cut by the first digits of its hashes, so that the trees are grown by all tasks and not by one a class. Read twice by the trees' two parts.
-        d = placed_within(out_of_fold(df, group).withColumn("_hash", F.sha2("qname", 256)), ["y"], "_hash", F.substring("_hash", 1, 3), "_place")
-        d = d.withColumn("_held", C("_place") % 4 == 0).withColumn("label", C("y").cast("double")).drop("_hash", "_place").persist()
+        # The order of a class is cut by the first digits of its hashes, so that the trees are grown by all tasks and not by one a class. Places are given before the features are, as that reads its rows twice; the whole is read twice by the trees' two parts.
+        placed = placed_within(df.withColumn("_hash", F.sha2("qname", 256)), ["y"], "_hash", F.substring("_hash", 1, 3), "_place")
+        placed = placed.withColumn("_held", C("_place") % 4 == 0).withColumn("label", C("y").cast("double")).drop("_hash", "_place")
+        d = out_of_fold(placed, group).persist()
+        # Trees and calibration pass over the rows hundreds of times: tasks of few rows would take longer to send than to run.
+        rows = d.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-d.count() // TASK_ROWS)))
         gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, stepSize=0.08, maxDepth=4, minInstancesPerNode=5, seed=SEED)
-        model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), gbt]).fit(d.where("not _held"))
-        raw = DgaModel._raw(model.transform(d.where("_held")))
+        model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), gbt]).fit(rows.where("not _held"))
+        raw = DgaModel._raw(model.transform(rows.where("_held")))
         platt = Pipeline(stages=[VectorAssembler(inputCols=["logit"], outputCol="logit_v"), LogisticRegression(featuresCol="logit_v", labelCol="label")]).fit(raw.select("logit", "label"))
         d.unpersist()
         return DgaModel(model, platt, names)
