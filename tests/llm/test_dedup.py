@@ -114,3 +114,19 @@ def test_text_ids(spark):
     docs = spark.createDataFrame([("b", "one two"), ("a", "one two"), ("c", "else")], "doc_id string, text string")
     assert {r.doc_id: r.keep_id for r in exact_dedup.exact_groups(docs).collect()} == {"a": "a", "b": "a", "c": "c"}
     assert len(simhash.keep_one(docs).collect()) == 2
+
+
+def test_near_copies_in_shards_that_are_split(spark, monkeypatch):
+    rng = random.Random(26)
+    texts = []
+    for g in range(12):
+        base = [f"w{rng.randrange(900)}" for _ in range(120)]
+        for k in range(rng.choice([1, 9])):
+            at = rng.randrange(120)
+            texts.append((g * 100 + k, " ".join([*base[:at], f"x{k}", *base[at + 1 :]])))
+    whole = {(r.doc_id, r.root) for r in simhash.near_copies(frame(spark, texts)).collect()}
+    assert whole == {(k, k // 100 * 100) for k, _ in texts if k % 100}
+    for name, most in (("SHARD_ROWS", 2), ("SHARD_BYTES", 2_000)):
+        with monkeypatch.context() as m:
+            m.setattr(simhash, name, most)
+            assert {(r.doc_id, r.root) for r in simhash.near_copies(frame(spark, texts)).collect()} == whole

@@ -106,7 +106,8 @@ def linked_edges(shards: DataFrame, radius: int, least_alike: float | None = Non
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     pairs = F.transform(others, lambda o: F.concat_ws("|", "shard", F.least(part, o), F.greatest(part, o)))
-    keyed = rows.select(F.explode(F.when(F.col("parts").isNull(), F.array("shard")).otherwise(pairs)).alias("shard"), "node", "code", *extra)
+    # As text on both sides: a shard can be a number, and a pair's name is none.
+    keyed = rows.select(F.explode(F.when(F.col("parts").isNull(), F.array(F.col("shard").cast("string"))).otherwise(pairs)).alias("shard"), "node", "code", *extra)
     keyed = keyed.select(F.xxhash64("shard").alias("shard"), "node", "code", *extra)
     keyed = keyed.repartition("shard").sortWithinPartitions("shard", "node")
 
